@@ -131,7 +131,7 @@ ORACLE_SQL = {
     "op1_decontamination": r"""
 WITH items AS (
   SELECT row_number() OVER () AS item, item_id,
-         list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w
+         list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
   FROM benchmark
 ), sized AS (
   SELECT item, item_id, w, least(len(w), 5) AS k FROM items WHERE len(w) > 0
@@ -142,7 +142,7 @@ WITH items AS (
   SELECT item, item_id, count(*) AS n FROM item_shingles GROUP BY ALL
 ), docs AS (
   SELECT row_number() OVER () AS doc, doc_id,
-         list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w
+         list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
   FROM documents
 ), doc_shingles AS (
   SELECT DISTINCT doc, doc_id, k, array_to_string(w[i : i + k - 1], ' ') AS s
