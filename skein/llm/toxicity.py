@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import doc_texts, documents, map_rows, stored
 
 SAMPLE, NEIGHBOURS, VOCABULARY = 20_000, 25, 4096
-LEAST_LLR, LEAST_DOCS, BLOCK, PRIOR_WEIGHT = 30.0, 4, 64, 0.25
+LEAST_DOCS, BLOCK, PRIOR_WEIGHT = 4, 64, 0.25
 _TERM = re.compile(r"[^\W\d_]{2,}")
 
 
@@ -229,15 +229,17 @@ def vocabulary(texts: DataFrame, y: DataFrame, most: int = VOCABULARY) -> list[s
     if not n1 or not n0:
         return []
     by = made.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("k1"), F.sum(1 - F.col("toxic")).alias("k0"))
+    by = stored(by.where(F.col("k1") + F.col("k0") >= LEAST_DOCS), "terms")
+    least = 2 * np.log(2 * max(1, by.count()))  # half a term by chance among all that are tried
     rate = F.lit(n1 / (n1 + n0))
     # cheap bound first: only terms off the base rate reach the driver
-    off = F.abs(F.col("k1") - (F.col("k1") + F.col("k0")) * rate) > F.sqrt((F.col("k1") + F.col("k0")) * rate * (1 - rate)) * 3.5
-    rows = by.where((F.col("k1") + F.col("k0") >= LEAST_DOCS) & off).orderBy(F.desc(F.abs(F.col("k1") * n0 - F.col("k0") * n1)), "term").limit(8 * most).collect()
+    off = F.abs(F.col("k1") - (F.col("k1") + F.col("k0")) * rate) > F.sqrt((F.col("k1") + F.col("k0")) * rate * (1 - rate)) * 2.5
+    rows = by.where(off).orderBy(F.desc(F.abs(F.col("k1") * n0 - F.col("k0") * n1)), "term").limit(8 * most).collect()
     if not rows:
         return []
     k1, k0 = np.array([r["k1"] for r in rows], float), np.array([r["k0"] for r in rows], float)
     g = log_likelihood_ratio(np.minimum(k1, n1), n1, np.minimum(k0, n0), n0)
-    ranked = sorted((-g[i], rows[i]["term"]) for i in range(len(rows)) if g[i] >= LEAST_LLR)
+    ranked = sorted((-g[i], rows[i]["term"]) for i in range(len(rows)) if g[i] >= least)
     return [t for _, t in ranked[:most]]
 
 
