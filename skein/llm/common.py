@@ -19,6 +19,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -149,6 +150,21 @@ def append_columns(df: DataFrame, inputs: list[str], make: Callable[[], Callable
     return df.mapInArrow(run, struct)
 
 
+def shielded(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage whose input may have columns named like the stage's own: they go
+    under other names meanwhile."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        if not any(c.lower().startswith("__sk_") for c in names):
+            return stage(spark, docs, sf_dir)
+        aside = [f"input_{k}_{c[5:]}" if c.lower().startswith("__sk_") else c for k, c in enumerate(names)]
+        return stage(spark, docs.toDF(*aside), sf_dir).toDF(*names)
+
+    return run
+
+
 # ------------------------------------------------------------------- documents
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

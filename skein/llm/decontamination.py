@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, row_keys, small_or_shuffled, stored
+from .common import documents, row_keys, shielded, small_or_shuffled, stored
 
 SHINGLE, THRESHOLD = 5, 0.8
 
@@ -118,6 +118,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_shingles", "n_found", "containment")
 
 
+@shielded
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold no test item, whole rows."""
     held = stored(contaminated(docs, benchmark(spark, sf_dir)).select("__sk_k1", "__sk_k2").distinct(), "held")

@@ -31,7 +31,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, row_keys, stored
+from .common import SPACE, documents, row_keys, shielded, stored
 
 WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2, 17
 ROWS_A_BUCKET = 20_000
@@ -213,7 +213,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
     """doc_id, size, source_size, target, taken, copies (and the row keys that
     ``docs`` may carry) for documents with one source each."""
     spark = docs.sparkSession
-    keys = [c for c in docs.columns if c.startswith("__sk_k")]
+    keys = [c for c in docs.columns if c in ("__sk_k1", "__sk_k2")]
     sized = stored(
         docs.select("doc_id", n_words(F.col("text")).alias("size"), "source", F.to_json(F.array("source")).alias("__sk_pattern"), *keys), "sized"
     )
@@ -230,6 +230,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
     )
 
 
+@shielded
 def take_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as often as the mix takes it, whole rows.
     Rows equal in every column are taken as often as the mix takes them together."""

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, append_columns, doc_texts, documents, map_rows, stored
+from .common import SPACE, append_columns, doc_texts, documents, map_rows, shielded, stored
 
 SYMBOLS = "#*$%&|<>"
 BASE = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
@@ -227,6 +227,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@shielded
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that base rules and list keep, whole rows."""
     prefixed = ", ".join(f"__sk_{x.strip()}" for x in STATS.split(","))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, doc_texts, documents, map_rows, row_keys, small_or_shuffled, stored
+from .common import components, doc_texts, documents, map_rows, row_keys, shielded, small_or_shuffled, stored
 
 WIDTH, SEED, MOST_BITS = 4, 42, 4
 BLOCK, SMALL = 2048, 16
@@ -63,7 +63,7 @@ def fingerprint(text: str | None, width: int = WIDTH, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp and the given row keys."""
-    keys = [c for c in docs.columns if c.startswith("__sk_k")]
+    keys = [c for c in docs.columns if c in ("__sk_k1", "__sk_k2")]
     kept = doc_texts(docs) if not keys else docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keys)
     ddl = "doc_id bigint, fp bigint" + "".join(f", {k} bigint" for k in keys)
     return map_rows(kept, lambda: lambda i, t, *k: (i, fingerprint(t), *k), ddl)
@@ -204,6 +204,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@shielded
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group stays, the one with the smallest
     doc_id (nulls last), then the smallest row hash; whole rows."""
