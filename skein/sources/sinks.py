@@ -72,7 +72,7 @@ class FastqWriter(DataSourceWriter):
                 now = row["target"]
                 temp = f"{root}/.{now}.{tag}"
                 files.append((temp, now))
-                out = BgzfWriter(fs.open_output_stream(temp), self.level)
+                out = BgzfWriter(fs.open_output_stream(temp, compression=None), self.level)
             out.write(row["record"].encode("latin-1"))
         if out:
             out.close()
@@ -89,7 +89,7 @@ class FastqWriter(DataSourceWriter):
                 done.add(target)
         for target in self.targets:
             if target not in done:
-                BgzfWriter(fs.open_output_stream(f"{root}/{target}"), self.level).close()
+                BgzfWriter(fs.open_output_stream(f"{root}/{target}", compression=None), self.level).close()
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, _ = open_store(self.folder)
