@@ -12,8 +12,9 @@ order; ids before a shard are the sum of the valid ids of those before it.
 Encoding: the tokenizer's split pattern never joins characters across ASCII
 white space and its normalizer works within a word or on white space only, so a
 text's ids are those of its words in turn.  Words are encoded by the tokenizers
-library once each and kept in a dictionary of bounded size.  ``by_words`` checks
-the tokenizer for this form; others are encoded text by text.
+library and kept in a dictionary of bounded size that a worker process shares among
+its tasks; words of plain letters go straight to the library's model.  ``by_words``
+checks the tokenizer for this form; others are encoded text by text.
 
 A task writes under a name of its own and renames, so that a rerun after a lost
 executor replaces equal bytes.  Files go to ``spark.checkpoint.dir`` through
@@ -28,7 +29,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -41,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, drop_path, new_path, rows_of, stored
 
-LENGTH, END_ID, WORDS_KEPT = 2048, 1, 150_000
+LENGTH, END_ID, WORDS_KEPT = 2048, 1, 700_000
 #: Sequences in a record batch.
 BATCH = 256
 
@@ -67,6 +70,26 @@ def by_words(path: str) -> bool:
     return folds and own and split.get("invert") and split.get("behavior") == "Removed" and pattern.endswith("[^\\s\\p{L}\\p{N}]+") and "\\s*" not in pattern and " " not in pattern and "post_processor" in spec and not spec["post_processor"]
 
 
+#: Letters that are lower case, stay as they are under NFC and lower-casing, and
+#: form one piece of the split pattern; then what may follow as the next piece: ASCII
+#: punctuation but the apostrophe, with which contractions start.
+_PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+class _Words(dict):
+    """Ids of words, filled as they come; once full, others are encoded anew."""
+
+    def __init__(self, encode, most: int):
+        super().__init__()
+        self.encode, self.most = encode, most
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.encode(word)
+        if len(self) < self.most:
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts, as little-endian bytes of ``dtype``."""
 
@@ -76,33 +99,44 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.words, self.kept, self.most = by_words(path), {}, words_kept
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.code = {2: "H", 4: "I"}[self.dtype.itemsize]  # native order: little-endian wherever Spark runs on x86 or ARM
+        self.tokenize = self.tokenizer.model.tokenize
+        self.words = by_words(path)
+        self.kept, self.tails = _Words(self._word, words_kept), _Words(self._tail, 4096)
+        self.tails[""] = b""
+        if self.words:  # the byte-level form of each letter, as the pre-tokenizer has it
+            letters = [chr(c) for c in (*range(97, 123), *range(0xDF, 0x100)) if c != 0xF7]
+            self.form = str.maketrans({c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters})
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _tail(self, text: str) -> bytes:
+        return self._encode(text)
+
+    def _word(self, word: bytes) -> bytes:
+        """One word.  Plain ones go to the tokenizer's model at once, since its
+        normalizer and pre-tokenizer would leave them whole."""
+        text = word.decode("utf-8", "surrogatepass")
+        m = _PLAIN.fullmatch(text.lower()) if text.isascii() or max(text) <= "\u00ff" else None
+        if not m:
+            return self._encode(text)
+        core, tail = m.groups()
+        if tail or core != text:  # the plain form may be known
+            return self.kept[core.encode()] + self.tails[tail]
+        return array(self.code, [t.id for t in self.tokenize(core if core.isascii() else core.translate(self.form))]).tobytes()
 
     def ids(self, text: str) -> bytes:
         if not self.words:
-            return self._encode([text])[0]
-        words = text.encode("utf-8", "surrogatepass").split()  # ASCII white space, which every \s is
-        kept = self.kept
-        try:
-            return b"".join(map(kept.__getitem__, words))
-        except KeyError:
-            pass
-        out, at = [], 0
-        while at < len(words):  # long texts too leave the dictionary bounded
-            part = words[at : at + 50_000]
-            new = [w for w in dict.fromkeys(part) if w not in kept]
-            if len(kept) + len(new) > self.most:
-                kept.clear()
-                new = list(dict.fromkeys(part))
-            for lo in range(0, len(new), 4096):
-                some = new[lo : lo + 4096]
-                kept.update(zip(some, self._encode([w.decode("utf-8", "surrogatepass") for w in some]), strict=True))
-            out.append(b"".join(map(kept.__getitem__, part)))
-            at += 50_000
-        return b"".join(out)
+            return self._encode(text)
+        # ASCII white space, which every \s is
+        return b"".join(map(self.kept.__getitem__, text.encode("utf-8", "surrogatepass").split()))
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """A worker's encoder: it serves all tasks that the process runs."""
+    return Encoder(path)
 
 
 # ------------------------------------------------------------------------ files
@@ -169,19 +203,18 @@ def write_shards(docs: DataFrame, folder: str, path: str, length: int = LENGTH,
         shard, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         fs, root = open_fs(folder)
         fs.create_dir(root, recursive=True)
-        encoder = None
         names = [f"{root}/shard-{shard:06d}.{kind}" for kind in ("arrows", "docs")]
         temp = [f"{n}.attempt-{attempt}" for n in names]
         writer, docs_, data = None, [], None
         for rows in rows_of(batches):
             if writer is None:
-                encoder = Encoder(path)
+                enc = encoder(path)
                 data = fs.open_output_stream(temp[0])
-                writer = ShardWriter(data, length, encoder.dtype)
-                end = np.array([end_id], encoder.dtype).tobytes()
+                writer = ShardWriter(data, length, enc.dtype)
+                end = np.array([end_id], enc.dtype).tobytes()
             for doc_id, text in rows:
-                ids = encoder.ids(text) + end
-                docs_.append((doc_id, writer.n, len(ids) // encoder.dtype.itemsize))
+                ids = enc.ids(text) + end
+                docs_.append((doc_id, writer.n, len(ids) // enc.dtype.itemsize))
                 writer.add(ids)
         if writer is not None:
             writer.close()
