@@ -1,9 +1,11 @@
 """FASTQ files with exact names, block-gzip compressed, in record order.
 
-Rows (target, ord, record) are partitioned and sorted by target and ord; a task
-writes each of its targets to a name of its own attempt.  The commit, on the
-driver, renames the files of the attempts that count and creates the empty files
-of targets without records; an abort removes what was written.
+Rows (target, ord, record) are dealt by target and chunk (a range of ``ord``), so
+that a sample with most of the reads is compressed by many tasks.  A task writes
+each part to a name of its own attempt.  The commit, on the driver, renames the
+parts of the attempts that count and creates the empty files of targets without
+records; an abort removes what was written.  Targets of several parts are then
+joined by one task each, byte for byte: block-gzip files may follow each other.
 """
 
 from __future__ import annotations
@@ -11,9 +13,12 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +29,7 @@ from skein.sources.fastq import open_store
 #: Fixed values of the block-gzip format: input bytes of a block, and the empty
 #: block that ends a file.
 BLOCK_BYTES = 65280
+COPY_BYTES, CHUNK_RECORDS = 1 << 22, 4_000_000
 END_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
 
@@ -53,7 +59,7 @@ class BgzfWriter:
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[tuple[str, str]]  # temporary name, target
+    files: list[tuple[str, str, int]]  # temporary name, target, chunk
 
 
 class FastqWriter(DataSourceWriter):
@@ -66,12 +72,12 @@ class FastqWriter(DataSourceWriter):
         fs, root = open_store(self.folder)
         out, now, files = None, None, []
         for row in rows:
-            if row["target"] != now:
+            if (row["target"], row["chunk"]) != now:
                 if out:
                     out.close()
-                now = row["target"]
-                temp = f"{root}/.{now}.{tag}"
-                files.append((temp, now))
+                now = (row["target"], row["chunk"])
+                temp = f"{root}/.{now[0]}.{now[1]}.{tag}"
+                files.append((temp, *now))
                 out = BgzfWriter(fs.open_output_stream(temp, compression=None), self.level)
             out.write(row["record"].encode("latin-1"))
         if out:
@@ -80,21 +86,23 @@ class FastqWriter(DataSourceWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, root = open_store(self.folder)
-        done = set()
+        parts: dict[str, dict[int, str]] = defaultdict(dict)
         for m in messages:
-            for temp, target in m.files if m else []:
-                if target in done:
-                    raise RuntimeError(f"two tasks wrote {target}")
-                fs.move(temp, f"{root}/{target}")
-                done.add(target)
+            for temp, target, chunk in m.files if m else []:
+                if chunk in parts[target]:
+                    raise RuntimeError(f"two tasks wrote part {chunk} of {target}")
+                parts[target][chunk] = temp
+        for target, by in parts.items():
+            for chunk, temp in by.items():
+                fs.move(temp, f"{root}/{target}" if len(by) == 1 else f"{root}/{part_name(target, chunk)}")
         for target in self.targets:
-            if target not in done:
+            if target not in parts:
                 BgzfWriter(fs.open_output_stream(f"{root}/{target}", compression=None), self.level).close()
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, _ = open_store(self.folder)
         for m in messages:
-            for temp, _target in m.files if m else []:
+            for temp, *_rest in m.files if m else []:
                 fs.delete_file(temp)
 
 
@@ -108,13 +116,54 @@ class FastqSink(DataSource):
         return FastqWriter(o["folder"], json.loads(o["targets"]), int(o["level"]))
 
 
-def write_fastq(records: DataFrame, folder: str, targets: list[str], level: int = 5) -> None:
-    """Writes ``records`` (target, ord, more order columns, record) to ``folder``.
-    A target is one file and so one task's; there are as many tasks as targets."""
+def part_name(target: str, chunk: int) -> str:
+    return f".{target}.part-{chunk:012d}"
+
+
+def join_parts(fs: pafs.FileSystem, root: str, target: str, chunks: list[int]) -> None:
+    """The parts' blocks in order, with one end block."""
+    temp = f"{root}/.{target}.joined-{TaskContext.get().taskAttemptId()}"
+    with fs.open_output_stream(temp, compression=None) as out:
+        for chunk in sorted(chunks):
+            name = f"{root}/{part_name(target, chunk)}"
+            left = fs.get_file_info(name).size - len(END_BLOCK)
+            with fs.open_input_stream(name, compression=None) as part:
+                while left > 0:
+                    data = part.read(min(COPY_BYTES, left))
+                    out.write(data)
+                    left -= len(data)
+        out.write(END_BLOCK)
+    fs.move(temp, f"{root}/{target}")
+
+
+def write_fastq(records: DataFrame, folder: str, targets: list[str], level: int = 5, chunk_records: int = CHUNK_RECORDS) -> None:
+    """Writes ``records`` (target, ord, record) to ``folder``, a file a target."""
     spark = records.sparkSession
     spark.dataSource.register(FastqSink)
-    placed = records.repartition(max(1, len(targets)), "target").sortWithinPartitions("target", "ord")
-    placed.select("target", "record").write.format("fastq_sink").option("folder", folder).option("targets", json.dumps(targets)).option("level", str(level)).mode("append").save()
+    placed = records.withColumn("chunk", F.expr(f"ord div {chunk_records}"))
+    placed = placed.repartition("target", "chunk").sortWithinPartitions("target", "chunk", "ord").select("target", "chunk", "record")
+    placed.write.format("fastq_sink").option("folder", folder).option("targets", json.dumps(targets)).option("level", str(level)).mode("append").save()
+    fs, root = open_store(folder)
+    parts: dict[str, list[int]] = defaultdict(list)
+    for info in fs.get_file_info(pafs.FileSelector(root)):
+        target, dot, chunk = info.base_name[1:].rpartition(".part-")
+        if dot and target in targets and info.base_name.startswith("."):
+            parts[target].append(int(chunk))
+    if not parts:
+        return
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = open_store(folder)
+        for batch in batches:
+            for target, chunks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                join_parts(store, at, target, chunks)
+            yield batch.select(["target"])
+
+    todo = spark.createDataFrame(list(parts.items()), "target string, chunks array<bigint>").repartition(len(parts))
+    todo.mapInArrow(join, "target string").write.format("noop").mode("overwrite").save()
+    for target, chunks in parts.items():  # only after all are joined: a task may run again
+        for chunk in chunks:
+            fs.delete_file(f"{root}/{part_name(target, chunk)}")
 
 
 def record_text(header, seq, qual, plus="+"):

@@ -8,7 +8,7 @@ from skein.operators.metrics import read_metrics
 from skein.plans.demux import Demux, target_files
 from skein.plans.structure import ReadStructure, parse_kinds, parse_skip_reason
 from skein.sources.fastq import MalformedFastq, read_fastq
-from skein.sources.sinks import END_BLOCK, BgzfWriter
+from skein.sources.sinks import END_BLOCK, BgzfWriter, write_fastq
 
 S17 = ["AAAAAAAAGATTACAGA", "CCCCCCCCGATTACAGA", "GGGGGGGGGATTACAGA", "GGGGGGTTGATTACAGA"]
 
@@ -150,3 +150,14 @@ def test_command_line():
     assert (o.output_types, o.unmatched_prefix, o.max_mismatches, o.min_mismatch_delta, o.threads, o.compression_level) == ("T", "unmatched", 1, 2, 8, 5)
     o = parser().parse_args("subsample -i a -o o -f 0.5 --disable-read-name-checking".split())
     assert o.fraction == 0.5 and o.seed is None and o.disable_read_name_checking
+
+
+def test_parts_are_joined(spark, tmp_path):
+    rows = [(f"t{k % 3}.fq.gz", k, f"@r{k}\nA\n+\n;\n") for k in range(500)]
+    df = spark.createDataFrame(rows, "target string, ord long, record string").repartition(4)
+    write_fastq(df, str(tmp_path), [f"t{k}.fq.gz" for k in range(4)], chunk_records=60)
+    for t in range(3):
+        assert gzip.decompress((tmp_path / f"t{t}.fq.gz").read_bytes()).decode() == "".join(r for n, _, r in rows if n == f"t{t}.fq.gz")
+        assert (tmp_path / f"t{t}.fq.gz").read_bytes().count(END_BLOCK) == 1
+    assert (tmp_path / "t3.fq.gz").read_bytes() == END_BLOCK
+    assert not [p for p in tmp_path.iterdir() if "part-" in p.name or "joined" in p.name]
