@@ -90,7 +90,7 @@ class Demux:
         fs, root = open_store(self.output)
         fs.create_dir(root, recursive=True)
         if os.path.isdir(root) and not os.stat(root).st_mode & 0o222:
-            errors.append(f'Ouput directory "{self.output}" cannot be read-only')
+            errors.append(f'Output directory "{self.output}" cannot be read-only')
         kinds: set[str] = set()
         try:
             kinds = parse_kinds(self.output_types)
