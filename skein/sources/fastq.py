@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "file_idx int, ord bigint, header string, seq string, qual string, raw_plus string"
-ROWS_AT_ONCE, BUFFER = 8192, 1 << 20
+ROWS_AT_ONCE, BUFFER, READ_BYTES = 8192, 1 << 20, 1 << 22
 _ARROW = pa.schema([("file_idx", pa.int32()), ("ord", pa.int64()), *((c, pa.string()) for c in ("header", "seq", "qual", "raw_plus"))])
 
 
@@ -39,26 +39,55 @@ def open_text(path: str) -> io.BufferedReader:
     return gzip.open(raw, "rb") if raw.peek(2)[:2] == b"\x1f\x8b" else raw
 
 
-def records(stream, path: str = "input") -> Iterator[tuple[str, str, str, str]]:
-    """header (without @), seq, qual, third line.  Blank lines may stand at the
-    end and nowhere else; everything else that isn't FASTQ raises."""
-    n = 0
-    while True:
-        head = stream.readline()
-        if not head:
-            return
-        if not head.strip():
-            if stream.read(1 << 16).strip():
-                raise MalformedFastq(f"Unexpected error parsing FASTQs: blank line before record {n + 1} of {path}")
-            return
-        seq, plus, qual = stream.readline(), stream.readline(), stream.readline()
-        if head[:1] != b"@" or plus[:1] != b"+":
-            raise MalformedFastq(f"Unexpected error parsing FASTQs: record {n + 1} of {path} doesn't start with @ or lacks +")
-        h, s, p, q = (x.rstrip(b"\r\n") for x in (head, seq, plus, qual))
-        if len(s) != len(q):
-            raise MalformedFastq(f"Unexpected error parsing FASTQs: record {n + 1} of {path} has {len(s)} bases and {len(q)} qualities")
-        yield h[1:].decode("latin-1"), s.decode("latin-1"), q.decode("latin-1"), p.decode("latin-1")
-        n += 1
+def _fail(path: str, record: int, what: str) -> MalformedFastq:
+    return MalformedFastq(f"Unexpected error parsing FASTQs: record {record} of {path} {what}")
+
+
+def line_blocks(stream, path: str = "input") -> Iterator[list[bytes]]:
+    """Lines of whole records, some thousand records at a time."""
+    rest, n = b"", 0
+    while chunk := stream.read(READ_BYTES):
+        lines = (rest + chunk).split(b"\n")
+        whole = (len(lines) - 1) // 4 * 4  # the last line may go on
+        rest = b"\n".join(lines[whole:])
+        if whole:
+            n += whole // 4
+            yield lines[:whole]
+    if rest.strip():
+        lines = rest.split(b"\n")
+        if len(lines) == 5 and not lines[4]:
+            lines.pop()
+        if len(lines) != 4:
+            blank = not lines[0].strip()
+            raise _fail(path, n + 1, "follows a blank line" if blank else "is cut off")
+        yield lines
+
+
+def columns(lines: list[bytes], first: int, path: str = "input") -> tuple[list[list[bytes]], bool]:
+    """header (without @), seq, qual, third line of a block whose first record has
+    position ``first``; whether the block ends with blank lines, after which nothing
+    may come.  Anything else that isn't FASTQ raises."""
+    ended = False
+    head, seq, plus, qual = (lines[k::4] for k in range(4))
+    if any(b"\r" in x for x in head):
+        head, seq, plus, qual = ([x.rstrip(b"\r") for x in c] for c in (head, seq, plus, qual))
+    good = [h[:1] == b"@" and p[:1] == b"+" and len(s) == len(q) for h, s, p, q in zip(head, seq, plus, qual, strict=True)]
+    if not all(good):
+        k = good.index(False)
+        if any(x.strip() for x in lines[4 * k :]):
+            if head[k][:1] == b"@" and plus[k][:1] == b"+":
+                raise _fail(path, first + k + 1, f"has {len(seq[k])} bases and {len(qual[k])} qualities")
+            raise _fail(path, first + k + 1, "doesn't start with @ or lacks +")
+        ended = True
+        head, seq, plus, qual = head[:k], seq[:k], plus[:k], qual[:k]
+    return [[h[1:] for h in head], seq, qual, plus], ended
+
+
+def _text(values: list[bytes]) -> pa.Array:
+    """ASCII as it is; else a character for each byte, as the sink writes them."""
+    if all(map(bytes.isascii, values)):
+        return pa.array(values, pa.binary()).cast(pa.string())
+    return pa.array([v.decode("latin-1") for v in values], pa.string())
 
 
 class _File(InputPartition):
@@ -75,23 +104,18 @@ class FastqReader(DataSourceReader):
         return [_File(k, p) for k, p in enumerate(self.paths)]
 
     def read(self, part: _File) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def batch(first: int) -> pa.RecordBatch:
-            head, seq, qual, plus = zip(*held, strict=True)
-            n = len(held)
-            return pa.record_batch([pa.array([part.file_idx] * n, pa.int32()), pa.array(range(first, first + n), pa.int64()), *map(pa.array, (head, seq, qual, plus))], schema=_ARROW)
-
-        ord_ = 0
+        at, ended = 0, False
         with open_text(part.path) as stream:
-            for r in records(stream, part.path):
-                held.append(r)
-                if len(held) == ROWS_AT_ONCE:
-                    yield batch(ord_)
-                    ord_ += len(held)
-                    held = []
-        if held:
-            yield batch(ord_)
+            for lines in line_blocks(stream, part.path):
+                if ended and any(x.strip() for x in lines):
+                    raise _fail(part.path, at + 1, "follows a blank line")
+                cols, over = columns(lines, at, part.path)
+                ended = ended or over
+                for lo in range(0, len(cols[0]), ROWS_AT_ONCE):
+                    some = [c[lo : lo + ROWS_AT_ONCE] for c in cols]
+                    n = len(some[0])
+                    yield pa.record_batch([pa.array([part.file_idx] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()), *map(_text, some)], schema=_ARROW)
+                    at += n
 
 
 class FastqSource(DataSource):

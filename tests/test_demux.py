@@ -161,3 +161,9 @@ def test_parts_are_joined(spark, tmp_path):
         assert (tmp_path / f"t{t}.fq.gz").read_bytes().count(END_BLOCK) == 1
     assert (tmp_path / "t3.fq.gz").read_bytes() == END_BLOCK
     assert not [p for p in tmp_path.iterdir() if "part-" in p.name or "joined" in p.name]
+
+
+def test_bytes_beyond_ascii_and_line_ends(spark, tmp_path):
+    (tmp_path / "x.fq").write_bytes("@é\r\nAC\r\n+\r\n;;\r\n@b\nA\n+\n;\n\n\n".encode())
+    got = read_fastq(spark, [str(tmp_path / "x.fq")]).orderBy("ord").collect()
+    assert [(r["header"], r["seq"], r["qual"]) for r in got] == [("é".encode().decode("latin-1"), "AC", ";;"), ("b", "A", ";")]
