@@ -69,7 +69,8 @@ def match_barcodes(reads: DataFrame, samples: DataFrame, length: int, obs: str =
     """``reads`` with best_ordinal, best_mismatches, next_best_mismatches (null:
     unmatched).  The core operator."""
     distinct = reads.select(F.col(obs).alias("obs")).where(F.col(obs).isNotNull()).distinct()
-    found = match_distinct(distinct, samples, length, max_mismatches, min_delta).where("best_ordinal is not null")
+    # no filter on the result here: pushed into the join, it would run the fold twice
+    found = match_distinct(distinct, samples, length, max_mismatches, min_delta)
     return reads.join(found.withColumnRenamed("obs", "__obs"), reads[obs] == F.col("__obs"), "left").drop("__obs")
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 METRICS = "sample_id string, barcode string, templates bigint, frac_templates double, ratio_to_mean double, ratio_to_best double"
 COLUMNS = ("sample_id", "barcode", "templates", "frac_templates", "ratio_to_mean", "ratio_to_best")
 UNMATCHED_BARCODE = "."
+#: Stands for the unmatched row, which has no place in the sheet.
+_NONE = -1
 
 
 def float_ratio(top: Column, bottom: Column) -> Column:
@@ -27,27 +29,20 @@ def templates(matched: DataFrame) -> DataFrame:
 def demux_metrics(matched: DataFrame, samples: DataFrame, unmatched: str = "unmatched") -> DataFrame:
     """A row for each sample, in sheet order by ``ordinal``, and the unmatched row
     last.  Samples without reads stay, with 0.  Mean and best are the samples'."""
-    counts = templates(matched)
-    own = samples.join(counts, samples["ordinal"] == counts["best_ordinal"], "left").select(
-        "ordinal", "sample_id", "barcode", F.coalesce("templates", F.lit(0)).cast("bigint").alias("templates")
-    )
-    rest = counts.where("best_ordinal is null").agg(F.coalesce(F.sum("templates"), F.lit(0)).cast("bigint").alias("templates"))
-    rest = rest.select(F.lit(None).cast("int").alias("ordinal"), F.lit(unmatched).alias("sample_id"), F.lit(UNMATCHED_BARCODE).alias("barcode"), "templates")
-    both = own.unionByName(rest)
-    is_sample = F.col("ordinal").isNotNull()
-    totals = both.agg(
-        F.sum("templates").alias("__all"),
-        F.sum(F.when(is_sample, F.col("templates")).otherwise(0)).alias("__own"),
-        F.max(F.when(is_sample, F.col("templates"))).alias("__best"),
-        F.count("ordinal").alias("__n"),
-    )
-    rated = both.crossJoin(F.broadcast(totals))  # one row of totals
-    mean = float_ratio(F.col("__own"), F.col("__n"))
-    return rated.select(
-        F.coalesce("ordinal", F.col("__n").cast("int")).alias("ordinal"), "sample_id", "barcode", "templates",
-        float_ratio(F.col("templates"), F.col("__all")).alias("frac_templates"),
+    spark = matched.sparkSession
+    rest = spark.createDataFrame([(_NONE, unmatched, UNMATCHED_BARCODE)], "ordinal int, sample_id string, barcode string")
+    sheet = samples.select("ordinal", "sample_id", "barcode").unionByName(rest)
+    counts = templates(matched).select(F.coalesce("best_ordinal", F.lit(_NONE)).alias("ordinal"), "templates")
+    both = sheet.join(counts, "ordinal", "left").withColumn("templates", F.coalesce("templates", F.lit(0)).cast("bigint"))
+    every = Window.partitionBy()  # the sheet's rows and one more, whatever the reads
+    own = F.when(F.col("ordinal") != _NONE, F.col("templates"))
+    n = F.count(own).over(every)
+    mean = float_ratio(F.coalesce(F.sum(own).over(every), F.lit(0)), n)
+    return both.select(
+        F.when(F.col("ordinal") == _NONE, n.cast("int")).otherwise(F.col("ordinal")).alias("ordinal"), "sample_id", "barcode", "templates",
+        float_ratio(F.col("templates"), F.sum("templates").over(every)).alias("frac_templates"),
         float_ratio(F.col("templates"), mean).alias("ratio_to_mean"),
-        float_ratio(F.col("templates"), F.col("__best")).alias("ratio_to_best"),
+        float_ratio(F.col("templates"), F.max(own).over(every)).alias("ratio_to_best"),
     )
 
 
