@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, documents, row_keys, shielded, stored
 
 WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2, 17
-ROWS_A_BUCKET = 20_000
+ROWS_A_BUCKET, MOST_BUCKETS = 500, 1 << 20
 
 
 def n_words(text: Column) -> Column:
@@ -147,7 +147,7 @@ def select(sized: DataFrame, gives: dict, seed: int = SEED) -> DataFrame:
     in seeded order, then by the one document that fits best.
     """
     spark, n = sized.sparkSession, sized.count()
-    buckets = min(max(8, n // ROWS_A_BUCKET), 1 << 20)
+    buckets = min(max(64, n // ROWS_A_BUCKET), MOST_BUCKETS)
     plan = spark.createDataFrame(
         [(p, g // t if t else 0, g % t if t else 0) for p, (t, g) in gives.items()], "__sk_pattern string, __sk_times bigint, __sk_rest bigint"
     )
