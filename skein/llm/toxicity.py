@@ -1,8 +1,9 @@
 """Operator 8: toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 1. Terms are counted over a bounded sample of labelled training texts; those
-   whose association with the label is beyond chance (log-likelihood ratio) form
-   the vocabulary.
+   whose association with the label is beyond chance (log-likelihood ratio) and
+   strong (odds ratio of 4 or more, either way) form the vocabulary.  Common words
+   that differ by a little only, as in longer texts, stay out of it.
 2. Every whole text is reduced to its vocabulary counts in one Arrow pass, and
    stored.  Document frequencies come from all documents, by aggregation.
 3. Training examples become unit TF-IDF vectors in an inverted index whose
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import doc_texts, documents, map_rows, stored
 
 SAMPLE, NEIGHBOURS, VOCABULARY = 20_000, 25, 4096
-LEAST_DOCS, BLOCK, PRIOR_WEIGHT = 4, 64, 0.25
+LEAST_DOCS, LEAST_ODDS, BLOCK, PRIOR_WEIGHT = 4, 4.0, 64, 0.25
 _TERM = re.compile(r"[^\W\d_]{2,}")
 
 
@@ -238,8 +239,10 @@ def vocabulary(texts: DataFrame, y: DataFrame, most: int = VOCABULARY) -> list[s
     if not rows:
         return []
     k1, k0 = np.array([r["k1"] for r in rows], float), np.array([r["k0"] for r in rows], float)
-    g = log_likelihood_ratio(np.minimum(k1, n1), n1, np.minimum(k0, n0), n0)
-    ranked = sorted((-g[i], rows[i]["term"]) for i in range(len(rows)) if g[i] >= least)
+    k1, k0 = np.minimum(k1, n1), np.minimum(k0, n0)
+    g = log_likelihood_ratio(k1, n1, k0, n0)
+    odds = (k1 + 0.5) * (n0 - k0 + 0.5) / ((k0 + 0.5) * (n1 - k1 + 0.5))
+    ranked = sorted((-g[i], rows[i]["term"]) for i in range(len(rows)) if g[i] >= least and max(odds[i], 1 / odds[i]) >= LEAST_ODDS)
     return [t for _, t in ranked[:most]]
 
 
