@@ -10,17 +10,23 @@
    postings are cut into blocks, each with its largest weight.  A query visits
    blocks from the highest upper bound down and stops when no bound reaches its
    k-th best cosine: the result is the exact nearest neighbours.
-4. Their labels vote with weight cosine to the fourth power against a prior; a
-   monotone map fitted to leave-one-out votes (isotonic regression) calibrates
-   them.  The neighbours with most weight are the evidence.
+4. Their labels vote with weight cosine to the fourth power against a prior.
+5. A second search leaves no term out: every text, reduced or not, is compared to
+   the examples over all its terms, dealt to ``WIDTH`` hash buckets, with document
+   frequencies from all documents.  Cosines come from a dense product over the
+   ``HEAD`` most frequent buckets and postings of the others; all that may be among
+   the nearest are computed again in double precision, so they are exact.
+6. A logistic regression on leave-one-out votes of both searches joins them, and a
+   monotone map (isotonic regression) calibrates the sum.  The neighbour with most
+   weight over the vocabulary, or else over all terms, is the evidence.
 
 Bound: at most ``sample`` (20,000) labelled rows are fitted on, those with the
 smallest hash of ``doc_id``; held-out rows (crc32 of the id's digits divisible by
 5) never are.  The index holds those examples only; equal vectors share an entry.
 Labels, lang, source and doc_id are never inputs of a score.
 
-Defined results: null and empty texts, and texts without a vocabulary term, score
-as such texts do among the training examples.  Ties among neighbours: all at the
+Defined results: texts without a vocabulary term are scored by the second search
+alone; texts that share no term with an example get the prior as its vote.  Ties among neighbours: all at the
 k-th cosine vote.  A null doc_id is not held out and no example.  Without labels,
 or with one class only, every score is the share of label 1 (0 if none).
 """
@@ -29,16 +35,23 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_texts, documents, map_rows, stored
+from .common import arrow_schema, doc_texts, documents, map_rows, rows_of, stored
 
-SAMPLE, NEIGHBOURS, VOCABULARY = 20_000, 25, 4096
+SAMPLE, NEIGHBOURS = 20_000, 25
 LEAST_DOCS, LEAST_ODDS, BLOCK, PRIOR_WEIGHT = 4, 4.0, 64, 0.25
+#: Of the search over all terms: buckets, those held densely, neighbours.
+WIDTH, HEAD, WIDE_NEIGHBOURS = 1 << 22, 512, 100
+#: Bucket entries that a worker gathers before it hands its partial counts on.
+ENTRIES_AT_ONCE = 2_000_000
 _TERM = re.compile(r"[^\W\d_]{2,}")
 
 
@@ -114,6 +127,134 @@ class Index:
         return found, np.minimum(cosines, 1.0)
 
 
+def hashed(got: Counter) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all terms of a text, ascending, and their counts."""
+    at = np.fromiter((xxhash.xxh32_intdigest(t.encode("utf-8", "surrogatepass")) % WIDTH for t in got), np.int64, len(got))
+    buckets, of = np.unique(at, return_inverse=True)
+    return buckets, np.bincount(of, np.fromiter(got.values(), float, len(got)), len(buckets)).astype(np.int64)
+
+
+class Wide:
+    """Exact cosines to the examples over all terms.
+
+    rows: doc_id, buckets, counts, label; df: documents with each bucket."""
+
+    def __init__(self, rows: list[tuple], df: np.ndarray, n_docs: int, prior: float, k: int = WIDE_NEIGHBOURS):
+        self.df, self.n_docs, self.prior, self.k = df, n_docs, prior, k
+        entries: dict[tuple, int] = {}
+        cols, tfs, counts, ones, self.first, self.own = [], [], [], [], [], {}
+        for doc_id, b, n, y in rows:
+            key = (np.asarray(b, np.int32).tobytes(), np.asarray(n, np.int32).tobytes())
+            if key not in entries:
+                entries[key] = len(cols)
+                cols.append(np.asarray(b, np.int32))
+                tfs.append(np.asarray(n, np.int32))
+                counts.append(0)
+                ones.append(0)
+                self.first.append(doc_id)
+            e = entries[key]
+            counts[e] += 1
+            ones[e] += y
+            self.own.setdefault(doc_id, []).append((e, y))
+        self.counts, self.ones = np.array(counts, float), np.array(ones, float)
+        self.at = np.cumsum([0, *map(len, cols)])
+        self.buckets, self.tfs = np.concatenate([np.zeros(0, np.int32), *cols]), np.concatenate([np.zeros(0, np.int32), *tfs])
+        self.ready = False
+
+    def weights(self, buckets: np.ndarray, tfs: np.ndarray) -> np.ndarray:
+        return (1 + np.log(tfs)) * (np.log((1.0 + self.n_docs) / (1.0 + self.df[buckets])) + 1.0)
+
+    def build(self) -> None:
+        """Where it is used: postings and the dense part, not sent along."""
+        n = len(self.first)
+        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.at))
+        w = self.weights(self.buckets, self.tfs)
+        w /= np.sqrt(np.bincount(row, w * w, n))[row]
+        known, size = np.unique(self.buckets, return_counts=True)
+        head = np.sort(np.argsort(-size, kind="stable")[:HEAD])
+        self.head = np.full(WIDTH, -1, np.int16)
+        self.head[known[head]] = np.arange(len(head))
+        here = self.head[self.buckets]
+        self.rows = np.zeros((n, len(head)))
+        self.rows[row[here >= 0], here[here >= 0]] = w[here >= 0]
+        self.dense = np.ascontiguousarray(self.rows.T.astype(np.float32))
+        tail = np.flatnonzero(here < 0)
+        tail = tail[np.argsort(self.buckets[tail], kind="stable")]
+        known, start, size = np.unique(self.buckets[tail], return_index=True, return_counts=True)
+        self.start, self.size = np.zeros(WIDTH, np.int32), np.zeros(WIDTH, np.int32)
+        self.start[known], self.size[known] = start, size
+        self.post, self.post_w = row[tail], w[tail]
+        self.buckets = self.tfs = None
+        self.ready = True
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Entries and cosines of each query: those that stand for ``k`` examples
+        or more, all ties at the last one."""
+        if not self.ready:
+            self.build()
+        n, unit = len(self.first), []
+        heads = np.zeros((len(queries), len(self.dense)))
+        for i, (b, tf) in enumerate(queries):
+            w = self.weights(b, tf)
+            w = w / max(np.sqrt((w * w).sum()), 1e-300)
+            unit.append((b, w))
+            h = self.head[b]
+            heads[i, h[h >= 0]] = w[h >= 0]
+        rough = heads.astype(np.float32) @ self.dense
+        for head, s, (b, w) in zip(heads, rough, unit, strict=True):
+            start, size = self.start[b], self.size[b]  # sizes are 0 in the head
+            at = np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
+            tail = np.bincount(self.post[at], self.post_w[at] * np.repeat(w, size), n)
+            s = s + tail
+            # k entries stand for k examples or more; rounding is far below 1e-4
+            last = np.partition(s, n - self.k)[n - self.k] - 1e-4 if n > self.k else 0.0
+            found = np.flatnonzero((s > 0) & (s >= last))
+            cos = tail[found] + (self.rows[found] * head).sum(axis=1)
+            rank = np.lexsort((found, -cos))
+            found, cos = found[rank], cos[rank]
+            at_k = int(np.searchsorted(np.cumsum(self.counts[found]), self.k))
+            if at_k < len(found):
+                keep = cos >= cos[at_k] - 1e-12
+                found, cos = found[keep], cos[keep]
+            yield found, np.minimum(cos, 1.0)
+
+    def votes(self, doc_ids: list, found_terms: list[Counter]) -> Iterator[tuple[float, float, int | None, float]]:
+        """Vote, the vote without the document's own examples, evidence, its cosine."""
+        for doc_id, (found, cos) in zip(doc_ids, self.nearest([hashed(t) for t in found_terms]), strict=True):
+            n, y = self.counts[found], self.ones[found]
+
+            def vote(n, y, cos=cos):
+                share = min(1.0, self.k / max(n.sum(), 1.0))
+                return float((share * (cos * y).sum() + PRIOR_WEIGHT * self.prior) / (share * (cos * n).sum() + PRIOR_WEIGHT))
+
+            full = left = vote(n, y)
+            if doc_id in self.own:
+                n, y = n.copy(), y.copy()
+                for e, label in self.own[doc_id]:
+                    n[found == e] -= 1
+                    y[found == e] -= label
+                left = vote(n, y)
+            best = int(np.argmax(cos * self.counts[found])) if len(found) else -1
+            yield full, left, self.first[found[best]] if best >= 0 else None, float(cos[best]) if best >= 0 else 0.0
+
+
+def logit(p: float) -> float:
+    p = min(max(p, 1e-6), 1 - 1e-6)
+    return float(np.log(p / (1 - p)))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 0.1) -> np.ndarray:
+    """Weights of a ridge logistic regression, by Newton's method."""
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        w += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
+
+
 @dataclass
 class Model:
     idf: np.ndarray
@@ -126,6 +267,7 @@ class Model:
     ys: np.ndarray
     k: int = NEIGHBOURS
     first: list = field(default_factory=list)  # a doc_id of each entry, for evidence
+    joint: np.ndarray | None = None  # weights of: 1, no vocabulary term, both votes
 
     def vector(self, ids, tfs) -> dict[int, float]:
         w = {t: (1 + np.log(n)) * self.idf[t] for t, n in zip(ids, tfs, strict=True)}
@@ -148,12 +290,20 @@ class Model:
         best = int(np.argmax(w * n))
         return (up + PRIOR_WEIGHT * self.prior) / (all_ + PRIOR_WEIGHT), int(found[best]), float(cos[best])
 
-    def score(self, ids, tfs) -> tuple[float, int, float]:
+    def parts(self, ids, tfs, leave: tuple[int, int] | None = None) -> tuple[bool, float, int, float]:
+        """Has vocabulary terms, and ``vote``."""
         v = self.vector(ids, tfs)
-        if not v or self.index is None:
-            return self.none, -1, 0.0
-        raw, entry, cos = self.vote(v)
-        return float(np.interp(raw, self.xs, self.ys)), entry, cos
+        return bool(v) and self.index is not None, *(self.vote(v, leave) if v else (self.none, -1, 0.0))
+
+    def score(self, has: bool, raw: float, wide: float) -> float:
+        """Of both votes."""
+        if self.joint is None:
+            return self.none
+        return float(np.interp(float(np.dot(joined(has, raw, wide), self.joint)), self.xs, self.ys))
+
+
+def joined(has: bool, raw: float, wide: float) -> list[float]:
+    return [1.0, float(not has), logit(raw) if has else 0.0, logit(wide)]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,9 +321,10 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return xs[keep], ys[keep]
 
 
-def train(examples: list[tuple[int, list, list, int]], df: np.ndarray, n_docs: int, k: int = NEIGHBOURS) -> Model:
-    """examples: doc_id, term ids, counts, label; df: documents with each term."""
-    labels = np.array([y for *_, y in examples], float)
+def train(examples: list[tuple[int, list, list, int, float]], df: np.ndarray, n_docs: int, k: int = NEIGHBOURS) -> Model:
+    """examples: doc_id, term ids, counts, label, vote over all terms without
+    itself; df: documents with each term."""
+    labels = np.array([y for *_, y, _ in examples], float)
     prior = float(labels.mean()) if len(labels) else 0.0
     idf = np.log((1.0 + n_docs) / (1.0 + df)) + 1.0
     model = Model(idf, None, np.array([]), np.array([]), prior, prior, np.array([0.0, 1.0]), np.array([0.0, 1.0]), k)
@@ -181,8 +332,9 @@ def train(examples: list[tuple[int, list, list, int]], df: np.ndarray, n_docs: i
         return model
     entries: dict[tuple, int] = {}
     vectors, ones, counts, first, of = [], [], [], [], []
-    for doc_id, ids, tfs, y in examples:
+    for doc_id, ids, tfs, y, _ in examples:
         if not ids:
+            of.append(None)
             continue
         key = tuple(sorted(zip(ids, tfs, strict=True)))
         if key not in entries:
@@ -195,14 +347,13 @@ def train(examples: list[tuple[int, list, list, int]], df: np.ndarray, n_docs: i
         ones[e] += y
         counts[e] += 1
         of.append((e, y))
-    bare = [y for _, ids, _, y in examples if not ids]
-    model.none = (sum(bare) + prior) / (len(bare) + 1.0)
-    if not vectors:
-        return model
-    model.index, model.ones, model.counts, model.first = Index(vectors), np.array(ones), np.array(counts), first
+    if vectors:
+        model.index, model.ones, model.counts, model.first = Index(vectors), np.array(ones), np.array(counts), first
     # leave-one-out votes; the same entry and label give the same vote
-    memo = {p: model.vote(vectors[p[0]], p)[0] for p in set(of)}
-    xs, ys = isotonic(np.array([memo[p] for p in of]), np.array([y for _, y in of], float))
+    memo = {p: model.vote(vectors[p[0]], p)[0] for p in set(of) if p is not None}
+    x = np.array([joined(p is not None, memo.get(p, prior), wide) for p, (*_, wide) in zip(of, examples, strict=True)])
+    model.joint = logistic(x, labels)
+    xs, ys = isotonic(np.array([float(np.dot(r, model.joint)) for r in x]), labels)
     # two pseudo-examples at each end keep scores off 0 and 1
     model.xs, model.ys = xs, np.clip(ys, 0.5 / (len(of) + 1), 1 - 0.5 / (len(of) + 1))
     return model
@@ -219,8 +370,8 @@ def examples_of(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return y.orderBy(F.xxhash64(F.lit("toxic"), "doc_id"), "doc_id").limit(sample)
 
 
-def vocabulary(texts: DataFrame, y: DataFrame, most: int = VOCABULARY) -> list[str]:
-    """Terms beyond chance in the examples, strongest first; ``most`` at most."""
+def vocabulary(texts: DataFrame, y: DataFrame) -> list[str]:
+    """Terms beyond chance in the examples, strongest first."""
     made = map_rows(
         texts.join(F.broadcast(y), "doc_id").select("text", "toxic"),  # y: SAMPLE rows at most
         lambda: lambda t, label: (label, sorted(terms(t))),
@@ -235,7 +386,7 @@ def vocabulary(texts: DataFrame, y: DataFrame, most: int = VOCABULARY) -> list[s
     rate = F.lit(n1 / (n1 + n0))
     # cheap bound first: only terms off the base rate reach the driver
     off = F.abs(F.col("k1") - (F.col("k1") + F.col("k0")) * rate) > F.sqrt((F.col("k1") + F.col("k0")) * rate * (1 - rate)) * 2.5
-    rows = by.where(off).orderBy(F.desc(F.abs(F.col("k1") * n0 - F.col("k0") * n1)), "term").limit(8 * most).collect()
+    rows = by.where(off).orderBy("term").collect()
     if not rows:
         return []
     k1, k0 = np.array([r["k1"] for r in rows], float), np.array([r["k0"] for r in rows], float)
@@ -243,25 +394,70 @@ def vocabulary(texts: DataFrame, y: DataFrame, most: int = VOCABULARY) -> list[s
     g = log_likelihood_ratio(k1, n1, k0, n0)
     odds = (k1 + 0.5) * (n0 - k0 + 0.5) / ((k0 + 0.5) * (n1 - k1 + 0.5))
     ranked = sorted((-g[i], rows[i]["term"]) for i in range(len(rows)) if g[i] >= least and max(odds[i], 1 / odds[i]) >= LEAST_ODDS)
-    return [t for _, t in ranked[:most]]
+    return [t for _, t in ranked]
 
 
-def reduced(texts: DataFrame, words: list[str]) -> DataFrame:
-    """doc_id, ids, tfs: counts of the vocabulary's terms in every text."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast({w: k for k, w in enumerate(words)})
+def bucket_counts(texts: DataFrame) -> np.ndarray:
+    """Documents with each bucket, over all documents; where one or none has it, 1."""
+    struct, schema = arrow_schema("bucket int, n int")
 
-    def make():
-        known = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
-        def row(doc_id, text):
-            got = Counter(filter(known.__contains__, _TERM.findall((text or "").lower())))
-            ids = sorted((known[t], n) for t, n in got.items())
-            return doc_id, [k for k, _ in ids], [n for _, n in ids]
+        def handed_on():
+            buckets, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(n, pa.int32())], schema=schema)
 
-        return row
+        for rows in rows_of(batches):
+            held += [hashed(terms(text))[0] for (text,) in rows]
+            size += sum(map(len, held[-len(rows) :]))
+            if size >= ENTRIES_AT_ONCE:
+                yield handed_on()
+                held, size = [], 0
+        if held:
+            yield handed_on()
 
-    return map_rows(texts, make, "doc_id bigint, ids array<int>, tfs array<int>")
+    got = texts.select("text").mapInArrow(run, struct).groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").toArrow()  # WIDTH rows at most
+    df = np.ones(WIDTH, np.int32)
+    df[got["bucket"].to_numpy()] = got["n"].to_numpy()
+    return df
+
+
+def wide_index(texts: DataFrame, y: DataFrame, n_docs: int) -> Wide | None:
+    """The index of the examples over all terms; None without both classes."""
+    made = map_rows(
+        texts.join(F.broadcast(y), "doc_id").select("doc_id", "text", "toxic"),
+        lambda: lambda doc_id, text, toxic: (doc_id, *(x.tolist() for x in hashed(terms(text))), toxic),
+        "doc_id bigint, buckets array<int>, tfs array<int>, toxic int",
+    )
+    got = made.toArrow()
+    rows: dict = {}
+    for i, toxic in enumerate(got["toxic"].to_pylist()):
+        b, n = (got[c][i].values.to_numpy(zero_copy_only=False) for c in ("buckets", "tfs"))
+        rows[got["doc_id"][i].as_py(), b.tobytes(), n.tobytes()] = (b, n, toxic)
+    ordered = [(k[0], *rows[k]) for k in sorted(rows)]
+    prior = float(np.mean([r[-1] for r in ordered])) if ordered else 0.0
+    return Wide(ordered, bucket_counts(texts), n_docs, prior) if 0 < prior < 1 else None
+
+
+def reduced(texts: DataFrame, words: list[str], wide: Wide | None) -> DataFrame:
+    """doc_id, ids, tfs: counts of the vocabulary's terms in every text; vote, left,
+    near, near_cosine: of the search over all terms."""
+    shared = texts.sparkSession.sparkContext.broadcast(({w: k for k, w in enumerate(words)}, wide))
+    struct, schema = arrow_schema("doc_id bigint, ids array<int>, tfs array<int>, vote double, left double, near bigint, near_cosine double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, index = shared.value
+        for rows in rows_of(batches):
+            out = []
+            got = [terms(text) for _, text in rows]
+            votes = index.votes([i for i, _ in rows], got) if index else ((0.0, 0.0, None, 0.0) for _ in rows)
+            for (doc_id, _), has, more in zip(rows, got, votes, strict=True):
+                ids = sorted((known[t], has[t]) for t in has.keys() & known.keys())
+                out.append((doc_id, [k for k, _ in ids], [n for _, n in ids], *more))
+            yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return texts.mapInArrow(run, struct)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -270,32 +466,37 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     texts = doc_texts(docs)
     y = stored(examples_of(labels, sample), "examples")
     words = vocabulary(texts, y)
-    counts = stored(reduced(texts, words), "counts")
+    n_docs = texts.count()
+    counts = stored(reduced(texts, words, wide_index(texts, y, n_docs)), "counts")
     df = np.zeros(max(1, len(words)))
     for r in counts.select(F.explode("ids").alias("t")).groupBy("t").count().collect():  # a row for each vocabulary term
         df[r["t"]] = r["count"]
-    rows = counts.join(F.broadcast(y), "doc_id").select("doc_id", "ids", "tfs", "toxic").collect()
-    rows = sorted({(r["doc_id"], tuple(r["ids"]), tuple(r["tfs"]), r["toxic"]) for r in rows})
-    model = train([(d, list(i), list(t), c) for d, i, t, c in rows], df, counts.count())
+    rows = counts.join(F.broadcast(y), "doc_id").select("doc_id", "ids", "tfs", "toxic", "left").collect()
+    rows = sorted({(r["doc_id"], tuple(r["ids"]), tuple(r["tfs"]), r["toxic"], r["left"]) for r in rows})
+    model = train([(d, list(i), list(t), c, v) for d, i, t, c, v in rows], df, n_docs)
     shared = spark.sparkContext.broadcast(model)
 
     def make():
         m, memo = shared.value, {}
 
-        def row(doc_id, ids, tfs):
+        def row(doc_id, ids, tfs, vote, near, near_cosine):
             key = (tuple(ids), tuple(tfs))
             got = memo.get(key)
             if got is None:
                 if len(memo) >= 50_000:
                     memo.clear()
-                got = memo[key] = m.score(ids, tfs)
-            s, entry, cos = got
-            return doc_id, s, int(s >= 0.5), m.first[entry] if entry >= 0 else None, cos
+                got = memo[key] = m.parts(ids, tfs)
+            has, raw, entry, cos = got
+            s = m.score(has, raw, vote)
+            return doc_id, s, int(s >= 0.5), *((m.first[entry], cos) if entry >= 0 else (near, near_cosine))
 
         return row
 
-    scored = map_rows(counts, make, "doc_id bigint, score double, predicted int, evidence_doc bigint, evidence_cosine double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted", "evidence_doc", "evidence_cosine")
+    made = map_rows(
+        counts.select("doc_id", "ids", "tfs", "vote", "near", "near_cosine"), make,
+        "doc_id bigint, score double, predicted int, evidence_doc bigint, evidence_cosine double",
+    )
+    return made.select("doc_id", held_out().alias("held_out"), "score", "predicted", "evidence_doc", "evidence_cosine")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,6 +156,41 @@ def test_toxicity_without_two_classes(spark):
     assert toxicity.score_documents(docs.limit(0), labels).count() == 0
 
 
+def test_wide_search_is_exact():
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{'abcdefghij'[a]}{'klmnopqrst'[b]}" for a, b in rng.integers(0, 10, (rng.integers(1, 30), 2)) ** 2 // 10) for _ in range(400)]
+    hashes = [toxicity.hashed(toxicity.terms(t)) for t in [*texts, *texts[:9]]]
+    df = np.ones(toxicity.WIDTH, np.int32)
+    for b in set().union(*(b.tolist() for b, _ in hashes)):
+        df[b] = sum(b in h for h, _ in hashes)
+    rows = [(k, *h, k % 2) for k, h in enumerate(hashes)]
+    wide = toxicity.Wide(rows, df, len(rows), 0.5, k=10)
+
+    def unit(b, n):
+        w = {int(x): (1 + np.log(c)) * (np.log((1 + len(rows)) / (1 + df[x])) + 1) for x, c in zip(b, n, strict=True)}
+        return {x: v / np.sqrt(sum(u * u for u in w.values())) for x, v in w.items()}
+
+    vectors = [unit(*h) for h in hashes]
+    queries = [*hashes[::40], toxicity.hashed(toxicity.terms("")), toxicity.hashed(toxicity.terms("unseen wkk"))]
+    for q, (ids, found) in zip(queries, wide.nearest(queries), strict=True):
+        cos = np.array([sum(w * v.get(t, 0.0) for t, w in unit(*q).items()) for v in vectors])
+        kth = np.sort(cos)[-10]
+        want = sorted(cos[(cos >= kth - 1e-12) & (cos > 0)])
+        assert np.allclose(sorted(np.repeat(found, wide.counts[ids].astype(int))), want)
+
+
+def test_toxicity_of_texts_without_vocabulary(spark):
+    """Terms of too few examples to be in the vocabulary find their neighbours."""
+    docs, labels = toxic_docs(spark)
+    more = [(1000 + k, f"{w} " * 3 + "grobnik zwarble", "x") for k, w in enumerate(["snargle", "snargle", "flimp"])]
+    train = [r[0] for r in more if zlib.crc32(str(r[0]).encode()) % 5][:1]
+    docs = docs.union(spark.createDataFrame(more + [(2000, "snargle grobnik zwarble", "x"), (2001, "quite unseen", "x")], docs.schema))
+    labels = labels.union(spark.createDataFrame([(i, 1, 1) for i in train], labels.schema))
+    got = {r["doc_id"]: r for r in toxicity.score_documents(docs, labels).collect()}
+    assert got[2000]["evidence_doc"] == train[0] and got[2000]["evidence_cosine"] > 0.5
+    assert got[2000]["score"] > got[2001]["score"] and got[2001]["evidence_doc"] is None
+
+
 # -------------------------------------------------------------------- tokens
 ODD = ["don't I'LL 's x'T", "a<|endoftext|>b", "İstanbul ΣΑΣ", "éa ́x", "A1b2 3.14 ...!? a.b, c..", "\x1c\x85 q\x0bw", "日本語 テスト", "foo_bar%%% it's- `a`'re", "ÿÞþ ÷×ß Ýý"]
 
