@@ -10,8 +10,10 @@ each pattern gives; documents are then selected in a seeded order.
 The selection is a distributed prefix sum: documents are ordered by a seeded hash,
 cut into hash buckets whose number grows with the rows, summed by bucket before
 any shuffle, and only offsets travel back; a source with a third of all rows is
-spread over its buckets.  What the order leaves open, the one document of the
-best fitting size fills.
+spread over its buckets.  Documents that don't fit what is open are passed over and
+the sum goes on among those that do, until none fits; what is still open is then
+less than the smallest unused document, and the one of the best fitting size fills
+it where that comes closer.
 
 On the driver: one row for each membership pattern (sums only), never documents.
 
@@ -144,7 +146,7 @@ def select(sized: DataFrame, gives: dict, seed: int = SEED) -> DataFrame:
 
     gives: for each pattern its tokens and the tokens that it is to give.  Every
     document is taken (given div tokens) times; the rest is filled by documents
-    in seeded order, then by the one document that fits best.
+    in seeded order that fit, then by the one document that fits best.
     """
     spark, n = sized.sparkSession, sized.count()
     buckets = min(max(64, n // ROWS_A_BUCKET), MOST_BUCKETS)
@@ -156,24 +158,42 @@ def select(sized: DataFrame, gives: dict, seed: int = SEED) -> DataFrame:
         "__sk_bucket", F.pmod(F.shiftright("__sk_order", 40), F.lit(1 << 24)) * buckets / F.lit(1 << 24)
     ).withColumn("__sk_bucket", F.floor("__sk_bucket"))
     key = ["__sk_pattern", "__sk_bucket"]
-    sums = keyed.groupBy(*key).agg(F.sum("size").alias("__sk_sum"))
     before = Window.partitionBy("__sk_pattern").orderBy("__sk_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*key, F.coalesce(F.sum("__sk_sum").over(before), F.lit(0)).alias("__sk_offset"))
     inside = Window.partitionBy(*key).orderBy("__sk_order", "doc_id", "size")
     ranked = stored(
-        keyed.join(offsets, key)
-        .join(F.broadcast(plan), "__sk_pattern")  # a row for each membership pattern
+        keyed.join(F.broadcast(plan), "__sk_pattern")  # a row for each membership pattern
         .withColumn("__sk_rank", F.row_number().over(inside))
-        .withColumn("__sk_end", F.col("__sk_offset") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("__sk_in", F.col("__sk_end") <= F.col("__sk_rest"))
-        .drop("__sk_offset", "__sk_order"),
+        .withColumn("__sk_in", F.col("size") <= 0),
         "mix",
     )
-    gap = (
-        ranked.groupBy("__sk_pattern", "__sk_rest")
-        .agg(F.sum(F.when(F.col("__sk_in"), F.col("size")).otherwise(0)).alias("__sk_sum"))
-        .select("__sk_pattern", (F.col("__sk_rest") - F.col("__sk_sum")).alias("__sk_gap"))
-    )
+    open_ = {p: g % t if t else 0 for p, (t, g) in gives.items()}
+    while True:
+        # the documents that fit what is open; of these the first in order whose sum does
+        now = F.broadcast(spark.createDataFrame([(p, g) for p, g in open_.items()], "__sk_pattern string, __sk_gap bigint"))
+        left = ranked.where(~F.col("__sk_in")).join(now, "__sk_pattern").where("size <= __sk_gap").select(*key, "__sk_rank", "size", "__sk_gap")
+        sums = left.groupBy(*key).agg(F.sum("size").alias("__sk_sum"))
+        offsets = sums.select(*key, F.coalesce(F.sum("__sk_sum").over(before), F.lit(0)).alias("__sk_offset"))
+        upto = Window.partitionBy(*key).orderBy("__sk_rank").rowsBetween(Window.unboundedPreceding, 0)
+        taken = (
+            left.join(offsets, key)
+            .withColumn("__sk_end", F.col("__sk_offset") + F.sum("size").over(upto))
+            .where("__sk_end <= __sk_gap")
+        )
+        taken = stored(taken.select(*key, "__sk_rank", "size"), "mix-round")
+        got = {r["__sk_pattern"]: int(r["n"]) for r in taken.groupBy("__sk_pattern").agg(F.sum("size").alias("n")).collect()}
+        more = left.limit(1).count() if not got else 1
+        if not more:
+            break
+        if got:
+            hit = taken.select(*key, "__sk_rank", F.lit(True).alias("__sk_hit"))
+            ranked = stored(
+                ranked.join(hit, [*key, "__sk_rank"], "left")
+                .withColumn("__sk_in", F.col("__sk_in") | F.coalesce("__sk_hit", F.lit(False)))
+                .drop("__sk_hit"),
+                "mix",
+            )
+            open_ = {p: g - got.get(p, 0) for p, g in open_.items()}
+    gap = spark.createDataFrame([(p, g) for p, g in open_.items()], "__sk_pattern string, __sk_gap bigint")
     best = (
         ranked.where(~F.col("__sk_in") & (F.col("size") > 0))
         .join(F.broadcast(gap), "__sk_pattern")
@@ -206,7 +226,7 @@ def mix_overlapping(docs: DataFrame, weights: dict, share: float = SHARE, most:
     names = {members[p]: p for p in tokens}
     got = route({members[p]: t for p, t in tokens.items()}, want, most)
     gives = {names[m]: (tokens[names[m]], sum(by.values())) for m, by in got.items()}
-    return select(sized, gives, seed).drop(*(c for c in ("__sk_pattern", "__sk_bucket", "__sk_times", "__sk_rest", "__sk_rank", "__sk_end", "__sk_in", "__sk_fit")))
+    return select(sized, gives, seed).drop(*(c for c in ("__sk_pattern", "__sk_bucket", "__sk_times", "__sk_rest", "__sk_rank", "__sk_order", "__sk_in", "__sk_fit")))
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:

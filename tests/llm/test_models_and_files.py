@@ -76,6 +76,15 @@ def test_mix_overlapping(spark):
     assert got.count() == 300 and got.agg(F.sum(F.col("copies") * F.col("size"))).first()[0] == 3000
 
 
+def test_mix_passes_over_a_document_that_does_not_fit(spark):
+    """One document holds half of its pattern; its place in the order leaves no gap."""
+    rows = [(k, 1000 if k == 0 else 10, "p") for k in range(101)]
+    sized = spark.createDataFrame(rows, "doc_id bigint, size bigint, __sk_pattern string")
+    for seed in range(4):
+        got = mixing.select(sized, {"p": (2000, 800)}, seed).agg(F.sum(F.col("copies") * F.col("size"))).first()[0]
+        assert got == 800
+
+
 def test_take_mix(spark):
     docs = documents(spark)
     got = mixing.take_mix(spark, docs, "")
