@@ -44,6 +44,12 @@ def best_two_sql(masks: str, sheet: str, length: int) -> str:
     return f"transform(array({masks}), o -> aggregate({sheet}, cast({start} as {MATCH}), (s, x) -> cast({step} as {MATCH})))[0]"
 
 
+def tried(obs: Column, length: int, max_mismatches: int, max_ns: Column) -> Column:
+    """Whether a barcode is compared at all: it is long enough, and has no more no-calls
+    than mismatches and the sheet's no-calls allow."""
+    return (F.length(obs) >= length) & (n_nocalls(obs) <= F.lit(max_mismatches) + max_ns)
+
+
 def match_distinct(observed: DataFrame, samples: DataFrame, length: int, max_mismatches: int = 1, min_delta: int = 2, keep: list[str] | None = None) -> DataFrame:
     """obs, best_ordinal, best_mismatches, next_best_mismatches for every row of
     ``observed`` (obs, and the columns to ``keep``); the last three are null where
@@ -56,9 +62,9 @@ def match_distinct(observed: DataFrame, samples: DataFrame, length: int, max_mis
     _checked(min_delta, "min_delta")
     met = observed.crossJoin(F.broadcast(sheet_row(samples, length)))  # one row: the sheet
     obs = F.col("obs")
-    tried = (F.length(obs) >= length) & (n_nocalls(obs) <= F.lit(max_mismatches) + F.col("__max_ns"))
+    compared = tried(obs, length, max_mismatches, F.col("__max_ns"))
     too_long = F.raise_error(F.concat(F.lit("Read barcode ("), obs, F.lit(") length ("), F.length(obs).cast("string"), F.lit(f") differs from expected barcode length ({length})")))
-    made = met.withColumn("__masks", F.when(tried & (F.length(obs) > length), too_long.cast("array<bigint>")).when(tried, encode("obs", length)))
+    made = met.withColumn("__masks", F.when(compared & (F.length(obs) > length), too_long.cast("array<bigint>")).when(compared, encode("obs", length)))
     scored = made.withColumn("__m", F.when(F.col("__masks").isNotNull(), F.expr(best_two_sql("__masks", "__sheet", length))))
     accept = (F.col("__m.best_mismatches") <= max_mismatches) & (F.col("__m.next_best_mismatches") - F.col("__m.best_mismatches") >= min_delta)
     kept = F.when(accept, F.col("__m"))

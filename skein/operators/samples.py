@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skein.functions.bases import LETTERS
 
+#: The sheet's header; below, what is said of each mistake.
 HEADER = ("sample_id", "barcode")
 SCHEMA = "sample_id string, barcode string, ordinal int"
 _VALID = frozenset(LETTERS + "Un.")

@@ -39,10 +39,18 @@ def too_few(header: Column, seq: Column, structure: ReadStructure, skip: bool) -
     return F.when(F.length(seq) < need, F.raise_error(said).cast("string"))
 
 
+def short_qualities(header: Column, seq: Column, qual: Column) -> Column:
+    """Null, and fails the query where a read's bases and qualities differ in number: its
+    segments would come out short in silence.  The FASTQ source lets no such read by."""
+    said = F.format_string("Read %s has %d bases and %d qualities.", F.split_part(header, F.lit(" "), F.lit(1)), F.length(seq), F.coalesce(F.length(qual), F.lit(0)))
+    return F.when(F.coalesce(F.length(qual), F.lit(0)) != F.length(seq), F.raise_error(said).cast("string"))
+
+
 def segmented(reads: DataFrame, structure: ReadStructure, skip: bool = False, first_idx: dict[str, int] | None = None) -> DataFrame:
     """``reads`` (ord, header, seq, qual) as ord, header, segments, skip_reason.
     The segments depend on the reason, so that a failing read is never pruned."""
     reason = too_few(F.col("header"), F.col("seq"), structure, skip)
+    reason = F.coalesce(reason, short_qualities(F.col("header"), F.col("seq"), F.col("qual")))
     made = reads.withColumn("skip_reason", reason)
     empty = F.array().cast(f"array<{SEGMENT}>")
     parts = F.when(F.col("skip_reason").isNotNull(), empty).otherwise(cut(F.col("seq"), F.col("qual"), structure, first_idx))

@@ -22,7 +22,7 @@ def zip_segments(inputs: list[DataFrame], check: bool = True) -> DataFrame:
     segments (input order, then order in the read), skip_reason (the first one),
     in_sync.  A set with a reason is skipped before the inputs' lengths count."""
     if not inputs:
-        raise ValueError("Cannot call combine readsets on an empty vec!")
+        raise ValueError("There is no input to relate.")
     named = [
         d.select("ord", F.col("header").alias(f"h{k}"), F.col("segments").alias(f"s{k}"), F.col("skip_reason").alias(f"r{k}"), F.lit(True).alias(f"in{k}"))
         for k, d in enumerate(inputs)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import logging
 import os
-import tempfile
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +16,11 @@ from skein.operators.segments import sample_barcode, segmented, sequences
 from skein.operators.zipping import zip_segments
 from skein.plans.structure import FILE_CODES, ReadStructure, parse_kinds, parse_skip_reason
 from skein.sources.fastq import open_store, stage
+from skein.sources.folders import drop_path, shared_folder
 from skein.sources.sinks import record_text, write_fastq
 
 METRICS_FILE = "demux-metrics.txt"
+log = logging.getLogger(__name__)
 #: Output kinds in the order in which their files are planned.
 _ORDER = "TBMCS"
 
@@ -35,9 +37,10 @@ def read_sets(inputs: list[DataFrame], structures: list[ReadStructure], skip: bo
 
 
 def matched_sets(sets: DataFrame, group: SampleGroup, max_mismatches: int, min_delta: int, unmatched: str) -> DataFrame:
+    """``sets`` with their sample; skipped ones have no barcode and match nothing."""
     samples = group.to_df(sets.sparkSession)
-    kept = sets.where("skip_reason is null").withColumn("obs", sample_barcode(F.col("segments")))
-    found = matcher.match_barcodes(kept, samples, group.barcode_length, "obs", max_mismatches, min_delta)
+    seen = sets.withColumn("obs", F.when(F.col("skip_reason").isNull(), sample_barcode(F.col("segments"))))
+    found = matcher.match_barcodes(seen, samples, group.barcode_length, "obs", max_mismatches, min_delta)
     return matcher.with_sample(found, samples, unmatched)
 
 
@@ -80,8 +83,11 @@ class Demux:
     compression_level: int = 5
     skip_reasons: list[str] = field(default_factory=list)
     staging: str | None = None
+    #: Sets skipped by the last run, by reason.
+    skipped: dict[str, int] = field(default_factory=dict, init=False)
 
     def validate(self) -> tuple[list[ReadStructure], set[str], bool]:
+        # fixed values: what is said of each mistake
         errors: list[str] = []
         structures = [ReadStructure.parse(t) for t in self.read_structures]
         skip = bool([parse_skip_reason(r) for r in self.skip_reasons])
@@ -118,16 +124,36 @@ class Demux:
         group = SampleGroup.from_file(spark, self.sample_metadata)
         if self.unmatched_prefix in {s.sample_id for s in group.samples}:
             raise ValueError(f"The unmatched prefix is also a sample: {self.unmatched_prefix}")
-        folder = self.staging or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-demux-")
-        inputs = stage(spark, self.inputs, f"{folder.rstrip('/')}/demux-{os.urandom(8).hex()}")
-        sets = read_sets(inputs, structures, skip)
-        matched = matched_sets(sets, group, self.max_mismatches, self.min_mismatch_delta, self.unmatched_prefix)
+        log.info("%d samples read from %s", len(group.samples), self.sample_metadata)
+        folder = f"{(self.staging or shared_folder(spark)).rstrip('/')}/demux-{os.urandom(8).hex()}"
+        try:
+            return self._run(spark, structures, kinds, skip, group, folder)
+        finally:
+            drop_path(spark, folder)
+
+    def _run(self, spark: SparkSession, structures: list[ReadStructure], kinds: set[str], skip: bool, group: SampleGroup, folder: str) -> DataFrame:
+        inputs = stage(spark, self.inputs, f"{folder}/inputs")
+        log.info("%d inputs read", len(inputs))
+        # matched once: the files, the metrics and the skip counts all come from this table
+        matched_sets(read_sets(inputs, structures, skip), group, self.max_mismatches, self.min_mismatch_delta, self.unmatched_prefix).write.parquet(f"{folder}/matched")
+        every = spark.read.parquet(f"{folder}/matched")
+        matched = every.where("skip_reason is null")
         prefixes = [s.sample_id for s in group.samples] + [self.unmatched_prefix]
         names = F.concat(F.col("sample_id"), F.lit("."), F.translate("kind", "TBMC", "RIUC"), F.col("kind_idx").cast("string"), F.lit(".fq.gz"))
         rows = routed(matched, kinds).withColumn("target", names)
-        write_fastq(rows, self.output, target_files(structures, kinds, prefixes), self.compression_level)
+        targets = target_files(structures, kinds, prefixes)
+        write_fastq(rows, self.output, targets, self.compression_level)
+        log.info("%d files written to %s", len(targets), self.output)
+        self.skipped = {r["skip_reason"]: r["n"] for r in metrics.skip_counts(every).collect()}  # a row for each reason
+        for reason, n in self.skipped.items():
+            log.info("%s records skipped: %s", f"{n:,}", reason)
+        if not self.skipped:
+            log.info("no record was skipped")
         found = metrics.demux_metrics(matched, group.to_df(spark), self.unmatched_prefix)
+        # a row for each sample and one more; the staged tables go when the run ends
+        found = spark.createDataFrame(found.orderBy("ordinal").collect(), found.schema)
         fs, root = open_store(self.output)
         with fs.open_output_stream(f"{root}/{METRICS_FILE}") as f:
             f.write(metrics.metrics_text(found).encode())
+        log.info("%s records demultiplexed; metrics are in %s/%s", f"{sum(r['templates'] for r in found.collect()):,}", self.output, METRICS_FILE)
         return found

@@ -8,6 +8,8 @@ functions), so that a shared mistake can't pass.
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +17,13 @@ from pyspark.sql import functions as F
 
 from skein.functions import bases, headers, packed
 from skein.operators import matcher, metrics, sampling, segments, zipping
-from skein.plans.demux import read_sets, routed
+from skein.operators.samples import Sample, SampleGroup
+from skein.plans.demux import METRICS_FILE, Demux, read_sets, routed, target_files
 from skein.plans.structure import ReadStructure
+from skein.plans.subsample import Subsample
+from skein.sources.fastq import open_store, read_fastq
+from skein.sources.folders import shared_folder
+from skein.sources.sinks import record_text, write_fastq
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -201,10 +208,12 @@ def encode_masks(spark, sf_dir):
 _ODD = "(SELECT ord, CASE WHEN ord % 4 = 0 THEN lower(obs) WHEN ord % 4 = 1 THEN replace(obs, 'T', 'U') WHEN ord % 4 = 2 THEN replace(obs, 'A', '.') ELSE obs || 'x' END AS obs FROM " + reads_sql(12) + " AS r)"
 
 
-@query("WITH reads AS " + duck(_ODD) + " SELECT ord, upper(replace(replace(upper(obs), 'U', 'T'), '.', 'N')) AS bases FROM reads WHERE ord % 4 <> 3")
+_DECODABLE = "(SELECT ord, CASE WHEN ord % 3 = 0 THEN lower(obs) WHEN ord % 3 = 1 THEN replace(obs, 'T', 'U') ELSE replace(obs, 'A', '.') END AS obs FROM " + reads_sql(12) + " AS r)"
+
+
+@query("WITH reads AS " + duck(_DECODABLE) + " SELECT ord, upper(replace(replace(upper(obs), 'U', 'T'), '.', 'N')) AS bases FROM reads")
 def decode_bases(spark, sf_dir):
-    odd = view(spark, sf_dir, _ODD).where("ord % 4 <> 3")
-    return odd.select("ord", bases.decode_masks(bases.masks("obs")).alias("bases"))
+    return view(spark, sf_dir, _DECODABLE).select("ord", bases.decode_masks(bases.masks("obs")).alias("bases"))
 
 
 @query("WITH reads AS " + duck(_ODD) + " SELECT ord, len(list_filter(string_split(obs, ''), lambda c: c IN ('N', 'n', '.'))) AS n FROM reads")
@@ -217,11 +226,11 @@ def iupac_valid(spark, sf_dir):
     return view(spark, sf_dir, _ODD).select("ord", bases.is_valid_iupac("obs").alias("valid"))
 
 
-@query("WITH reads AS " + duck(_ODD) + ", samples AS " + duck(samples_sql(12)) + " SELECT ord FROM reads WHERE len(regexp_extract_all(obs, '[Nn.]')) <= 1 + (SELECT max(len(regexp_extract_all(barcode, '[Nn.]'))) FROM samples)")
+@query("WITH reads AS " + duck(_ODD) + ", samples AS " + duck(samples_sql(12)) + " SELECT ord FROM reads WHERE len(obs) >= 12 AND len(regexp_extract_all(obs, '[Nn.]')) <= 1 + (SELECT max(len(regexp_extract_all(barcode, '[Nn.]'))) FROM samples)")
 def nocall_prefilter(spark, sf_dir):
-    most = view(spark, sf_dir, samples_sql(12)).agg(F.max(bases.n_nocalls("barcode")).alias("most"))
-    met = view(spark, sf_dir, _ODD).crossJoin(F.broadcast(most))  # one row
-    return met.where(bases.n_nocalls("obs") <= F.col("most") + 1).select("ord")
+    sheet = matcher.sheet_row(view(spark, sf_dir, samples_sql(12)), 12)
+    met = view(spark, sf_dir, _ODD).crossJoin(F.broadcast(sheet))  # one row: the sheet
+    return met.where(matcher.tried(F.col("obs"), 12, 1, F.col("__max_ns"))).select("ord")
 
 
 # -------------------------------------------------------------------- segments
@@ -309,9 +318,103 @@ def routed_records(spark, sf_dir):
     return _routed(spark, sf_dir)
 
 
-@query(_SETS_SQL + "SELECT sample_id, kind, kind_idx, count(*) AS n FROM files GROUP BY ALL")
+_STRUCTURES = ("12B+T", "8M+T")
+_FILE = "sample_id || '.' || translate(kind, 'TBM', 'RIU') || kind_idx || '.fq.gz'"
+
+
+@query(_SETS_SQL + f""", planned AS (
+  SELECT {_FILE} AS file FROM (SELECT n_name AS sample_id FROM nation UNION ALL SELECT 'unmatched'), (VALUES ('T', 1), ('T', 2), ('B', 1), ('M', 1)) AS k(kind, kind_idx)
+), got AS (SELECT {_FILE} AS file, count(*) AS n FROM files GROUP BY ALL)
+SELECT file, coalesce(n, 0) AS n FROM planned LEFT JOIN got USING (file)""")
 def output_file_counts(spark, sf_dir):
-    return _routed(spark, sf_dir).groupBy("sample_id", "kind", "kind_idx").agg(F.count("*").alias("n"))
+    """All files that a run plans, with their records; some have none."""
+    names = [r["n_name"] for r in spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect()]  # a sheet
+    planned = target_files([ReadStructure.parse(x) for x in _STRUCTURES], set("TBM"), [*names, "unmatched"])
+    file = F.concat("sample_id", F.lit("."), F.translate("kind", "TBM", "RIU"), F.col("kind_idx").cast("string"), F.lit(".fq.gz"))
+    got = _routed(spark, sf_dir).groupBy(file.alias("file")).agg(F.count("*").alias("n"))
+    return spark.createDataFrame([(x,) for x in planned], "file string").join(got, "file", "left").select("file", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
+# ---------------------------------------------------------- runs, file to file
+def _folder(spark: SparkSession, name: str) -> str:
+    folder = f"{shared_folder(spark)}/{name}-{os.urandom(8).hex()}"
+    fs, root = open_store(folder)
+    fs.create_dir(root, recursive=True)
+    return folder
+
+
+def _put_reads(spark, sf_dir, folder: str, **views: str) -> list[str]:
+    """Views as block-gzip FASTQ files."""
+    rows = None
+    for name, sql in views.items():
+        text = record_text(F.concat(F.lit("@"), F.col("header")), F.col("seq"), F.col("qual"))
+        one = view(spark, sf_dir, sql).select(F.lit(f"{name}.fq.gz").alias("target"), "ord", text.alias("record"))
+        rows = one if rows is None else rows.unionByName(one)
+    write_fastq(rows, folder, [f"{name}.fq.gz" for name in views])
+    return [f"{folder}/{name}.fq.gz" for name in views]
+
+
+def _demux(spark, sf_dir, name: str) -> tuple[Demux, list[str]]:
+    """A whole run over two files: the run, and the files that it writes."""
+    folder = _folder(spark, name)
+    inputs = _put_reads(spark, sf_dir, folder, one=RECORDS_1, two=_BOTH)
+    sheet = view(spark, sf_dir, f"(SELECT n_nationkey, n_name, substr({bases_sql('n_nationkey')}, 1, 12) AS barcode FROM {{nation}})").orderBy("n_nationkey").collect()
+    fs, root = open_store(folder)
+    with fs.open_output_stream(f"{root}/sheet.tsv") as f:
+        f.write("".join(["sample_id\tbarcode\n", *(f"{r['n_name']}\t{r['barcode']}\n" for r in sheet)]).encode())
+    run = Demux(
+        inputs, list(_STRUCTURES), f"{folder}/sheet.tsv", f"{folder}/out", output_types="TBM", max_mismatches=0, min_mismatch_delta=1, skip_reasons=["too-few-bases"]
+    )
+    run.execute(spark)
+    names = target_files([ReadStructure.parse(x) for x in _STRUCTURES], set("TBM"), [*(r["n_name"] for r in sheet), "unmatched"])
+    return run, names
+
+
+@query(_SETS_SQL + f""", heads AS (SELECT {_FILE} AS file, ord AS place, 'run:1:' || ord || ':' || substr(y, 1, 8) || ' ' || kind_idx || ':N:0:' || substr(x, 1, 12) AS header, seq, qual FROM files)
+SELECT file, row_number() OVER (PARTITION BY file ORDER BY place) - 1 AS ord, header, seq, qual FROM heads""")
+def demux_files(spark, sf_dir):
+    """What stands in the files of a run, in their order."""
+    run, names = _demux(spark, sf_dir, "demux-files")
+    known = spark.createDataFrame(list(enumerate(names)), "file_idx int, file string")
+    return read_fastq(spark, [f"{run.output}/{n}" for n in names]).join(known, "file_idx").select("file", "ord", "header", "seq", "qual")
+
+
+@query(_SETS_SQL + """, counts AS (
+  SELECT n_nationkey AS ordinal, n_name AS sample_id, substr(translate(md5(CAST(n_nationkey AS STRING)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 12) AS barcode,
+         (SELECT count(*) FROM hit WHERE hit.sample_id = n_name) AS templates FROM nation
+), totals AS (SELECT (SELECT count(*) FROM hit) AS every, sum(templates) AS own, max(templates) AS best, count(*) AS n FROM counts
+), rows AS (SELECT sample_id, barcode, templates FROM counts UNION ALL SELECT 'unmatched', '.', every - own FROM totals)
+SELECT sample_id, barcode, CAST(templates AS BIGINT) AS templates, CAST(templates AS DOUBLE) / every AS frac_templates,
+       CAST(templates AS DOUBLE) / (CAST(own AS DOUBLE) / n) AS ratio_to_mean, CAST(templates AS DOUBLE) / best AS ratio_to_best
+FROM rows, totals""")
+def demux_metrics_file(spark, sf_dir):
+    """The metrics file of a run, read again."""
+    return metrics.read_metrics(spark, f"{_demux(spark, sf_dir, 'demux-metrics')[0].output}/{METRICS_FILE}")
+
+
+@query("WITH a AS " + duck(RECORDS_1) + ", b AS " + duck(_BOTH) + " SELECT 'too-few-bases' AS skip_reason, count(*) AS n FROM a JOIN b USING (ord) WHERE len(a.seq) < 13")
+def demux_skip_report(spark, sf_dir):
+    return spark.createDataFrame(list(_demux(spark, sf_dir, "demux-skips")[0].skipped.items()), "skip_reason string, n bigint")
+
+
+@query("WITH a AS " + duck(RECORDS_1) + ", b AS " + duck(_BOTH) + """, kept AS (
+  SELECT 0 AS file_idx, * FROM a UNION ALL SELECT 1, * FROM b
+) SELECT file_idx, row_number() OVER (PARTITION BY file_idx ORDER BY ord) - 1 AS ord, header, seq, qual FROM kept WHERE ('0x' || substr(md5('42:' || ord), 1, 8))::BIGINT / 4294967296.0 < 0.3""")
+def subsample_files(spark, sf_dir):
+    """What stands in the files that a run of subsampling writes."""
+    folder = _folder(spark, "subsample-files")
+    inputs = _put_reads(spark, sf_dir, folder, one=RECORDS_1, two=_BOTH)
+    Subsample(inputs, f"{folder}/kept", 0.3, seed=42).execute(spark)
+    return read_fastq(spark, [f"{folder}/kept.R{k}.fq.gz" for k in (1, 2)]).select("file_idx", "ord", "header", "seq", "qual")
+
+
+_RUN = {"compression_level": 5, "fraction": 0.25, "inputs": ["a.fq", "b.fq"], "threads": 8}
+
+
+@query(f"SELECT f AS fraction, (('0x' || substr(sha256('{json.dumps(_RUN)}'.replace('0.25', f::STRING)), 1, 16))::UBIGINT >> 1)::BIGINT AS seed FROM (VALUES (0.25), (0.5), (0.75)) AS v(f)".replace("0.25), (0.5), (0.75)", "0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)"))
+def derived_seeds(spark, sf_dir):
+    """The seed that a run without one takes, by its parameters."""
+    return spark.createDataFrame([(f, sampling.effective_seed(None, **(_RUN | {"fraction": f}))) for f in (0.25, 0.5, 0.75)], "fraction double, seed bigint")
 
 
 # --------------------------------------------------------------------- headers
@@ -397,18 +500,24 @@ def sync_error_rows(spark, sf_dir):
 # ---------------------------------------------------------------------- samples
 @query("SELECT n_name AS sample_id, row_number() OVER (ORDER BY n_nationkey) - 1 AS ordinal, format('Sample({:04d}) - {{ name: {}', n_nationkey, n_name) || chr(9) || 'barcode: ' || substr(" + bases_sql("n_nationkey") + ", 1, 12) || ' }' AS shown FROM nation")
 def sample_sheet_ordinals(spark, sf_dir):
-    from skein.operators.samples import Sample, SampleGroup
-
     plain = f"(SELECT n_nationkey, n_name, substr({bases_sql('n_nationkey')}, 1, 12) AS barcode FROM {{nation}})"
     rows = view(spark, sf_dir, plain).orderBy("n_nationkey").collect()  # a sheet is read on the driver
     group = SampleGroup.from_samples(Sample(r["n_name"], r["barcode"]) for r in rows)
     return spark.createDataFrame([(s.sample_id, s.ordinal, str(s)) for s in group.samples], "sample_id string, ordinal bigint, shown string")
 
 
-@query("WITH b AS (SELECT substr(" + bases_sql("n_nationkey") + ", 1, 2) AS barcode, n_name FROM nation) SELECT barcode, count(*) AS n, min(n_name) AS first_id FROM b GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT k AS length, CASE WHEN count(DISTINCT substr(" + bases_sql("n_nationkey") + ", 1, k)) < count(*) THEN 'Each sample barcode must be unique, duplicate identified' ELSE count(*) || ' samples' END AS said FROM nation, (SELECT unnest(range(1, 9)) AS k) GROUP BY k")
 def sample_duplicates(spark, sf_dir):
-    short = view(spark, sf_dir, f"(SELECT n_name, substr({bases_sql('n_nationkey')}, 1, 2) AS barcode FROM {{nation}})")
-    return short.groupBy("barcode").agg(F.count("*").alias("n"), F.min("n_name").alias("first_id")).where("n > 1")
+    """Sheets of ever longer barcodes, the shorter of which aren't unique."""
+    rows = view(spark, sf_dir, f"(SELECT n_nationkey, n_name, {bases_sql('n_nationkey')} AS barcode FROM {{nation}})").orderBy("n_nationkey").collect()  # a sheet
+    out = []
+    for k in range(1, 9):
+        try:
+            said = f"{len(SampleGroup.from_samples(Sample(r['n_name'], r['barcode'][:k]) for r in rows).samples)} samples"
+        except ValueError as e:
+            said = str(e)
+        out.append((k, said))
+    return spark.createDataFrame(out, "length bigint, said string")
 
 
 # ---------------------------------------------------------------- packed arrays
@@ -433,27 +542,7 @@ def bitenc_iter(spark, sf_dir):
     return view(spark, sf_dir, reads_sql(12)).select("ord", packed.iterate(bases.masks("obs")).alias("pos", "mask"))
 
 
-@query("WITH r AS " + duck(RECORDS_1) + " SELECT 0 AS file_idx, row_number() OVER (ORDER BY ord) - 1 AS ord, header, seq, qual, '+' AS raw_plus FROM r")
+@query("WITH r AS " + duck(RECORDS_1) + " SELECT 0 AS file_idx, row_number() OVER (ORDER BY ord) - 1 AS ord, header, seq, qual, '+' AS raw_plus, 0 AS ends FROM r")
 def fastq_roundtrip(spark, sf_dir):
     """Reads written as one block-gzip FASTQ file and read back."""
-    import os
-
-    from skein.sources.fastq import read_fastq
-    from skein.sources.sinks import record_text, write_fastq
-
-    folder = shared_folder(spark)
-    reads = view(spark, sf_dir, RECORDS_1)
-    rows = reads.select(F.lit("all.R1.fq.gz").alias("target"), "ord", record_text(F.concat(F.lit("@"), F.col("header")), F.col("seq"), F.col("qual")).alias("record"))
-    name = f"{folder}/roundtrip-{os.urandom(8).hex()}"
-    from skein.sources.fastq import open_store
-
-    fs, root = open_store(name)
-    fs.create_dir(root, recursive=True)
-    write_fastq(rows, name, ["all.R1.fq.gz"])
-    return read_fastq(spark, [f"{name}/all.R1.fq.gz"])
-
-
-def shared_folder(spark: SparkSession) -> str:
-    import tempfile
-
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-")).rstrip("/")
+    return read_fastq(spark, _put_reads(spark, sf_dir, _folder(spark, "roundtrip"), all=RECORDS_1))

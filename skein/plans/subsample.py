@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import logging
 import os
-import tempfile
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import SparkSession
@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from skein.operators import sampling
 from skein.sources.fastq import open_store, stage
+from skein.sources.folders import drop_path, shared_folder
 from skein.sources.sinks import record_text, write_fastq
 
+log = logging.getLogger(__name__)
+
 
 @dataclass
 class Subsample:
@@ -25,6 +28,7 @@ class Subsample:
     disable_read_name_checking: bool = False
 
     def validate(self) -> None:
+        # fixed values: what is said of each mistake
         errors = []
         if not self.inputs:
             errors.append("At least one input file is required.")
@@ -57,10 +61,19 @@ class Subsample:
         records, and positions that some file lacks (by counts first).
         """
         self.validate()
-        seed = self.effective_seed()
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-subsample-")
-        inputs = stage(spark, self.inputs, f"{folder.rstrip('/')}/subsample-{os.urandom(8).hex()}")
-        if len({d.count() for d in inputs}) > 1:
+        folder = f"{shared_folder(spark)}/subsample-{os.urandom(8).hex()}"
+        try:
+            total, kept, percent = self._run(spark, self.effective_seed(), folder)
+        finally:
+            drop_path(spark, folder)
+        log.info("%s record sets read, %s written (%.1f%%)", f"{total:,}", f"{kept:,}", percent)
+        return total, kept, percent
+
+    def _run(self, spark: SparkSession, seed: int, folder: str) -> tuple[int, int, float]:
+        inputs = stage(spark, self.inputs, folder)
+        counts = [d.count() for d in inputs]
+        log.info("%d inputs read, %s records in the first", len(inputs), f"{counts[0]:,}")
+        if len(set(counts)) > 1:
             first = sampling.sync_errors(inputs).orderBy("ord").first()
             raise ValueError(first["said"])
         kept = [sampling.sample(d, self.fraction, seed) for d in inputs]
@@ -74,7 +87,8 @@ class Subsample:
         rows = None
         for t, d in zip(targets, kept, strict=True):
             head = F.concat(F.lit("@"), F.col("header"))
-            one = d.select(F.lit(t).alias("target"), "ord", record_text(head, F.col("seq"), F.col("qual"), F.col("raw_plus")).alias("record"))
+            text = record_text(head, F.col("seq"), F.col("qual"), F.col("raw_plus"), F.col("ends"))
+            one = d.select(F.lit(t).alias("target"), "ord", text.alias("record"))
             rows = one if rows is None else rows.unionByName(one)
         write_fastq(rows, os.path.dirname(root) or ".", targets, self.compression_level)
         total = sampling.totals(inputs[0], self.fraction, seed).first()

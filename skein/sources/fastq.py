@@ -18,9 +18,11 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "file_idx int, ord bigint, header string, seq string, qual string, raw_plus string"
+#: ``ends`` has a bit for each of a record's lines that ends with a carriage return,
+#: the header's lowest.
+SCHEMA = "file_idx int, ord bigint, header string, seq string, qual string, raw_plus string, ends int"
 ROWS_AT_ONCE, BUFFER, READ_BYTES = 8192, 1 << 20, 1 << 22
-_ARROW = pa.schema([("file_idx", pa.int32()), ("ord", pa.int64()), *((c, pa.string()) for c in ("header", "seq", "qual", "raw_plus"))])
+_ARROW = pa.schema([("file_idx", pa.int32()), ("ord", pa.int64()), *((c, pa.string()) for c in ("header", "seq", "qual", "raw_plus")), ("ends", pa.int32())])
 
 
 class MalformedFastq(ValueError):
@@ -63,14 +65,16 @@ def line_blocks(stream, path: str = "input") -> Iterator[list[bytes]]:
         yield lines
 
 
-def columns(lines: list[bytes], first: int, path: str = "input") -> tuple[list[list[bytes]], bool]:
-    """header (without @), seq, qual, third line of a block whose first record has
-    position ``first``; whether the block ends with blank lines, after which nothing
-    may come.  Anything else that isn't FASTQ raises."""
+def columns(lines: list[bytes], first: int, path: str = "input") -> tuple[list[list], bool]:
+    """header (without @), seq, qual, third line and ``ends`` of a block whose first
+    record has position ``first``; whether the block ends with blank lines, after which
+    nothing may come.  Anything else that isn't FASTQ raises."""
     ended = False
-    head, seq, plus, qual = (lines[k::4] for k in range(4))
-    if any(b"\r" in x for x in head):
-        head, seq, plus, qual = ([x.rstrip(b"\r") for x in c] for c in (head, seq, plus, qual))
+    head, seq, plus, qual = each = [lines[k::4] for k in range(4)]
+    ends = [0] * len(qual)
+    if any(x.endswith(b"\r") for c in each for x in c):
+        ends = [sum(x.endswith(b"\r") << k for k, x in enumerate(r)) for r in zip(*each, strict=True)]
+        head, seq, plus, qual = ([x.removesuffix(b"\r") for x in c] for c in each)
     good = [h[:1] == b"@" and p[:1] == b"+" and len(s) == len(q) for h, s, p, q in zip(head, seq, plus, qual, strict=True)]
     if not all(good):
         k = good.index(False)
@@ -79,8 +83,8 @@ def columns(lines: list[bytes], first: int, path: str = "input") -> tuple[list[l
                 raise _fail(path, first + k + 1, f"has {len(seq[k])} bases and {len(qual[k])} qualities")
             raise _fail(path, first + k + 1, "doesn't start with @ or lacks +")
         ended = True
-        head, seq, plus, qual = head[:k], seq[:k], plus[:k], qual[:k]
-    return [[h[1:] for h in head], seq, qual, plus], ended
+        head, seq, plus, qual, ends = head[:k], seq[:k], plus[:k], qual[:k], ends[:k]
+    return [[h[1:] for h in head], seq, qual, plus, ends], ended
 
 
 def _text(values: list[bytes]) -> pa.Array:
@@ -114,7 +118,7 @@ class FastqReader(DataSourceReader):
                 for lo in range(0, len(cols[0]), ROWS_AT_ONCE):
                     some = [c[lo : lo + ROWS_AT_ONCE] for c in cols]
                     n = len(some[0])
-                    yield pa.record_batch([pa.array([part.file_idx] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()), *map(_text, some)], schema=_ARROW)
+                    yield pa.record_batch([pa.array([part.file_idx] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()), *map(_text, some[:4]), pa.array(some[4], pa.int32())], schema=_ARROW)
                     at += n
 
 
@@ -145,11 +149,9 @@ def read_fastq(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def stage(spark: SparkSession, paths: list[str], folder: str) -> list[DataFrame]:
-    """The files as Parquet, one table a file: a FASTQ file is decompressed once,
-    however often its records are used, and later scans split and prune columns."""
-    out = []
-    for k, p in enumerate(paths):
-        at = f"{folder}/input-{k}"
-        read_fastq(spark, [p]).drop("file_idx").write.mode("overwrite").parquet(at)
-        out.append(spark.read.parquet(at))
-    return out
+    """The files as Parquet: a FASTQ file is decompressed once, however often its records
+    are used, and later scans split and prune columns.  One job reads all files, a task
+    each; a file's own rows are told by statistics of the Parquet files."""
+    read_fastq(spark, paths).write.mode("overwrite").parquet(folder)
+    both = spark.read.schema(SCHEMA).parquet(folder)
+    return [both.where(both["file_idx"] == k).drop("file_idx") for k in range(len(paths))]

@@ -17,12 +17,14 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from skein.sources.fastq import open_store
 
@@ -57,29 +59,46 @@ class BgzfWriter:
         self.sink.close()
 
 
+def runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], bytes]]:
+    """(target, chunk) and the bytes of its records for each run of equal ones.  The
+    records of a run lie together in the batch's buffer and are taken as they are, or a
+    byte for each character where some are beyond ASCII."""
+    target, chunk, record = batch.column("target"), batch.column("chunk"), batch.column("record").cast(pa.large_string())
+    n = batch.num_rows
+    same = lambda c: pc.equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(np.r_[True, ~(same(target) & same(chunk))]) if n else []
+    offsets = np.frombuffer(record.buffers()[1], np.int64)[record.offset : record.offset + n + 1] if n else []
+    whole = memoryview(record.buffers()[2] or b"")
+    for a, b in zip(starts, [*starts[1:], n], strict=True):
+        data = bytes(whole[offsets[a] : offsets[b]])
+        yield (target[int(a)].as_py(), chunk[int(a)].as_py()), data if data.isascii() else data.decode().encode("latin-1")
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: list[tuple[str, str, int]]  # temporary name, target, chunk
 
 
-class FastqWriter(DataSourceWriter):
+class FastqWriter(DataSourceArrowWriter):
     def __init__(self, folder: str, targets: list[str], level: int):
         self.folder, self.targets, self.level = folder.rstrip("/"), targets, level
 
-    def write(self, rows: Iterator) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        """Batches of target, chunk, record; equal targets and chunks stand together."""
         context = TaskContext.get()
         tag = f"{context.partitionId()}-{context.taskAttemptId()}"
         fs, root = open_store(self.folder)
         out, now, files = None, None, []
-        for row in rows:
-            if (row["target"], row["chunk"]) != now:
-                if out:
-                    out.close()
-                now = (row["target"], row["chunk"])
-                temp = f"{root}/.{now[0]}.{now[1]}.{tag}"
-                files.append((temp, *now))
-                out = BgzfWriter(fs.open_output_stream(temp, compression=None), self.level)
-            out.write(row["record"].encode("latin-1"))
+        for batch in iterator:
+            for (target, chunk), data in runs(batch):
+                if (target, chunk) != now:
+                    if out:
+                        out.close()
+                    now = (target, chunk)
+                    temp = f"{root}/.{target}.{chunk}.{tag}"
+                    files.append((temp, *now))
+                    out = BgzfWriter(fs.open_output_stream(temp, compression=None), self.level)
+                out.write(data)
         if out:
             out.close()
         return Written(files)
@@ -166,6 +185,11 @@ def write_fastq(records: DataFrame, folder: str, targets: list[str], level: int
             fs.delete_file(f"{root}/{part_name(target, chunk)}")
 
 
-def record_text(header, seq, qual, plus="+"):
+def record_text(header, seq, qual, plus="+", ends=None):
+    """The four lines of a record.  ``ends``: which of them end with a carriage return,
+    as the source has it."""
     plus = F.lit(plus) if isinstance(plus, str) else plus
-    return F.concat(header, F.lit("\n"), seq, F.lit("\n"), plus, F.lit("\n"), qual, F.lit("\n"))
+    lines = []
+    for k, line in enumerate((header, seq, plus, qual)):
+        lines += [line, F.lit("\n") if ends is None else F.when(ends.bitwiseAND(1 << k) != 0, F.lit("\r\n")).otherwise(F.lit("\n"))]
+    return F.concat(*lines)

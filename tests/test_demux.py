@@ -5,9 +5,11 @@ import pytest
 
 from skein.__main__ import parser
 from skein.operators.metrics import read_metrics
+from skein.operators.segments import segmented
 from skein.plans.demux import Demux, target_files
 from skein.plans.structure import ReadStructure, parse_kinds, parse_skip_reason
 from skein.sources.fastq import MalformedFastq, read_fastq
+from skein.sources.folders import shared_folder
 from skein.sources.sinks import END_BLOCK, BgzfWriter, write_fastq
 
 S17 = ["AAAAAAAAGATTACAGA", "CCCCCCCCGATTACAGA", "GGGGGGGGGATTACAGA", "GGGGGGTTGATTACAGA"]
@@ -91,11 +93,13 @@ def test_many_templates_keep_order(spark, tmp_path):
 SHORT = (["+T", "7B"], [["A", "A", ""], ["GATTGGG"] * 3], ["GATTGGG"])
 
 
-def test_too_short(spark, tmp_path):
+def test_too_short(spark, tmp_path, caplog):
     (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir()
     with pytest.raises(Exception, match=re.escape("Read ex_2 had too few bases to demux 0 vs. 1 needed in read structure +T.")):
         run(spark, tmp_path / "a", *SHORT)
-    m, out = run(spark, tmp_path / "b", *SHORT, skip_reasons=["too-few-bases"], output_types="TB")
+    with caplog.at_level("INFO"):
+        m, out = run(spark, tmp_path / "b", *SHORT, skip_reasons=["too-few-bases"], output_types="TB")
+    assert "1 records skipped: too-few-bases" in caplog.messages and "2 records demultiplexed" in caplog.text and "1 samples read" in caplog.text
     assert sum(r["templates"] for r in m.collect()) == 2
     assert len(lines(out / "Sample0000.R1.fq.gz")) == len(lines(out / "Sample0000.I1.fq.gz")) == 8
 
@@ -105,6 +109,32 @@ def test_out_of_sync(spark, tmp_path):
         run(spark, tmp_path, ["4B+T", "+T"], [["ACGTA", "ACGTA"], ["A"]], ["ACGT"])
 
 
+def test_short_qualities(spark):
+    reads = spark.createDataFrame([(0, "spot 1", "ACGT", ";;;")], "ord bigint, header string, seq string, qual string")
+    with pytest.raises(Exception, match="Read spot has 4 bases and 3 qualities"):
+        segmented(reads, ReadStructure.parse("2B+T")).collect()
+
+
+def test_staged_data_goes(spark, tmp_path):
+    d = Demux([fastq(tmp_path / "a.fq", ["ACGTA"] * 3)], ["4B+T"], sheet(tmp_path / "s.tsv", ["ACGT"]), str(tmp_path / "o"), staging=f"file://{tmp_path}/staging")
+    assert d.execute(spark).first()["templates"] == 3 and d.skipped == {}
+    assert not list((tmp_path / "staging").glob("*"))
+
+
+def test_shared_folder_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = Context
+
+    with pytest.raises(RuntimeError, match="share"):
+        shared_folder(Session)
+    assert shared_folder(spark).startswith("file:")
+
+
 def test_validation(tmp_path):
     d = Demux(["missing.fq"], ["4B+T", "+T"], "s.tsv", str(tmp_path / "o"), output_types="TX", threads=2)
     with pytest.raises(ValueError) as e:
@@ -166,4 +196,10 @@ def test_parts_are_joined(spark, tmp_path):
 def test_bytes_beyond_ascii_and_line_ends(spark, tmp_path):
     (tmp_path / "x.fq").write_bytes("@é\r\nAC\r\n+\r\n;;\r\n@b\nA\n+\n;\n\n\n".encode())
     got = read_fastq(spark, [str(tmp_path / "x.fq")]).orderBy("ord").collect()
-    assert [(r["header"], r["seq"], r["qual"]) for r in got] == [("é".encode().decode("latin-1"), "AC", ";;"), ("b", "A", ";")]
+    assert [(r["header"], r["seq"], r["qual"], r["ends"]) for r in got] == [("é".encode().decode("latin-1"), "AC", ";;", 15), ("b", "A", ";", 0)]
+
+
+def test_records_beyond_ascii_are_written(spark, tmp_path):
+    rows = [("t.fq.gz", k, f"@{'é' if k % 3 == 0 else 'e'}{k}\nA\n+\n;\n") for k in range(50)] + [("u.fq.gz", 0, "@u\nA\n+\n;\n")]
+    write_fastq(spark.createDataFrame(rows, "target string, ord long, record string"), str(tmp_path), ["t.fq.gz", "u.fq.gz"])
+    assert gzip.decompress((tmp_path / "t.fq.gz").read_bytes()) == "".join(r for *_, r in rows[:50]).encode("latin-1")

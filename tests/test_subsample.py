@@ -59,3 +59,13 @@ def test_derived_seed_and_validation(tmp_path):
         Subsample([], str(tmp_path / "no" / "o"), float("nan"), threads=1, compression_level=13).validate()
     for said in ("At least one input", "Fraction", "Threads", "Compression level", "parent directory"):
         assert said in str(e.value)
+
+
+def test_records_stay_unchanged(spark, tmp_path, caplog):
+    """Line ends and all."""
+    text = b"@a x\r\nAC\r\n+more\r\n;;\r\n@b\nA\n+\n;\n@c\r\nG\n+\r\n!\n"
+    (tmp_path / "a.fq").write_bytes(text)
+    with caplog.at_level("INFO"):
+        Subsample([str(tmp_path / "a.fq")], str(tmp_path / "o"), 1.0).execute(spark)
+    assert gzip.decompress((tmp_path / "o.R1.fq.gz").read_bytes()) == text
+    assert "3 record sets read, 3 written (100.0%)" in caplog.messages
