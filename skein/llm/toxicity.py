@@ -1,41 +1,48 @@
 """Operator 8: toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-1. Terms are counted over a bounded sample of labelled training texts; those
-   whose association with the label is beyond chance (log-likelihood ratio) and
-   strong (odds ratio of 4 or more, either way) form the vocabulary.  Common words
-   that differ by a little only, as in longer texts, stay out of it.
-2. Every whole text is reduced to its vocabulary counts in one Arrow pass, and
-   stored.  Document frequencies come from all documents, by aggregation.
-3. Training examples become unit TF-IDF vectors in an inverted index whose
-   postings are cut into blocks, each with its largest weight.  A query visits
-   blocks from the highest upper bound down and stops when no bound reaches its
-   k-th best cosine: the result is the exact nearest neighbours.
-4. Their labels vote with weight cosine to the fourth power against a prior.
-5. A second search leaves no term out: every text, reduced or not, is compared to
-   the examples over all its terms, dealt to ``WIDTH`` hash buckets, with document
-   frequencies from all documents.  Cosines come from a dense product over the
-   ``HEAD`` most frequent buckets and postings of the others; all that may be among
-   the nearest are computed again in double precision, so they are exact.
-6. A logistic regression on leave-one-out votes of both searches joins them, and a
-   monotone map (isotonic regression) calibrates the sum.  The neighbour with most
-   weight over the vocabulary, or else over all terms, is the evidence.
+Two searches vote on every text, and neither is cut short:
+
+* Over all terms.  A text's terms are dealt to ``WIDTH`` hash buckets; document
+  frequencies come from all documents.  Examples lie in blocks of similar ones, and a
+  block has the largest weight of any of its examples for each of the ``HEAD`` most
+  frequent buckets.  A text's product with these, and its largest exact sum over the
+  other buckets' postings in the block, bound its cosine to every example there; blocks
+  that can't hold one of the nearest are left out.  What may be among the nearest is
+  computed again in double precision, so the result is the exact nearest neighbours.
+* Over the vocabulary: terms whose association with the label is beyond chance
+  (log-likelihood ratio) and strong (odds ratio of 4 or more, either way) in the
+  examples.  Rare terms of a long text outweigh a few telling ones in the cosine over
+  all terms; here they can't.  Its index has postings cut into blocks with their largest
+  weight, visited from the highest bound down until none can reach the k-th cosine.
+
+Labels of neighbours vote, by cosine (over the vocabulary: its fourth power) against a
+prior.  A logistic regression on leave-one-out votes joins the two, and a monotone map
+(isotonic regression) calibrates the sum.  The neighbour with most weight over the
+vocabulary, or else over all terms, is the evidence.
+
+On Spark: one Arrow pass turns texts into buckets and vocabulary counts, which are
+stored; frequencies are aggregated from these; another pass has both searches, with
+the examples' indexes broadcast.  On the driver: the examples, the buckets' counts
+(``WIDTH`` at most), and two votes for each example.
 
 Bound: at most ``sample`` (20,000) labelled rows are fitted on, those with the
 smallest hash of ``doc_id``; held-out rows (crc32 of the id's digits divisible by
-5) never are.  The index holds those examples only; equal vectors share an entry.
+5) never are.  The indexes hold those examples only; equal vectors share an entry.
 Labels, lang, source and doc_id are never inputs of a score.
 
-Defined results: texts without a vocabulary term are scored by the second search
-alone; texts that share no term with an example get the prior as its vote.  Ties among neighbours: all at the
-k-th cosine vote.  A null doc_id is not held out and no example.  Without labels,
-or with one class only, every score is the share of label 1 (0 if none).
+Defined results: a null text is empty.  Texts without a vocabulary term are scored by
+the search over all terms alone; texts that share no term with an example get the prior
+as its vote.  Ties among neighbours: all at the k-th cosine vote.  Very long texts are
+taken whole.  A null doc_id is not held out and no example.  Repeated rows get a row
+each.  Without labels, or with one class only, every score is the share of label 1 (0
+if none).
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -44,14 +51,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, doc_texts, documents, map_rows, rows_of, stored
+from .common import arrow_schema, doc_texts, documents, map_rows, stored
 
 SAMPLE, NEIGHBOURS = 20_000, 25
 LEAST_DOCS, LEAST_ODDS, BLOCK, PRIOR_WEIGHT = 4, 4.0, 64, 0.25
 #: Of the search over all terms: buckets, those held densely, neighbours.
-WIDTH, HEAD, WIDE_NEIGHBOURS = 1 << 22, 512, 100
-#: Bucket entries that a worker gathers before it hands its partial counts on.
-ENTRIES_AT_ONCE = 2_000_000
+WIDTH, HEAD, WIDE_NEIGHBOURS, WIDE_BLOCK = 1 << 22, 512, 100, 64
+#: Texts that are searched for together.
+TEXTS_AT_ONCE = 256
+#: Words whose buckets a worker keeps.
+WORDS_KEPT = 300_000
 _TERM = re.compile(r"[^\W\d_]{2,}")
 
 
@@ -127,11 +136,79 @@ class Index:
         return found, np.minimum(cosines, 1.0)
 
 
-def hashed(got: Counter) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all terms of a text, ascending, and their counts."""
-    at = np.fromiter((xxhash.xxh32_intdigest(t.encode("utf-8", "surrogatepass")) % WIDTH for t in got), np.int64, len(got))
-    buckets, of = np.unique(at, return_inverse=True)
-    return buckets, np.bincount(of, np.fromiter(got.values(), float, len(got)), len(buckets)).astype(np.int64)
+class Reader(dict):
+    """Texts as vectors.  Terms never span white space, so a text is read by its words
+    and what a word holds is kept (once full, others are read anew): one term's bucket,
+    with its number in the vocabulary, or else a place in ``several``."""
+
+    def __init__(self, words: Iterable[str] = ()):
+        super().__init__()
+        self.known, self.several = {w: k + 1 for k, w in enumerate(words)}, [[]]
+
+    def code(self, term: str) -> int:
+        bucket = xxhash.xxh32_intdigest(term.encode("utf-8", "surrogatepass")) % WIDTH
+        return bucket + WIDTH * self.known.get(term, 0)
+
+    def __missing__(self, word: str) -> int:
+        bare = word[:-1] if word[-1] in ".,;:!?" else word
+        low = bare.lower()
+        if len(low) > 1 and low.isalpha():  # as nearly all words are
+            code = self.code(low)
+        else:
+            codes = [self.code(t) for t in _TERM.findall(word.lower())]
+            code = codes[0] if len(codes) == 1 else -1  # the first of ``several`` is empty
+            if len(codes) > 1:
+                self.several.append(codes)
+                code = -len(self.several)
+        if len(self) < WORDS_KEPT:
+            self[word] = code
+        return code
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets of all terms, ascending, and their counts; numbers of those in the
+        vocabulary, ascending, and theirs."""
+        words = Counter((text or "").split())
+        at, n = np.fromiter(map(self.__getitem__, words), np.int64, len(words)), np.fromiter(words.values(), np.int64, len(words))
+        odd = at < 0
+        if odd.any():
+            more = [(c, k) for code, k in zip(at[odd].tolist(), n[odd].tolist(), strict=True) for c in self.several[-code - 1]]
+            extra = np.array(more, np.int64).reshape(-1, 2)
+            at, n = np.concatenate([at[~odd], extra[:, 0]]), np.concatenate([n[~odd], extra[:, 1]])
+            if len(self.several) > WORDS_KEPT:  # a text's words are read; what they held may go
+                self.clear()
+                self.several = [[]]
+        named = at >= WIDTH
+        return *summed(at % WIDTH, n), *summed(at[named] // WIDTH - 1, n[named])
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys, ascending, and the sum of ``n`` of each."""
+    if not len(keys):
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first].astype(np.int32), np.add.reduceat(n[order], first).astype(np.int32)
+
+
+def blocks_of_similar(rows: np.ndarray, size: int) -> np.ndarray:
+    """An order of ``rows`` in which runs of ``size`` hold similar ones: halves are cut
+    along their main direction until they are that small."""
+    out, todo = [], [np.arange(len(rows))]
+    while todo:
+        at = todo.pop()
+        if len(at) <= size:
+            out.append(at)
+            continue
+        part = rows[at] - rows[at].mean(axis=0)
+        way = np.ones(rows.shape[1], rows.dtype)
+        for _ in range(6):
+            way = part.T @ (part @ way)
+            way /= max(float(np.sqrt((way * way).sum())), 1e-30)
+        half = -(-(len(at) // 2) // size) * size  # whole runs
+        order = np.argsort(part @ way, kind="stable")
+        todo += [at[order[half:]], at[order[:half]]]
+    return np.concatenate(out) if out else np.array([], int)
 
 
 class Wide:
@@ -139,8 +216,9 @@ class Wide:
 
     rows: doc_id, buckets, counts, label; df: documents with each bucket."""
 
-    def __init__(self, rows: list[tuple], df: np.ndarray, n_docs: int, prior: float, k: int = WIDE_NEIGHBOURS):
-        self.df, self.n_docs, self.prior, self.k = df, n_docs, prior, k
+    def __init__(self, rows: list[tuple], df: np.ndarray, n_docs: int, prior: float, k: int = WIDE_NEIGHBOURS, block: int = WIDE_BLOCK):
+        self.idf = (np.log((1.0 + n_docs) / (1.0 + df)) + 1.0).astype(np.float32)
+        self.prior, self.k, self.block = prior, k, block
         entries: dict[tuple, int] = {}
         cols, tfs, counts, ones, self.first, self.own = [], [], [], [], [], {}
         for doc_id, b, n, y in rows:
@@ -162,28 +240,48 @@ class Wide:
         self.ready = False
 
     def weights(self, buckets: np.ndarray, tfs: np.ndarray) -> np.ndarray:
-        return (1 + np.log(tfs)) * (np.log((1.0 + self.n_docs) / (1.0 + self.df[buckets])) + 1.0)
+        return (1 + np.log(tfs)) * self.idf[buckets]
 
     def build(self) -> None:
-        """Where it is used: postings and the dense part, not sent along."""
-        n = len(self.first)
+        """Where it is used: blocks, their bounds and postings, not sent along.
+
+        Places are the examples in the order of blocks; the last block is filled up with
+        places that hold nothing."""
+        n, size = len(self.first), self.block
         row = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.at))
         w = self.weights(self.buckets, self.tfs)
         w /= np.sqrt(np.bincount(row, w * w, n))[row]
-        known, size = np.unique(self.buckets, return_counts=True)
-        head = np.sort(np.argsort(-size, kind="stable")[:HEAD])
+        known, many = np.unique(self.buckets, return_counts=True)
+        head = np.sort(known[np.argsort(-many, kind="stable")[:HEAD]])
         self.head = np.full(WIDTH, -1, np.int16)
-        self.head[known[head]] = np.arange(len(head))
+        self.head[head] = np.arange(len(head))
         here = self.head[self.buckets]
-        self.rows = np.zeros((n, len(head)))
-        self.rows[row[here >= 0], here[here >= 0]] = w[here >= 0]
-        self.dense = np.ascontiguousarray(self.rows.T.astype(np.float32))
+        main = np.flatnonzero((here >= 0) & (here < len(head)))
+        rows = np.zeros((n, len(head)), np.float32)
+        rows[row[main], here[main]] = w[main]
+        self.entry = blocks_of_similar(rows, size)
+        self.n_blocks = -(-n // size)
+        place = np.empty(n, np.int32)
+        place[self.entry] = np.arange(n)
+        self.top, self.dims, self.dense = np.zeros((len(head), self.n_blocks), np.float32), [], []
+        for j in range(self.n_blocks):
+            part = rows[self.entry[j * size : (j + 1) * size]]
+            self.top[:, j] = part.max(axis=0)
+            dims = np.flatnonzero(self.top[:, j])
+            self.dims.append(dims)
+            held = np.zeros((len(dims), size), np.float32)
+            held[:, : len(part)] = part[:, dims].T
+            self.dense.append(held)
+        del rows
+        main = main[np.argsort(place[row[main]], kind="stable")]
+        self.main_at = np.searchsorted(place[row[main]], np.arange(n + 1))
+        self.main_dim, self.main_w = here[main], w[main]
         tail = np.flatnonzero(here < 0)
-        tail = tail[np.argsort(self.buckets[tail], kind="stable")]
-        known, start, size = np.unique(self.buckets[tail], return_index=True, return_counts=True)
+        tail = tail[np.lexsort((place[row[tail]], self.buckets[tail]))]
+        known, start, many = np.unique(self.buckets[tail], return_index=True, return_counts=True)
         self.start, self.size = np.zeros(WIDTH, np.int32), np.zeros(WIDTH, np.int32)
-        self.start[known], self.size[known] = start, size
-        self.post, self.post_w = row[tail], w[tail]
+        self.start[known], self.size[known] = start, many
+        self.post, self.post_w = place[row[tail]], w[tail]
         self.buckets = self.tfs = None
         self.ready = True
 
@@ -192,24 +290,47 @@ class Wide:
         or more, all ties at the last one."""
         if not self.ready:
             self.build()
-        n, unit = len(self.first), []
-        heads = np.zeros((len(queries), len(self.dense)))
+        n, m, size = len(self.first), len(queries), self.block
+        heads, tails = np.zeros((m, len(self.top))), np.zeros((m, self.n_blocks * size))
         for i, (b, tf) in enumerate(queries):
             w = self.weights(b, tf)
-            w = w / max(np.sqrt((w * w).sum()), 1e-300)
-            unit.append((b, w))
+            w /= max(np.sqrt((w * w).sum()), 1e-300)
             h = self.head[b]
             heads[i, h[h >= 0]] = w[h >= 0]
-        rough = heads.astype(np.float32) @ self.dense
-        for head, s, (b, w) in zip(heads, rough, unit, strict=True):
-            start, size = self.start[b], self.size[b]  # sizes are 0 in the head
-            at = np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
-            tail = np.bincount(self.post[at], self.post_w[at] * np.repeat(w, size), n)
-            s = s + tail
-            # k entries stand for k examples or more; rounding is far below 1e-4
-            last = np.partition(s, n - self.k)[n - self.k] - 1e-4 if n > self.k else 0.0
-            found = np.flatnonzero((s > 0) & (s >= last))
-            cos = tail[found] + (self.rows[found] * head).sum(axis=1)
+            start, many = self.start[b], self.size[b]  # none in the head
+            some = many > 0
+            start, many = start[some], many[some]
+            at = np.arange(many.sum(), dtype=np.int32) + np.repeat(start - np.cumsum(many, dtype=np.int32) + many, many)
+            tails[i] = np.bincount(self.post[at], self.post_w[at] * np.repeat(w[some], many), self.n_blocks * size)
+        rough_heads, off = heads.astype(np.float32), np.float32(1e-4)  # rounding is far below
+        bound = rough_heads @ self.top + tails.reshape(m, self.n_blocks, size).max(axis=2).astype(np.float32) + off
+        rough, by_dim = np.full((m, self.n_blocks, size), -1, np.float32), np.ascontiguousarray(rough_heads.T)
+
+        def visit(todo: np.ndarray) -> None:  # query, block: whether to compute
+            for j in np.flatnonzero(todo.any(axis=0)):
+                who = np.flatnonzero(todo[:, j])
+                rough[who, j] = by_dim[self.dims[j]].take(who, axis=1).T @ self.dense[j] + tails[who, j * size : (j + 1) * size]
+
+        # k entries stand for k examples or more: the best blocks' k-th is a bound for the rest
+        seen = min(self.n_blocks, -(-self.k // size) + 1)
+        best = np.argpartition(-bound, seen - 1, axis=1)[:, :seen]
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, best, True, axis=1)
+        visit(first)
+        got = np.take_along_axis(rough, best[:, :, None], axis=1).reshape(m, -1)
+        last = np.partition(got, got.shape[1] - self.k, axis=1)[:, got.shape[1] - self.k] - off if got.shape[1] > self.k else np.zeros(m, np.float32)
+        visit(~first & (bound > np.maximum(last, off)[:, None]))
+        for i in range(m):
+            scores = rough[i].ravel()
+            found = np.flatnonzero(scores >= max(last[i], 1e-9))
+            if len(found) > self.k:
+                found = found[scores[found] >= np.partition(scores[found], len(found) - self.k)[len(found) - self.k] - off]
+            found = found[found < n]
+            many = self.main_at[found + 1] - self.main_at[found]
+            at = np.arange(many.sum()) + np.repeat(self.main_at[found] - np.cumsum(many) + many, many)
+            of = np.repeat(np.arange(len(found)), many)
+            cos = tails[i, found] + np.bincount(of, self.main_w[at] * heads[i, self.main_dim[at]], len(found))
+            found = self.entry[found]
             rank = np.lexsort((found, -cos))
             found, cos = found[rank], cos[rank]
             at_k = int(np.searchsorted(np.cumsum(self.counts[found]), self.k))
@@ -218,9 +339,9 @@ class Wide:
                 found, cos = found[keep], cos[keep]
             yield found, np.minimum(cos, 1.0)
 
-    def votes(self, doc_ids: list, found_terms: list[Counter]) -> Iterator[tuple[float, float, int | None, float]]:
+    def votes(self, doc_ids: list, queries: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, float, int | None, float]]:
         """Vote, the vote without the document's own examples, evidence, its cosine."""
-        for doc_id, (found, cos) in zip(doc_ids, self.nearest([hashed(t) for t in found_terms]), strict=True):
+        for doc_id, (found, cos) in zip(doc_ids, self.nearest(queries), strict=True):
             n, y = self.counts[found], self.ones[found]
 
             def vote(n, y, cos=cos):
@@ -238,9 +359,9 @@ class Wide:
             yield full, left, self.first[found[best]] if best >= 0 else None, float(cos[best]) if best >= 0 else 0.0
 
 
-def logit(p: float) -> float:
-    p = min(max(p, 1e-6), 1 - 1e-6)
-    return float(np.log(p / (1 - p)))
+def logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p / (1 - p))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 0.1) -> np.ndarray:
@@ -255,55 +376,81 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 0.1)
     return w
 
 
-@dataclass
-class Model:
-    idf: np.ndarray
-    index: Index | None
-    ones: np.ndarray  # of each entry: examples with label 1
-    counts: np.ndarray  # examples
-    prior: float
-    none: float  # score of texts without a vocabulary term
-    xs: np.ndarray
-    ys: np.ndarray
-    k: int = NEIGHBOURS
-    first: list = field(default_factory=list)  # a doc_id of each entry, for evidence
-    joint: np.ndarray | None = None  # weights of: 1, no vocabulary term, both votes
+class Narrow:
+    """Votes of the nearest examples over the vocabulary.
+
+    rows: doc_id, term ids, counts, label; df: documents with each term."""
+
+    def __init__(self, rows: list[tuple], df: np.ndarray, n_docs: int, prior: float, k: int = NEIGHBOURS):
+        self.idf, self.prior, self.k = np.log((1.0 + n_docs) / (1.0 + df)) + 1.0, prior, k
+        entries: dict[tuple, int] = {}
+        vectors, ones, counts, self.first, self.own = [], [], [], [], {}
+        for doc_id, ids, tfs, y in rows:
+            if not len(ids):
+                continue
+            key = tuple(zip(ids, tfs, strict=True))
+            if key not in entries:
+                entries[key] = len(vectors)
+                vectors.append(self.vector(ids, tfs))
+                ones.append(0)
+                counts.append(0)
+                self.first.append(doc_id)
+            ones[entries[key]] += y
+            counts[entries[key]] += 1
+            self.own.setdefault(doc_id, []).append((entries[key], y))
+        self.index, self.ones, self.counts, self.memo = Index(vectors), np.array(ones, float), np.array(counts, float), {}
 
     def vector(self, ids, tfs) -> dict[int, float]:
         w = {t: (1 + np.log(n)) * self.idf[t] for t, n in zip(ids, tfs, strict=True)}
         norm = np.sqrt(sum(x * x for x in w.values()))
-        return {t: float(x / norm) for t, x in w.items()} if norm > 0 else {}
+        return {t: float(x / norm) for t, x in w.items()}
 
-    def vote(self, query: dict[int, float], leave: tuple[int, int] | None = None) -> tuple[float, int, float]:
-        """Vote, the entry with most weight (-1: none), its cosine.  ``leave``: an
-        entry and a label that count one less."""
-        found, cos = self.index.nearest(query, self.k, self.counts) if self.index else (np.array([], int), np.array([]))
+    def votes(self, doc_id, ids: tuple, tfs: tuple) -> tuple[float | None, float | None, int | None, float]:
+        """Vote, the vote without the document's own examples, evidence, its cosine;
+        no votes without a vocabulary term that an example has."""
+        if not ids:
+            return None, None, None, 0.0
+        if (ids, tfs) not in self.memo:
+            if len(self.memo) >= 50_000:
+                self.memo.clear()
+            self.memo[ids, tfs] = self.index.nearest(self.vector(ids, tfs), self.k, self.counts)
+        found, cos = self.memo[ids, tfs]
         if not len(found):
-            return self.none, -1, 0.0
-        n, y, w = self.counts[found].astype(float), self.ones[found].astype(float), cos**4
-        if leave is not None:
-            here = found == leave[0]
-            n[here] -= 1
-            y[here] -= leave[1]
-        share = min(1.0, self.k / max(n.sum(), 1.0))  # ties may be many; they vote as k would
-        up, all_ = share * (w * y).sum(), share * (w * n).sum()
-        best = int(np.argmax(w * n))
-        return (up + PRIOR_WEIGHT * self.prior) / (all_ + PRIOR_WEIGHT), int(found[best]), float(cos[best])
+            return None, None, None, 0.0
+        n, y, w = self.counts[found], self.ones[found], cos**4
 
-    def parts(self, ids, tfs, leave: tuple[int, int] | None = None) -> tuple[bool, float, int, float]:
-        """Has vocabulary terms, and ``vote``."""
-        v = self.vector(ids, tfs)
-        return bool(v) and self.index is not None, *(self.vote(v, leave) if v else (self.none, -1, 0.0))
+        def vote(n, y):
+            share = min(1.0, self.k / max(n.sum(), 1.0))  # ties may be many; they vote as k would
+            return float((share * (w * y).sum() + PRIOR_WEIGHT * self.prior) / (share * (w * n).sum() + PRIOR_WEIGHT))
 
-    def score(self, has: bool, raw: float, wide: float) -> float:
-        """Of both votes."""
-        if self.joint is None:
-            return self.none
-        return float(np.interp(float(np.dot(joined(has, raw, wide), self.joint)), self.xs, self.ys))
+        full, best = vote(n, y), int(np.argmax(w * n))
+        left = full
+        if doc_id in self.own:
+            n, y = n.copy(), y.copy()
+            for e, label in self.own[doc_id]:
+                n[found == e] -= 1
+                y[found == e] -= label
+            left = vote(n, y)
+        return full, left, self.first[found[best]], float(cos[best])
 
 
-def joined(has: bool, raw: float, wide: float) -> list[float]:
-    return [1.0, float(not has), logit(raw) if has else 0.0, logit(wide)]
+@dataclass
+class Model:
+    """What joins both votes: weights of 1, no vocabulary vote, and the votes' logits;
+    then the knots of the calibration."""
+
+    joint: np.ndarray
+    xs: np.ndarray
+    ys: np.ndarray
+
+    def score(self, narrow: np.ndarray, wide: np.ndarray) -> np.ndarray:
+        """``narrow`` is nan where the vocabulary has no vote."""
+        return np.interp(joined(narrow, wide) @ self.joint, self.xs, self.ys)
+
+
+def joined(narrow: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    none = np.isnan(narrow)
+    return np.stack([np.ones(len(wide)), none.astype(float), np.where(none, 0.0, logit(np.where(none, 0.5, narrow))), logit(wide)], axis=1)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -321,42 +468,13 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return xs[keep], ys[keep]
 
 
-def train(examples: list[tuple[int, list, list, int, float]], df: np.ndarray, n_docs: int, k: int = NEIGHBOURS) -> Model:
-    """examples: doc_id, term ids, counts, label, vote over all terms without
-    itself; df: documents with each term."""
-    labels = np.array([y for *_, y, _ in examples], float)
-    prior = float(labels.mean()) if len(labels) else 0.0
-    idf = np.log((1.0 + n_docs) / (1.0 + df)) + 1.0
-    model = Model(idf, None, np.array([]), np.array([]), prior, prior, np.array([0.0, 1.0]), np.array([0.0, 1.0]), k)
-    if not 0 < prior < 1:
-        return model
-    entries: dict[tuple, int] = {}
-    vectors, ones, counts, first, of = [], [], [], [], []
-    for doc_id, ids, tfs, y, _ in examples:
-        if not ids:
-            of.append(None)
-            continue
-        key = tuple(sorted(zip(ids, tfs, strict=True)))
-        if key not in entries:
-            entries[key] = len(vectors)
-            vectors.append(model.vector(ids, tfs))
-            ones.append(0)
-            counts.append(0)
-            first.append(doc_id)
-        e = entries[key]
-        ones[e] += y
-        counts[e] += 1
-        of.append((e, y))
-    if vectors:
-        model.index, model.ones, model.counts, model.first = Index(vectors), np.array(ones), np.array(counts), first
-    # leave-one-out votes; the same entry and label give the same vote
-    memo = {p: model.vote(vectors[p[0]], p)[0] for p in set(of) if p is not None}
-    x = np.array([joined(p is not None, memo.get(p, prior), wide) for p, (*_, wide) in zip(of, examples, strict=True)])
-    model.joint = logistic(x, labels)
-    xs, ys = isotonic(np.array([float(np.dot(r, model.joint)) for r in x]), labels)
+def train(narrow: np.ndarray, wide: np.ndarray, labels: np.ndarray) -> Model:
+    """From the examples' leave-one-out votes."""
+    x, y = joined(narrow, wide), labels.astype(float)
+    joint = logistic(x, y)
+    xs, ys = isotonic(x @ joint, y)
     # two pseudo-examples at each end keep scores off 0 and 1
-    model.xs, model.ys = xs, np.clip(ys, 0.5 / (len(of) + 1), 1 - 0.5 / (len(of) + 1))
-    return model
+    return Model(joint, xs, np.clip(ys, 0.5 / (len(y) + 1), 1 - 0.5 / (len(y) + 1)))
 
 
 # ---------------------------------------------------------------------- Spark
@@ -397,106 +515,109 @@ def vocabulary(texts: DataFrame, y: DataFrame) -> list[str]:
     return [t for _, t in ranked]
 
 
-def bucket_counts(texts: DataFrame) -> np.ndarray:
-    """Documents with each bucket, over all documents; where one or none has it, 1."""
+VECTORS = "doc_id bigint, buckets array<int>, tfs array<int>, ids array<int>, ns array<int>"
+
+
+def vectors(texts: DataFrame, words: list[str]) -> DataFrame:
+    """doc_id; buckets and counts of all terms of every text; ids and counts of those
+    in the vocabulary."""
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+
+    def make():
+        reader = Reader(shared.value)
+        return lambda doc_id, text: (doc_id, *reader.vector(text))
+
+    return map_rows(texts, make, VECTORS)
+
+
+def bucket_counts(made: DataFrame) -> np.ndarray:
+    """Documents with each bucket, over all documents; 1 where one or none has it."""
     struct, schema = arrow_schema("bucket int, n int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def handed_on():
-            buckets, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(n, pa.int32())], schema=schema)
-
-        for rows in rows_of(batches):
-            held += [hashed(terms(text))[0] for (text,) in rows]
-            size += sum(map(len, held[-len(rows) :]))
-            if size >= ENTRIES_AT_ONCE:
-                yield handed_on()
-                held, size = [], 0
-        if held:
-            yield handed_on()
-
-    got = texts.select("text").mapInArrow(run, struct).groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").toArrow()  # WIDTH rows at most
+        n = np.zeros(WIDTH, np.int32)
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy()
+            for at in range(0, len(flat), WIDTH):
+                n += np.bincount(flat[at : at + WIDTH], minlength=WIDTH).astype(np.int32)
+        here = np.flatnonzero(n)
+        for at in range(0, len(here), 1 << 16):
+            part = here[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(n[part], pa.int32())], schema=schema)
+
+    got = made.select("buckets").mapInArrow(run, struct).groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").toArrow()  # WIDTH rows at most
     df = np.ones(WIDTH, np.int32)
     df[got["bucket"].to_numpy()] = got["n"].to_numpy()
     return df
 
 
-def wide_index(texts: DataFrame, y: DataFrame, n_docs: int) -> Wide | None:
-    """The index of the examples over all terms; None without both classes."""
-    made = map_rows(
-        texts.join(F.broadcast(y), "doc_id").select("doc_id", "text", "toxic"),
-        lambda: lambda doc_id, text, toxic: (doc_id, *(x.tolist() for x in hashed(terms(text))), toxic),
-        "doc_id bigint, buckets array<int>, tfs array<int>, toxic int",
-    )
-    got = made.toArrow()
+def indexes(made: DataFrame, y: DataFrame, words: list[str], n_docs: int) -> tuple[Narrow, Wide] | float:
+    """The examples' two indexes; without both classes, the share of label 1."""
+    got = made.join(F.broadcast(y), "doc_id").toArrow()  # SAMPLE ids at most
+    column = lambda c: [x.values.to_numpy(zero_copy_only=False) if x.values is not None else np.zeros(0, np.int32) for x in got[c]]
     rows: dict = {}
-    for i, toxic in enumerate(got["toxic"].to_pylist()):
-        b, n = (got[c][i].values.to_numpy(zero_copy_only=False) for c in ("buckets", "tfs"))
-        rows[got["doc_id"][i].as_py(), b.tobytes(), n.tobytes()] = (b, n, toxic)
-    ordered = [(k[0], *rows[k]) for k in sorted(rows)]
+    for doc_id, label, b, n, i, k in zip(got["doc_id"].to_pylist(), got["toxic"].to_pylist(), *map(column, ("buckets", "tfs", "ids", "ns")), strict=True):
+        rows[doc_id, b.tobytes(), n.tobytes()] = (doc_id, b, n, tuple(i.tolist()), tuple(k.tolist()), label)
+    ordered = [rows[k] for k in sorted(rows)]
     prior = float(np.mean([r[-1] for r in ordered])) if ordered else 0.0
-    return Wide(ordered, bucket_counts(texts), n_docs, prior) if 0 < prior < 1 else None
+    if not 0 < prior < 1:
+        return prior
+    df = np.zeros(max(1, len(words)))
+    for r in made.select(F.explode("ids").alias("t")).groupBy("t").count().collect():  # a row for each vocabulary term
+        df[r["t"]] = r["count"]
+    narrow = Narrow([(d, i, k, label) for d, _, _, i, k, label in ordered], df, n_docs, prior)
+    return narrow, Wide([(d, b, n, label) for d, b, n, _, _, label in ordered], bucket_counts(made), n_docs, prior)
+
 
+VOTES = "doc_id bigint, narrow double, narrow_left double, wide double, wide_left double, evidence_doc bigint, evidence_cosine double"
 
-def reduced(texts: DataFrame, words: list[str], wide: Wide | None) -> DataFrame:
-    """doc_id, ids, tfs: counts of the vocabulary's terms in every text; vote, left,
-    near, near_cosine: of the search over all terms."""
-    shared = texts.sparkSession.sparkContext.broadcast(({w: k for k, w in enumerate(words)}, wide))
-    struct, schema = arrow_schema("doc_id bigint, ids array<int>, tfs array<int>, vote double, left double, near bigint, near_cosine double")
+
+def both_votes(made: DataFrame, both: tuple[Narrow, Wide]) -> DataFrame:
+    shared = made.sparkSession.sparkContext.broadcast(both)
+    struct, schema = arrow_schema(VOTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, index = shared.value
-        for rows in rows_of(batches):
-            out = []
-            got = [terms(text) for _, text in rows]
-            votes = index.votes([i for i, _ in rows], got) if index else ((0.0, 0.0, None, 0.0) for _ in rows)
-            for (doc_id, _), has, more in zip(rows, got, votes, strict=True):
-                ids = sorted((known[t], has[t]) for t in has.keys() & known.keys())
-                out.append((doc_id, [k for k, _ in ids], [n for _, n in ids], *more))
-            yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        narrow, wide = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
+                doc_ids = part.column(0).to_pylist()
+                lists = [[x.values.to_numpy() for x in part.column(c)] for c in (1, 2)]
+                out = []
+                for doc_id, ids, ns, far in zip(doc_ids, part.column(3).to_pylist(), part.column(4).to_pylist(), wide.votes(doc_ids, list(zip(*lists, strict=True))), strict=True):
+                    near = narrow.votes(doc_id, tuple(ids), tuple(ns))
+                    out.append((doc_id, *near[:2], *far[:2], *(near[2:] if near[0] is not None else far[2:])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return texts.mapInArrow(run, struct)
+    return made.mapInArrow(run, struct)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence_doc, evidence_cosine."""
-    spark = docs.sparkSession
     texts = doc_texts(docs)
     y = stored(examples_of(labels, sample), "examples")
     words = vocabulary(texts, y)
-    n_docs = texts.count()
-    counts = stored(reduced(texts, words, wide_index(texts, y, n_docs)), "counts")
-    df = np.zeros(max(1, len(words)))
-    for r in counts.select(F.explode("ids").alias("t")).groupBy("t").count().collect():  # a row for each vocabulary term
-        df[r["t"]] = r["count"]
-    rows = counts.join(F.broadcast(y), "doc_id").select("doc_id", "ids", "tfs", "toxic", "left").collect()
-    rows = sorted({(r["doc_id"], tuple(r["ids"]), tuple(r["tfs"]), r["toxic"], r["left"]) for r in rows})
-    model = train([(d, list(i), list(t), c, v) for d, i, t, c, v in rows], df, n_docs)
-    shared = spark.sparkContext.broadcast(model)
+    made = stored(vectors(texts, words), "vectors")
+    both = indexes(made, y, words, made.count())
+    if isinstance(both, float):
+        score = F.lit(both)
+        return made.select(
+            "doc_id", held_out().alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"),
+            F.lit(None).cast("bigint").alias("evidence_doc"), F.lit(0.0).alias("evidence_cosine"),
+        )
+    votes = stored(both_votes(made, both), "votes")
+    own = votes.join(F.broadcast(y), "doc_id").select("doc_id", "narrow_left", "wide_left", "toxic").distinct().toArrow()
+    own = own.sort_by([(c, "ascending") for c in own.column_names])  # the same sums whatever order rows came in
+    model = train(own["narrow_left"].to_numpy(), own["wide_left"].to_numpy(), own["toxic"].to_numpy())
+    struct, schema = arrow_schema("doc_id bigint, score double, evidence_doc bigint, evidence_cosine double")
 
-    def make():
-        m, memo = shared.value, {}
-
-        def row(doc_id, ids, tfs, vote, near, near_cosine):
-            key = (tuple(ids), tuple(tfs))
-            got = memo.get(key)
-            if got is None:
-                if len(memo) >= 50_000:
-                    memo.clear()
-                got = memo[key] = m.parts(ids, tfs)
-            has, raw, entry, cos = got
-            s = m.score(has, raw, vote)
-            return doc_id, s, int(s >= 0.5), *((m.first[entry], cos) if entry >= 0 else (near, near_cosine))
-
-        return row
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            scores = model.score(b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), b.column(3), b.column(4)], schema=schema)
 
-    made = map_rows(
-        counts.select("doc_id", "ids", "tfs", "vote", "near", "near_cosine"), make,
-        "doc_id bigint, score double, predicted int, evidence_doc bigint, evidence_cosine double",
-    )
-    return made.select("doc_id", held_out().alias("held_out"), "score", "predicted", "evidence_doc", "evidence_cosine")
+    out = votes.select("doc_id", "narrow", "wide", "evidence_doc", "evidence_cosine").mapInArrow(run, struct)
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence_doc", "evidence_cosine")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
