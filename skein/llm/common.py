@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import atexit
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import wraps
@@ -27,46 +26,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from skein.sources.folders import drop_path, shared_folder
+
 #: Rows turned into Python objects at once in an Arrow pass; bounds a worker's
 #: memory to so many texts however large Arrow's batches are.
 ROWS_AT_ONCE = 128
 
-#: Largest table, in rows of a few numbers, that is broadcast; larger ones are
-#: joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Largest table, in bytes as ``row_bytes`` counts them, that is broadcast; larger
+#: ones are joined by a shuffle.
+BROADCAST_BYTES = 24_000_000
+
+#: Parts that the rows of a key are dealt to where a key may hold most rows.
+SALTS = 64
 
 _made: list[tuple[SparkSession, str]] = []
 
 
 # --------------------------------------------------------------- shared tables
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of
-    the session, or a temporary one (local mode only) where that is unset."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None)
-    if set_to:
-        return set_to.rstrip("/")
-    now = spark.sparkContext.getCheckpointDir()
-    if not now:
-        now = "file://" + tempfile.mkdtemp(prefix="skein-")
-        spark.sparkContext.setCheckpointDir(now)
-    return now.rstrip("/")
-
-
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, deleted when the driver exits."""
     if not _made:
         atexit.register(_drop_made)
-    path = f"{shared_dir(spark)}/skein-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/skein-{label}-{uuid.uuid4().hex}"
     _made.append((spark, path))
     return path
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def _drop_made() -> None:
     for spark, path in _made:
         try:
@@ -84,10 +69,33 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if its counted rows allow it; else unchanged,
-    so that the join shuffles."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def row_bytes(df: DataFrame) -> int:
+    """Bytes of a row whose columns are numbers; frames with strings or arrays
+    are measured by their callers."""
+    wide = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.NumericType, T.BooleanType))]
+    if wide:
+        raise ValueError(f"the width of {', '.join(wide)} is not known beforehand")
+    return 8 * len(df.columns)
+
+
+def small_or_shuffled(df: DataFrame, rows: int, width: float | None = None) -> DataFrame:
+    """``df`` marked for broadcast if its counted rows, ``width`` bytes each, allow
+    it; else unchanged, so that the join shuffles."""
+    return F.broadcast(df) if rows * (row_bytes(df) if width is None else width) <= BROADCAST_BYTES else df
+
+
+def beside_group(df: DataFrame, key: list[str], salt: Column, partial: list[Column], final: list[Column]) -> DataFrame:
+    """``df`` (a stored table) with aggregates over each ``key``'s rows beside it.
+
+    ``partial`` makes aggregates of a part of a key's rows and ``final`` puts those
+    together under the names that are added.  A key that holds most rows is one task
+    neither in the sums (each part's row is made before the shuffle) nor in the join,
+    which goes by key and part."""
+    salted = df.withColumn("__sk_salt", F.pmod(salt, F.lit(SALTS)))
+    parts = salted.groupBy(*key, "__sk_salt").agg(*partial)
+    whole = parts.groupBy(*key).agg(*final)
+    told = parts.select(*key, "__sk_salt").join(whole, key)  # SALTS rows a key at most
+    return salted.join(told, [*key, "__sk_salt"]).drop("__sk_salt")
 
 
 # -------------------------------------------------------------------- row keys
@@ -187,8 +195,8 @@ def components(edges: DataFrame, label: str = "cc", most_rounds: int = 60) -> Da
     the smallest node of its component.  Alternates large-star and small-star
     contraction, so the rounds grow with the logarithm of the largest component
     rather than its diameter.  All state stays in shared tables; the driver sees
-    one checksum a round.  A star's centre may hold most edges: minima are
-    aggregated before the shuffle, and the join back is one that Spark splits.
+    one checksum a round.  A star's centre may hold most edges, so minima come by
+    ``beside_group``.
     """
     now = stored(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{label}-0"
@@ -199,12 +207,13 @@ def components(edges: DataFrame, label: str = "cc", most_rounds: int = 60) -> Da
 
     seen = checksum(now)
     for k in range(1, most_rounds + 1):
-        both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = beside_group(both, ["u"], F.xxhash64("v"), [F.min("v").alias("m")], [F.least("u", F.min("m")).alias("m")])
+        large = low.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stored(large.where("u <> v").distinct(), f"{label}-large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = beside_group(large, ["u"], F.xxhash64("v"), [F.min("v").alias("m")], [F.min("m").alias("m")])
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         nxt = stored(small.union(least.select("u", "m")).distinct(), f"{label}-{k}")
         sums = checksum(nxt)
         if sums == seen:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, doc_texts, documents, map_rows, row_keys, shielded, small_or_shuffled, stored
+from .common import SALTS, beside_group, components, documents, map_rows, row_keys, shielded, small_or_shuffled, stored
 
 WIDTH, SEED, MOST_BITS = 4, 42, 4
 BLOCK, SMALL = 2048, 16
@@ -61,10 +61,9 @@ def fingerprint(text: str | None, width: int = WIDTH, seed: int = SEED) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and the given row keys."""
-    keys = [c for c in docs.columns if c in ("__sk_k1", "__sk_k2")]
-    kept = doc_texts(docs) if not keys else docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keys)
+def fingerprints(docs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp and the columns named by ``keys`` (bigint)."""
+    kept = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keys)
     ddl = "doc_id bigint, fp bigint" + "".join(f", {k} bigint" for k in keys)
     return map_rows(kept, lambda: lambda i, t, *k: (i, fingerprint(t), *k), ddl)
 
@@ -190,31 +189,48 @@ def near_edges(fps: DataFrame, most: int = MOST_BITS, block: int = BLOCK) -> Dat
 
 
 def near_components(prints: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """``prints`` (doc_id, fp, row keys) with component_id and __sk_root."""
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fps")
-    roots = stored(components(near_edges(nodes, most), "simhash"), "roots")
+    """``prints`` (doc_id, fp, further columns) with component_id and __sk_root.
+
+    A fingerprint may be that of a third of all documents and a component may hold as
+    many fingerprints: documents find their fingerprint by (fp, part), a part being
+    one of ``SALTS``, and components get their smallest id by ``beside_group``."""
+    # stored: a row's part must be the same wherever it is read
+    prints = stored(prints.withColumn("__sk_part", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))), "prints")
+    parts = stored(prints.groupBy("fp", "__sk_part").agg(F.min("doc_id").alias("first_id")), "parts")
+    nodes = stored(parts.groupBy("fp").agg(F.min("first_id").alias("first_id")), "fps")
+    roots = stored(components(near_edges(nodes.select("fp"), most), "simhash"), "roots")
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("__sk_root"))
-    rooted = stored(rooted, "rooted")
-    lowest = rooted.groupBy("__sk_root").agg(F.min("first_id").alias("component_id"))
-    return prints.join(rooted.join(lowest, "__sk_root").select("fp", "__sk_root", "component_id"), "fp")
+    lowest = [F.min("first_id").alias("__sk_low")], [F.min("__sk_low").alias("component_id")]
+    named = beside_group(stored(rooted, "rooted"), ["__sk_root"], F.xxhash64("fp"), *lowest)
+    told = parts.select("fp", "__sk_part").join(named.select("fp", "__sk_root", "component_id"), "fp")
+    return prints.join(told, ["fp", "__sk_part"]).drop("__sk_part")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prints = stored(fingerprints(documents(spark, sf_dir)), "prints")
+    prints = fingerprints(documents(spark, sf_dir))
     return near_components(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 @shielded
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group stays, the one with the smallest
-    doc_id (nulls last), then the smallest row hash; whole rows."""
-    keyed = docs.withColumns({"__sk_k1": row_keys("doc_id", "text")[0], "__sk_k2": row_keys("doc_id", "text")[1]})
-    prints = stored(fingerprints(keyed), "prints")
-    grouped = near_components(prints)
-    stay = grouped.groupBy("__sk_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__sk_k1", "__sk_k2")).alias("s"))
-    stay = stored(stay.select("s.__sk_k1", "s.__sk_k2"), "stay")
+    doc_id (nulls last), then the smallest row hash; whole rows.
+
+    Most rows stay, so that those which go are taken out by their keys and whole rows
+    aren't shuffled; only rows that stand there repeatedly (equal doc_id and text) are
+    brought together."""
     keys = ["__sk_k1", "__sk_k2"]
-    return keyed.join(stay, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    keyed = docs.withColumns(dict(zip(keys, row_keys("doc_id", "text"), strict=True)))
+    grouped = near_components(fingerprints(keyed, tuple(keys)))
+    rows = stored(grouped.groupBy("__sk_root", "doc_id", *keys).agg(F.count("*").alias("n")), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *keys)
+    first = beside_group(rows, ["__sk_root"], F.xxhash64(*keys), [F.min(order).alias("s")], [F.min("s").alias("s")])
+    stays = (F.col("s.__sk_k1") == F.col("__sk_k1")) & (F.col("s.__sk_k2") == F.col("__sk_k2"))
+    marks = stored(first.withColumn("stays", stays).where("not stays or n > 1").select(*keys, "stays"), "marks")
+    marked = keyed.join(small_or_shuffled(marks, marks.count()), keys, "left")
+    once = marked.where("stays is null").select(*docs.columns)
+    again = marked.where("stays").dropDuplicates(keys).select(*docs.columns)
+    return once.unionAll(again)
 
 
 QUERIES = {"op6_simhash": op6_simhash}
