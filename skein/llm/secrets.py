@@ -1,26 +1,44 @@
 """Operator 3: secret scans by dictionary-primed zstandard novelty.
 
-Base patterns find assignments, access keys and long hex runs.  The method adds
-candidates in sensitive context: runs of 16 or more key characters with a
-sensitive word shortly before them on the same line.  Each candidate is measured
-by the bytes that it adds to a zstandard frame whose dictionary holds common
-identifiers and whose content already holds the surrounding code; what a
-compressor that knows the surroundings can't shorten is reported.
-
-Defined results: a null text is empty; empty texts have no span and the hash of
-the empty string.  Spans are code-point offsets, end exclusive.  Overlapping
-spans of different kinds are all kept; a novelty span that overlaps a base span
-isn't added again.  Texts of any length are scanned whole.
+Base patterns find assignments, access keys and long hex runs.  The method takes as
+candidates all maximal runs of 16 or more key characters in sensitive context: a
+sensitive word stands within ``reach`` characters before or behind the run (line ends
+don't matter), or nothing but white space parts it from a run that is in context, as
+in the body of a private key.  Each candidate, and the value of each base span, is
+measured by the bytes that it adds to a zstandard frame whose dictionary holds the
+corpus' identifiers and whose content already holds the ``around`` characters on both
+sides.  A candidate that adds ``novel`` bytes or more for each of its characters is
+reported; base spans are reported anyway and carry their measure.
+
+The dictionary is learned: the words of all documents that have a sensitive word are
+counted, and the ``WORDS`` found in most documents, with a short list chosen here,
+train it, code tables included.  Partial counts come from Arrow passes; the driver
+gets the words that train.
+
+Bounds that are parameters: ``reach`` and ``around`` say what context and
+surroundings are, and the dictionary has ``WORDS`` words.  Every run in context is
+measured, whatever its length, and once.
+
+Defined results: a null text is empty; empty texts have no span and the hash of the
+empty string.  Spans are code-point offsets, end exclusive.  Overlapping spans of
+different kinds are all kept; a novelty span that overlaps a base span isn't added.
+Texts of any length are scanned whole.  Repeated rows get a row each.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import doc_texts, documents, map_rows
+from .common import arrow_schema, doc_texts, documents, map_rows, rows_of
 
 #: The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -29,14 +47,15 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-#: Words that make their line sensitive, and the identifiers and
-#: phrases that prime the dictionary.
+#: Chosen: words that make what stands near them sensitive.
 SENSITIVE = re.compile(
     r"(?:api|access|auth|private|signing|encryption|session|client|bearer|master|deploy|ssh)[_ -]?(?:key|token|secret|id|hash)"
     r"|password|passwd|passphrase|secret|token|credential|bearer|api_?key", re.I | re.A
 )
+#: Every sensitive word has one of these.
+_STEMS = ("pass", "secret", "token", "key", "cred", "bearer", "_id", "-id", " id", "hash", "authid", "accessid", "apiid", "clientid", "sessionid")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-KEY_CHARS = re.compile(r"[A-Za-z0-9+/_=-]*")
+#: Chosen: phrases that prime the dictionary whatever the corpus.
 IDENTIFIERS = (
     "import export return function class public private static const string integer boolean "
     "configuration application environment connection database username password passwd secret token "
@@ -48,7 +67,12 @@ IDENTIFIERS = (
     "ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz 0123456789 0123456789abcdef "
     "getenv os.environ process.env settings.get default_value description documentation "
 )
-REACH, AROUND, NOVEL = 48, 256, 0.62
+REACH, AROUND, NOVEL = 64, 256, 0.64
+#: Words that train the dictionary, its bytes, and the compressor's level.
+WORDS, DICTIONARY, LEVEL = 8000, 1 << 15, 19
+#: What is counted for the dictionary, and how many a worker counts at once.
+_PIECE = re.compile(r"[^\W\d_]{3,}")
+PIECES_AT_ONCE = 100_000
 
 
 def runs(pattern: re.Pattern, text: str, least: int) -> list[tuple[int, int]]:
@@ -76,45 +100,68 @@ def _hex_runs(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _LONG_HEX.finditer(text)]
 
 
+def primer(words: list[str], size: int = DICTIONARY) -> bytes:
+    """A zstandard dictionary, with its code tables, trained on lines of the words and
+    of IDENTIFIERS.  The same words give the same dictionary."""
+    import zstandard
+
+    rng, chosen = random.Random(0), IDENTIFIERS.split()
+    lines = [" ".join(rng.choices(words if words and k % 5 else chosen, k=16)).encode("utf-8", "replace") for k in range(4000)]
+    return zstandard.train_dictionary(size, lines, level=LEVEL).as_bytes()
+
+
 class Novelty:
     """Marginal compressed bytes of a string, given its surroundings."""
 
-    def __init__(self, identifiers: str = IDENTIFIERS, level: int = 6):
+    def __init__(self, prime: bytes):
         import zstandard
 
-        prime = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.frame = zstandard.ZstdCompressor(level=level, dict_data=prime, write_content_size=False, write_checksum=False)
+        known = zstandard.ZstdCompressionDict(prime)
+        known.precompute_compress(level=LEVEL)
+        self.frame = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_checksum=False)
 
     def bytes_added(self, before: str, candidate: str, after: str) -> int:
-        around = (before + "\n" + after).encode("utf-8", "surrogatepass")
+        around = (after + "\n" + before).encode("utf-8", "surrogatepass")
         return len(self.frame.compress(around + candidate.encode("utf-8", "surrogatepass"))) - len(self.frame.compress(around))
 
     def share(self, before: str, candidate: str, after: str) -> float:
         """Added bytes for each character of the candidate."""
-        return self.bytes_added(before, candidate, after) / max(1, len(candidate))
-
-
-def novel_spans(text: str, low: str, taken: list[tuple[str, int, int]], novelty: Novelty, least: float = NOVEL) -> list[tuple[str, int, int]]:
-    """Candidates in sensitive context that their surroundings don't explain."""
-    if not any(w in low for w in ("pass", "secret", "token", "key", "cred", "bearer", "auth")):
-        return []
-    out, seen = [], set()
-    for m in SENSITIVE.finditer(text):
-        line_end = text.find("\n", m.end())
-        line_end = len(text) if line_end < 0 else line_end
-        # starts within reach show in so many characters; ends may lie beyond
-        for c in CANDIDATE.finditer(text, m.end(), min(m.end() + REACH + 16, line_end)):
-            a, b = c.start(), KEY_CHARS.match(text, c.start(), line_end).end()
-            if a >= m.end() + REACH:
-                break
-            if a in seen or any(x < b and a < y for _, x, y in taken):
-                continue
-            seen.add(a)
-            word = text[a:b]
-            if not (any("0" <= ch <= "9" for ch in word) and any(ch.isalpha() for ch in word)):
-                continue
-            if novelty.share(text[max(0, a - AROUND) : a], word, text[b : b + AROUND]) >= least:
-                out.append(("novel", a, b))
+        return max(0, self.bytes_added(before, candidate, after)) / max(1, len(candidate))
+
+    def at(self, text: str, a: int, b: int, around: int = AROUND) -> float:
+        return self.share(text[max(0, a - around) : a], text[a:b], text[b : b + around])
+
+
+def in_context(text: str, reach: int = REACH) -> Iterator[tuple[int, int]]:
+    """Maximal runs of key characters near a sensitive word, or following such a run."""
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    if not words:
+        return
+    starts, ended = [a for a, _ in words], -1
+    for m in CANDIDATE.finditer(text):
+        a, b = m.span()
+        k = bisect_left(starts, b)  # the first word behind the run; words don't overlap, so the one before ends last
+        near = (k > 0 and words[k - 1][1] > a - reach) or (k < len(words) and starts[k] < b + reach)
+        if near or (ended >= 0 and not text[ended:a].strip()):
+            ended = b
+            yield a, b
+        else:
+            ended = -1
+
+
+def measured(text: str, low: str, base: list[tuple[str, int, int]], novelty: Novelty, reach: int = REACH) -> list[tuple[str, int, int, float]]:
+    """Base spans and candidates with their novelty; candidates that overlap a base
+    span are that span's matter."""
+    out = [(kind, a, b, novelty.at(text, ASSIGN.match(text, a).start(2) if kind == "assign" else a, b)) for kind, a, b in base]
+    if any(stem in low for stem in _STEMS):
+        taken = sorted((a, b) for _, a, b in base)
+        k, end = 0, -1
+        for a, b in in_context(text, reach):
+            while k < len(taken) and taken[k][0] < b:
+                end = max(end, taken[k][1])
+                k += 1
+            if a >= end:
+                out.append(("novel", a, b, novelty.at(text, a, b)))
     return out
 
 
@@ -122,13 +169,14 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def scan(text: str | None, novelty: Novelty) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Base spans, and all spans by start."""
+def scan(text: str | None, novelty: Novelty, least: float = NOVEL) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], list[float]]:
+    """Base spans; all spans by start; the novelty of each of the latter."""
     text = text or ""
     low = text.lower()
     base = base_spans(text, low)
     order = {k: n for n, k in enumerate((*KINDS, "novel"))}
-    return base, sorted(base + novel_spans(text, low, base, novelty), key=lambda s: (s[1], order[s[0]]))
+    found = sorted((x for x in measured(text, low, base, novelty) if x[0] != "novel" or x[3] >= least), key=lambda s: (s[1], order[s[0]]))
+    return base, [x[:3] for x in found], [x[3] for x in found]
 
 
 def redact(text: str | None, spans: list[tuple[str, int, int]], mark: str = "[SECRET]") -> str:
@@ -141,20 +189,60 @@ def redact(text: str | None, spans: list[tuple[str, int, int]], mark: str = "[SE
     return "".join([*out, text[at:]])
 
 
-def find_secrets(docs: DataFrame) -> DataFrame:
-    """doc_id, counts, digest and spans for every row of ``docs``."""
+def dictionary(docs: DataFrame, words: int = WORDS) -> bytes:
+    """``primer`` of the words found in most of the documents with a sensitive word."""
+    struct, schema = arrow_schema("word string, n bigint")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def handed_on():
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], schema=schema)
+            counts.clear()
+            return out
+
+        for rows in rows_of(batches):
+            for (text,) in rows:
+                if any(stem in text.lower() for stem in _STEMS) and SENSITIVE.search(text):
+                    counts.update(set(_PIECE.findall(text)))
+                    if len(counts) >= PIECES_AT_ONCE:
+                        yield handed_on()
+        if counts:
+            yield handed_on()
+
+    counted = doc_texts(docs).select("text").mapInArrow(run, struct).groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    return primer([r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(words).collect()])
+
+
+def find_secrets(docs: DataFrame, least: float = NOVEL) -> DataFrame:
+    """doc_id, counts, digest, spans, their novelty (thousandths, joined by commas)
+    and n_novel for every row of ``docs``."""
+    primed = docs.sparkSession.sparkContext.broadcast(dictionary(docs))
 
     def make():
-        novelty = Novelty()
+        novelty = Novelty(primed.value)
 
         def row(doc_id, text):
-            base, spans = scan(text, novelty)
+            base, spans, shares = scan(text, novelty, least)
             count = [sum(k == x for k, _, _ in base) for x in KINDS]
-            return (doc_id, *count, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base))
+            said = ",".join(str(round(1000 * x)) for x in shares)
+            return (doc_id, *count, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), said, len(spans) - len(base))
 
         return row
 
-    return map_rows(doc_texts(docs), make, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_novel bigint")
+    ddl = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, novelty string, n_novel bigint"
+    return map_rows(doc_texts(docs), make, ddl)
+
+
+def redacted(docs: DataFrame, least: float = NOVEL) -> DataFrame:
+    """doc_id and text of every row, with each reported span replaced."""
+    primed = docs.sparkSession.sparkContext.broadcast(dictionary(docs))
+
+    def make():
+        novelty = Novelty(primed.value)
+        return lambda doc_id, text: (doc_id, redact(text, scan(text, novelty, least)[1]))
+
+    return map_rows(doc_texts(docs), make, "doc_id bigint, text string")
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
