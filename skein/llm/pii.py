@@ -1,27 +1,37 @@
 """Operator 7: personal data, with information-theoretic sanitisation.
 
 Base patterns find e-mail addresses, IPv4 addresses, card numbers and phone
-numbers.  The method then asks how strongly the terms around such an entity give
-it away: over the whole corpus it counts the documents with each term, with each
-entity and with the term beside the entity, and discloses with
+numbers.  The method then asks how strongly the terms of a document give such an
+entity away: over the whole corpus it counts the documents with each entity (n_e), with
+a term (n_t) and with both (n_te), wherever in the document the term stands, and takes
 
     share = pmi(term; entity) / ic(entity),
     pmi = log2(n_te * N / (n_t * n_e)),   ic = log2(N / n_e),
 
 which is 1 where the term occurs only with the entity and 0 where they are
-independent.  A term whose share passes ``generalise`` in at least ``support``
-different surroundings is reported as a span; ``sanitise`` replaces it by its
-class, and removes it above ``remove``.
+independent.  Terms whose share is ``generalise`` or more are disclosing: all their
+places in the entity's documents are reported as spans and, in the sanitised text,
+generalised to their class, or removed if the share is ``remove`` or more.
 
-All counts cover all documents.  One pass over the texts writes the base result,
-the surroundings of the entities and partial document counts of terms (by a
-worker's dictionary of bounded size); the joins after it see only documents with
-entities.  Nothing is collected to the driver but the number of documents.
+What stands in one text only, copies and near copies of it included, says nothing
+about an entity.  Each document with an entity has three min-hashes of its longer
+terms; a term counts only if the documents that hold both differ in all three.
+
+Scale: entities in texts of one kind only are dropped before terms are looked at, and
+of the other entities' documents only terms that are rare enough to pass the threshold
+with the most frequent of the document's entities:
+
+    n_t <= n_e * (N / n_e) ** (1 - generalise).
+
+So an entity in every document meets no terms, and common words meet no entity.  An
+entity or term in a third of all documents is summed and joined in parts
+(``beside_group``).  All counts cover all documents; the driver gets numbers of rows.
 
 Defined results: a null text is empty; empty texts have no span and the hash of
-the empty string.  Spans are code-point offsets, end exclusive; spans of
-different kinds may overlap.  Repeated rows each count as a document.  Failing
-matches are dropped and nothing is tried inside them.
+the empty string.  Spans are code-point offsets, end exclusive; base spans of different
+kinds may overlap, and terms are looked for outside of them.  Repeated rows each count
+as a document.  Failing matches are dropped and nothing is tried inside them.  Patterns
+take time in proportion to a text's length, however long its runs of digits are.
 """
 
 from __future__ import annotations
@@ -31,22 +41,26 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, doc_texts, documents, rows_of, stored
+from .common import arrow_schema, beside_group, documents, map_rows, row_keys, rows_of, small_or_shuffled, stored
 
 #: The base patterns.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # inside a run of digits nothing else could match
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
 _TERM = re.compile(r"[^\W\d_]{3,}")
 
-WINDOW, SUPPORT, GENERALISE, REMOVE = 4, 2, 0.8, 0.95
+GENERALISE, REMOVE = 0.8, 0.95
+#: Letters of the terms that tell texts apart, and the odd factors of the min-hashes.
+LONGER, FACTORS = 6, (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+KEYS = ["__sk_k1", "__sk_k2"]
 #: Terms that a worker counts before it hands its partial counts on.
 TERMS_AT_ONCE = 100_000
 
@@ -99,24 +113,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _terms_beside(text: str, a: int, b: int, width: int) -> list[tuple[str, int, int]]:
-    """Up to ``width`` terms on each side of a span, within its line."""
-    lo, hi = text.rfind("\n", 0, a) + 1, text.find("\n", b)
-    hi = len(text) if hi < 0 else hi
-    left: list[tuple[str, int, int]] = []
-    reach = 64
-    while True:  # widens until enough terms stand whole before the span
-        at = max(lo, a - reach)
-        left = [(m.group().lower(), *m.span()) for m in _TERM.finditer(text, at, a) if m.start() > at or at == lo]
-        if len(left) >= width or at == lo:
-            break
-        reach *= 4
-    right = []
-    for m in _TERM.finditer(text, b, hi):
-        right.append((m.group().lower(), *m.span()))
-        if len(right) == width:
-            break
-    return left[-width:] + right
+def blanked(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with its base spans as spaces: terms are looked for around them."""
+    out, at = [], 0
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if b > at:
+            a = max(a, at)
+            out += [text[at:a], " " * (b - a)]
+            at = b
+    return "".join([*out, text[at:]])
+
+
+def lowered(text: str) -> str:
+    """Lower case, place for place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
 def joined(spans) -> str:
@@ -127,93 +138,154 @@ def _key(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-#: One pass gives rows of two kinds: documents, and partial term counts.
+def sketch(terms: set[str]) -> list[int]:
+    """Three min-hashes of the longer terms, of all if there are none."""
+    longer = [t for t in terms if len(t) >= LONGER] or list(terms)
+    if not longer:
+        return [0] * len(FACTORS)
+    h = np.fromiter((xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in longer), np.uint64, len(longer))
+    return [int((h * np.uint64(f)).min().view(np.int64)) for f in FACTORS]
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", text.alias("text"), *row_keys("doc_id", text))
+
+
 PASS = (
-    "part int, doc_id bigint, uid bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, base_sha256 string, "
-    "beside array<struct<entity:bigint,term:bigint,place:bigint,a:bigint,b:bigint>>, term bigint, n bigint"
+    "doc_id bigint, __sk_k1 bigint, __sk_k2 bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, base_sha256 string, "
+    "sanitised_sha256 string, entities array<bigint>, sketch array<bigint>"
 )
 
 
-def _pass(width: int):
-    struct, schema = arrow_schema(PASS)
+def base_pass(texts: DataFrame) -> DataFrame:
+    """Base results of every row; its entities and, where it has any, its sketch."""
+
+    def row(doc_id, text, k1, k2):
+        spans = base_spans(text)
+        base = joined(spans)
+        entities = sorted({_key(text[a:b].lower()) for _, a, b in spans})
+        terms = set(_TERM.findall(lowered(blanked(text, spans)))) if spans else set()
+        clean = sanitise(text, base) if spans else text
+        n = [sum(k == x for k, _, _ in spans) for x in KINDS]
+        return (doc_id, k1, k2, *n, base, _sha(base), _sha(clean), entities, sketch(terms))
+
+    return map_rows(texts, lambda: row, PASS)
+
+
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def term_counts(texts: DataFrame) -> DataFrame:
+    """term (its hash), n: partial counts of the documents with each term."""
+    struct, schema = arrow_schema("term bigint, n bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
 
-        def table(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
         def handed_on():
-            items = list(counts.items())
+            keys, ns = pa.array(map(_key, counts), pa.int64()), pa.array(counts.values(), pa.int64())
             counts.clear()
-            keys, ns = pa.array([_key(k) for k, _ in items], pa.int64()), pa.array([n for _, n in items], pa.int64())
-            return pa.RecordBatch.from_arrays(
-                [pa.array([1] * len(items), pa.int32()), *(pa.nulls(len(items), x.type) for x in list(schema)[1:10]), keys, ns], schema=schema
-            )
+            return pa.RecordBatch.from_arrays([keys, ns], schema=schema)
 
         for rows in rows_of(batches):
-            out = []
-            for doc_id, text, uid in rows:
-                spans = base_spans(text)
-                beside = []
-                for _, a, b in spans:
-                    near = _terms_beside(text, a, b, width)
-                    place = _key(" ".join(t for t, _, _ in near))
-                    entity = _key(text[a:b].lower())
-                    beside += [(entity, _key(t), place, x, y) for t, x, y in near]
-                n = [sum(k == x for k, _, _ in spans) for x in KINDS]
-                base = joined(spans)
-                out.append((0, doc_id, uid, *n, base, hashlib.sha256(base.encode()).hexdigest(), beside, None, None))
-                counts.update(set(_TERM.findall(text.lower())))
+            for (text,) in rows:
+                counts.update(set(_TERM.findall(lowered(text))))
                 if len(counts) >= TERMS_AT_ONCE:
                     yield handed_on()
-            yield table(out)
         if counts:
             yield handed_on()
 
-    return run, struct
-
-
-def disclosures(found: DataFrame, terms: DataFrame, n_docs: int, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """entity, term, share: terms that give an entity away.
-
-    found: uid, entity, term, place; terms: term, n (partial counts)."""
-    pairs = found.groupBy("entity", "term", "uid", "place").agg(F.lit(1).alias("one"))
-    beside = pairs.groupBy("entity", "term").agg(F.countDistinct("uid").alias("n_te"), F.countDistinct("place").alias("places"))
-    per_entity = found.select("entity", "uid").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    beside = beside.where(F.col("places") >= support).join(per_entity, "entity")
-    wanted = beside.select("term").distinct()
-    per_term = terms.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_t"))
-    scored = beside.join(per_term, "term").withColumn("n_t", F.greatest("n_t", "n_te"))
-    ic = F.log2(F.lit(float(n_docs)) / F.col("n_e"))
-    pmi = F.log2(F.col("n_te") * F.lit(float(n_docs)) / (F.col("n_t").cast("double") * F.col("n_e")))
-    return scored.withColumn("share", F.when(ic > 0, pmi / ic).otherwise(0.0)).where(F.col("share") >= generalise).select("entity", "term", "share")
-
-
-def find_personal(docs: DataFrame, width: int = WINDOW, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """One row for each row of ``docs``: counts, digest, spans, n_terms."""
-    run, struct = _pass(width)
-    texts = doc_texts(docs).withColumn("uid", F.monotonically_increasing_id())
-    both = stored(texts.mapInArrow(run, struct), "pii")
-    rows = both.where("part = 0")
-    found = rows.where(F.size("beside") > 0).select("uid", F.explode("beside").alias("x")).select("uid", "x.*")
-    tells = stored(disclosures(found, both.where("part = 1").select("term", "n"), rows.count(), support, generalise), "tells")
-    more = (
-        found.join(tells, ["entity", "term"])
-        .groupBy("uid", "a", "b")
-        .agg(F.max("share").alias("share"))
-        .groupBy("uid")
-        .agg(F.sort_array(F.collect_set(F.struct("a", "b", "share"))).alias("more"))
-    )
-    said = F.transform("more", lambda s: F.concat(F.lit("term:"), s["a"].cast("string"), F.lit(":"), s["b"].cast("string")))
-    out = [
+    return texts.select("text").mapInArrow(run, struct)
+
+
+def _of(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """The texts whose row keys are in ``keys``, each once."""
+    return texts.join(small_or_shuffled(keys, keys.count()), KEYS, "left_semi").dropDuplicates(KEYS)
+
+
+def disclosures(texts: DataFrame, rows: DataFrame, generalise: float = GENERALISE) -> DataFrame:
+    """Row keys, terms (array of term and share): what gives an entity of a document
+    away in it.  ``rows`` is what ``base_pass`` gives, stored."""
+    n_docs = float(max(1, rows.count()))
+    each = rows.where(F.size("entities") > 0).select(*KEYS, "sketch", F.explode("entities").alias("entity"))
+    held = stored(each.groupBy("entity", *KEYS).agg(F.count("*").alias("m"), F.first("sketch").alias("sketch")), "held")
+    parts = range(len(FACTORS))
+    ends = [f(F.col("sketch")[k]).alias(f"{name}{k}") for k in parts for name, f in (("lo", F.min), ("hi", F.max))]
+    both = [f(f"{name}{k}").alias(f"{name}{k}") for k in parts for name, f in (("lo", F.min), ("hi", F.max))]
+    differ = " and ".join(f"lo{k} <> hi{k}" for k in parts)
+    counted = beside_group(held, ["entity"], F.xxhash64(*KEYS), [F.sum("m").alias("m_"), *ends], [F.sum("m_").alias("n_e"), *both])
+    entity = F.struct("entity", "n_e", (F.col("n_e") * F.pow(F.lit(n_docs) / F.col("n_e"), F.lit(1 - generalise)) + 1e-6).alias("most"))
+    per_doc = counted.where(differ).where(F.col("n_e") < n_docs).groupBy(*KEYS, "m", "sketch").agg(F.collect_list(entity).alias("es"))
+    per_doc = stored(per_doc.withColumn("most", F.array_max(F.transform("es", lambda e: e["most"]))), "docs")
+
+    def terms_of(k1, k2, text):
+        return k1, k2, sorted(map(_key, set(_TERM.findall(lowered(blanked(text, base_spans(text)))))))
+
+    near = map_rows(_of(texts, per_doc.select(*KEYS)).select(*KEYS, "text"), lambda: terms_of, "__sk_k1 bigint, __sk_k2 bigint, terms array<bigint>")
+    near = stored(near.join(per_doc.select(*KEYS, "most"), KEYS).select(*KEYS, "most", F.explode("terms").alias("term")), "near")
+    # a term must be in two documents; then, how many documents of the corpus have it
+    twice = stored(near.groupBy("term").agg(F.count("*").alias("n"), F.max("most").alias("most")).where("n > 1").drop("n"), "twice")
+    known = term_counts(texts).join(small_or_shuffled(twice, twice.count()), "term").groupBy("term").agg(F.sum("n").alias("n_t"), F.max("most").alias("most"))
+    known = stored(known.where("n_t <= most").drop("most"), "known")
+    placed = near.join(small_or_shuffled(known, known.count()), "term").where("n_t <= most").select(*KEYS, "term", "n_t")
+    met = placed.join(per_doc.drop("most"), KEYS).select(*KEYS, "m", "sketch", "term", "n_t", F.explode(F.expr("filter(es, e -> n_t <= e.most)")).alias("e"))
+    pairs = stored(met.select(*KEYS, "m", "sketch", "term", "n_t", "e.entity", "e.n_e"), "pairs")
+    scored = beside_group(pairs, ["entity", "term"], F.xxhash64(*KEYS), [F.sum("m").alias("m_"), *ends], [F.sum("m_").alias("n_te"), *both])
+    pmi = F.log2(F.col("n_te") * F.lit(n_docs) / (F.col("n_t").cast("double") * F.col("n_e")))
+    scored = scored.where(differ).withColumn("share", pmi / F.log2(F.lit(n_docs) / F.col("n_e"))).where(F.col("share") >= generalise - 1e-12)
+    return scored.groupBy(*KEYS, "term").agg(F.max("share").alias("share")).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("term", "share"))).alias("terms"))
+
+
+def term_spans(text: str, spans: list[tuple[str, int, int]], shares: dict[int, float]) -> list[tuple[int, int, float]]:
+    """Places of disclosing terms, with their share."""
+    found = ((m.start(), m.end(), shares.get(_key(m.group()))) for m in _TERM.finditer(lowered(blanked(text, spans))))
+    return [x for x in found if x[2] is not None]
+
+
+def find_personal(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """One row for each row of ``docs``: counts, digest, spans; n_terms (spans of
+    disclosing terms), n_removed (of these, those that are removed), shares (of these
+    spans, in thousandths) and the digest of the sanitised text."""
+    texts = keyed_texts(docs)
+    rows = stored(base_pass(texts), "pii")
+    told = stored(disclosures(texts, rows, generalise), "told")
+    some = _of(texts, told.select(*KEYS)).select(*KEYS, "text").join(told, KEYS)
+
+    def row(k1, k2, text, terms):
+        spans = base_spans(text)
+        more = term_spans(text, spans, {t["term"]: t["share"] for t in terms})
+        gone = frozenset((a, b) for a, b, share in more if share >= remove - 1e-12)
+        said = joined(("term", a, b) for a, b, _ in more)
+        shares = ",".join(str(round(1000 * x[2])) for x in more)
+        return k1, k2, said, len(more), len(gone), shares, _sha(sanitise(text, ",".join(filter(None, (joined(spans), said))), gone))
+
+    ddl = "__sk_k1 bigint, __sk_k2 bigint, said string, n_terms bigint, n_removed bigint, shares string, clean string"
+    more = stored(map_rows(some, lambda: row, ddl), "more")
+    n, width = more.agg(F.count("*"), F.coalesce(F.avg(F.length("said") + F.length("shares")), F.lit(0.0))).first()
+    zero = F.lit(0).cast("bigint")
+    return rows.join(small_or_shuffled(more, n, width + 200), KEYS, "left").select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256",
-        F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.array_join(said, ",")).alias("spans"),
-        F.coalesce(F.size("more"), F.lit(0)).cast("bigint").alias("n_terms"),
-    ]
-    with_entity = rows.where(F.size("beside") > 0).join(more, "uid", "left").select(*out)
-    without = rows.where(F.size("beside") <= 0).withColumn("more", F.lit(None).cast("array<struct<a:bigint,b:bigint,share:double>>")).select(*out)
-    return with_entity.union(without)
+        F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.col("said") != "", F.col("said"))).alias("spans"),
+        F.coalesce("n_terms", zero).alias("n_terms"), F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("shares", F.lit("")).alias("shares"),
+        F.coalesce("clean", "sanitised_sha256").alias("sanitised_sha256"),
+    )
+
+
+def sanitised(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """doc_id and text of every row, the text sanitised."""
+    texts = keyed_texts(docs)
+    told = stored(disclosures(texts, stored(base_pass(texts), "pii"), generalise), "told")
+    n, width = told.agg(F.count("*"), F.coalesce(F.avg(F.size("terms")) * 16, F.lit(0.0))).first()
+
+    def row(doc_id, text, terms):
+        spans = base_spans(text)
+        more = term_spans(text, spans, {t["term"]: t["share"] for t in terms or []})
+        gone = frozenset((a, b) for a, b, share in more if share >= remove - 1e-12)
+        return doc_id, sanitise(text, ",".join(filter(None, (joined(spans), joined(("term", a, b) for a, b, _ in more)))), gone)
+
+    return map_rows(texts.join(small_or_shuffled(told, n, width + 100), KEYS, "left").select("doc_id", "text", "terms"), lambda: row, "doc_id bigint, text string")
 
 
 def sanitise(text: str | None, spans: str, removed: frozenset[tuple[int, int]] = frozenset()) -> str:
