@@ -15,13 +15,19 @@ the sum goes on among those that do, until none fits; what is still open is then
 less than the smallest unused document, and the one of the best fitting size fills
 it where that comes closer.
 
-On the driver: one row for each membership pattern (sums only), never documents.
+On the driver: one row for each membership pattern (sums only), never documents.  The
+flow is worked out there, so patterns are meant to be some thousands; the tables made
+of them are broadcast where their size allows it and joined by a shuffle otherwise.
+
+``mix_overlapping`` says for each copy which source it counts for: a pattern's taken
+tokens stand in the seeded order and are dealt to its sources as the flow has it.
 
 Defined results: a null text has size 0; documents of size 0 are taken 0 words;
 null sources are a source of their own (last in order).  Empty tables give no
 rows.  Repeated rows are documents of their own.  The same rows give the same
 mix in any order or partitioning; among rows equal in every column used, which
-one is taken is not told apart by the result.
+one is taken is not told apart by the result.  Very long texts are counted whole and
+taken or passed over like any other document.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, row_keys, shielded, stored
+from .common import SPACE, documents, row_keys, shielded, small_or_shuffled, stored
 
 WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2, 17
 ROWS_A_BUCKET, MOST_BUCKETS = 500, 1 << 20
@@ -141,69 +147,102 @@ def whole(shares: dict) -> dict:
 
 
 # ------------------------------------------------------------------- selection
-def select(sized: DataFrame, gives: dict, seed: int = SEED) -> DataFrame:
-    """``sized`` (doc_id, size, __sk_pattern, more) with ``copies``.
+def of_patterns(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A table with a row for each membership pattern, its first column."""
+    width = 64 + max((len(str(r)) for r in rows), default=0)
+    return small_or_shuffled(spark.createDataFrame(rows, ddl), len(rows), width)
+
+
+BUCKET = ["__sk_pattern", "__sk_bucket"]
+
+
+def offsets(rows: DataFrame, words: str) -> DataFrame:
+    """``__sk_offset``: the sum of ``words`` in a pattern's buckets before each."""
+    before = Window.partitionBy("__sk_pattern").orderBy("__sk_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*BUCKET).agg(F.sum(words).alias("__sk_sum"))
+    return sums.select(*BUCKET, F.coalesce(F.sum("__sk_sum").over(before), F.lit(0)).alias("__sk_offset"))
+
+
+def select(sized: DataFrame, gives: dict, seed: int = SEED, tie: list[str] | None = None) -> DataFrame:
+    """``sized`` (doc_id, size, __sk_pattern, more) with ``copies`` and the place in
+    the seeded order (__sk_bucket, __sk_rank).
 
     gives: for each pattern its tokens and the tokens that it is to give.  Every
     document is taken (given div tokens) times; the rest is filled by documents
-    in seeded order that fit, then by the one document that fits best.
+    in seeded order that fit, then by the one document that fits best.  ``tie``:
+    columns that tell documents with equal ids (null, say) apart.
     """
-    spark, n = sized.sparkSession, sized.count()
+    spark, n, tie = sized.sparkSession, sized.count(), tie or []
     buckets = min(max(64, n // ROWS_A_BUCKET), MOST_BUCKETS)
-    plan = spark.createDataFrame(
-        [(p, g // t if t else 0, g % t if t else 0) for p, (t, g) in gives.items()], "__sk_pattern string, __sk_times bigint, __sk_rest bigint"
+    plan = of_patterns(
+        spark, [(p, g // t if t else 0, g % t if t else 0) for p, (t, g) in gives.items()], "__sk_pattern string, __sk_times bigint, __sk_rest bigint"
     )
-    order = F.xxhash64(F.lit(seed), "doc_id", "size")
+    order = F.xxhash64(F.lit(seed), "doc_id", "size", *tie)
     keyed = sized.withColumn("__sk_order", order).withColumn(
         "__sk_bucket", F.pmod(F.shiftright("__sk_order", 40), F.lit(1 << 24)) * buckets / F.lit(1 << 24)
     ).withColumn("__sk_bucket", F.floor("__sk_bucket"))
-    key = ["__sk_pattern", "__sk_bucket"]
-    before = Window.partitionBy("__sk_pattern").orderBy("__sk_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy(*key).orderBy("__sk_order", "doc_id", "size")
+    inside = Window.partitionBy(*BUCKET).orderBy("__sk_order", "doc_id", "size", *tie)
     ranked = stored(
-        keyed.join(F.broadcast(plan), "__sk_pattern")  # a row for each membership pattern
-        .withColumn("__sk_rank", F.row_number().over(inside))
-        .withColumn("__sk_in", F.col("size") <= 0),
-        "mix",
+        keyed.join(plan, "__sk_pattern").withColumn("__sk_rank", F.row_number().over(inside)).withColumn("__sk_in", F.col("size") <= 0), "mix"
     )
     open_ = {p: g % t if t else 0 for p, (t, g) in gives.items()}
     while True:
         # the documents that fit what is open; of these the first in order whose sum does
-        now = F.broadcast(spark.createDataFrame([(p, g) for p, g in open_.items()], "__sk_pattern string, __sk_gap bigint"))
-        left = ranked.where(~F.col("__sk_in")).join(now, "__sk_pattern").where("size <= __sk_gap").select(*key, "__sk_rank", "size", "__sk_gap")
-        sums = left.groupBy(*key).agg(F.sum("size").alias("__sk_sum"))
-        offsets = sums.select(*key, F.coalesce(F.sum("__sk_sum").over(before), F.lit(0)).alias("__sk_offset"))
-        upto = Window.partitionBy(*key).orderBy("__sk_rank").rowsBetween(Window.unboundedPreceding, 0)
-        taken = (
-            left.join(offsets, key)
-            .withColumn("__sk_end", F.col("__sk_offset") + F.sum("size").over(upto))
-            .where("__sk_end <= __sk_gap")
-        )
-        taken = stored(taken.select(*key, "__sk_rank", "size"), "mix-round")
+        now = of_patterns(spark, list(open_.items()), "__sk_pattern string, __sk_gap bigint")
+        left = ranked.where(~F.col("__sk_in")).join(now, "__sk_pattern").where("size <= __sk_gap").select(*BUCKET, "__sk_rank", "size", "__sk_gap")
+        upto = Window.partitionBy(*BUCKET).orderBy("__sk_rank").rowsBetween(Window.unboundedPreceding, 0)
+        ends = left.join(offsets(left, "size"), BUCKET).withColumn("__sk_end", F.col("__sk_offset") + F.sum("size").over(upto))
+        taken = stored(ends.where("__sk_end <= __sk_gap").select(*BUCKET, "__sk_rank", "size"), "mix-round")
         got = {r["__sk_pattern"]: int(r["n"]) for r in taken.groupBy("__sk_pattern").agg(F.sum("size").alias("n")).collect()}
         more = left.limit(1).count() if not got else 1
         if not more:
             break
         if got:
-            hit = taken.select(*key, "__sk_rank", F.lit(True).alias("__sk_hit"))
+            hit = taken.select(*BUCKET, "__sk_rank", F.lit(True).alias("__sk_hit"))
             ranked = stored(
-                ranked.join(hit, [*key, "__sk_rank"], "left")
+                ranked.join(hit, [*BUCKET, "__sk_rank"], "left")
                 .withColumn("__sk_in", F.col("__sk_in") | F.coalesce("__sk_hit", F.lit(False)))
                 .drop("__sk_hit"),
                 "mix",
             )
             open_ = {p: g - got.get(p, 0) for p, g in open_.items()}
-    gap = spark.createDataFrame([(p, g) for p, g in open_.items()], "__sk_pattern string, __sk_gap bigint")
+    gap = of_patterns(spark, list(open_.items()), "__sk_pattern string, __sk_gap bigint")
     best = (
         ranked.where(~F.col("__sk_in") & (F.col("size") > 0))
-        .join(F.broadcast(gap), "__sk_pattern")
+        .join(gap, "__sk_pattern")
         .where(F.abs(F.col("__sk_gap") - F.col("size")) < F.col("__sk_gap"))
         .groupBy("__sk_pattern")
         .agg(F.min(F.struct(F.abs(F.col("__sk_gap") - F.col("size")).alias("off"), "__sk_bucket", "__sk_rank")).alias("__sk_fit"))
     )
+    best = small_or_shuffled(best, len(gives), 64 + max(map(len, gives), default=0))  # a row for each pattern
     fits = (F.col("__sk_fit.__sk_bucket") == F.col("__sk_bucket")) & (F.col("__sk_fit.__sk_rank") == F.col("__sk_rank"))
     extra = F.col("__sk_in") | F.coalesce(fits, F.lit(False))
-    return ranked.join(F.broadcast(best), "__sk_pattern", "left").withColumn("copies", F.col("__sk_times") + extra.cast("bigint"))
+    made = ranked.join(best, "__sk_pattern", "left").withColumn("copies", F.col("__sk_times") + extra.cast("bigint"))
+    return made.drop("__sk_times", "__sk_rest", "__sk_in", "__sk_fit", "__sk_order")
+
+
+def by_source(mixed: DataFrame, gives: dict[str, list[tuple]]) -> DataFrame:
+    """``mixed`` with ``uses``, an array of (source, copies): which source each copy
+    counts for.  gives: for each pattern its sources and the tokens it gives to each.
+
+    A copy belongs to the source in whose stretch of the pattern's taken tokens its
+    middle lies, so a source gets its quota but for half a document at either end and
+    what the selection missed."""
+    plan = []
+    for p, by in gives.items():
+        ends, at = [], 0
+        for _, n in by:
+            at += n
+            ends.append(at)
+        plan.append((p, [s for s, _ in by], ends))
+    stretches = of_patterns(mixed.sparkSession, plan, "__sk_pattern string, __sk_sources array<string>, __sk_ends array<bigint>")
+    taken = stored(mixed.withColumn("__sk_taken", F.col("copies") * F.col("size")), "taken")
+    upto = Window.partitionBy(*BUCKET).orderBy("__sk_rank").rowsBetween(Window.unboundedPreceding, -1)
+    at = taken.join(offsets(taken, "__sk_taken"), BUCKET).withColumn("__sk_at", F.col("__sk_offset") + F.coalesce(F.sum("__sk_taken").over(upto), F.lit(0)))
+    which = "transform(if(copies > 0, sequence(1L, copies), array()), k -> least(size(filter(__sk_ends, e -> e <= __sk_at + (k - 0.5D) * size)), size(__sk_ends) - 1))"
+    counted = "filter(transform(__sk_sources, (s, j) -> struct(s as source, cast(size(filter(__sk_which, w -> w = j)) as bigint) as copies)), u -> u.copies > 0)"
+    made = at.join(stretches, "__sk_pattern", "left").withColumn("__sk_which", F.expr(which)).withColumn("uses", F.coalesce(F.expr(counted), F.expr("array()")))
+    return made.drop("__sk_taken", "__sk_offset", "__sk_at", "__sk_sources", "__sk_ends", "__sk_which")
 
 
 def by_code_point(sources) -> list:
@@ -213,7 +252,8 @@ def by_code_point(sources) -> list:
 
 def mix_overlapping(docs: DataFrame, weights: dict, share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
     """General form: ``docs`` has doc_id, size and ``sources`` (array<string>, the
-    document's memberships).  Adds ``copies``: how often the mix takes it."""
+    document's memberships).  Adds ``copies``, how often the mix takes it, and ``uses``,
+    (source, copies) of the sources that these count for."""
     sized = stored(docs.withColumn("__sk_pattern", F.to_json(F.array_sort(F.array_distinct("sources")))), "sized")
     rows = sized.groupBy("__sk_pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size")).collect()
     tokens = {r["__sk_pattern"]: int(r["size"]) for r in rows}
@@ -226,16 +266,17 @@ def mix_overlapping(docs: DataFrame, weights: dict, share: float = SHARE, most:
     names = {members[p]: p for p in tokens}
     got = route({members[p]: t for p, t in tokens.items()}, want, most)
     gives = {names[m]: (tokens[names[m]], sum(by.values())) for m, by in got.items()}
-    return select(sized, gives, seed).drop(*(c for c in ("__sk_pattern", "__sk_bucket", "__sk_times", "__sk_rest", "__sk_rank", "__sk_order", "__sk_in", "__sk_fit")))
+    mixed = select(sized, gives, seed)
+    return by_source(mixed, {names[m]: list(by.items()) for m, by in got.items()}).drop("__sk_pattern", "__sk_bucket", "__sk_rank")
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies (and the row keys that
-    ``docs`` may carry) for documents with one source each."""
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED, keys: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies and the columns named by
+    ``keys`` for documents with one source each."""
     spark = docs.sparkSession
-    keys = [c for c in docs.columns if c in ("__sk_k1", "__sk_k2")]
+    text = F.coalesce("text", F.lit(""))
     sized = stored(
-        docs.select("doc_id", n_words(F.col("text")).alias("size"), "source", F.to_json(F.array("source")).alias("__sk_pattern"), *keys), "sized"
+        docs.select("doc_id", n_words(text).alias("size"), "source", F.to_json(F.array("source")).alias("__sk_pattern"), F.xxhash64(text).alias("__sk_text"), *keys), "sized"
     )
     rows = sized.groupBy("source", "__sk_pattern").agg(F.sum("size").alias("size")).collect()
     sizes = {r["source"]: int(r["size"]) for r in rows}
@@ -243,21 +284,19 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
     ordered = by_code_point(sizes)
     want = targets(sizes, {s: weights[k % len(weights)] for k, s in enumerate(ordered)}, share, most)
     got = route({(s,): sizes[s] for s in ordered}, whole({s: want[s] for s in ordered}), most)
-    mixed = select(sized, {named[s]: (sizes[s], sum(by.values())) for (s,), by in got.items()}, seed)
-    facts = spark.createDataFrame([(named[s], sizes[s], float(want[s])) for s in ordered], "__sk_pattern string, source_size bigint, target double")
-    return mixed.join(F.broadcast(facts), "__sk_pattern").select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *keys
-    )
+    mixed = select(sized, {named[s]: (sizes[s], sum(by.values())) for (s,), by in got.items()}, seed, ["__sk_text"])
+    facts = of_patterns(spark, [(named[s], sizes[s], float(want[s])) for s in ordered], "__sk_pattern string, source_size bigint, target double")
+    return mixed.join(facts, "__sk_pattern").select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *keys)
 
 
 @shielded
 def take_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as often as the mix takes it, whole rows.
     Rows equal in every column are taken as often as the mix takes them together."""
-    keys = dict(zip(("__sk_k1", "__sk_k2"), row_keys(*docs.columns), strict=True))
-    keyed = docs.withColumns(keys)
-    taken = mix(keyed).groupBy(*keys).agg(F.sum("copies").alias("__sk_copies")).where("__sk_copies > 0")
-    one = keyed.join(stored(taken, "taken"), list(keys)).dropDuplicates(list(keys))
+    names = ("__sk_k1", "__sk_k2")
+    keyed = docs.withColumns(dict(zip(names, row_keys(*docs.columns), strict=True)))
+    taken = mix(keyed, keys=names).groupBy(*names).agg(F.sum("copies").alias("__sk_copies")).where("__sk_copies > 0")
+    one = keyed.join(stored(taken, "taken"), list(names)).dropDuplicates(list(names))
     return one.withColumn("__sk_x", F.explode(F.expr("sequence(1L, __sk_copies)"))).select(*docs.columns)
 
 
