@@ -6,8 +6,9 @@ equal length: record batches of a fixed-size list of ids and one of the mask
 (1 valid, 0 padding at the shard's end).  A file is an Arrow stream with the file
 format's footer; its buffers are not compressed and its batches (but the last)
 have equal rows, so a memory-mapped file gives any sequence and its mask without
-a search or a copy.  A second small file lists the shard's documents.  Shards follow each other in doc_id
-order; ids before a shard are the sum of the valid ids of those before it.
+a search or a copy.  A second small file lists the shard's documents.  Shards follow
+each other in doc_id order; ids before a shard are the sum of the valid ids of those
+before it.  Their number follows the texts' bytes (``SHARD_BYTES`` each).
 
 Encoding: the tokenizer's split pattern never joins characters across ASCII
 white space and its normalizer works within a word or on white space only, so a
@@ -16,13 +17,17 @@ library and kept in a dictionary of bounded size that a worker process shares am
 its tasks; words of plain letters go straight to the library's model.  ``by_words``
 checks the tokenizer for this form; others are encoded text by text.
 
-A task writes under a name of its own and renames, so that a rerun after a lost
-executor replaces equal bytes.  Files go to ``spark.checkpoint.dir`` through
-pyarrow's file systems (local, HDFS, S3, GCS by URI).
+A task's files carry its attempt in their names and are never renamed: the table of
+shards, written by Spark, names the files of the attempts that count, and what lost
+attempts left is deleted when that table stands.  Files go to ``spark.checkpoint.dir``
+through pyarrow's file systems (local, HDFS, S3, GCS by URI).  A task holds one batch
+of sequences and of the list of documents, however large the shard.
 
 Defined results: null texts are empty and give the end id alone; null doc_ids
-come first; repeated doc_ids stand beside each other, ordered by text.  An empty
-table gives no rows.  Ids are stored as 16-bit where the vocabulary allows it.
+come first; rows with the same doc_id stand beside each other, ordered by a hash of
+the text and then the text, and may be in several shards.  Very long texts are encoded
+whole.  An empty table gives no rows.  Ids are stored as 16-bit where the vocabulary
+allows it.
 """
 
 from __future__ import annotations
@@ -44,9 +49,12 @@ from pyspark.sql import functions as F
 
 from .common import documents, drop_path, new_path, rows_of, stored
 
-LENGTH, END_ID, WORDS_KEPT = 2048, 1, 700_000
-#: Sequences in a record batch.
-BATCH = 256
+LENGTH, END_ID, WORDS_KEPT = 2048, 1, 400_000
+#: Sequences in a record batch, and documents in one of the list.
+BATCH, LISTED = 256, 4096
+#: Bytes of text in a shard, and in those of a table that gives no more than
+#: ``spark.sql.shuffle.partitions`` of them.
+SHARD_BYTES, LEAST_BYTES = 1 << 27, 1 << 23
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -194,46 +202,71 @@ class ShardWriter:
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
+def n_shards(docs: DataFrame) -> int:
+    n = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
+    few = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-n // SHARD_BYTES), min(few, -(-n // LEAST_BYTES)))
+
+
+SHARDS = "shard bigint, name string, n_tokens bigint, n_docs bigint"
+
+
 def write_shards(docs: DataFrame, folder: str, path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """Writes ``docs`` (doc_id, text) and returns a row for each shard: shard,
+    """Writes ``docs`` (doc_id, text) and returns a row for each shard: shard, name,
     n_tokens, n_docs, in doc_id order of shard numbers."""
-    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    order = ["doc_id", F.xxhash64("text"), "text"]  # a hash, since one id may stand at any number of rows
+    ordered = texts.repartitionByRange(n_shards(texts), *order[:2]).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        shard = TaskContext.get().partitionId()
+        name = f"shard-{shard:06d}-{TaskContext.get().taskAttemptId()}"
         fs, root = open_fs(folder)
-        fs.create_dir(root, recursive=True)
-        names = [f"{root}/shard-{shard:06d}.{kind}" for kind in ("arrows", "docs")]
-        temp = [f"{n}.attempt-{attempt}" for n in names]
-        writer, docs_, data = None, [], None
+        writer, listed, n_docs = None, [], 0
+
+        def list_documents():
+            index.write_batch(pa.record_batch([pa.array(c, pa.int64()) for c in zip(*listed, strict=True)], schema=INDEX))
+            listed.clear()
+
         for rows in rows_of(batches):
             if writer is None:
                 enc = encoder(path)
-                data = fs.open_output_stream(temp[0])
-                writer = ShardWriter(data, length, enc.dtype)
+                fs.create_dir(root, recursive=True)
+                data, docs_file = (fs.open_output_stream(f"{root}/{name}.{kind}") for kind in ("arrows", "docs"))
+                writer, index = ShardWriter(data, length, enc.dtype), pa.ipc.new_stream(docs_file, INDEX)
                 end = np.array([end_id], enc.dtype).tobytes()
             for doc_id, text in rows:
                 ids = enc.ids(text) + end
-                docs_.append((doc_id, writer.n, len(ids) // enc.dtype.itemsize))
+                listed.append((doc_id, writer.n, len(ids) // enc.dtype.itemsize))
+                n_docs += 1
                 writer.add(ids)
+            if len(listed) >= LISTED:
+                list_documents()
         if writer is not None:
+            if listed:
+                list_documents()
             writer.close()
+            index.close()
             data.close()
-            with fs.open_output_stream(temp[1]) as f, pa.ipc.new_stream(f, INDEX) as index:
-                index.write_batch(pa.record_batch([pa.array(c, pa.int64()) for c in zip(*docs_, strict=True)], schema=INDEX))
-            for a, b in zip(temp, names, strict=True):
-                fs.move(a, b)
-            yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([writer.n], pa.int64()), pa.array([len(docs_)], pa.int64())], names=["shard", "n_tokens", "n_docs"])
+            docs_file.close()
+            yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([name]), pa.array([writer.n], pa.int64()), pa.array([n_docs], pa.int64())], names=["shard", "name", "n_tokens", "n_docs"])
 
-    return stored(ordered.mapInArrow(run, "shard bigint, n_tokens bigint, n_docs bigint"), "shards")
+    shards = stored(ordered.mapInArrow(run, SHARDS), "shards")
+    fs, root = open_fs(folder)
+    fs.create_dir(root, recursive=True)
+    counted = {r["name"] for r in shards.select("name").collect()}  # a row for each file
+    for info in fs.get_file_info(pafs.FileSelector(root)):
+        if info.base_name.rpartition(".")[0] not in counted and info.base_name.startswith("shard-"):
+            fs.delete_file(info.path)
+    return shards
 
 
 class Shard:
     """A shard opened for random access; local files are memory-mapped."""
 
-    def __init__(self, folder: str, shard: int):
+    def __init__(self, folder: str, name: str):
         fs, root = open_fs(folder)
-        name = f"{root}/shard-{shard:06d}"
+        name = f"{root}/{name}"
         local = isinstance(fs, pafs.LocalFileSystem)
         self.source = pa.memory_map(f"{name}.arrows") if local else fs.open_input_file(f"{name}.arrows")
         self.file = pa.ipc.open_file(self.source)
@@ -272,12 +305,12 @@ def read_documents(spark: SparkSession, folder: str, shards: DataFrame) -> DataF
     rows = sorted(shards.collect())  # a row for each file
     before, table = 0, []
     for r in rows:
-        table.append((r["shard"], before, r["n_tokens"]))
+        table.append((r["name"], before, r["n_tokens"]))
         before += r["n_tokens"]
     ddl = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
     if not table:
         return spark.createDataFrame([], ddl)
-    todo = spark.createDataFrame(table, "shard bigint, before bigint, n bigint").repartition(len(table))
+    todo = spark.createDataFrame(table, "shard string, before bigint, n bigint").repartition(len(table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
