@@ -16,7 +16,9 @@ anything is joined.
 Keys with up to ``CROWD`` lines give their pairs from an array.  Crowded keys (a
 template line in many variants) don't: their members carry a signature of the
 parities of hashed character pairs, of which an edit changes at most four; members
-meet blocks of signatures and only those within the bound leave as rows.
+meet blocks of signatures, a block a task's row, and only those within the bound leave
+as rows.  Links are counted by line, so n different lines that are all near each other
+make n * (n - 1) / 2 rows of two ids; their copies make none.
 
 Verification: common prefix and suffix are cut by doubling, then a banded
 bit-parallel edit distance (one word holds the 2 * EDITS + 1 diagonals) runs over
@@ -33,10 +35,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, components, documents, row_keys, small_or_shuffled, stored
+from .common import SPACE, beside_group, components, documents, row_keys, small_or_shuffled, stored
 
 EDITS, SHARE, CROWD, BLOCK = 2, 10, 24, 1024
 KEYS = ["__sk_k1", "__sk_k2"]
+#: Bytes of a row of ``linked``: three numbers and a name of 32 digits.
+LINKED = 72
 
 
 # ------------------------------------------------------------- lines and keys
@@ -165,10 +169,13 @@ def candidates(occ: DataFrame, texts_of, edits: int = EDITS, crowd: int = CROWD,
         heavy = stored(members.join(small_or_shuffled(crowded, n_crowded), "key"), "heavy")
         signed = texts_of(heavy.select("h1").distinct()).select("h1", signature().alias("sig"))
         heavy = heavy.join(signed, "h1")
-        dealt = heavy.withColumn("blk", F.pmod(F.xxhash64("h1"), F.ceil(F.col("n") / block)))
-        blocks = dealt.where("idx").groupBy("key", "blk").agg(F.collect_list(F.struct("h1", "sig")).alias("m"))
+        heavy = heavy.withColumn("n_blk", F.ceil(F.col("n") / block))
+        dealt = heavy.where("idx").withColumn("blk", F.pmod(F.xxhash64("h1"), F.col("n_blk")))
+        blocks = dealt.groupBy("key", "blk").agg(F.collect_list(F.struct("h1", "sig")).alias("m"))
         near = f"filter(m, x -> x.h1 <> h1 and bit_count(x.sig ^ sig) <= {4 * edits})"
-        met = heavy.join(blocks, "key").select("h1", F.explode(F.expr(f"transform({near}, x -> x.h1)")).alias("o"))
+        # members go to each of their key's blocks, so that a key is as many tasks as it has blocks
+        sent = heavy.select("key", "h1", "sig", F.explode(F.expr("sequence(0L, n_blk - 1)")).alias("blk"))
+        met = sent.join(blocks, ["key", "blk"]).select("h1", F.explode(F.expr(f"transform({near}, x -> x.h1)")).alias("o"))
         pairs = pairs.union(met.select(F.least("h1", "o").alias("a"), F.greatest("h1", "o").alias("b")))
     return pairs.distinct()
 
@@ -216,10 +223,10 @@ def line_report(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     small = linked.count()
     zero = F.lit(0).cast("bigint")
     firsts = lines.select("first.__sk_k1", "first.__sk_k2", F.lit(1).cast("bigint").alias("firsts"), zero.alias("near"), zero.alias("links"))
-    placed = lines.join(small_or_shuffled(linked, small), ["h1", "h2"]).select("root", "first")
-    lead = placed.groupBy("root").agg(F.min("first").alias("lead"))
-    near = placed.join(lead, "root").where("first <> lead").select("first.__sk_k1", "first.__sk_k2", zero.alias("firsts"), F.lit(1).cast("bigint").alias("near"), zero.alias("links"))
-    count = occ.join(small_or_shuffled(linked, small), ["h1", "h2"]).select(*KEYS, "line_no", "n_links").distinct()
+    placed = lines.join(small_or_shuffled(linked, small, LINKED), ["h1", "h2"]).select("root", "first")
+    led = beside_group(stored(placed, "placed"), ["root"], F.xxhash64("first"), [F.min("first").alias("lead")], [F.min("lead").alias("lead")])
+    near = led.where("first <> lead").select("first.__sk_k1", "first.__sk_k2", zero.alias("firsts"), F.lit(1).cast("bigint").alias("near"), zero.alias("links"))
+    count = occ.join(small_or_shuffled(linked, small, LINKED), ["h1", "h2"]).select(*KEYS, "line_no", "n_links").distinct()
     count = count.select(*KEYS, zero.alias("firsts"), zero.alias("near"), F.col("n_links").alias("links"))
     sums = firsts.union(near).union(count).groupBy(*KEYS).agg(F.sum("firsts").alias("firsts"), F.sum("near").alias("near"), F.sum("links").alias("links"))
     n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")).cast("bigint")
@@ -236,9 +243,10 @@ def without_repeats(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     keeps (and its lines without a word), in order."""
     occ, links = near_lines(docs, edits)
     lines, linked = classes(occ, links)
-    placed = lines.join(linked, ["h1", "h2"], "left")
-    lead = placed.where("root is not null").groupBy("root").agg(F.min("first").alias("lead"))
-    kept = placed.join(lead, "root", "left").where("lead is null or first = lead").select("first.*")
+    placed = stored(lines.join(linked, ["h1", "h2"]).select("h1", "h2", "root", "first"), "placed")
+    led = beside_group(placed, ["root"], F.xxhash64("first"), [F.min("first").alias("lead")], [F.min("lead").alias("lead")])
+    alone = lines.join(linked.select("h1", "h2"), ["h1", "h2"], "left_anti").select("first.*")
+    kept = alone.union(led.where("first = lead").select("first.*"))
     places = kept.groupBy(*KEYS).agg(F.collect_set("line_no").alias("stay"))
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *row_keys("doc_id", F.coalesce("text", F.lit("")))).dropDuplicates(KEYS)
     ls = F.split("text", "\n")
@@ -251,3 +259,42 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_lines": op9_lines}
+#: The tables' letters beyond ASCII.  DuckDB's distance counts bytes, so
+#: its SQL sets a control character in place of each.
+LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+_CONTROLS = " || ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 32)][: len(LETTERS)])
+#: An edit changes these letters' numbers by two at most, taken together.
+_LETTER_COUNTS = ", ".join(f"length(line) - length(replace(line, '{c}', ''))" for c in "eaintrs ")
+ORACLE_SQL = {
+    "op9_lines": rf"""
+WITH RECURSIVE occ AS MATERIALIZED (
+  SELECT doc_id, doc_id * 16777216 + i AS place, ls[i] AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS t(i)
+  WHERE trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''
+), own AS MATERIALIZED (
+  SELECT line, min(place) AS place, row_number() OVER (ORDER BY min(place)) AS id, length(line) AS size,
+         translate(line, '{LETTERS}', {_CONTROLS}) AS flat, [{_LETTER_COUNTS}] AS counts
+  FROM occ GROUP BY line
+), near AS MATERIALIZED (
+  SELECT a.id AS a, b.id AS b
+  FROM own AS a JOIN (SELECT *, unnest([0, 1, 2]) AS more FROM own) AS b ON a.size = b.size + more
+  WHERE (more > 0 OR a.id < b.id) AND list_sum([abs(a.counts[k] - b.counts[k]) FOR k IN range(1, 9)]) <= {2 * EDITS}
+    AND CASE WHEN list_sum([abs(a.counts[k] - b.counts[k]) FOR k IN range(1, 9)]) <= {2 * EDITS} THEN levenshtein(a.flat, b.flat) ELSE 99 END <= least({EDITS}, a.size // {SHARE})
+), edges AS (
+  SELECT a, b FROM near UNION ALL SELECT b, a FROM near
+), reach AS (
+  SELECT a AS id, a AS root FROM edges UNION SELECT edges.b, root FROM reach JOIN edges ON edges.a = reach.id
+), known AS (
+  SELECT id, own.place, line, coalesce((SELECT min(root) FROM reach WHERE reach.id = own.id), id) AS root, (SELECT count(*) FROM edges WHERE a = own.id) AS links
+  FROM own
+), counted AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE occ.place <> known.place) AS n_exact,
+         count(*) FILTER (WHERE occ.place = known.place AND root <> id) AS n_near,
+         count(*) FILTER (WHERE occ.place = known.place AND root = id) AS n_kept, CAST(sum(links) AS BIGINT) AS n_links
+  FROM occ JOIN known USING (line) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near,
+       coalesce(n_kept, 0) AS n_kept, coalesce(n_links, 0) AS n_links
+FROM documents AS d LEFT JOIN counted USING (doc_id)
+"""
+}
