@@ -13,11 +13,12 @@ most of a document's shingles before any join.  Containment search with these
 sketches misses nothing.
 
 Verification: for documents with a sketch hit, the shingle strings themselves are
-intersected with the item's.
+matched to the items' and counted.
 
 Scale: documents' shingles never shuffle while the sketches are of a size that is
 broadcast (counted first); then only hits do.  Each document is read once for the
-search and, if it has a hit, once more for verification.
+search and, if it has a hit, once more for verification, whose rows are its shingles
+that items have: they are as many as the answer is wide.
 
 Words are runs of letters and digits after lower-casing, so that neither
 punctuation nor case hides an item.
@@ -56,6 +57,10 @@ def shingles(w: str, k: int) -> Column:
     return F.expr(f"array_distinct(transform({_starts(w, k)}, i -> array_join(slice({w}, i + 1, {k}), ' ')))")
 
 
+def _with_length(found: Column, k: int) -> Column:
+    return F.transform(found, lambda s: F.struct(F.lit(k).alias("k"), s.alias("s")))
+
+
 def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """item_id, item (a number of the row), k, n, need, part, least (the smallest
     need of the size partition), sketch, shingles."""
@@ -93,20 +98,19 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
         .select("__sk_k1", "__sk_k2", "item")
         .distinct()
     )
-    hits = stored(hits, "hits")
-    n_hits = hits.count()
-    keys = ["__sk_k1", "__sk_k2"]
-    pairs = small_or_shuffled(hits, n_hits)
-    facts = known.select("item", "item_id", "k", "n", "shingles")
-    paired = keyed.join(pairs, keys).withColumn("w", words(F.col("text"))).drop("text")
-    paired = paired.join(small_or_shuffled(facts, n_hashes), "item")
-    own = F.lit(None).cast("array<string>")
-    for k in lengths:
-        own = F.when(F.col("k") == k, shingles("w", k)).otherwise(own)
-    found = F.size(F.array_intersect(own, F.col("shingles")))
-    out = paired.select("doc_id", "item_id", F.col("n").cast("bigint").alias("n_shingles"), found.cast("bigint").alias("n_found"), *keys)
-    share = F.col("n_found") / F.col("n_shingles")
-    return out.where(F.col("n_found") >= F.ceil(F.lit(threshold) * F.col("n_shingles") - 1e-9)).withColumn("containment", share)
+    hit = stored(hits.select("__sk_k1", "__sk_k2").distinct(), "hits")
+    # whole texts of rows with a hit, each once however many items it may hold
+    held = keyed.join(small_or_shuffled(hit, hit.count()), ["__sk_k1", "__sk_k2"], "left_semi").withColumn("row", F.monotonically_increasing_id())
+    held = stored(held, "held")
+    said = [_with_length(shingles("w", k), k) for k in lengths]
+    split = held.select("row", "doc_id", "__sk_k1", "__sk_k2", words(F.col("text")).alias("w"))
+    each = split.select("row", "doc_id", "__sk_k1", "__sk_k2", F.explode(F.concat(*said)).alias("x")).select("row", "doc_id", "__sk_k1", "__sk_k2", "x.k", "x.s")
+    facts = stored(known.select("item", "item_id", "k", F.col("n").alias("n_shingles"), F.explode("shingles").alias("s")), "facts")
+    n_facts, width = facts.agg(F.count("*"), F.coalesce(F.avg(F.octet_length("s")), F.lit(0.0))).first()
+    met = each.join(small_or_shuffled(facts, n_facts, width + 48), ["k", "s"])
+    found = met.groupBy("row", "doc_id", "__sk_k1", "__sk_k2", "item", "item_id", F.col("n_shingles").cast("bigint").alias("n_shingles")).agg(F.count("*").alias("n_found"))
+    enough = found.where(F.col("n_found") >= F.ceil(F.lit(threshold) * F.col("n_shingles") - 1e-9))
+    return enough.select("doc_id", "item_id", "n_shingles", "n_found", "__sk_k1", "__sk_k2", (F.col("n_found") / F.col("n_shingles")).alias("containment"))
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
