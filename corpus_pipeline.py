@@ -6,7 +6,10 @@ as Parquet and read again as the next one's docs.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skein.llm.common import documents, stored
 from skein.llm.decontamination import drop_contaminated
@@ -14,11 +17,14 @@ from skein.llm.mixing import take_mix
 from skein.llm.quality import keep_good
 from skein.llm.simhash import keep_one
 from skein.llm.tokens import encode_documents
+from skein.sources.folders import shared_folder
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last stage: what is read back from the token files of all documents."""
-    return encode_documents(docs)
+    """Last stage: what is read back from the token files of all documents.  The files
+    stay, in the folder that the column ``files`` names."""
+    folder = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    return encode_documents(docs, keep=folder).withColumn("files", F.lit(folder))
 
 
 STAGES = [
