@@ -1,5 +1,6 @@
 """Operators 5, 8 and 10, and the pipeline."""
 
+import pathlib
 import random
 import zlib
 from collections import Counter
@@ -7,9 +8,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from skein.llm import mixing, tokens, toxicity
+from skein.llm import common, mixing, tokens, toxicity
 
 from .tables import documents, pairs, rows_of, sentence
 
@@ -59,6 +61,8 @@ def test_mix(spark):
         want_sizes[s] += len((t or "").split())
     assert rows_of(got, "doc_id", "size") == sorted(((i, len((t or "").split())) for i, t, _, _ in rows), key=repr)
     assert rows_of(mixing.mix(df.repartition(7)), *got.columns) == rows_of(got, *got.columns)
+    odd = mixing.mix(df.withColumn("__sk_k1", F.lit("mine")))
+    assert odd.columns == got.columns and rows_of(odd, *got.columns) == rows_of(got, *got.columns)
     weights = {s: (3, 1, 2)[k % 3] for k, s in enumerate(mixing.by_code_point(want_sizes))}
     want = mixing.targets(want_sizes, weights)
     taken = Counter()
@@ -70,10 +74,34 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
-def test_mix_overlapping(spark):
-    rows = [(k, 10, ["a", "b"] if k % 3 == 0 else ["a"] if k % 3 == 1 else ["b"]) for k in range(300)]
-    got = mixing.mix_overlapping(spark.createDataFrame(rows, "doc_id bigint, size bigint, sources array<string>"), {"a": 1, "b": 3}, 1.0)
-    assert got.count() == 300 and got.agg(F.sum(F.col("copies") * F.col("size"))).first()[0] == 3000
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_mix_overlapping(spark, monkeypatch, shuffled):
+    """Every source gets its quota, whichever patterns its documents belong to."""
+    if shuffled:
+        monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    rng = random.Random(12)
+    patterns = [["a"], ["b"], ["a", "b"], ["c", "b"], [None, "a"], ["a", "b", "c"]]
+    rows = [(k, rng.randint(0, 40), rng.choice(patterns)) for k in range(600)]
+    weights = {"a": 1, "b": 3, "c": 2, None: 1}
+    got = mixing.mix_overlapping(spark.createDataFrame(rows, "doc_id bigint, size bigint, sources array<string>"), weights, 1.0).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(600))
+    into, sizes = Counter(), Counter()
+    for r in got:
+        assert sum(u["copies"] for u in r["uses"]) == r["copies"] <= 2 and {u["source"] for u in r["uses"]} <= set(r["sources"])
+        for u in r["uses"]:
+            into[u["source"]] += u["copies"] * r["size"]
+        for s in set(r["sources"]):
+            sizes[s] += r["size"]
+    total = sum(r[1] for r in rows)
+    want = mixing.targets(sizes, weights, total / sum(sizes.values()))
+    tokens = Counter()
+    for _, n, p in rows:
+        tokens[tuple(mixing.by_code_point(p))] += n
+    routed = Counter()
+    for by in mixing.route(dict(tokens), mixing.whole(want)).values():
+        routed.update(by)
+    for s in sizes:
+        assert abs(routed[s] - want[s]) <= 1 and abs(into[s] - want[s]) <= 40 * 2
 
 
 def test_mix_passes_over_a_document_that_does_not_fit(spark):
@@ -165,22 +193,39 @@ def test_toxicity_without_two_classes(spark):
     assert toxicity.score_documents(docs.limit(0), labels).count() == 0
 
 
-def test_wide_search_is_exact():
+@pytest.mark.parametrize("text", ["", None, "One one, ONE two-three; x3y a_b", "ΣΑΣ Straße İx", "the of\x0bthe\u2003of|of"])
+def test_vectors_are_of_terms(text, monkeypatch):
+    monkeypatch.setattr(toxicity, "WORDS_KEPT", 3)
+    read = toxicity.Reader(["one", "of"])
+    for _ in range(3):
+        buckets, counts, ids, ns = read.vector(text)
+        want = Counter()
+        for t, n in toxicity.terms(text).items():
+            want[read.code(t) % toxicity.WIDTH] += n
+        assert dict(zip(buckets.tolist(), counts.tolist(), strict=True)) == want and (np.diff(buckets) > 0).all()
+        assert dict(zip(ids.tolist(), ns.tolist(), strict=True)) == {k: toxicity.terms(text)[w] for k, w in enumerate(["one", "of"]) if toxicity.terms(text)[w]}
+
+
+@pytest.mark.parametrize("head", [4, 2048])
+@pytest.mark.parametrize("block", [8, 64, 1000])
+def test_wide_search_is_exact(block, head, monkeypatch):
+    monkeypatch.setattr(toxicity, "HEAD", head)
     rng = np.random.default_rng(8)
     texts = [" ".join(f"w{'abcdefghij'[a]}{'klmnopqrst'[b]}" for a, b in rng.integers(0, 10, (rng.integers(1, 30), 2)) ** 2 // 10) for _ in range(400)]
-    hashes = [toxicity.hashed(toxicity.terms(t)) for t in [*texts, *texts[:9]]]
+    read = toxicity.Reader()
+    hashes = [read.vector(t)[:2] for t in [*texts, *texts[:9]]]
     df = np.ones(toxicity.WIDTH, np.int32)
     for b in set().union(*(b.tolist() for b, _ in hashes)):
         df[b] = sum(b in h for h, _ in hashes)
     rows = [(k, *h, k % 2) for k, h in enumerate(hashes)]
-    wide = toxicity.Wide(rows, df, len(rows), 0.5, k=10)
+    wide = toxicity.Wide(rows, df, len(rows), 0.5, k=10, block=block)
 
     def unit(b, n):
         w = {int(x): (1 + np.log(c)) * (np.log((1 + len(rows)) / (1 + df[x])) + 1) for x, c in zip(b, n, strict=True)}
         return {x: v / np.sqrt(sum(u * u for u in w.values())) for x, v in w.items()}
 
     vectors = [unit(*h) for h in hashes]
-    queries = [*hashes[::40], toxicity.hashed(toxicity.terms("")), toxicity.hashed(toxicity.terms("unseen wkk"))]
+    queries = [*hashes[::40], read.vector("")[:2], read.vector("unseen wkk")[:2]]
     for q, (ids, found) in zip(queries, wide.nearest(queries), strict=True):
         cos = np.array([sum(w * v.get(t, 0.0) for t, w in unit(*q).items()) for v in vectors])
         kth = np.sort(cos)[-10]
@@ -217,14 +262,16 @@ def test_round_trip(spark, tmp_path):
     docs = documents(spark, ODD)
     t = Tokenizer.from_file(tokens.tokenizer_path())
     got = tokens.encode_documents(docs, length=64, keep=f"file://{tmp_path}/files").collect()
-    want = sorted(pairs(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    mark = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) - (1 << 64 if xxhash.xxh64_intdigest(t.encode(), 42) >> 63 else 0)
+    want = sorted(pairs(docs), key=lambda r: (r[0] is not None, r[0] or 0, mark(r[1]), r[1]))
     ids = [t.encode(x, add_special_tokens=False).ids + [1] for _, x in want]
     assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == [i for i, _ in want]
     start = 0
     for r, i in zip(sorted(got, key=lambda r: r["start"]), ids, strict=True):
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(i), zlib.crc32(np.array(i, "<u4").tobytes()))
         start += len(i)
-    shards = sorted(int(p.name[6:12]) for p in (tmp_path / "files").glob("*.arrows"))
+    shards = sorted(p.stem for p in (tmp_path / "files").glob("*.arrows"))
+    assert len({x[:12] for x in shards}) == len(shards)
     flat = []
     for k in shards:
         s = tokens.Shard(f"{tmp_path}/files", k)
@@ -235,7 +282,21 @@ def test_round_trip(spark, tmp_path):
         own = np.concatenate([s.sequence(i)[0] for i in range(n)])
         flat += own[: s.n_valid()].tolist()
     assert flat == [x for i in ids for x in i]
-    assert not list((tmp_path / "files").glob("*attempt*"))
+
+
+def test_one_id_in_many_shards(spark, tmp_path, monkeypatch):
+    """A third of all rows without an id: they are dealt to several shards, and what a
+    lost attempt left goes."""
+    monkeypatch.setattr(tokens, "LEAST_BYTES", 4000)
+    docs = spark.createDataFrame([(None if k % 3 == 0 else k, f"text {k} stands here") for k in range(1500)], "doc_id bigint, text string")
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "shard-000000-999999.arrows").write_bytes(b"left over")
+    got = tokens.encode_documents(docs, keep=f"file://{tmp_path}/files").collect()
+    assert sorted(r["doc_id"] is None for r in got) == [False] * 1000 + [True] * 500
+    at = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in got)
+    assert all(a[0] + a[1] == b[0] for a, b in zip(at, at[1:])) and [d for *_, d in at] == [None] * 500 + [k for k in range(1500) if k % 3]
+    shards = [tokens.Shard(f"{tmp_path}/files", p.stem) for p in (tmp_path / "files").glob("*.arrows")]
+    assert len(shards) == 4 and sum(s.docs["doc_id"][0].as_py() is None for s in shards) >= 2
 
 
 def test_tokens_of_nothing_and_other_tokenizer(spark):
@@ -285,5 +346,8 @@ def test_pipeline(spark, tmp_path):
     assert sizes[0] == 123 and sizes[1] == 120 and sizes[2] == 118  # junk goes; copies go; both holders of the item go
     assert sizes[3] == sizes[4]
     run = corpus_pipeline.run(spark, str(tmp_path))
-    assert rows_of(run, *run.columns) == rows_of(now, *now.columns)
+    cols = [c for c in run.columns if c != "files"]
+    assert rows_of(run, *cols) == rows_of(now, *cols) and len(cols) == 4
+    folder = run.first()["files"].removeprefix("file://")
+    assert sum(r["n_tokens"] for r in run.collect()) == sum(tokens.Shard(folder, p.stem).n_valid() for p in pathlib.Path(folder).glob("*.arrows"))
     assert quality and simhash and decontamination

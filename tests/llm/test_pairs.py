@@ -62,7 +62,7 @@ def test_decontamination(spark):
 
 
 def test_decontamination_by_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     docs = documents(spark)
     items = bench(spark, pairs(docs), random.Random(5))
     got = decontamination.contaminated(docs, spark.createDataFrame(items, "item_id bigint, text string"))
@@ -166,6 +166,45 @@ def test_components_of_a_chain_and_a_star(spark):
     assert common.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def most_rows(spark, df):
+    """Of one partition, when partitions aren't put together."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        return max(r["count"] for r in df.withColumn("part", F.spark_partition_id()).groupBy("part").count().collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_one_key_of_many_rows(spark, tmp_path):
+    """100,000 rows of one key get the key's sums in many tasks."""
+    spark.range(100_000).select(F.when(F.col("id") % 100 == 7, F.col("id")).otherwise(-1).alias("key"), (F.col("id") * 7 % 100_003).alias("v")).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    got = common.beside_group(df, ["key"], F.xxhash64("v"), [F.min("v").alias("m"), F.count("*").alias("n")], [F.min("m").alias("least"), F.sum("n").alias("many")])
+    want = df.groupBy("key").agg(F.min("v").alias("least"), F.count("*").alias("many"))
+    assert got.join(want, ["key", "least", "many"]).count() == got.count() == 100_000
+    assert most_rows(spark, got) < 20_000
+
+
+def test_one_fingerprint_of_many_rows(spark, tmp_path):
+    """100,000 documents of one fingerprint, and a component of many fingerprints."""
+    fp = F.when(F.col("id") < 100_000, 0).otherwise(F.expr("shiftleft(1L, cast(id % 60 as int))"))
+    spark.range(101_000).select((101_000 - F.col("id")).alias("doc_id"), fp.alias("fp")).write.parquet(f"{tmp_path}/t")
+    got = simhash.near_components(spark.read.parquet(f"{tmp_path}/t"))
+    assert [tuple(r) for r in got.groupBy("component_id").count().collect()] == [(1, 101_000)]
+    assert most_rows(spark, got) < 30_000
+
+
+def test_extra_columns_named_like_row_keys(spark):
+    docs = documents(spark).withColumn("__sk_k1", F.lit("mine")).withColumn("__sk_root", F.lit("too"))
+    assert simhash.near_components(simhash.fingerprints(docs)).columns == ["doc_id", "fp", "__sk_root", "component_id"]
+    got = simhash.keep_one(spark, docs, "")
+    assert got.columns == docs.columns and {r["__sk_k1"] for r in got.collect()} == {"mine"}
+
+
 # --------------------------------------------------------------------- lines
 def edits(a, b):
     row = list(range(len(b) + 1))
@@ -271,9 +310,22 @@ def test_banded_distance(spark, most):
     assert all(r["dist"] == min(most + 1, edits(r["la"], r["lb"])) for r in got)
 
 
-def test_native_plans(spark):
-    """Operators 1 and 9 run no Python on their main path."""
+def test_native_plans(spark, monkeypatch):
+    """Operators 1 and 9 run no Python on their main path, in none of their tables."""
     docs, df = line_docs(spark)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
     items = spark.createDataFrame([(1, "red stone river under light")], "item_id bigint, text string")
+    for t in (df, items):
+        t.write.mode("overwrite").parquet(f"{common.shared_folder(spark)}/native-{len(t.columns)}-{t.columns[0]}")
+    df, items = (spark.read.parquet(f"{common.shared_folder(spark)}/native-2-{c}") for c in ("doc_id", "item_id"))
+    plans = []
+
+    def told(frame, label, keep=common.stored):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return keep(frame, label)
+
+    for module in (common, lines, decontamination):
+        monkeypatch.setattr(module, "stored", told)
     for out in (lines.line_report(df), decontamination.contaminated(df, items)):
-        assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().executedPlan().toString())
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 12 and not any(re.search("Python|Arrow|Pandas|Scan ExistingRDD", p) for p in plans)
