@@ -6,12 +6,12 @@ thirds of the examples by information gain, prune on the rest by the share of
 right calls), and ``DecisionList.verdict`` emits the list as one ordered Spark
 ``CASE WHEN`` expression, so that scoring never leaves the JVM.
 
-Bound: the list is fitted on at most ``sample`` labelled rows (20,000 by
-default), those with the smallest hash of ``doc_id``.  Statistics and verdicts
-cover all rows.
+Bounds that are parameters: the list is fitted on at most ``sample`` labelled rows
+(20,000 by default), those with the smallest hash of ``doc_id``, and a rule has
+``most_conditions`` (4) conditions at most.  Statistics and verdicts cover all rows.
 
 Defined results: a null text counts as empty; an empty text has all counts 0 and
-fails the base rules.  Null labels are no examples.  With no bad or no good
+fails the base rules; very long texts are measured whole.  Null labels are no examples.  With no bad or no good
 example the list is empty and keeps whatever the base rules keep.  Repeated rows
 are measured and judged one by one; a document labelled twice gives two examples.
 """
@@ -181,13 +181,14 @@ def _prune(rule: list[Condition], x: dict, bad: np.ndarray) -> tuple[list[Condit
     return best, score
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, most_rules: int = 16, most_conditions: int = 4, least_right: float = 0.9, seed: int = 7) -> DecisionList:
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, most_conditions: int = 4, least_right: float = 0.9, seed: int = 7) -> DecisionList:
     """Sequential covering.  A rule that is right in under ``least_right`` of its
-    calls on the pruning examples ends the list: keeping clean text comes first."""
+    calls on the pruning examples ends the list: keeping clean text comes first.  Every
+    rule covers examples that those before it don't, so the list ends by itself."""
     out = DecisionList()
     live = np.ones(len(bad), bool)
     rng = np.random.default_rng(seed)
-    while len(out.rules) < most_rules and (live & bad).sum() >= 5 and (live & ~bad).any():
+    while (live & bad).sum() >= 5 and (live & ~bad).any():
         grow = live & (rng.random(len(bad)) < 2 / 3)
         hold = live & ~grow
         if not (grow & bad).any() or not (grow & ~bad).any() or not (hold & bad).any():

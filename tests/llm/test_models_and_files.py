@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from skein.llm import common, mixing, tokens, toxicity
 
 from .tables import documents, pairs, rows_of, sentence
+from .test_pairs import brute_components, brute_print, held
 
 
 # -------------------------------------------------------------------- mixing
@@ -320,9 +321,43 @@ def test_packing_is_gapless():
 
 
 # ------------------------------------------------------------------ pipeline
+def test_votes_are_of_brute_force_neighbours(spark):
+    """Both votes of every document, by full cosines to all examples."""
+    docs, labels = toxic_docs(spark, 150)
+    texts, y = common.doc_texts(docs), toxicity.examples_of(labels)
+    words = toxicity.vocabulary(texts, y)
+    made = toxicity.vectors(texts, words)
+    rows = made.collect()
+    got = toxicity.both_votes(made, toxicity.indexes(made, y, words, len(rows))).collect()
+    label = {r["doc_id"]: r["toxic"] for r in y.collect()}
+    prior = np.mean([label[i] for i in {(r["doc_id"], tuple(r["buckets"]), tuple(r["tfs"])): r["doc_id"] for r in rows if r["doc_id"] in label}.values()])
+    assert len(words) > 2 and len(got) == len(rows)
+
+    def unit(keys, counts, df):
+        w = {k: (1 + np.log(c)) * (np.log((1 + len(rows)) / (1 + df[k])) + 1) for k, c in zip(keys, counts, strict=True)}
+        size = np.sqrt(sum(x * x for x in w.values()))
+        return {k: x / size for k, x in w.items()}
+
+    for keys, counts, name, k, power in (("buckets", "tfs", "wide", toxicity.WIDE_NEIGHBOURS, 1), ("ids", "ns", "narrow", toxicity.NEIGHBOURS, 4)):
+        df = Counter(x for r in rows for x in r[keys])
+        vectors = [unit(r[keys], r[counts], df) for r in rows]
+        known = {(r["doc_id"], tuple(r["buckets"]), tuple(r["tfs"])): v for r, v in zip(rows, vectors, strict=True) if r["doc_id"] in label and v}
+        for r, v, g in zip(rows, vectors, got, strict=True):
+            cos = np.array([sum(x * u.get(t, 0.0) for t, x in v.items()) for u in known.values()])
+            if not v or not (cos > 1e-12).any():
+                assert g[name] is None or g[name] == pytest.approx(prior)
+                continue
+            kth = np.sort(cos)[-k] if len(cos) >= k else 0
+            hit = (cos >= kth - 1e-9) & (cos > 1e-12)
+            w, ys = cos[hit] ** power, np.array([label[i] for (i, *_), h in zip(known, hit, strict=True) if h])
+            share = min(1.0, k / hit.sum())
+            want = (share * (w * ys).sum() + toxicity.PRIOR_WEIGHT * prior) / (share * w.sum() + toxicity.PRIOR_WEIGHT)
+            assert g[name] == pytest.approx(want, abs=1e-6)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
-    from skein.llm import decontamination, quality, simhash
+    from tokenizers import Tokenizer
 
     rng = random.Random(6)
     good = [" ".join(f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{j % 7}" for j in range(90)) for _ in range(120)]
@@ -335,19 +370,42 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(k, int(k < 120), 0) for k in range(180)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(0, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_near_dedup", "benchmark_decontamination", "mixing", "token_ids"]
-    now, sizes = docs, []
+    now, tables = docs, [rows]
     for name, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, str(tmp_path))
         now.write.parquet(f"{tmp_path}/{name}")
         now = spark.read.parquet(f"{tmp_path}/{name}")
-        sizes.append(now.count())
+        tables.append([tuple(r) for r in now.collect()])
         if name != "token_ids":
             assert now.columns == docs.columns
-    assert sizes[0] == 123 and sizes[1] == 120 and sizes[2] == 118  # junk goes; copies go; both holders of the item go
-    assert sizes[3] == sizes[4]
+    first, kept, alone, clean, mixed, written = tables
+    # quality: 50 words, and not of the junk that the labels mark
+    assert sorted(kept, key=repr) == sorted((r for r in first if len((r[1] or "").split()) >= 50 and "###" not in r[1]), key=repr) and len(kept) == 123
+    # near-duplicates: of each brute-force component the smallest id
+    root = brute_components([brute_print(r[1]) for r in kept])
+    group = {}
+    for r in sorted(kept, key=lambda r: (r[0] is None, r[0] or 0)):
+        group.setdefault(root[brute_print(r[1])], r)
+    assert sorted(alone, key=repr) == sorted(group.values(), key=repr) and len(alone) == 120
+    # decontamination: no document holds the item, by all shingles
+    dirty = {i for i, *_ in held([(r[0], r[1]) for r in alone], [(0, item)])}
+    assert sorted(clean, key=repr) == sorted((r for r in alone if r[0] not in dirty), key=repr) and dirty == {11, 12}
+    # mixing: whole rows, twice at most, each source near its target by the contract
+    assert set(mixed) <= set(clean) and max(Counter(mixed).values()) <= 2
+    sizes, taken = Counter(), Counter()
+    for r in clean:
+        sizes[r[3]] += len(r[1].split())
+    for r in mixed:
+        taken[r[3]] += len(r[1].split())
+    want = mixing.targets(sizes, {s: (3, 1, 2)[k % 3] for k, s in enumerate(mixing.by_code_point(sizes))})
+    assert all(abs(taken[s] - want[s]) <= 90 for s in sizes)
+    # tokens: the library's ids of every row, in order of ids
+    t = Tokenizer.from_file(tokens.tokenizer_path())
+    ids = [t.encode(r[1], add_special_tokens=False).ids + [1] for r in sorted(mixed, key=lambda r: (r[0] is not None, r[0] or 0))]
+    at = sorted(written, key=lambda r: r[1])
+    assert [r[2] for r in at] == [len(x) for x in ids] and [r[3] for r in at] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
     run = corpus_pipeline.run(spark, str(tmp_path))
     cols = [c for c in run.columns if c != "files"]
     assert rows_of(run, *cols) == rows_of(now, *cols) and len(cols) == 4
     folder = run.first()["files"].removeprefix("file://")
     assert sum(r["n_tokens"] for r in run.collect()) == sum(tokens.Shard(folder, p.stem).n_valid() for p in pathlib.Path(folder).glob("*.arrows"))
-    assert quality and simhash and decontamination
