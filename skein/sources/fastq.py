@@ -1,9 +1,14 @@
 """FASTQ as a Spark data source.
 
-``spark.read.format("fastq").option("paths", json_list)`` or ``read_fastq``.  One
-partition for each file: record position is the key that relates files, and
-compressed files can't be split.  Rows come as Arrow batches of bounded size.
-Gzip (also of several members, so block-gzip) is told by its first two bytes.
+``spark.read.format("fastq").option("paths", json_list)`` or ``read_fastq``.  Rows come
+as Arrow batches of bounded size.  Gzip (also of several members) is told by its first
+two bytes.
+
+Record position is the key that relates files, so a task must know how many lines stand
+before its first.  ``read_fastq`` splits plain and block-gzip files by bytes, counts the
+line ends of every split in one job and hands each task its first line; a task owns the
+records whose header line starts behind a line end of its split, and reads on beyond it
+until the last of them is whole.  Other gzip files can't be split and are a task each.
 """
 
 from __future__ import annotations
@@ -11,7 +16,11 @@ from __future__ import annotations
 import gzip
 import io
 import json
+import re
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -21,7 +30,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 #: ``ends`` has a bit for each of a record's lines that ends with a carriage return,
 #: the header's lowest.
 SCHEMA = "file_idx int, ord bigint, header string, seq string, qual string, raw_plus string, ends int"
-ROWS_AT_ONCE, BUFFER, READ_BYTES = 8192, 1 << 20, 1 << 22
+ROWS_AT_ONCE, BUFFER, READ_BYTES, SPLIT_BYTES = 8192, 1 << 20, 1 << 22, 1 << 27
+#: Fixed values of the block-gzip format: a block's first bytes up to its size, and the
+#: most bytes of one.
+BLOCK_HEAD, MOST_BLOCK = re.compile(rb"\x1f\x8b\x08\x04.{6}\x06\x00BC\x02\x00(..)", re.S), 1 << 16
 _ARROW = pa.schema([("file_idx", pa.int32()), ("ord", pa.int64()), *((c, pa.string()) for c in ("header", "seq", "qual", "raw_plus")), ("ends", pa.int32())])
 
 
@@ -45,9 +57,10 @@ def _fail(path: str, record: int, what: str) -> MalformedFastq:
     return MalformedFastq(f"Unexpected error parsing FASTQs: record {record} of {path} {what}")
 
 
-def line_blocks(stream, path: str = "input") -> Iterator[list[bytes]]:
-    """Lines of whole records, some thousand records at a time."""
-    rest, n = b"", 0
+def line_blocks(stream, path: str = "input", first: int = 0) -> Iterator[list[bytes]]:
+    """Lines of whole records, some thousand records at a time; ``first`` is the
+    position of the first."""
+    rest, n = b"", first
     while chunk := stream.read(READ_BYTES):
         lines = (rest + chunk).split(b"\n")
         whole = (len(lines) - 1) // 4 * 4  # the last line may go on
@@ -94,32 +107,154 @@ def _text(values: list[bytes]) -> pa.Array:
     return pa.array([v.decode("latin-1") for v in values], pa.string())
 
 
-class _File(InputPartition):
-    def __init__(self, file_idx: int, path: str):
-        super().__init__(file_idx)
-        self.file_idx, self.path = file_idx, path
+# ---------------------------------------------------------------------- splits
+@dataclass
+class Split:
+    """Bytes ``start`` to ``end`` of a file (block-gzip: the blocks that start there), and
+    the lines: ends before them, ends in them.  ``whole``: the file isn't split."""
+
+    file_idx: int
+    path: str
+    kind: str = "whole"
+    start: int = 0
+    end: int = 0
+    before: int = 0
+    ends: int = 0
+    last: bool = True
+
+
+def block_size(head: bytes) -> int:
+    """Bytes of the block that ``head`` begins; 0 where it isn't one."""
+    m = BLOCK_HEAD.match(head)
+    return int.from_bytes(m.group(1), "little") + 1 if m else 0
+
+
+def kind_of(path: str) -> tuple[str, int]:
+    """How a file can be split, and its bytes."""
+    fs, name = open_store(path)
+    with fs.open_input_file(name) as f:
+        head = f.read(18)
+        return "blocks" if block_size(head) else "whole" if head[:2] == b"\x1f\x8b" else "plain", f.size()
+
+
+def next_block(f, at: int) -> int:
+    """Where the first block at ``at`` or behind starts; the file's size if none does.  A
+    block's place is told by its first bytes and those of the block behind it."""
+    size = f.size()
+    f.seek(at)
+    seen = f.read(2 * MOST_BLOCK + 18)
+    for m in BLOCK_HEAD.finditer(seen):
+        behind = m.start() + int.from_bytes(m.group(1), "little") + 1
+        if at + behind == size or BLOCK_HEAD.match(seen, behind):
+            return at + m.start()
+    return size
+
+
+def text_from(path: str, kind: str, start: int, end: int | None = None) -> Iterator[bytes]:
+    """The text of a splittable file from ``start`` on, to the bytes or the blocks that
+    start before ``end``."""
+    fs, name = open_store(path)
+    with fs.open_input_file(name) as f:
+        size = f.size()
+        end = size if end is None else min(end, size)
+        if kind == "plain":
+            f.seek(start)
+            while start < end and (chunk := f.read(min(READ_BYTES, end - start))):
+                start += len(chunk)
+                yield chunk
+            return
+        at = next_block(f, start) if start else 0
+        f.seek(at)
+        held = b""
+        while at < end:
+            if len(held) < MOST_BLOCK:
+                held += f.read(READ_BYTES)
+            n = block_size(held[:18])
+            if not n or len(held) < n:
+                raise MalformedFastq(f"Unexpected error parsing FASTQs: {path} has no whole block at byte {at}")
+            data = zlib.decompress(held[18 : n - 8], -15)
+            if zlib.crc32(data) != int.from_bytes(held[n - 8 : n - 4], "little"):
+                raise MalformedFastq(f"Unexpected error parsing FASTQs: {path} has a damaged block at byte {at}")
+            held = held[n:]
+            at += n
+            yield data
+
+
+def cut(text: Iterator[bytes], skip: int, take: int | None) -> Iterator[bytes]:
+    """The text behind its first ``skip`` line ends, up to the ``take``-th after them."""
+
+    def behind(data: bytes, n: int) -> int:
+        at = 0
+        for _ in range(n):
+            at = data.index(b"\n", at) + 1
+        return at
+
+    for data in text:
+        if skip:
+            n = data.count(b"\n")
+            if n < skip:
+                skip -= n
+                continue
+            data, skip = data[behind(data, skip) :], 0
+        if take is not None:
+            n = data.count(b"\n")
+            if n >= take:
+                yield data[: behind(data, take)]
+                return
+            take -= n
+        yield data
+
+
+class _Stream:
+    def __init__(self, text: Iterator[bytes]):
+        self.text = text
+
+    def read(self, _: int) -> bytes:
+        return next((x for x in self.text if x), b"")
+
+
+def records(split: Split) -> tuple[int, object]:
+    """Position of the split's first record, and a stream of its text."""
+    if split.kind == "whole":
+        return 0, open_text(split.path)
+    first_line = split.before + 1 if split.start else 0
+    first, last = -(-first_line // 4), (split.before + split.ends) // 4
+    if first > last and not split.last:
+        return first, _Stream(iter(()))
+    skip = 4 * first - first_line + (1 if split.start else 0)
+    if split.start and split.ends == 0:  # nothing starts here
+        return first, _Stream(iter(()))
+    take = None if split.last else 4 * (last - first + 1)
+    return first, _Stream(cut(text_from(split.path, split.kind, split.start), skip, take))
+
+
+class _Part(InputPartition):
+    def __init__(self, number: int, split: Split):
+        super().__init__(number)
+        self.split = split
 
 
 class FastqReader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, splits: list[Split]):
+        self.splits = splits
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(k, p) for k, p in enumerate(self.paths)]
-
-    def read(self, part: _File) -> Iterator[pa.RecordBatch]:
-        at, ended = 0, False
-        with open_text(part.path) as stream:
-            for lines in line_blocks(stream, part.path):
-                if ended and any(x.strip() for x in lines):
-                    raise _fail(part.path, at + 1, "follows a blank line")
-                cols, over = columns(lines, at, part.path)
-                ended = ended or over
-                for lo in range(0, len(cols[0]), ROWS_AT_ONCE):
-                    some = [c[lo : lo + ROWS_AT_ONCE] for c in cols]
-                    n = len(some[0])
-                    yield pa.record_batch([pa.array([part.file_idx] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()), *map(_text, some[:4]), pa.array(some[4], pa.int32())], schema=_ARROW)
-                    at += n
+        return [_Part(k, s) for k, s in enumerate(self.splits)]
+
+    def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
+        path, idx = part.split.path, part.split.file_idx
+        at, stream = records(part.split)
+        ended = False
+        for lines in line_blocks(stream, path, at):
+            if ended and any(x.strip() for x in lines):
+                raise _fail(path, at + 1, "follows a blank line")
+            cols, over = columns(lines, at, path)
+            ended = ended or over
+            for lo in range(0, len(cols[0]), ROWS_AT_ONCE):
+                some = [c[lo : lo + ROWS_AT_ONCE] for c in cols]
+                n = len(some[0])
+                yield pa.record_batch([pa.array([idx] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()), *map(_text, some[:4]), pa.array(some[4], pa.int32())], schema=_ARROW)
+                at += n
 
 
 class FastqSource(DataSource):
@@ -131,8 +266,10 @@ class FastqSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> FastqReader:
+        if "splits" in self.options:
+            return FastqReader([Split(*x) for x in json.loads(self.options["splits"])])
         paths = json.loads(self.options["paths"]) if "paths" in self.options else [self.options["path"]]
-        return FastqReader(paths)
+        return FastqReader([Split(k, p) for k, p in enumerate(paths)])
 
 
 def register(spark: SparkSession) -> None:
@@ -142,16 +279,48 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FastqSink)
 
 
-def read_fastq(spark: SparkSession, paths: list[str]) -> DataFrame:
+def splits_of(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> list[Split]:
+    """A split for each task.  Files of more than one are counted first, in a job whose
+    result is a number for each split."""
+    out: list[Split] = []
+    for k, p in enumerate(paths):
+        kind, size = kind_of(p)
+        if kind == "whole" or size <= split_bytes:
+            out.append(Split(k, p))
+            continue
+        starts = range(0, size, split_bytes)
+        out += [Split(k, p, kind, a, min(a + split_bytes, size), last=a + split_bytes >= size) for a in starts]
+    todo = [(n, s.path, s.kind, s.start, s.end) for n, s in enumerate(out) if s.kind != "whole"]
+    if not todo:
+        return out
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            ends = [sum(x.count(b"\n") for x in text_from(*r[1:])) for r in rows]
+            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array(ends, pa.int64())], names=["n", "ends"])
+
+    asked = spark.createDataFrame(todo, "n bigint, path string, kind string, start bigint, end bigint").repartition(len(todo))
+    for r in asked.mapInArrow(count, "n bigint, ends bigint").collect():
+        out[r["n"]].ends = r["ends"]
+    before: dict[int, int] = defaultdict(int)
+    for s in out:
+        s.before = before[s.file_idx]
+        before[s.file_idx] += s.ends
+    return out
+
+
+def read_fastq(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """All files' records, told apart by ``file_idx``."""
     spark.dataSource.register(FastqSource)
-    return spark.read.format("fastq").option("paths", json.dumps([str(p) for p in paths])).load()
+    splits = splits_of(spark, [str(p) for p in paths], split_bytes)
+    return spark.read.format("fastq").option("splits", json.dumps([list(vars(s).values()) for s in splits])).load()
 
 
 def stage(spark: SparkSession, paths: list[str], folder: str) -> list[DataFrame]:
     """The files as Parquet: a FASTQ file is decompressed once, however often its records
-    are used, and later scans split and prune columns.  One job reads all files, a task
-    each; a file's own rows are told by statistics of the Parquet files."""
+    are used, and later scans split and prune columns.  One job reads the splits of all
+    files; a file's own rows are told by statistics of the Parquet files."""
     read_fastq(spark, paths).write.mode("overwrite").parquet(folder)
     both = spark.read.schema(SCHEMA).parquet(folder)
     return [both.where(both["file_idx"] == k).drop("file_idx") for k in range(len(paths))]

@@ -1,4 +1,5 @@
 import gzip
+import random
 import re
 
 import pytest
@@ -8,9 +9,9 @@ from skein.operators.metrics import read_metrics
 from skein.operators.segments import segmented
 from skein.plans.demux import Demux, target_files
 from skein.plans.structure import ReadStructure, parse_kinds, parse_skip_reason
-from skein.sources.fastq import MalformedFastq, read_fastq
+from skein.sources.fastq import MalformedFastq, read_fastq, splits_of
 from skein.sources.folders import shared_folder
-from skein.sources.sinks import END_BLOCK, BgzfWriter, write_fastq
+from skein.sources.sinks import END_BLOCK, BgzfWriter, bgzf_block, write_fastq
 
 S17 = ["AAAAAAAAGATTACAGA", "CCCCCCCCGATTACAGA", "GGGGGGGGGATTACAGA", "GGGGGGTTGATTACAGA"]
 
@@ -203,3 +204,50 @@ def test_records_beyond_ascii_are_written(spark, tmp_path):
     rows = [("t.fq.gz", k, f"@{'é' if k % 3 == 0 else 'e'}{k}\nA\n+\n;\n") for k in range(50)] + [("u.fq.gz", 0, "@u\nA\n+\n;\n")]
     write_fastq(spark.createDataFrame(rows, "target string, ord long, record string"), str(tmp_path), ["t.fq.gz", "u.fq.gz"])
     assert gzip.decompress((tmp_path / "t.fq.gz").read_bytes()) == "".join(r for *_, r in rows[:50]).encode("latin-1")
+
+
+def fastq_text(rng, n, end="\n"):
+    rows = []
+    for k in range(n):
+        b = "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 90)))
+        rows.append(f"@r{k} {'x' * rng.randint(0, 30)}{end}{b}{end}+{end}{'@+;I'[k % 4] * len(b)}{end}")
+    return "".join(rows).encode()
+
+
+@pytest.mark.parametrize("split_bytes", [97, 1000, 5000])
+def test_split_files_read_as_whole_ones(spark, tmp_path, split_bytes):
+    """Plain and block-gzip files, with and without a last line end, blank lines behind,
+    carriage returns; a file of one record and an empty one."""
+    rng = random.Random(split_bytes)
+    texts = [fastq_text(rng, 60), fastq_text(rng, 60)[:-1], fastq_text(rng, 30) + b"\n\n\n", fastq_text(rng, 40, "\r\n"), fastq_text(rng, 1), b""]
+    paths = []
+    for k, text in enumerate(texts):
+        (tmp_path / f"{k}.fq").write_bytes(text)
+        w = (tmp_path / f"{k}.fq.gz").open("wb")
+        for at in range(0, len(text), 700):  # blocks that end anywhere
+            w.write(bgzf_block(text[at : at + 700], 5))
+        w.write(END_BLOCK)
+        w.close()
+        paths += [str(tmp_path / f"{k}.fq"), str(tmp_path / f"{k}.fq.gz")]
+    (tmp_path / "one.fq.gz").write_bytes(gzip.compress(texts[0]))
+    paths.append(str(tmp_path / "one.fq.gz"))
+    splits = splits_of(spark, paths, split_bytes)
+    assert len(splits) > len(paths) and sum(s.path.endswith("one.fq.gz") for s in splits) == 1
+    key = ["file_idx", "ord"]
+    got = [tuple(r) for r in read_fastq(spark, paths, split_bytes).orderBy(*key).collect()]
+    want = [tuple(r) for r in read_fastq(spark, paths, 1 << 30).orderBy(*key).collect()]
+    assert got == want and len(got) == 2 * (60 + 60 + 30 + 40 + 1) + 60
+
+
+def test_split_files_that_are_malformed(spark, tmp_path):
+    text = fastq_text(random.Random(1), 80)
+    cut_off, shifted = text[: text.rindex(b"+")], text[: len(text) // 2] + b"\n" + text[len(text) // 2 :]
+    for bad in (cut_off, shifted):
+        (tmp_path / "x.fq").write_bytes(bad)
+        with pytest.raises(Exception, match="parsing FASTQs"):
+            read_fastq(spark, [str(tmp_path / "x.fq")], 500).collect()
+    damaged = bytearray(b"".join(bgzf_block(text[k : k + 700], 5) for k in range(0, len(text), 700)) + END_BLOCK)
+    damaged[len(damaged) // 2] ^= 255
+    (tmp_path / "x.fq.gz").write_bytes(bytes(damaged))
+    with pytest.raises(Exception):
+        read_fastq(spark, [str(tmp_path / "x.fq.gz")], 500).collect()
