@@ -19,7 +19,7 @@ from skein.functions import bases, headers, packed
 from skein.operators import matcher, metrics, sampling, segments, zipping
 from skein.operators.samples import Sample, SampleGroup
 from skein.plans.demux import METRICS_FILE, Demux, read_sets, routed, target_files
-from skein.plans.structure import ReadStructure
+from skein.plans.structure import ReadStructure, parse_kinds, parse_skip_reason
 from skein.plans.subsample import Subsample
 from skein.sources.fastq import open_store, read_fastq
 from skein.sources.folders import shared_folder
@@ -233,6 +233,12 @@ def nocall_prefilter(spark, sf_dir):
     return met.where(matcher.tried(F.col("obs"), 12, 1, F.col("__max_ns"))).select("ord")
 
 
+@query("WITH reads AS " + duck(_ODD) + " SELECT ord, [c IN ('N', 'n', '.') FOR c IN string_split(obs, '')] AS nocalls FROM reads")
+def nocall_flags(spark, sf_dir):
+    each = F.transform(F.split("obs", ""), bases.is_nocall)
+    return view(spark, sf_dir, _ODD).select("ord", each.alias("nocalls"))
+
+
 # -------------------------------------------------------------------- segments
 def _cut(spark, sf_dir, structure: str, skip: bool = True, records: str = RECORDS_1) -> DataFrame:
     return segments.segmented(view(spark, sf_dir, records), ReadStructure.parse(structure), skip)
@@ -463,6 +469,12 @@ def base_read_name(spark, sf_dir):
     return view(spark, sf_dir, EVENT_NAMES).select("ord", headers.base_read_name(F.col("header")).alias("name"))
 
 
+@query("SELECT o_orderkey AS ord, format('{:,}', o_orderkey * o_custkey * 7919) AS said FROM orders")
+def thousands(spark, sf_dir):
+    big = view(spark, sf_dir, "(SELECT o_orderkey AS ord, o_orderkey * o_custkey * 7919 AS n FROM {orders})")
+    return big.select("ord", headers.thousands(F.col("n")).alias("said"))
+
+
 # -------------------------------------------------------------------- sampling
 _KEEP = "('0x' || substr(md5('42:' || ord), 1, 8))::BIGINT / 4294967296.0 < 0.3"
 
@@ -537,6 +549,18 @@ def bitenc_ops(spark, sf_dir):
     )
 
 
+@query("WITH r AS " + duck(reads_sql(12)) + " SELECT ord, 0::INT AS n_new, ord % 7 AS n_filled, CAST(ceil((ord % 7) / 4) AS INT) AS n_blocks, true AS cleared FROM r")
+def bitenc_new(spark, sf_dir):
+    """Arrays from the empty one on, and back to it; seven bits a symbol."""
+    filled = packed.push_values(packed.new(7), F.col("ord").cast("int") % 7, 99, 7)
+    df = view(spark, sf_dir, reads_sql(12)).select("ord", filled.alias("a"))
+    emptied = F.when(F.lit(True), packed.clear(7)).otherwise(F.col("a"))
+    return df.select(
+        "ord", packed.nr_symbols(packed.new(7)).alias("n_new"), packed.nr_symbols(F.col("a")).cast("bigint").alias("n_filled"),
+        packed.nr_blocks(F.col("a"), 7).alias("n_blocks"), packed.is_empty(emptied).alias("cleared"),
+    )
+
+
 @query("WITH r AS " + duck(reads_sql(12)) + f" SELECT ord, unnest(range(0, len(obs)))::INT AS pos, unnest([CAST({mask_sql('c')} AS INT) FOR c IN string_split(obs, '')]) AS mask FROM r")
 def bitenc_iter(spark, sf_dir):
     return view(spark, sf_dir, reads_sql(12)).select("ord", packed.iterate(bases.masks("obs")).alias("pos", "mask"))
@@ -546,3 +570,37 @@ def bitenc_iter(spark, sf_dir):
 def fastq_roundtrip(spark, sf_dir):
     """Reads written as one block-gzip FASTQ file and read back."""
     return read_fastq(spark, _put_reads(spark, sf_dir, _folder(spark, "roundtrip"), all=RECORDS_1))
+
+
+# ------------------------------------------------------------- read structures
+_TEXTS = ("8B+T", "100T", "10M8B7C100T", "4B4M8S", "17B20T20S20T20S20T", "6B1S1M1T", "+M", "3S3S3S")
+
+
+@query(f"""WITH t AS (SELECT unnest({list(_TEXTS)}) AS structure)
+SELECT structure, CAST(list_sum([CAST(n AS INT) FOR n IN regexp_extract_all(structure, '[0-9]+')]) AS BIGINT) IS NULL AS is_open_only,
+       coalesce(list_sum([CAST(n AS BIGINT) FOR n IN regexp_extract_all(structure, '[0-9]+')]), 0)::BIGINT + (structure LIKE '%+%')::BIGINT AS min_length,
+       [len(regexp_extract_all(structure, k)) FOR k IN ['B', 'C', 'M', 'S', 'T']] AS counts
+FROM t""")
+def structure_facts(spark, sf_dir):
+    """Least length and segments of each kind of read structures."""
+    parsed = [ReadStructure.parse(t) for t in _TEXTS]
+    rows = [(str(rs), all(s.length is None for s in rs.segments), rs.min_length, [rs.count(k) for k in "BCMST"]) for rs in parsed]
+    return spark.createDataFrame(rows, "structure string, is_open_only boolean, min_length bigint, counts array<bigint>")
+
+
+@query("""SELECT t AS given, CASE WHEN len(regexp_replace(t, '[BCMST]', '', 'g')) > 0
+  THEN 'Error parsing segment types to report: Invalid read segment type: ' || regexp_replace(t, '[BCMST]', '', 'g')[1]
+  ELSE array_to_string(list_sort(list_distinct(string_split(t, ''))), '') END AS said
+FROM (SELECT unnest(['T', 'TB', 'BBTM', 'TX', 'tb', 'MCSTB']) AS t)
+UNION ALL SELECT t, CASE WHEN lower(replace(replace(t, ' ', ''), '-', '')) = 'toofewbases' THEN 'too-few-bases' ELSE 'Invalid skip reason: ' || t END
+FROM (SELECT unnest(['too-few-bases', 'Too Few Bases', 'TOOFEWBASES', 'too long']) AS t)""")
+def option_parses(spark, sf_dir):
+    """What letters of kinds and names of skip reasons are taken for."""
+    out = []
+    for parse, texts in ((lambda t: "".join(sorted(parse_kinds(t))), ("T", "TB", "BBTM", "TX", "tb", "MCSTB")), (parse_skip_reason, ("too-few-bases", "Too Few Bases", "TOOFEWBASES", "too long"))):
+        for t in texts:
+            try:
+                out.append((t, parse(t)))
+            except ValueError as e:
+                out.append((t, str(e)))
+    return spark.createDataFrame(out, "given string, said string")
