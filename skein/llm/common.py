@@ -80,8 +80,9 @@ def row_bytes(df: DataFrame) -> int:
 
 def small_or_shuffled(df: DataFrame, rows: int, width: float | None = None) -> DataFrame:
     """``df`` marked for broadcast if its counted rows, ``width`` bytes each, allow
-    it; else unchanged, so that the join shuffles."""
-    return F.broadcast(df) if rows * (row_bytes(df) if width is None else width) <= BROADCAST_BYTES else df
+    it; else for a join that shuffles: by the size of a compressed table Spark would
+    broadcast what is many times as large in memory."""
+    return F.broadcast(df) if rows * (row_bytes(df) if width is None else width) <= BROADCAST_BYTES else df.hint("merge")
 
 
 def beside_group(df: DataFrame, key: list[str], salt: Column, partial: list[Column], final: list[Column]) -> DataFrame:
