@@ -53,7 +53,10 @@ SENSITIVE = re.compile(
     r"|password|passwd|passphrase|secret|token|credential|bearer|api_?key", re.I | re.A
 )
 #: Every sensitive word has one of these.
-_STEMS = ("pass", "secret", "token", "key", "cred", "bearer", "_id", "-id", " id", "hash", "authid", "accessid", "apiid", "clientid", "sessionid")
+_STEMS = (
+    "pass", "secret", "token", "key", "cred", "bearer", "hash", "_id", "-id", " id", "apiid", "accessid", "authid", "privateid", "signingid",
+    "encryptionid", "sessionid", "clientid", "masterid", "deployid", "sshid",
+)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Chosen: phrases that prime the dictionary whatever the corpus.
 IDENTIFIERS = (

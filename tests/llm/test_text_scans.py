@@ -127,6 +127,13 @@ def test_novelty_finds_unlabelled_keys(spark):
     assert clean[k] == texts[k][:a] + "[SECRET]" + texts[k][b:]
 
 
+def test_stems_are_in_every_sensitive_word():
+    first = "api access auth private signing encryption session client bearer master deploy ssh".split()
+    words = [f"{a}{s}{b}" for a in first for s in ("", "_", " ", "-") for b in ("key", "token", "secret", "id", "hash")]
+    for w in [*words, "password", "passwd", "passphrase", "secret", "token", "credential", "bearer", "apikey", "api_key"]:
+        assert secrets.SENSITIVE.fullmatch(w) and any(stem in w for stem in secrets._STEMS)
+
+
 def test_context_and_measure():
     n = secrets.Novelty(secrets.primer([]))
     body = ["Zk9xQ2v8LmN4pR7tYw3sB6hJ0dFgC1aE", "mT5uV8iO2rX7cW4qK9yP3lS6nH1jD0bG", "eA4fZ7gU2kM9vB5xN8tQ3wR6yL1oI0pJ"]
