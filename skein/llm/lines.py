@@ -169,13 +169,16 @@ def candidates(occ: DataFrame, texts_of, edits: int = EDITS, crowd: int = CROWD,
         heavy = stored(members.join(small_or_shuffled(crowded, n_crowded), "key"), "heavy")
         signed = texts_of(heavy.select("h1").distinct()).select("h1", signature().alias("sig"))
         heavy = heavy.join(signed, "h1")
-        heavy = heavy.withColumn("n_blk", F.ceil(F.col("n") / block))
+        # members meet blocks: both are dealt, so a key is as many tasks as it has pairs of
+        # a block and a part of its members
+        n_part = F.greatest(F.col("n_blk"), F.least(F.lit(8), F.ceil(F.col("n") / 128)))
+        heavy = heavy.withColumn("n_blk", F.ceil(F.col("n") / block)).withColumn("n_part", n_part)
         dealt = heavy.where("idx").withColumn("blk", F.pmod(F.xxhash64("h1"), F.col("n_blk")))
-        blocks = dealt.groupBy("key", "blk").agg(F.collect_list(F.struct("h1", "sig")).alias("m"))
+        blocks = dealt.groupBy("key", "blk", "n_part").agg(F.collect_list(F.struct("h1", "sig")).alias("m"))
+        blocks = blocks.select("key", "blk", "m", F.explode(F.expr("sequence(0L, n_part - 1)")).alias("part"))
         near = f"filter(m, x -> x.h1 <> h1 and bit_count(x.sig ^ sig) <= {4 * edits})"
-        # members go to each of their key's blocks, so that a key is as many tasks as it has blocks
-        sent = heavy.select("key", "h1", "sig", F.explode(F.expr("sequence(0L, n_blk - 1)")).alias("blk"))
-        met = sent.join(blocks, ["key", "blk"]).select("h1", F.explode(F.expr(f"transform({near}, x -> x.h1)")).alias("o"))
+        sent = heavy.select("key", "h1", "sig", F.pmod(F.xxhash64(F.lit(3), "h1"), F.col("n_part")).alias("part"), F.explode(F.expr("sequence(0L, n_blk - 1)")).alias("blk"))
+        met = sent.join(blocks, ["key", "blk", "part"]).select("h1", F.explode(F.expr(f"transform({near}, x -> x.h1)")).alias("o"))
         pairs = pairs.union(met.select(F.least("h1", "o").alias("a"), F.greatest("h1", "o").alias("b")))
     return pairs.distinct()
 
