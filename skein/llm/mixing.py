@@ -160,7 +160,8 @@ def offsets(rows: DataFrame, words: str) -> DataFrame:
     """``__sk_offset``: the sum of ``words`` in a pattern's buckets before each."""
     before = Window.partitionBy("__sk_pattern").orderBy("__sk_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(*BUCKET).agg(F.sum(words).alias("__sk_sum"))
-    return sums.select(*BUCKET, F.coalesce(F.sum("__sk_sum").over(before), F.lit(0)).alias("__sk_offset"))
+    # a table that grows with the rows: not to be broadcast by its compressed size
+    return sums.select(*BUCKET, F.coalesce(F.sum("__sk_sum").over(before), F.lit(0)).alias("__sk_offset")).hint("merge")
 
 
 def select(sized: DataFrame, gives: dict, seed: int = SEED, tie: list[str] | None = None) -> DataFrame:
@@ -198,7 +199,7 @@ def select(sized: DataFrame, gives: dict, seed: int = SEED, tie: list[str] | Non
         if not more:
             break
         if got:
-            hit = taken.select(*BUCKET, "__sk_rank", F.lit(True).alias("__sk_hit"))
+            hit = taken.select(*BUCKET, "__sk_rank", F.lit(True).alias("__sk_hit")).hint("merge")
             ranked = stored(
                 ranked.join(hit, [*BUCKET, "__sk_rank"], "left")
                 .withColumn("__sk_in", F.col("__sk_in") | F.coalesce("__sk_hit", F.lit(False)))
@@ -296,7 +297,7 @@ def take_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = ("__sk_k1", "__sk_k2")
     keyed = docs.withColumns(dict(zip(names, row_keys(*docs.columns), strict=True)))
     taken = mix(keyed, keys=names).groupBy(*names).agg(F.sum("copies").alias("__sk_copies")).where("__sk_copies > 0")
-    one = keyed.join(stored(taken, "taken"), list(names)).dropDuplicates(list(names))
+    one = keyed.join(stored(taken, "taken").hint("merge"), list(names)).dropDuplicates(list(names))
     return one.withColumn("__sk_x", F.explode(F.expr("sequence(1L, __sk_copies)"))).select(*docs.columns)
 
 
