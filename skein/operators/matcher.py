@@ -1,10 +1,16 @@
 """Nearest-barcode matching under IUPAC-aware Hamming distance.
 
-Reads repeat few distinct barcodes, so the distance runs once for each distinct
-one: distinct barcodes meet the sheet, which comes along as one row holding an
-array of packed masks, and a fold over that array keeps the best and second best
-sample.  No pair of barcode and sample ever becomes a row and no second shuffle is
-needed; the result joins back to the reads by barcode.
+Reads repeat few distinct barcodes, so the distance runs once for each distinct one.
+Up to ``FOLD_UP_TO`` samples come along as one row holding an array of packed masks,
+and a fold over that array keeps the best and second best sample; larger sheets are
+searched by an index of seeds (``seeds``).  No pair of barcode and sample ever becomes a
+row.
+
+The results are kept as a table, the memo, a row for each distinct barcode.  Those that
+match anything go back to the reads by broadcast, if their counted rows allow it, and the
+reads don't move.  Beyond that bound both sides shuffle by barcode and part: only frequent
+barcodes, and reads without one, are dealt to more than one part, so none makes a task
+of its own.
 """
 
 from __future__ import annotations
@@ -13,9 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.bases import PER_CHUNK, encode, mismatches_sql, n_nocalls
+from skein.operators import seeds
 from skein.operators.samples import SampleGroup
+from skein.sources.folders import passing_path, written
 
 WORST = 255
+#: Samples that one row holds; the largest memo, in bytes, that is broadcast; parts of a
+#: frequent barcode, which is one with more than a share of 1 / OFTEN of the reads.
+FOLD_UP_TO, BROADCAST_BYTES, PARTS, OFTEN = 2_000, 24_000_000, 64, 400
+RESULT = ("best_ordinal", "best_mismatches", "next_best_mismatches")
 MATCH = "struct<best_ordinal:int,best_mismatches:int,next_best_mismatches:int>"
 
 
@@ -50,6 +62,10 @@ def tried(obs: Column, length: int, max_mismatches: int, max_ns: Column) -> Colu
     return (F.length(obs) >= length) & (n_nocalls(obs) <= F.lit(max_mismatches) + max_ns)
 
 
+def accepts(best: Column, next_best: Column, max_mismatches: int, min_delta: int) -> Column:
+    return (best <= max_mismatches) & (next_best - best >= min_delta)
+
+
 def match_distinct(observed: DataFrame, samples: DataFrame, length: int, max_mismatches: int = 1, min_delta: int = 2, keep: list[str] | None = None) -> DataFrame:
     """obs, best_ordinal, best_mismatches, next_best_mismatches for every row of
     ``observed`` (obs, and the columns to ``keep``); the last three are null where
@@ -62,22 +78,59 @@ def match_distinct(observed: DataFrame, samples: DataFrame, length: int, max_mis
     _checked(min_delta, "min_delta")
     met = observed.crossJoin(F.broadcast(sheet_row(samples, length)))  # one row: the sheet
     obs = F.col("obs")
-    compared = tried(obs, length, max_mismatches, F.col("__max_ns"))
-    too_long = F.raise_error(F.concat(F.lit("Read barcode ("), obs, F.lit(") length ("), F.length(obs).cast("string"), F.lit(f") differs from expected barcode length ({length})")))
-    made = met.withColumn("__masks", F.when(compared & (F.length(obs) > length), too_long.cast("array<bigint>")).when(compared, encode("obs", length)))
+    made = met.withColumn("__masks", F.when(tried(obs, length, max_mismatches, F.col("__max_ns")), encode(_fitting(obs, length), length)))
     scored = made.withColumn("__m", F.when(F.col("__masks").isNotNull(), F.expr(best_two_sql("__masks", "__sheet", length))))
-    accept = (F.col("__m.best_mismatches") <= max_mismatches) & (F.col("__m.next_best_mismatches") - F.col("__m.best_mismatches") >= min_delta)
-    kept = F.when(accept, F.col("__m"))
-    return scored.select("obs", *(keep or []), *(kept[f].alias(f) for f in ("best_ordinal", "best_mismatches", "next_best_mismatches")))
+    kept = F.when(accepts(F.col("__m.best_mismatches"), F.col("__m.next_best_mismatches"), max_mismatches, min_delta), F.col("__m"))
+    return scored.select("obs", *(keep or []), *(kept[f].alias(f) for f in RESULT))
+
+
+def match_in_large(observed: DataFrame, samples: DataFrame, length: int, max_mismatches: int = 1, min_delta: int = 2) -> DataFrame:
+    """``match_distinct`` for distinct barcodes (obs) and a sheet of any size; the rows of
+    those that match."""
+    _checked(max_mismatches, "max_mismatches")
+    _checked(min_delta, "min_delta")
+    most = samples.agg(F.max(n_nocalls("barcode"))).first()[0]
+    fit = observed.where(tried(F.col("obs"), length, max_mismatches, F.lit(most))).select(_fitting(F.col("obs"), length).alias("obs"))
+    return seeds.nearest_two(fit, samples, length, max_mismatches, min_delta)
+
+
+def _fitting(obs: Column, length: int) -> Column:
+    too_long = F.raise_error(F.concat(F.lit("Read barcode ("), obs, F.lit(") length ("), F.length(obs).cast("string"), F.lit(f") differs from expected barcode length ({length})")))
+    return F.when(F.length(obs) > length, too_long.cast("string")).otherwise(obs)
+
+
+def memo_of(reads: DataFrame, samples: DataFrame, length: int, obs: str = "obs", max_mismatches: int = 1, min_delta: int = 2, path: str | None = None) -> DataFrame:
+    """obs, n (reads that have it) and the match, null where there is none, of every
+    distinct barcode; a table stored at ``path``."""
+    spark = reads.sparkSession
+    counts = reads.select(F.col(obs).alias("obs")).where(F.col("obs").isNotNull()).groupBy("obs").agg(F.count("*").alias("n"))
+    if samples.limit(FOLD_UP_TO + 1).count() <= FOLD_UP_TO:
+        made = match_distinct(counts, samples, length, max_mismatches, min_delta, keep=["n"])
+    else:
+        counts = written(counts, passing_path(spark, "counts"))
+        made = counts.join(match_in_large(counts.select("obs"), samples, length, max_mismatches, min_delta), "obs", "left")
+    return written(made, path or passing_path(spark, "memo"))
+
+
+def with_matches(reads: DataFrame, memo: DataFrame, obs: str = "obs", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``reads`` with the memo's results (null: unmatched)."""
+    hits = memo.where("best_ordinal is not null").select(F.col("obs").alias("__obs"), *RESULT)
+    n, width = hits.agg(F.count("*"), F.coalesce(F.avg(F.length("__obs")), F.lit(0.0))).first()
+    if n * (width + 64) <= broadcast_bytes:
+        return reads.join(F.broadcast(hits), reads[obs] == F.col("__obs"), "left").drop("__obs")
+    often = memo.crossJoin(F.broadcast(memo.agg(F.sum("n").alias("__all")))).where(f"n * {OFTEN} > __all").select(F.col("obs").alias("__often"))  # one row; OFTEN rows at most
+    part = F.pmod(F.xxhash64(*reads.columns), F.lit(PARTS)).cast("int")
+    dealt = reads.join(F.broadcast(often), reads[obs] == F.col("__often"), "left")
+    dealt = dealt.withColumn("__part", F.when(F.col("__often").isNotNull() | F.col(obs).isNull(), part).otherwise(0)).drop("__often")
+    copied = hits.join(F.broadcast(often), F.col("__obs") == F.col("__often"), "left")
+    copied = copied.withColumn("__of", F.explode(F.when(F.col("__often").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(PARTS - 1))))).drop("__often")
+    return dealt.hint("merge").join(copied, (dealt[obs] == copied["__obs"]) & (dealt["__part"] == copied["__of"]), "left").drop("__obs", "__part", "__of")
 
 
 def match_barcodes(reads: DataFrame, samples: DataFrame, length: int, obs: str = "obs", max_mismatches: int = 1, min_delta: int = 2) -> DataFrame:
     """``reads`` with best_ordinal, best_mismatches, next_best_mismatches (null:
-    unmatched).  The core operator."""
-    distinct = reads.select(F.col(obs).alias("obs")).where(F.col(obs).isNotNull()).distinct()
-    # no filter on the result here: pushed into the join, it would run the fold twice
-    found = match_distinct(distinct, samples, length, max_mismatches, min_delta)
-    return reads.join(found.withColumnRenamed("obs", "__obs"), reads[obs] == F.col("__obs"), "left").drop("__obs")
+    unmatched).  The core operator; the distinct barcodes are counted and matched first."""
+    return with_matches(reads, memo_of(reads, samples, length, obs, max_mismatches, min_delta), obs)
 
 
 def match_group(reads: DataFrame, group: SampleGroup, **options) -> DataFrame:
@@ -93,7 +146,3 @@ def with_sample(matched: DataFrame, samples: DataFrame, unmatched: str = "unmatc
 
 def unmatched_reads(matched: DataFrame) -> DataFrame:
     return matched.where("best_ordinal is null")
-
-
-def accepts(best: Column, next_best: Column, max_mismatches: int, min_delta: int) -> Column:
-    return (best <= max_mismatches) & (next_best - best >= min_delta)

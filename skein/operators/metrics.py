@@ -26,13 +26,14 @@ def templates(matched: DataFrame) -> DataFrame:
     return matched.groupBy("best_ordinal").agg(F.count("*").alias("templates"))
 
 
-def demux_metrics(matched: DataFrame, samples: DataFrame, unmatched: str = "unmatched") -> DataFrame:
+def demux_metrics(matched: DataFrame | None, samples: DataFrame, unmatched: str = "unmatched", counts: DataFrame | None = None) -> DataFrame:
     """A row for each sample, in sheet order by ``ordinal``, and the unmatched row
-    last.  Samples without reads stay, with 0.  Mean and best are the samples'."""
-    spark = matched.sparkSession
+    last.  Samples without reads stay, with 0.  Mean and best are the samples'.
+    ``counts`` (best_ordinal, templates) may be given instead of the matched reads."""
+    spark = samples.sparkSession
     rest = spark.createDataFrame([(_NONE, unmatched, UNMATCHED_BARCODE)], "ordinal int, sample_id string, barcode string")
     sheet = samples.select("ordinal", "sample_id", "barcode").unionByName(rest)
-    counts = templates(matched).select(F.coalesce("best_ordinal", F.lit(_NONE)).alias("ordinal"), "templates")
+    counts = (templates(matched) if counts is None else counts).select(F.coalesce("best_ordinal", F.lit(_NONE)).alias("ordinal"), "templates")
     both = sheet.join(counts, "ordinal", "left").withColumn("templates", F.coalesce("templates", F.lit(0)).cast("bigint"))
     every = Window.partitionBy()  # the sheet's rows and one more, whatever the reads
     own = F.when(F.col("ordinal") != _NONE, F.col("templates"))

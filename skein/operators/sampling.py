@@ -58,6 +58,30 @@ def name_mismatches(inputs: list[DataFrame]) -> DataFrame:
     return each.where(F.col("name") != F.col("first_name"))
 
 
+def findings(inputs: int, fraction: float, seed: int, check_names: bool = True) -> list[Column]:
+    """Aggregates over read sets (ord, and each input's columns with its number behind):
+    total, kept, and the first set with a mistake of either kind (``at``)."""
+    there = [F.col(f"seq{k}").isNotNull() for k in range(inputs)]
+    present = sum((F.when(t, 1).otherwise(0) for t in there), F.lit(0))
+    lacking = F.when(present < inputs, F.struct("ord", F.lit(0).alias("file_idx"), present.cast("string").alias("a"), F.lit("").alias("b")))
+    first = base_read_name(F.col("header0"))
+    names = []
+    for k in range(1, inputs if check_names else 1):
+        name = base_read_name(F.col(f"header{k}"))
+        names.append(F.when(kept(fraction, seed) & (name != first), F.struct("ord", F.lit(k).alias("file_idx"), name.alias("a"), first.alias("b"))))
+    return [F.count("*").alias("total"), F.count_if(kept(fraction, seed)).alias("kept"), F.min(F.coalesce(lacking, *names)).alias("at")]
+
+
+def complain(said: dict, inputs: int) -> None:
+    """Raises for the first mistake that ``findings`` tell."""
+    at = said["at"]
+    if at is None:
+        return
+    if at["file_idx"] == 0:
+        raise ValueError(f"FASTQ files are out of sync: {at['a']} of {inputs} files had a record at read {at['ord'] + 1}")
+    raise ValueError(f"Read name mismatch at read {at['ord'] + 1} in file {at['file_idx']}: {at['a']!r} vs. {at['b']!r}")
+
+
 def totals(reads: DataFrame, fraction: float, seed: int) -> DataFrame:
     """total, kept, percent (0.0 of nothing) in one aggregate."""
     n = reads.agg(F.count("*").alias("total"), F.count_if(kept(fraction, seed)).alias("kept"))

@@ -46,15 +46,23 @@ def short_qualities(header: Column, seq: Column, qual: Column) -> Column:
     return F.when(F.coalesce(F.length(qual), F.lit(0)) != F.length(seq), F.raise_error(said).cast("string"))
 
 
-def segmented(reads: DataFrame, structure: ReadStructure, skip: bool = False, first_idx: dict[str, int] | None = None) -> DataFrame:
-    """``reads`` (ord, header, seq, qual) as ord, header, segments, skip_reason.
-    The segments depend on the reason, so that a failing read is never pruned."""
-    reason = too_few(F.col("header"), F.col("seq"), structure, skip)
-    reason = F.coalesce(reason, short_qualities(F.col("header"), F.col("seq"), F.col("qual")))
-    made = reads.withColumn("skip_reason", reason)
+def skip_reason(header: Column, seq: Column, qual: Column, structure: ReadStructure, skip: bool = False) -> Column:
+    """Why a read is skipped, null to keep it; null as well where there is no read."""
+    return F.coalesce(too_few(header, seq, structure, skip), F.when(seq.isNotNull(), short_qualities(header, seq, qual)))
+
+
+def kept_segments(reason: Column, seq: Column, qual: Column, structure: ReadStructure, first_idx: dict[str, int] | None = None) -> Column:
+    """A read's segments, none if it has a reason.  They depend on the reason, so that a
+    failing read is never pruned."""
     empty = F.array().cast(f"array<{SEGMENT}>")
-    parts = F.when(F.col("skip_reason").isNotNull(), empty).otherwise(cut(F.col("seq"), F.col("qual"), structure, first_idx))
-    return made.select("ord", "header", parts.alias("segments"), "skip_reason")
+    return F.when(reason.isNotNull(), empty).otherwise(cut(seq, qual, structure, first_idx))
+
+
+def segmented(reads: DataFrame, structure: ReadStructure, skip: bool = False, first_idx: dict[str, int] | None = None) -> DataFrame:
+    """``reads`` (ord, header, seq, qual) as ord, header, segments, skip_reason."""
+    header, seq, qual = F.col("header"), F.col("seq"), F.col("qual")
+    made = reads.withColumn("skip_reason", skip_reason(header, seq, qual, structure, skip))
+    return made.select("ord", "header", kept_segments(F.col("skip_reason"), seq, qual, structure, first_idx).alias("segments"), "skip_reason")
 
 
 def of_kind(segments: Column, kind: str) -> Column:

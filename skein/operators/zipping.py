@@ -1,8 +1,9 @@
 """Relating inputs by record position.
 
-Records of a run are the rows with equal ``ord`` in every input.  The join is a
-full outer one, so that a missing record shows; all inputs shuffle on ``ord``
-once and the joins after the first reuse that partitioning.
+Records of a run are the rows with equal ``ord`` in every input.  Files that can be split
+come side by side already (``zip_rows``), and nothing is joined.  Tables, and files that
+can't be split, are joined: by a full outer join, so that a missing record shows; all
+inputs shuffle on ``ord`` once and the joins after the first reuse that partitioning.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.segments import kept_segments, skip_reason
+from skein.plans.structure import ReadStructure
+
 
 def _any_null(cols: list[Column]) -> Column:
     return reduce(Column.__or__, [c.isNull() for c in cols])
@@ -27,8 +31,26 @@ def zip_segments(inputs: list[DataFrame], check: bool = True) -> DataFrame:
         d.select("ord", F.col("header").alias(f"h{k}"), F.col("segments").alias(f"s{k}"), F.col("skip_reason").alias(f"r{k}"), F.lit(True).alias(f"in{k}"))
         for k, d in enumerate(inputs)
     ]
-    both = reduce(lambda a, b: a.join(b, "ord", "full_outer"), named)
-    n = range(len(inputs))
+    return _sets(reduce(lambda a, b: a.join(b, "ord", "full_outer"), named), len(inputs), check)
+
+
+def zip_rows(rows: DataFrame, structures: list[ReadStructure], skip: bool = False, check: bool = True) -> DataFrame:
+    """``rows`` (ord, and header, seq and qual of each input with its number behind; null
+    where it has no record) as ``zip_segments`` gives them, by a projection."""
+    n = range(len(structures))
+    made = rows.withColumns({f"r{k}": skip_reason(F.col(f"header{k}"), F.col(f"seq{k}"), F.col(f"qual{k}"), rs, skip) for k, rs in enumerate(structures)})
+    seen: dict[str, int] = {}
+    parts = []
+    for k, rs in enumerate(structures):
+        parts.append(kept_segments(F.col(f"r{k}"), F.col(f"seq{k}"), F.col(f"qual{k}"), rs, seen).alias(f"s{k}"))
+        for s in rs.segments:
+            seen[s.kind] = seen.get(s.kind, 0) + 1
+    present = (F.when(F.col(f"seq{k}").isNotNull(), F.lit(True)).alias(f"in{k}") for k in n)
+    return _sets(made.select("ord", F.col("header0").alias("h0"), *parts, *(f"r{k}" for k in n), *present), len(structures), check)
+
+
+def _sets(both: DataFrame, inputs: int, check: bool) -> DataFrame:
+    n = range(inputs)
     reason = F.coalesce(*(F.col(f"r{k}") for k in n))
     in_sync = ~_any_null([F.col(f"in{k}") for k in n])
     out = both.select("ord", F.col("h0").alias("header"), F.concat(*(F.col(f"s{k}") for k in n)).alias("segments"), reason.alias("skip_reason"), in_sync.alias("in_sync"))

@@ -13,11 +13,12 @@ from skein.functions.headers import rewrite
 from skein.operators import matcher, metrics
 from skein.operators.samples import SampleGroup
 from skein.operators.segments import sample_barcode, segmented, sequences
-from skein.operators.zipping import zip_segments
+from skein.operators.zipping import zip_rows, zip_segments
 from skein.plans.structure import FILE_CODES, ReadStructure, parse_kinds, parse_skip_reason
-from skein.sources.fastq import open_store, stage
-from skein.sources.folders import drop_path, shared_folder
+from skein.sources.fastq import SPLIT_BYTES, open_store, stage
+from skein.sources.folders import drop_path, shared_folder, written
 from skein.sources.sinks import record_text, write_fastq
+from skein.sources.zipped import read_sets_of
 
 METRICS_FILE = "demux-metrics.txt"
 log = logging.getLogger(__name__)
@@ -36,12 +37,18 @@ def read_sets(inputs: list[DataFrame], structures: list[ReadStructure], skip: bo
     return zip_segments(cut)
 
 
-def matched_sets(sets: DataFrame, group: SampleGroup, max_mismatches: int, min_delta: int, unmatched: str) -> DataFrame:
-    """``sets`` with their sample; skipped ones have no barcode and match nothing."""
-    samples = group.to_df(sets.sparkSession)
-    seen = sets.withColumn("obs", F.when(F.col("skip_reason").isNull(), sample_barcode(F.col("segments"))))
-    found = matcher.match_barcodes(seen, samples, group.barcode_length, "obs", max_mismatches, min_delta)
-    return matcher.with_sample(found, samples, unmatched)
+def sets_of(spark: SparkSession, paths: list[str], structures: list[ReadStructure], skip: bool, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """The files' read sets.  Files that can be split are read side by side, without a
+    shuffle; else each is staged and they are joined by position."""
+    rows = read_sets_of(spark, paths, ("header", "seq", "qual"), split_bytes)
+    if rows is not None:
+        return zip_rows(rows, structures, skip)
+    return read_sets(stage(spark, paths, folder), structures, skip)
+
+
+def with_barcode(sets: DataFrame) -> DataFrame:
+    """``sets`` with their barcode; skipped ones have none and match nothing."""
+    return sets.withColumn("obs", F.when(F.col("skip_reason").isNull(), sample_barcode(F.col("segments"))))
 
 
 def routed(matched: DataFrame, kinds: set[str]) -> DataFrame:
@@ -83,6 +90,7 @@ class Demux:
     compression_level: int = 5
     skip_reasons: list[str] = field(default_factory=list)
     staging: str | None = None
+    split_bytes: int = SPLIT_BYTES
     #: Sets skipped by the last run, by reason.
     skipped: dict[str, int] = field(default_factory=dict, init=False)
 
@@ -132,12 +140,12 @@ class Demux:
             drop_path(spark, folder)
 
     def _run(self, spark: SparkSession, structures: list[ReadStructure], kinds: set[str], skip: bool, group: SampleGroup, folder: str) -> DataFrame:
-        inputs = stage(spark, self.inputs, f"{folder}/inputs")
-        log.info("%d inputs read", len(inputs))
-        # matched once: the files, the metrics and the skip counts all come from this table
-        matched_sets(read_sets(inputs, structures, skip), group, self.max_mismatches, self.min_mismatch_delta, self.unmatched_prefix).write.parquet(f"{folder}/matched")
-        every = spark.read.parquet(f"{folder}/matched")
-        matched = every.where("skip_reason is null")
+        # read once: matching, files and skip counts all come from this table
+        every = written(with_barcode(sets_of(spark, self.inputs, structures, skip, f"{folder}/inputs", self.split_bytes)), f"{folder}/sets")
+        log.info("%d inputs read", len(self.inputs))
+        samples = group.to_df(spark)
+        memo = matcher.memo_of(every, samples, group.barcode_length, "obs", self.max_mismatches, self.min_mismatch_delta, f"{folder}/memo")
+        matched = matcher.with_sample(matcher.with_matches(every.where("skip_reason is null"), memo), samples, self.unmatched_prefix)
         prefixes = [s.sample_id for s in group.samples] + [self.unmatched_prefix]
         names = F.concat(F.col("sample_id"), F.lit("."), F.translate("kind", "TBMC", "RIUC"), F.col("kind_idx").cast("string"), F.lit(".fq.gz"))
         rows = routed(matched, kinds).withColumn("target", names)
@@ -149,7 +157,9 @@ class Demux:
             log.info("%s records skipped: %s", f"{n:,}", reason)
         if not self.skipped:
             log.info("no record was skipped")
-        found = metrics.demux_metrics(matched, group.to_df(spark), self.unmatched_prefix)
+        # the memo has every barcode's reads: no scan of theirs
+        counts = memo.groupBy("best_ordinal").agg(F.sum("n").alias("templates"))
+        found = metrics.demux_metrics(None, samples, self.unmatched_prefix, counts)
         # a row for each sample and one more; the staged tables go when the run ends
         found = spark.createDataFrame(found.orderBy("ordinal").collect(), found.schema)
         fs, root = open_store(self.output)

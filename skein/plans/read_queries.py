@@ -9,7 +9,6 @@ functions), so that a shared mistake can't pass.
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +18,10 @@ from skein.functions import bases, headers, packed
 from skein.operators import matcher, metrics, sampling, segments, zipping
 from skein.operators.samples import Sample, SampleGroup
 from skein.plans.demux import METRICS_FILE, Demux, read_sets, routed, target_files
-from skein.plans.structure import ReadStructure, parse_kinds, parse_skip_reason
+from skein.plans.structure import ReadStructure
 from skein.plans.subsample import Subsample
 from skein.sources.fastq import open_store, read_fastq
-from skein.sources.folders import shared_folder
+from skein.sources.folders import passing_path
 from skein.sources.sinks import record_text, write_fastq
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,6 +168,32 @@ def barcode_match_single_sample(spark, sf_dir):
     return matched(spark, sf_dir, 12, 0, 2, _ONE)[0]
 
 
+#: A sample for each order, some with ambiguity codes; reads of events: a sample's
+#: barcode with up to two bases changed, or a random one.
+_LARGE_SHEET = f"""(SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INT) AS ordinal, CAST(o_orderkey AS STRING) AS sample_id,
+      CASE WHEN o_orderkey % 50 = 0 THEN substr(raw, 1, 3) || 'N' || substr(raw, 5) WHEN o_orderkey % 50 = 1 THEN substr(raw, 1, 9) || 'R' || substr(raw, 11) ELSE raw END AS barcode
+      FROM (SELECT o_orderkey, substr({bases_sql('o_orderkey')}, 1, 15) AS raw FROM {{orders}}) AS o)"""
+_LARGE_READS = f"""(SELECT event_id AS ord, CASE WHEN event_id % 5 = 0 THEN substr({bases_sql("'e' || CAST(event_id AS STRING)")}, 1, 15)
+      WHEN event_id % 5 = 1 THEN substr(raw, 1, 6) || 'N' || substr(raw, 8) WHEN event_id % 5 = 2 THEN 'A' || substr(raw, 2, 12) || 'GT' WHEN event_id % 5 = 3 THEN raw
+      ELSE substr(raw, 1, 10) || 'C' || substr(raw, 12) END AS obs
+      FROM (SELECT e.event_id, substr({bases_sql('o.o_orderkey')}, 1, 15) AS raw FROM {{events}} AS e JOIN {{orders}} AS o ON o.o_orderkey = e.event_id % 15000) AS e)"""
+
+
+def _packed_sql(c: str) -> str:
+    return f"('0x' || translate({c}, 'ACMGRSVTWYHKDBN', '123456789ABCDEF'))::BIGINT"
+
+
+@query(duck(f"""WITH s AS {_LARGE_SHEET}, r AS {_LARGE_READS}, p AS (SELECT ordinal, {_packed_sql('barcode')} AS e, xor({_packed_sql('barcode')}, 1152921504606846975) AS ne FROM s
+), o AS (SELECT obs, {_packed_sql('obs')} AS m FROM (SELECT DISTINCT obs FROM r)
+), d AS (SELECT obs, ordinal, bit_count(((m & ne) | ((m & ne) >> 1) | ((m & ne) >> 2) | ((m & ne) >> 3)) & 76861433640456465) AS mm FROM o, p
+), two AS (SELECT obs, min(mm * 10000000 + ordinal, 2) AS near FROM d GROUP BY obs
+), found AS (SELECT obs, (near[1] % 10000000)::INT AS best_ordinal, (near[1] // 10000000)::INT AS best_mismatches, coalesce(near[2] // 10000000, 255)::INT AS next_best_mismatches FROM two)
+SELECT ord, r.obs, best_ordinal, best_mismatches, next_best_mismatches FROM r LEFT JOIN (FROM found WHERE best_mismatches <= 1 AND next_best_mismatches - best_mismatches >= 2) USING (obs)"""))
+def barcode_match_sheet(spark, sf_dir):
+    """A sheet of a sample for each order, searched by seeds."""
+    return matcher.match_barcodes(view(spark, sf_dir, _LARGE_READS), view(spark, sf_dir, _LARGE_SHEET), 15)
+
+
 @query(match_sql(12, 1, 2) + "SELECT ord, obs FROM matched WHERE best_ordinal IS NULL")
 def unmatched_reads(spark, sf_dir):
     return matcher.unmatched_reads(matched(spark, sf_dir)[0]).select("ord", "obs")
@@ -343,7 +368,8 @@ def output_file_counts(spark, sf_dir):
 
 # ---------------------------------------------------------- runs, file to file
 def _folder(spark: SparkSession, name: str) -> str:
-    folder = f"{shared_folder(spark)}/{name}-{os.urandom(8).hex()}"
+    """A folder for a run's files, which are read lazily: it goes when the driver exits."""
+    folder = passing_path(spark, name)
     fs, root = open_store(folder)
     fs.create_dir(root, recursive=True)
     return folder
@@ -360,7 +386,11 @@ def _put_reads(spark, sf_dir, folder: str, **views: str) -> list[str]:
     return [f"{folder}/{name}.fq.gz" for name in views]
 
 
-def _demux(spark, sf_dir, name: str) -> tuple[Demux, list[str]]:
+#: So small that the files of any table size are cut to many ranges.
+_SMALL_SPLITS = 1 << 15
+
+
+def _demux(spark, sf_dir, name: str, **options) -> tuple[Demux, list[str]]:
     """A whole run over two files: the run, and the files that it writes."""
     folder = _folder(spark, name)
     inputs = _put_reads(spark, sf_dir, folder, one=RECORDS_1, two=_BOTH)
@@ -369,18 +399,30 @@ def _demux(spark, sf_dir, name: str) -> tuple[Demux, list[str]]:
     with fs.open_output_stream(f"{root}/sheet.tsv") as f:
         f.write("".join(["sample_id\tbarcode\n", *(f"{r['n_name']}\t{r['barcode']}\n" for r in sheet)]).encode())
     run = Demux(
-        inputs, list(_STRUCTURES), f"{folder}/sheet.tsv", f"{folder}/out", output_types="TBM", max_mismatches=0, min_mismatch_delta=1, skip_reasons=["too-few-bases"]
+        inputs, list(_STRUCTURES), f"{folder}/sheet.tsv", f"{folder}/out", output_types="TBM", max_mismatches=0, min_mismatch_delta=1, skip_reasons=["too-few-bases"], **options
     )
     run.execute(spark)
     names = target_files([ReadStructure.parse(x) for x in _STRUCTURES], set("TBM"), [*(r["n_name"] for r in sheet), "unmatched"])
     return run, names
 
 
-@query(_SETS_SQL + f""", heads AS (SELECT {_FILE} AS file, ord AS place, 'run:1:' || ord || ':' || substr(y, 1, 8) || ' ' || kind_idx || ':N:0:' || substr(x, 1, 12) AS header, seq, qual FROM files)
-SELECT file, row_number() OVER (PARTITION BY file ORDER BY place) - 1 AS ord, header, seq, qual FROM heads""")
+_FILES_SQL = _SETS_SQL + f""", heads AS (SELECT {_FILE} AS file, ord AS place, 'run:1:' || ord || ':' || substr(y, 1, 8) || ' ' || kind_idx || ':N:0:' || substr(x, 1, 12) AS header, seq, qual FROM files)
+SELECT file, row_number() OVER (PARTITION BY file ORDER BY place) - 1 AS ord, header, seq, qual FROM heads"""
+
+
+@query(_FILES_SQL)
 def demux_files(spark, sf_dir):
     """What stands in the files of a run, in their order."""
-    run, names = _demux(spark, sf_dir, "demux-files")
+    return _demultiplexed(spark, *_demux(spark, sf_dir, "demux-files"))
+
+
+@query(_FILES_SQL)
+def demux_split_files(spark, sf_dir):
+    """The same of inputs that are read side by side in many ranges."""
+    return _demultiplexed(spark, *_demux(spark, sf_dir, "demux-splits", split_bytes=_SMALL_SPLITS))
+
+
+def _demultiplexed(spark, run: Demux, names: list[str]) -> DataFrame:
     known = spark.createDataFrame(list(enumerate(names)), "file_idx int, file string")
     return read_fastq(spark, [f"{run.output}/{n}" for n in names]).join(known, "file_idx").select("file", "ord", "header", "seq", "qual")
 
@@ -403,24 +445,39 @@ def demux_skip_report(spark, sf_dir):
     return spark.createDataFrame(list(_demux(spark, sf_dir, "demux-skips")[0].skipped.items()), "skip_reason string, n bigint")
 
 
-@query("WITH a AS " + duck(RECORDS_1) + ", b AS " + duck(_BOTH) + """, kept AS (
+_KEPT_FILES_SQL = "WITH a AS " + duck(RECORDS_1) + ", b AS " + duck(_BOTH) + """, kept AS (
   SELECT 0 AS file_idx, * FROM a UNION ALL SELECT 1, * FROM b
-) SELECT file_idx, row_number() OVER (PARTITION BY file_idx ORDER BY ord) - 1 AS ord, header, seq, qual FROM kept WHERE ('0x' || substr(md5('42:' || ord), 1, 8))::BIGINT / 4294967296.0 < 0.3""")
+) SELECT file_idx, row_number() OVER (PARTITION BY file_idx ORDER BY ord) - 1 AS ord, header, seq, qual FROM kept WHERE ('0x' || substr(md5('42:' || ord), 1, 8))::BIGINT / 4294967296.0 < 0.3"""
+
+
+@query(_KEPT_FILES_SQL)
 def subsample_files(spark, sf_dir):
     """What stands in the files that a run of subsampling writes."""
-    folder = _folder(spark, "subsample-files")
+    return _subsampled(spark, sf_dir, "subsample-files")
+
+
+@query(_KEPT_FILES_SQL)
+def subsample_split_files(spark, sf_dir):
+    """The same of inputs that are read side by side in many ranges."""
+    return _subsampled(spark, sf_dir, "subsample-splits", split_bytes=_SMALL_SPLITS)
+
+
+def _subsampled(spark, sf_dir, name: str, **options) -> DataFrame:
+    folder = _folder(spark, name)
     inputs = _put_reads(spark, sf_dir, folder, one=RECORDS_1, two=_BOTH)
-    Subsample(inputs, f"{folder}/kept", 0.3, seed=42).execute(spark)
+    Subsample(inputs, f"{folder}/kept", 0.3, seed=42, **options).execute(spark)
     return read_fastq(spark, [f"{folder}/kept.R{k}.fq.gz" for k in (1, 2)]).select("file_idx", "ord", "header", "seq", "qual")
 
 
-_RUN = {"compression_level": 5, "fraction": 0.25, "inputs": ["a.fq", "b.fq"], "threads": 8}
+_RUN = {"compression_level": 5, "fraction": 0.3, "inputs": ["orders.fq"], "threads": 8}
+_SEED = f"(('0x' || substr(sha256('{json.dumps(_RUN)}'), 1, 16))::UBIGINT >> 1)::BIGINT"
 
 
-@query(f"SELECT f AS fraction, (('0x' || substr(sha256('{json.dumps(_RUN)}'.replace('0.25', f::STRING)), 1, 16))::UBIGINT >> 1)::BIGINT AS seed FROM (VALUES (0.25), (0.5), (0.75)) AS v(f)".replace("0.25), (0.5), (0.75)", "0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)"))
-def derived_seeds(spark, sf_dir):
-    """The seed that a run without one takes, by its parameters."""
-    return spark.createDataFrame([(f, sampling.effective_seed(None, **(_RUN | {"fraction": f}))) for f in (0.25, 0.5, 0.75)], "fraction double, seed bigint")
+@query("WITH r AS " + duck(RECORDS_1) + f" SELECT ord, header, {_SEED} AS seed FROM r WHERE ('0x' || substr(md5({_SEED} || ':' || ord), 1, 8))::BIGINT / 4294967296.0 < 0.3")
+def subsample_derived_seed(spark, sf_dir):
+    """Records that a run without a seed keeps: its seed comes from its parameters."""
+    seed = sampling.effective_seed(None, **_RUN)
+    return sampling.sample(view(spark, sf_dir, RECORDS_1), 0.3, seed).select("ord", "header", F.lit(seed).cast("bigint").alias("seed"))
 
 
 # --------------------------------------------------------------------- headers
@@ -570,37 +627,3 @@ def bitenc_iter(spark, sf_dir):
 def fastq_roundtrip(spark, sf_dir):
     """Reads written as one block-gzip FASTQ file and read back."""
     return read_fastq(spark, _put_reads(spark, sf_dir, _folder(spark, "roundtrip"), all=RECORDS_1))
-
-
-# ------------------------------------------------------------- read structures
-_TEXTS = ("8B+T", "100T", "10M8B7C100T", "4B4M8S", "17B20T20S20T20S20T", "6B1S1M1T", "+M", "3S3S3S")
-
-
-@query(f"""WITH t AS (SELECT unnest({list(_TEXTS)}) AS structure)
-SELECT structure, CAST(list_sum([CAST(n AS INT) FOR n IN regexp_extract_all(structure, '[0-9]+')]) AS BIGINT) IS NULL AS is_open_only,
-       coalesce(list_sum([CAST(n AS BIGINT) FOR n IN regexp_extract_all(structure, '[0-9]+')]), 0)::BIGINT + (structure LIKE '%+%')::BIGINT AS min_length,
-       [len(regexp_extract_all(structure, k)) FOR k IN ['B', 'C', 'M', 'S', 'T']] AS counts
-FROM t""")
-def structure_facts(spark, sf_dir):
-    """Least length and segments of each kind of read structures."""
-    parsed = [ReadStructure.parse(t) for t in _TEXTS]
-    rows = [(str(rs), all(s.length is None for s in rs.segments), rs.min_length, [rs.count(k) for k in "BCMST"]) for rs in parsed]
-    return spark.createDataFrame(rows, "structure string, is_open_only boolean, min_length bigint, counts array<bigint>")
-
-
-@query("""SELECT t AS given, CASE WHEN len(regexp_replace(t, '[BCMST]', '', 'g')) > 0
-  THEN 'Error parsing segment types to report: Invalid read segment type: ' || regexp_replace(t, '[BCMST]', '', 'g')[1]
-  ELSE array_to_string(list_sort(list_distinct(string_split(t, ''))), '') END AS said
-FROM (SELECT unnest(['T', 'TB', 'BBTM', 'TX', 'tb', 'MCSTB']) AS t)
-UNION ALL SELECT t, CASE WHEN lower(replace(replace(t, ' ', ''), '-', '')) = 'toofewbases' THEN 'too-few-bases' ELSE 'Invalid skip reason: ' || t END
-FROM (SELECT unnest(['too-few-bases', 'Too Few Bases', 'TOOFEWBASES', 'too long']) AS t)""")
-def option_parses(spark, sf_dir):
-    """What letters of kinds and names of skip reasons are taken for."""
-    out = []
-    for parse, texts in ((lambda t: "".join(sorted(parse_kinds(t))), ("T", "TB", "BBTM", "TX", "tb", "MCSTB")), (parse_skip_reason, ("too-few-bases", "Too Few Bases", "TOOFEWBASES", "too long"))):
-        for t in texts:
-            try:
-                out.append((t, parse(t)))
-            except ValueError as e:
-                out.append((t, str(e)))
-    return spark.createDataFrame(out, "given string, said string")

@@ -6,13 +6,15 @@ import logging
 import os
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators import sampling
-from skein.sources.fastq import open_store, stage
-from skein.sources.folders import drop_path, shared_folder
+from skein.operators.zipping import zip_records
+from skein.sources.fastq import SPLIT_BYTES, open_store, stage
+from skein.sources.folders import drop_path, shared_folder, written
 from skein.sources.sinks import record_text, write_fastq
+from skein.sources.zipped import FIELDS, read_sets_of
 
 log = logging.getLogger(__name__)
 
@@ -26,6 +28,7 @@ class Subsample:
     compression_level: int = 5
     seed: int | None = None
     disable_read_name_checking: bool = False
+    split_bytes: int = SPLIT_BYTES
 
     def validate(self) -> None:
         # fixed values: what is said of each mistake
@@ -52,13 +55,16 @@ class Subsample:
     def effective_seed(self) -> int:
         given = asdict(self)
         given.pop("seed")
+        given.pop("split_bytes")  # how a run is dealt to tasks, not what it draws
         return sampling.effective_seed(self.seed, **given)
 
     def execute(self, spark: SparkSession) -> tuple[int, int, float]:
         """Writes one file for each input; returns total, kept and percent.
 
-        Every file is filtered by itself.  Only the checks join: base names of kept
-        records, and positions that some file lacks (by counts first).
+        Files that can be split are read side by side, once, in record order: each task
+        filters its range, checks it and writes its part of every file, and nothing is
+        shuffled.  Totals and the first mistake come from that same job, and files get
+        their names only after that.  Other files are staged and joined by position first.
         """
         self.validate()
         folder = f"{shared_folder(spark)}/subsample-{os.urandom(8).hex()}"
@@ -70,26 +76,30 @@ class Subsample:
         return total, kept, percent
 
     def _run(self, spark: SparkSession, seed: int, folder: str) -> tuple[int, int, float]:
-        inputs = stage(spark, self.inputs, folder)
-        counts = [d.count() for d in inputs]
-        log.info("%d inputs read, %s records in the first", len(inputs), f"{counts[0]:,}")
-        if len(set(counts)) > 1:
-            first = sampling.sync_errors(inputs).orderBy("ord").first()
-            raise ValueError(first["said"])
-        kept = [sampling.sample(d, self.fraction, seed) for d in inputs]
-        if len(inputs) > 1 and not self.disable_read_name_checking:
-            bad = sampling.name_mismatches(kept).orderBy("ord", "file_idx").first()
-            if bad:
-                raise ValueError(f"Read name mismatch at read {bad['ord'] + 1} in file {bad['file_idx']}: {bad['name']!r} vs. {bad['first_name']!r}")
+        n, seen = len(self.inputs), Observation()
+        sets = read_sets_of(spark, self.inputs, FIELDS, self.split_bytes)
+        side_by_side = sets is not None
+        if not side_by_side:
+            sets = zip_records(stage(spark, self.inputs, f"{folder}/inputs"), list(FIELDS))
+        check_names = n > 1 and not self.disable_read_name_checking
+        sets = sets.observe(seen, *sampling.findings(n, self.fraction, seed, check_names))
+        rows = self.records(sets.where(sampling.kept(self.fraction, seed)))
+        if not side_by_side:
+            rows = written(rows, f"{folder}/kept")
+        log.info("%d inputs read", n)
         fs, root = open_store(self.output)
-        prefix = os.path.basename(root)
-        targets = [f"{prefix}.R{k + 1}.fq.gz" for k in range(len(inputs))]
-        rows = None
-        for t, d in zip(targets, kept, strict=True):
-            head = F.concat(F.lit("@"), F.col("header"))
-            text = record_text(head, F.col("seq"), F.col("qual"), F.col("raw_plus"), F.col("ends"))
-            one = d.select(F.lit(t).alias("target"), "ord", text.alias("record"))
-            rows = one if rows is None else rows.unionByName(one)
-        write_fastq(rows, os.path.dirname(root) or ".", targets, self.compression_level)
-        total = sampling.totals(inputs[0], self.fraction, seed).first()
-        return total["total"], total["kept"], total["percent"]
+        targets = [self._target(k) for k in range(n)]
+        write_fastq(rows, os.path.dirname(root) or ".", targets, self.compression_level, in_order=side_by_side, check=lambda: sampling.complain(seen.get, n))
+        said = seen.get
+        return said["total"], said["kept"], said["kept"] * 100.0 / said["total"] if said["total"] else 0.0
+
+    def _target(self, k: int) -> str:
+        return f"{os.path.basename(open_store(self.output)[1])}.R{k + 1}.fq.gz"
+
+    def records(self, sets: DataFrame) -> DataFrame:
+        """target, ord, record of every file's record in ``sets``."""
+        each = []
+        for k in range(len(self.inputs)):
+            text = record_text(F.concat(F.lit("@"), F.col(f"header{k}")), *(F.col(f"{c}{k}") for c in ("seq", "qual", "raw_plus", "ends")))
+            each.append(F.struct(F.lit(self._target(k)).alias("target"), text.alias("record")))
+        return sets.select("ord", F.explode(F.array(*each)).alias("r")).select("r.target", "ord", "r.record").where("record is not null")

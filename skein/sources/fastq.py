@@ -5,10 +5,15 @@ as Arrow batches of bounded size.  Gzip (also of several members) is told by its
 two bytes.
 
 Record position is the key that relates files, so a task must know how many lines stand
-before its first.  ``read_fastq`` splits plain and block-gzip files by bytes, counts the
-line ends of every split in one job and hands each task its first line; a task owns the
-records whose header line starts behind a line end of its split, and reads on beyond it
-until the last of them is whole.  Other gzip files can't be split and are a task each.
+before its first.  ``read_fastq`` splits plain and block-gzip files by bytes, and other
+gzip files where one of their members starts (files put one behind the other have many);
+it counts the line ends of every split in one job and hands each task its first line.  A
+task owns the records whose header line starts behind a line end of its split, and reads
+on beyond it until the last of them is whole.  A gzip file of one member is a task.
+
+A member's place is told by its first bytes and by inflating on from there.  That is
+proved afterwards: the members counted from one place on must end at the next place, from
+the file's start to its end, or the file is taken whole.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ ROWS_AT_ONCE, BUFFER, READ_BYTES, SPLIT_BYTES = 8192, 1 << 20, 1 << 22, 1 << 27
 #: Fixed values of the block-gzip format: a block's first bytes up to its size, and the
 #: most bytes of one.
 BLOCK_HEAD, MOST_BLOCK = re.compile(rb"\x1f\x8b\x08\x04.{6}\x06\x00BC\x02\x00(..)", re.S), 1 << 16
+#: Fixed value: how a gzip member begins; chosen: bytes inflated to tell one.
+MEMBER_HEAD, TRIED = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]", re.S), 1 << 16
 _ARROW = pa.schema([("file_idx", pa.int32()), ("ord", pa.int64()), *((c, pa.string()) for c in ("header", "seq", "qual", "raw_plus")), ("ends", pa.int32())])
 
 
@@ -110,8 +117,8 @@ def _text(values: list[bytes]) -> pa.Array:
 # ---------------------------------------------------------------------- splits
 @dataclass
 class Split:
-    """Bytes ``start`` to ``end`` of a file (block-gzip: the blocks that start there), and
-    the lines: ends before them, ends in them.  ``whole``: the file isn't split."""
+    """Bytes ``start`` to ``end`` of a file (gzip: the blocks or members that start there),
+    and the lines: ends before them, ends in them.  ``whole``: the file isn't split."""
 
     file_idx: int
     path: str
@@ -134,7 +141,7 @@ def kind_of(path: str) -> tuple[str, int]:
     fs, name = open_store(path)
     with fs.open_input_file(name) as f:
         head = f.read(18)
-        return "blocks" if block_size(head) else "whole" if head[:2] == b"\x1f\x8b" else "plain", f.size()
+        return "blocks" if block_size(head) else "members" if head[:2] == b"\x1f\x8b" else "plain", f.size()
 
 
 def next_block(f, at: int) -> int:
@@ -150,34 +157,100 @@ def next_block(f, at: int) -> int:
     return size
 
 
+def inflates(f, at: int) -> bool:
+    f.seek(at)
+    try:
+        zlib.decompressobj(31).decompress(f.read(TRIED))
+    except zlib.error:
+        return False
+    return True
+
+
+def next_member(f, at: int, end: int) -> int:
+    """Where the first gzip member from ``at`` on, and before ``end``, seems to start; -1
+    if none does."""
+    while at < end:
+        f.seek(at)
+        seen = f.read(min(READ_BYTES, end - at) + 3)
+        for m in MEMBER_HEAD.finditer(seen):
+            if m.start() < min(READ_BYTES, end - at) and inflates(f, at + m.start()):
+                return at + m.start()
+        at += READ_BYTES
+    return -1
+
+
+def _plain(f, path: str, at: int, end: int) -> Iterator[bytes]:
+    f.seek(at)
+    while at < end and (chunk := f.read(min(READ_BYTES, end - at))):
+        at += len(chunk)
+        yield chunk
+    return at
+
+
+def _blocks(f, path: str, at: int, end: int) -> Iterator[bytes]:
+    at = next_block(f, at) if at else 0
+    f.seek(at)
+    held = b""
+    while at < end:
+        if len(held) < MOST_BLOCK:
+            held += f.read(READ_BYTES)
+        n = block_size(held[:18])
+        if not n or len(held) < n:
+            raise MalformedFastq(f"Unexpected error parsing FASTQs: {path} has no whole block at byte {at}")
+        data = zlib.decompress(held[18 : n - 8], -15)
+        if zlib.crc32(data) != int.from_bytes(held[n - 8 : n - 4], "little"):
+            raise MalformedFastq(f"Unexpected error parsing FASTQs: {path} has a damaged block at byte {at}")
+        held = held[n:]
+        at += n
+        yield data
+    return at
+
+
+def _members(f, path: str, at: int, end: int) -> Iterator[bytes]:
+    """From a member's start on; the format lets zeros follow a member."""
+    while at < end:
+        f.seek(at)
+        member, place, data = zlib.decompressobj(31), at, b""
+        while not member.eof:
+            if not (data := member.unconsumed_tail):
+                data = f.read(READ_BYTES)
+                place += len(data)
+            if not data:
+                raise MalformedFastq(f"Unexpected error parsing FASTQs: {path} is cut off in the member at byte {at}")
+            try:
+                text = member.decompress(data, READ_BYTES)
+            except zlib.error as e:
+                raise MalformedFastq(f"Unexpected error parsing FASTQs: {path} has a damaged member at byte {at}") from e
+            if text:
+                yield text
+        at = place - len(member.unused_data)
+        f.seek(at)
+        while (zeros := f.read(READ_BYTES)) and not zeros.strip(b"\0"):
+            at += len(zeros)
+        at += len(zeros) - len(zeros.lstrip(b"\0"))
+    return at
+
+
+_TEXTS = {"plain": _plain, "blocks": _blocks, "members": _members}
+
+
 def text_from(path: str, kind: str, start: int, end: int | None = None) -> Iterator[bytes]:
-    """The text of a splittable file from ``start`` on, to the bytes or the blocks that
-    start before ``end``."""
+    """The text of a splittable file from ``start`` on, to the bytes, blocks or members that
+    start before ``end``; returns where it ended."""
     fs, name = open_store(path)
     with fs.open_input_file(name) as f:
         size = f.size()
-        end = size if end is None else min(end, size)
-        if kind == "plain":
-            f.seek(start)
-            while start < end and (chunk := f.read(min(READ_BYTES, end - start))):
-                start += len(chunk)
-                yield chunk
-            return
-        at = next_block(f, start) if start else 0
-        f.seek(at)
-        held = b""
-        while at < end:
-            if len(held) < MOST_BLOCK:
-                held += f.read(READ_BYTES)
-            n = block_size(held[:18])
-            if not n or len(held) < n:
-                raise MalformedFastq(f"Unexpected error parsing FASTQs: {path} has no whole block at byte {at}")
-            data = zlib.decompress(held[18 : n - 8], -15)
-            if zlib.crc32(data) != int.from_bytes(held[n - 8 : n - 4], "little"):
-                raise MalformedFastq(f"Unexpected error parsing FASTQs: {path} has a damaged block at byte {at}")
-            held = held[n:]
-            at += n
-            yield data
+        return (yield from _TEXTS[kind](f, path, start, size if end is None else min(end, size)))
+
+
+def line_ends(path: str, kind: str, start: int, end: int) -> tuple[int, int]:
+    """Line ends of a split, and where it ended."""
+    text, n = text_from(path, kind, start, end), 0
+    while True:
+        try:
+            n += next(text).count(b"\n")
+        except StopIteration as e:
+            return n, e.value
 
 
 def cut(text: Iterator[bytes], skip: int, take: int | None) -> Iterator[bytes]:
@@ -228,6 +301,18 @@ def records(split: Split) -> tuple[int, object]:
     return first, _Stream(cut(text_from(split.path, split.kind, split.start), skip, take))
 
 
+def parsed(stream, path: str, at: int) -> Iterator[list[list]]:
+    """``columns`` of a stream's records, block by block; ``at``: the first's position."""
+    ended = False
+    for lines in line_blocks(stream, path, at):
+        if ended and any(x.strip() for x in lines):
+            raise _fail(path, at + 1, "follows a blank line")
+        cols, over = columns(lines, at, path)
+        ended = ended or over
+        at += len(cols[0])
+        yield cols
+
+
 class _Part(InputPartition):
     def __init__(self, number: int, split: Split):
         super().__init__(number)
@@ -244,12 +329,7 @@ class FastqReader(DataSourceReader):
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
         path, idx = part.split.path, part.split.file_idx
         at, stream = records(part.split)
-        ended = False
-        for lines in line_blocks(stream, path, at):
-            if ended and any(x.strip() for x in lines):
-                raise _fail(path, at + 1, "follows a blank line")
-            cols, over = columns(lines, at, path)
-            ended = ended or over
+        for cols in parsed(stream, path, at):
             for lo in range(0, len(cols[0]), ROWS_AT_ONCE):
                 some = [c[lo : lo + ROWS_AT_ONCE] for c in cols]
                 n = len(some[0])
@@ -274,40 +354,78 @@ class FastqSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     from skein.sources.sinks import FastqSink
+    from skein.sources.zipped import SetSource
 
-    spark.dataSource.register(FastqSource)
-    spark.dataSource.register(FastqSink)
+    for source in (FastqSource, SetSource, FastqSink):
+        spark.dataSource.register(source)
 
 
-def splits_of(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> list[Split]:
-    """A split for each task.  Files of more than one are counted first, in a job whose
-    result is a number for each split."""
-    out: list[Split] = []
-    for k, p in enumerate(paths):
-        kind, size = kind_of(p)
-        if kind == "whole" or size <= split_bytes:
-            out.append(Split(k, p))
-            continue
-        starts = range(0, size, split_bytes)
-        out += [Split(k, p, kind, a, min(a + split_bytes, size), last=a + split_bytes >= size) for a in starts]
-    todo = [(n, s.path, s.kind, s.start, s.end) for n, s in enumerate(out) if s.kind != "whole"]
-    if not todo:
-        return out
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _each(spark: SparkSession, splits: list[Split], ask, columns: list[str]) -> list[list[int]]:
+    """What ``ask(path, kind, start, end)`` says of each split (numbers), a task each."""
+    if not splits:
+        return []
+    todo = [(n, s.path, s.kind, s.start, s.end) for n, s in enumerate(splits)]
+    ddl = ", ".join(f"{c} bigint" for c in ("n", *columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            ends = [sum(x.count(b"\n") for x in text_from(*r[1:])) for r in rows]
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array(ends, pa.int64())], names=["n", "ends"])
+            said = [(n, *ask(*x)) for n, *x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*said, strict=True)], names=["n", *columns])
 
     asked = spark.createDataFrame(todo, "n bigint, path string, kind string, start bigint, end bigint").repartition(len(todo))
-    for r in asked.mapInArrow(count, "n bigint, ends bigint").collect():
-        out[r["n"]].ends = r["ends"]
-    before: dict[int, int] = defaultdict(int)
-    for s in out:
-        s.before = before[s.file_idx]
-        before[s.file_idx] += s.ends
-    return out
+    return [list(r)[1:] for r in sorted(asked.mapInArrow(run, ddl).collect())]  # numbers for each split
+
+
+def _member_in(path: str, kind: str, start: int, end: int) -> tuple[int]:
+    fs, name = open_store(path)
+    with fs.open_input_file(name) as f:
+        return (next_member(f, start, end) if start else 0,)
+
+
+def splits_of(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> list[Split]:
+    """A split for each task, in the files' order.  Files of more than one are counted
+    first, in a job whose result is numbers for each split."""
+    wanted: list[Split] = []
+    for k, p in enumerate(paths):
+        kind, size = kind_of(p)
+        if size <= split_bytes:
+            wanted.append(Split(k, p))
+        else:
+            wanted += [Split(k, p, kind, a, min(a + split_bytes, size), last=a + split_bytes >= size) for a in range(0, size, split_bytes)]
+    members = [s for s in wanted if s.kind == "members"]
+    for s, (place,) in zip(members, _each(spark, members, _member_in, ["place"]), strict=True):
+        s.start = place
+    by_file: dict[int, list[Split]] = defaultdict(list)
+    for s in wanted:
+        if s.start >= 0:
+            by_file[s.file_idx].append(s)
+    for some in by_file.values():
+        if some[0].kind == "members":
+            size = max(s.end for s in members if s.file_idx == some[0].file_idx)
+            for s, end in zip(some, [*(x.start for x in some[1:]), size], strict=True):
+                s.end, s.last = end, end == size
+            if len(some) == 1:
+                some[:] = [Split(some[0].file_idx, some[0].path)]
+    counted = [s for some in by_file.values() for s in some if s.kind != "whole"]
+    stops: dict[int, int] = {}
+    for s, (ends, stop) in zip(counted, _each(spark, counted, _ends_or_damage, ["ends", "stop"]), strict=True):
+        s.ends, stops[id(s)] = ends, stop
+    for some in by_file.values():
+        if some[0].kind == "members" and any(stops[id(s)] != s.end for s in some):
+            some[:] = [Split(some[0].file_idx, some[0].path)]  # a place was no member's, or one is damaged
+        before = 0
+        for s in some:
+            s.before, before = before, before + s.ends
+    return [s for k in sorted(by_file) for s in by_file[k]]
+
+
+def _ends_or_damage(path: str, kind: str, start: int, end: int) -> tuple[int, int]:
+    try:
+        return line_ends(path, kind, start, end)
+    except MalformedFastq:
+        if kind != "members":
+            raise
+        return 0, -1  # read from the start, the file itself tells
 
 
 def read_fastq(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:

@@ -1,11 +1,15 @@
-"""The folder that driver and executors share, and how to empty it again."""
+"""The folder that driver and executors share, tables in it, and how to empty it again."""
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_made: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,3 +29,26 @@ def shared_folder(spark: SparkSession) -> str:
 def drop_path(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def passing_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder, deleted when the driver exits."""
+    if not _made:
+        atexit.register(_drop_made)
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def _drop_made() -> None:
+    for spark, path in _made:
+        try:
+            drop_path(spark, path)
+        except Exception:  # the session is gone already; nothing left to tidy with
+            return
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as a table and read again: lost executors cost a reread."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

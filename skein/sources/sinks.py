@@ -2,19 +2,25 @@
 
 Rows (target, ord, record) are dealt by target and chunk (a range of ``ord``), so
 that a sample with most of the reads is compressed by many tasks.  A task writes
-each part to a name of its own attempt.  The commit, on the driver, renames the
-parts of the attempts that count and creates the empty files of targets without
-records; an abort removes what was written.  Targets of several parts are then
-joined by one task each, byte for byte: block-gzip files may follow each other.
+each part to a name of its own attempt; the commit writes a manifest of the parts of
+the attempts that count, with their sizes and records; an abort removes what was written.
+
+``finish`` then makes the files.  A target of one part is a rename.  The parts of a larger
+one are put together without a task that reads them all: by the store's own concatenation
+where it has one, on a file system by tasks that each write a part at its place, which the
+sizes before it tell.  Only a store with neither has a task copy a target.  A run that was
+interrupted is completed by ``finish`` from its manifest: parts go only after their file
+stands, so each step can be done again.
 """
 
 from __future__ import annotations
 
 import json
 import struct
+import uuid
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +28,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.errors import UnsupportedOperationException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
@@ -59,8 +66,8 @@ class BgzfWriter:
         self.sink.close()
 
 
-def runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], bytes]]:
-    """(target, chunk) and the bytes of its records for each run of equal ones.  The
+def runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], bytes, int]]:
+    """(target, chunk), the bytes and the number of its records for each run of equal ones.  The
     records of a run lie together in the batch's buffer and are taken as they are, or a
     byte for each character where some are beyond ASCII."""
     target, chunk, record = batch.column("target"), batch.column("chunk"), batch.column("record").cast(pa.large_string())
@@ -71,17 +78,17 @@ def runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], bytes]]:
     whole = memoryview(record.buffers()[2] or b"")
     for a, b in zip(starts, [*starts[1:], n], strict=True):
         data = bytes(whole[offsets[a] : offsets[b]])
-        yield (target[int(a)].as_py(), chunk[int(a)].as_py()), data if data.isascii() else data.decode().encode("latin-1")
+        yield (target[int(a)].as_py(), chunk[int(a)].as_py()), data if data.isascii() else data.decode().encode("latin-1"), int(b - a)
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[tuple[str, str, int]]  # temporary name, target, chunk
+    files: list[list]  # target, chunk, temporary name, records
 
 
 class FastqWriter(DataSourceArrowWriter):
-    def __init__(self, folder: str, targets: list[str], level: int):
-        self.folder, self.targets, self.level = folder.rstrip("/"), targets, level
+    def __init__(self, folder: str, run: str, level: int):
+        self.folder, self.run, self.level = folder.rstrip("/"), run, level
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         """Batches of target, chunk, record; equal targets and chunks stand together."""
@@ -90,39 +97,37 @@ class FastqWriter(DataSourceArrowWriter):
         fs, root = open_store(self.folder)
         out, now, files = None, None, []
         for batch in iterator:
-            for (target, chunk), data in runs(batch):
+            for (target, chunk), data, n in runs(batch):
                 if (target, chunk) != now:
                     if out:
                         out.close()
                     now = (target, chunk)
-                    temp = f"{root}/.{target}.{chunk}.{tag}"
-                    files.append((temp, *now))
-                    out = BgzfWriter(fs.open_output_stream(temp, compression=None), self.level)
+                    temp = f".{target}.{chunk}.{self.run}.{tag}"
+                    files.append([target, chunk, temp, 0])
+                    out = BgzfWriter(fs.open_output_stream(f"{root}/{temp}", compression=None), self.level)
                 out.write(data)
+                files[-1][3] += n
         if out:
             out.close()
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, root = open_store(self.folder)
-        parts: dict[str, dict[int, str]] = defaultdict(dict)
+        parts: dict[str, dict[int, list]] = defaultdict(dict)
         for m in messages:
-            for temp, target, chunk in m.files if m else []:
+            for target, chunk, temp, n in m.files if m else []:
                 if chunk in parts[target]:
                     raise RuntimeError(f"two tasks wrote part {chunk} of {target}")
-                parts[target][chunk] = temp
-        for target, by in parts.items():
-            for chunk, temp in by.items():
-                fs.move(temp, f"{root}/{target}" if len(by) == 1 else f"{root}/{part_name(target, chunk)}")
-        for target in self.targets:
-            if target not in parts:
-                BgzfWriter(fs.open_output_stream(f"{root}/{target}", compression=None), self.level).close()
+                parts[target][chunk] = [temp, fs.get_file_info(f"{root}/{temp}").size, n]
+        ordered = {t: [by[c] for c in sorted(by)] for t, by in parts.items()}
+        with fs.open_output_stream(f"{root}/{manifest_name(self.run)}", compression=None) as f:
+            f.write(json.dumps(ordered).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
-        fs, _ = open_store(self.folder)
+        fs, root = open_store(self.folder)
         for m in messages:
-            for temp, *_rest in m.files if m else []:
-                fs.delete_file(temp)
+            for _, _, temp, _ in m.files if m else []:
+                fs.delete_file(f"{root}/{temp}")
 
 
 class FastqSink(DataSource):
@@ -132,57 +137,169 @@ class FastqSink(DataSource):
 
     def writer(self, schema, overwrite: bool) -> FastqWriter:
         o = self.options
-        return FastqWriter(o["folder"], json.loads(o["targets"]), int(o["level"]))
+        return FastqWriter(o["folder"], o["run"], int(o["level"]))
 
 
-def part_name(target: str, chunk: int) -> str:
-    return f".{target}.part-{chunk:012d}"
+def manifest_name(run: str) -> str:
+    return f".skein-{run}.manifest"
 
 
-def join_parts(fs: pafs.FileSystem, root: str, target: str, chunks: list[int]) -> None:
-    """The parts' blocks in order, with one end block."""
-    temp = f"{root}/.{target}.joined-{TaskContext.get().taskAttemptId()}"
-    with fs.open_output_stream(temp, compression=None) as out:
-        for chunk in sorted(chunks):
-            name = f"{root}/{part_name(target, chunk)}"
-            left = fs.get_file_info(name).size - len(END_BLOCK)
-            with fs.open_input_stream(name, compression=None) as part:
-                while left > 0:
-                    data = part.read(min(COPY_BYTES, left))
-                    out.write(data)
-                    left -= len(data)
-        out.write(END_BLOCK)
-    fs.move(temp, f"{root}/{target}")
+def manifest(folder: str, run: str) -> dict[str, list[list]]:
+    """target: its parts' names, sizes and records, in order."""
+    fs, root = open_store(folder)
+    with fs.open_input_stream(f"{root}/{manifest_name(run)}", compression=None) as f:
+        return json.loads(f.read())
 
 
-def write_fastq(records: DataFrame, folder: str, targets: list[str], level: int = 5, chunk_records: int = CHUNK_RECORDS) -> None:
-    """Writes ``records`` (target, ord, record) to ``folder``, a file a target."""
-    spark = records.sparkSession
-    spark.dataSource.register(FastqSink)
-    placed = records.withColumn("chunk", F.expr(f"ord div {chunk_records}"))
-    placed = placed.repartition("target", "chunk").sortWithinPartitions("target", "chunk", "ord").select("target", "chunk", "record")
-    placed.write.format("fastq_sink").option("folder", folder).option("targets", json.dumps(targets)).option("level", str(level)).mode("append").save()
+def _there(fs: pafs.FileSystem, names: list[str]) -> list[bool]:
+    return [i.type == pafs.FileType.File for i in fs.get_file_info(names)] if names else []
+
+
+def _copy(fs: pafs.FileSystem, source: str, out, left: int) -> None:
+    with fs.open_input_stream(source, compression=None) as part:
+        while left > 0 and (data := part.read(min(COPY_BYTES, left))):
+            out.write(data)
+            left -= len(data)
+
+
+def concatenated(spark: SparkSession, folder: str, names: list[str]) -> bool:
+    """Has the store put the files behind the first one; False if it can't.  The end blocks
+    between parts stay, as empty blocks may."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    first = path(f"{folder}/{names[0]}")
+    rest = spark.sparkContext._gateway.new_array(path, len(names) - 1)
+    for k, n in enumerate(names[1:]):
+        rest[k] = path(f"{folder}/{n}")
+    try:
+        first.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).concat(first, rest)
+    except UnsupportedOperationException:
+        return False
+    return True
+
+
+def writes_in_place(fs: pafs.FileSystem) -> bool:
+    return isinstance(fs, pafs.LocalFileSystem)
+
+
+#: What a task of ``placed`` does: target, part, its place and bytes, the whole file's bytes.
+PLACES = "target string, part string, at bigint, n bigint, last boolean"
+
+
+def placed(spark: SparkSession, folder: str, todo: dict[str, list[list]]) -> list[tuple[str, str, int]]:
+    """Writes every part at its place in ``.target.whole``, a task each; target, part and
+    the task's number, for each part."""
     fs, root = open_store(folder)
-    parts: dict[str, list[int]] = defaultdict(list)
-    for info in fs.get_file_info(pafs.FileSelector(root)):
-        target, dot, chunk = info.base_name[1:].rpartition(".part-")
-        if dot and target in targets and info.base_name.startswith("."):
-            parts[target].append(int(chunk))
-    if not parts:
-        return
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, at = open_store(folder)
+    rows = []
+    for target, parts in todo.items():
+        at = 0
+        for temp, size, _ in parts:
+            rows.append((target, temp, at, size - len(END_BLOCK), temp == parts[-1][0]))
+            at += size - len(END_BLOCK)
+        with open(f"{root}/.{target}.whole", "wb") as f:
+            f.truncate(at + len(END_BLOCK))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at_root = open_store(folder)
+        for batch in batches:
+            for target, part, at, n, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with open(f"{at_root}/.{target}.whole", "r+b") as out:
+                    out.seek(at)
+                    _copy(store, f"{at_root}/{part}", out, n)
+                    if last:
+                        out.write(END_BLOCK)
+            task = pa.array([TaskContext.get().partitionId()] * batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), task], names=["target", "part", "task"])
+
+    asked = spark.createDataFrame(rows, PLACES).repartition(len(rows))
+    return [tuple(r) for r in asked.mapInArrow(write, "target string, part string, task bigint").collect()]  # names of parts
+
+
+def copied(spark: SparkSession, folder: str, todo: dict[str, list[list]]) -> None:
+    """For stores that neither concatenate nor write at a place: a task a target."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = open_store(folder)
         for batch in batches:
-            for target, chunks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                join_parts(store, at, target, chunks)
-            yield batch.select(["target"])
-
-    todo = spark.createDataFrame(list(parts.items()), "target string, chunks array<bigint>").repartition(len(parts))
-    todo.mapInArrow(join, "target string").write.format("noop").mode("overwrite").save()
-    for target, chunks in parts.items():  # only after all are joined: a task may run again
-        for chunk in chunks:
-            fs.delete_file(f"{root}/{part_name(target, chunk)}")
+            for target, parts, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                temp = f"{root}/.{target}.whole-{TaskContext.get().taskAttemptId()}"
+                with fs.open_output_stream(temp, compression=None) as out:
+                    for part, size in zip(parts, sizes, strict=True):
+                        _copy(fs, f"{root}/{part}", out, size - len(END_BLOCK))
+                    out.write(END_BLOCK)
+                fs.move(temp, f"{root}/.{target}.whole")
+            yield batch.select([0])
+
+    rows = [(t, [p[0] for p in parts], [p[1] for p in parts]) for t, parts in todo.items()]
+    asked = spark.createDataFrame(rows, "target string, parts array<string>, sizes array<bigint>").repartition(len(rows))
+    asked.mapInArrow(write, "target string").write.format("noop").mode("overwrite").save()
+
+
+def finish(spark: SparkSession, folder: str, run: str, targets: list[str]) -> dict[str, int]:
+    """Makes the files of a committed run, and the empty ones of targets without records;
+    the records of each.  May be done again where it was interrupted."""
+    folder = folder.rstrip("/")
+    fs, root = open_store(folder)
+    parts = manifest(folder, run)
+    todo: dict[str, list[list]] = {}
+    local = writes_in_place(fs)
+    for target, its in parts.items():
+        there = _there(fs, [f"{root}/{p[0]}" for p in its])
+        if len(its) == 1 and there[0]:
+            fs.move(f"{root}/{its[0][0]}", f"{root}/{target}")
+        elif all(there) and (local or not concatenated(spark, folder, [p[0] for p in its])):
+            todo[target] = its
+        elif there[0] and len(its) > 1 and (all(there) or not any(there[1:])):  # the first part holds all
+            fs.move(f"{root}/{its[0][0]}", f"{root}/{target}")
+    if todo:
+        if local:
+            placed(spark, folder, todo)
+        else:
+            copied(spark, folder, todo)
+    for target in todo:
+        fs.move(f"{root}/.{target}.whole", f"{root}/{target}")
+    for target, its in parts.items():
+        names = [f"{root}/{p[0]}" for p in its]
+        for name, there in reversed(list(zip(names, _there(fs, names), strict=True))):  # the first goes last
+            if there:
+                fs.delete_file(name)
+    for target in targets:
+        if target not in parts:
+            BgzfWriter(fs.open_output_stream(f"{root}/{target}", compression=None)).close()
+    fs.delete_file(f"{root}/{manifest_name(run)}")
+    return {t: sum(p[2] for p in parts.get(t, [])) for t in targets}
+
+
+def discard(folder: str, run: str) -> None:
+    """Removes what a committed run has written, before ``finish``."""
+    fs, root = open_store(folder)
+    for its in manifest(folder, run).values():
+        for name, *_ in its:
+            fs.delete_file(f"{root}/{name}")
+    fs.delete_file(f"{root}/{manifest_name(run)}")
+
+
+def write_fastq(
+    records: DataFrame, folder: str, targets: list[str], level: int = 5, chunk_records: int = CHUNK_RECORDS, check: Callable[[], None] | None = None, in_order: bool = False
+) -> dict[str, int]:
+    """Writes ``records`` (target, ord, record) to ``folder``, a file a target, and returns
+    the records of each.  ``in_order``: partitions are ranges of ``ord``, one behind the
+    other, and each becomes a part, without a shuffle.  ``check`` may fail the run before
+    any file has its name."""
+    spark, run = records.sparkSession, uuid.uuid4().hex[:12]
+    spark.dataSource.register(FastqSink)
+    if in_order:
+        dealt = records.withColumn("chunk", F.spark_partition_id().cast("bigint"))
+    else:
+        dealt = records.withColumn("chunk", F.expr(f"ord div {chunk_records}")).repartition("target", "chunk")
+    dealt = dealt.sortWithinPartitions("target", "chunk", "ord").select("target", "chunk", "record")
+    dealt.write.format("fastq_sink").option("folder", folder).option("run", run).option("level", str(level)).mode("append").save()
+    if check:
+        try:
+            check()
+        except Exception:
+            discard(folder, run)
+            raise
+    return finish(spark, folder, run, targets)
 
 
 def record_text(header, seq, qual, plus="+", ends=None):
