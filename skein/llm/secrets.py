@@ -3,12 +3,17 @@
 Base patterns find assignments, access keys and long hex runs.  The method takes as
 candidates all maximal runs of 16 or more key characters in sensitive context: a
 sensitive word stands within ``reach`` characters before or behind the run (line ends
-don't matter), or nothing but white space parts it from a run that is in context, as
-in the body of a private key.  Each candidate, and the value of each base span, is
-measured by the bytes that it adds to a zstandard frame whose dictionary holds the
-corpus' identifiers and whose content already holds the ``around`` characters on both
-sides.  A candidate that adds ``novel`` bytes or more for each of its characters is
-reported; base spans are reported anyway and carry their measure.
+don't matter), or the run goes on a list: nothing but separators (white space, commas,
+quotes, brackets) and at most two short words parts it from a run that is in context, as
+in the body of a private key and in JSON, CSV and YAML lists of keys.  Each candidate, and
+the value of each base span, is measured by the bytes that it adds to a zstandard frame
+whose dictionary holds the corpus' identifiers and whose content already holds the
+``around`` characters on both sides.  Runs of key characters, copies of the candidate among
+them, are no surroundings: they are passed over, and further text makes up for them, so
+that a key which stands twice, or in a list of keys, is as new as one alone.
+A string is measured at its first place, and counts for
+all its places in the text, in context or not.  A candidate that adds ``novel`` bytes or more for each of its
+characters is reported; base spans are reported anyway and carry their measure.
 
 The dictionary is learned: the words of all documents that have a sensitive word are
 counted, and the ``WORDS`` found in most documents, with a short list chosen here,
@@ -17,7 +22,7 @@ gets the words that train.
 
 Bounds that are parameters: ``reach`` and ``around`` say what context and
 surroundings are, and the dictionary has ``WORDS`` words.  Every run in context is
-measured, whatever its length, and once.
+measured, whatever its length.
 
 Defined results: a null text is empty; empty texts have no span and the hash of the
 empty string.  Spans are code-point offsets, end exclusive.  Overlapping spans of
@@ -30,7 +35,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -131,12 +136,13 @@ class Novelty:
         """Added bytes for each character of the candidate."""
         return max(0, self.bytes_added(before, candidate, after)) / max(1, len(candidate))
 
-    def at(self, text: str, a: int, b: int, around: int = AROUND) -> float:
-        return self.share(text[max(0, a - around) : a], text[a:b], text[b : b + around])
+
+#: What stands between two keys of a list.
+BETWEEN = re.compile(r"""[\s,;:|=>"'`()\[\]{}<*.\\-]*(?:[A-Za-z0-9_]{1,15}[\s,;:|=>"'`()\[\]{}<*.\\-]+){0,2}""")
 
 
 def in_context(text: str, reach: int = REACH) -> Iterator[tuple[int, int]]:
-    """Maximal runs of key characters near a sensitive word, or following such a run."""
+    """Maximal runs of key characters near a sensitive word, or behind such a run in a list."""
     words = [m.span() for m in SENSITIVE.finditer(text)]
     if not words:
         return
@@ -145,26 +151,88 @@ def in_context(text: str, reach: int = REACH) -> Iterator[tuple[int, int]]:
         a, b = m.span()
         k = bisect_left(starts, b)  # the first word behind the run; words don't overlap, so the one before ends last
         near = (k > 0 and words[k - 1][1] > a - reach) or (k < len(words) and starts[k] < b + reach)
-        if near or (ended >= 0 and not text[ended:a].strip()):
+        if near or (ended >= 0 and BETWEEN.fullmatch(text, ended, a)):
             ended = b
             yield a, b
         else:
             ended = -1
 
 
+def behind(text: str, key: str, at: int, n: int) -> str:
+    """``n`` characters of the text from ``at`` on, copies of the key passed over."""
+    out: list[str] = []
+    while n > 0 and at < len(text):
+        copy = text.find(key, at, at + n + len(key))
+        part = text[at : at + n if copy < 0 else min(copy, at + n)]
+        out.append(part)
+        n -= len(part)
+        at = at + len(part) + (len(key) if copy == at + len(part) else 0)
+    return "".join(out)
+
+
+def before(text: str, key: str, end: int, n: int) -> str:
+    """The same of what stands before ``end``."""
+    out: list[str] = []
+    while n > 0 and end > 0:
+        copy = text.rfind(key, max(0, end - n - len(key)), end)
+        part = text[max(0, end - n) if copy < 0 else max(copy + len(key), end - n) : end]
+        out.append(part)
+        n -= len(part)
+        end = end - len(part) - (len(key) if copy >= 0 and copy + len(key) == end - len(part) else 0)
+    return "".join(reversed(out))
+
+
+class Around:
+    """What stands around places of a text, without its runs of key characters: keys are
+    measured against code, not against each other."""
+
+    def __init__(self, text: str):
+        self.text, self.starts, self.gone, parts, at, n = text, [], [], [], 0, 0
+        for m in CANDIDATE.finditer(text):
+            parts.append(text[at : m.start()])
+            n += m.start() - at
+            self.starts.append(m.start())
+            self.gone.append((m.end(), n))  # a run's end, and the characters kept before it
+            at = m.end()
+        self.kept = "".join([*parts, text[at:]])
+
+    def place(self, at: int) -> int:
+        k = bisect_right(self.starts, at) - 1
+        if k < 0:
+            return at
+        end, n = self.gone[k]
+        return n + max(0, at - end)
+
+    def share(self, a: int, b: int, novelty: Novelty, around: int = AROUND) -> float:
+        key = self.text[a:b]
+        return novelty.share(before(self.kept, key, self.place(a), around), key, behind(self.kept, key, self.place(b), around))
+
+
 def measured(text: str, low: str, base: list[tuple[str, int, int]], novelty: Novelty, reach: int = REACH) -> list[tuple[str, int, int, float]]:
-    """Base spans and candidates with their novelty; candidates that overlap a base
-    span are that span's matter."""
-    out = [(kind, a, b, novelty.at(text, ASSIGN.match(text, a).start(2) if kind == "assign" else a, b)) for kind, a, b in base]
-    if any(stem in low for stem in _STEMS):
+    """Base spans and candidates with their novelty; candidates that overlap a base span
+    are that span's matter.  A candidate's other places are candidates wherever they stand."""
+    keys = list(in_context(text, reach)) if any(stem in low for stem in _STEMS) else []
+    if not base and not keys:
+        return []
+    known, around = {}, Around(text)
+
+    def share(a: int, b: int) -> float:
+        key = text[a:b]
+        if key not in known:
+            known[key] = around.share(a, b, novelty)
+        return known[key]
+
+    out = [(kind, a, b, share(ASSIGN.match(text, a).start(2) if kind == "assign" else a, b)) for kind, a, b in base]
+    if keys:
+        strings = {text[a:b] for a, b in keys}
         taken = sorted((a, b) for _, a, b in base)
         k, end = 0, -1
-        for a, b in in_context(text, reach):
+        for a, (b, _) in zip(around.starts, around.gone, strict=True):
             while k < len(taken) and taken[k][0] < b:
                 end = max(end, taken[k][1])
                 k += 1
-            if a >= end:
-                out.append(("novel", a, b, novelty.at(text, a, b)))
+            if a >= end and text[a:b] in strings:
+                out.append(("novel", a, b, share(a, b)))
     return out
 
 

@@ -149,6 +149,96 @@ def test_context_and_measure():
         assert time.time() - t < 6
 
 
+ALPHA = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+@pytest.mark.parametrize("between", [2, 10, 25, 60])
+def test_a_key_that_stands_twice(between):
+    """Both places, however near; copies are no surroundings."""
+    rng, n = random.Random(between), secrets.Novelty(secrets.primer([]))
+    found = 0
+    for _ in range(40):
+        key = "".join(rng.choice(ALPHA) for _ in range(32))
+        text = f"{prose(rng, 20)} the access key is {key} {prose(rng, between)} {key} {prose(rng, 30)}"
+        found += sum(text[a:b] == key for _, a, b in secrets.scan(text, n)[1])
+    assert found >= 76
+
+
+LISTS = {
+    "json": lambda ks: "secret keys: [" + ", ".join(f'"{k}"' for k in ks) + "]",
+    "lines": lambda ks: "secret keys: [\n" + ",\n".join(f'  "{k}"' for k in ks) + "\n]",
+    "csv": lambda ks: "secret keys:\n" + ",".join(ks),
+    "rows": lambda ks: "id,owner,secret\n" + "\n".join(f"{n},user{n},{k}" for n, k in enumerate(ks)),
+    "yaml": lambda ks: "secret_keys:\n" + "\n".join(f"  - {k}" for k in ks),
+    "map": lambda ks: '{"tokens": {' + ", ".join(f'"app{n}": "{k}"' for n, k in enumerate(ks)) + "}}",
+}
+
+
+@pytest.mark.parametrize("kind", list(LISTS))
+def test_keys_in_lists(kind):
+    rng, n = random.Random(len(kind)), secrets.Novelty(secrets.primer([]))
+    keys = ["".join(rng.choice(ALPHA) for _ in range(rng.choice([20, 32, 40]))) for _ in range(60)]
+    text = f"{prose(rng, 40)}\n{LISTS[kind](keys)}\n{prose(rng, 40)}"
+    spans = [text[a:b] for _, a, b in secrets.scan(text, n)[1]]
+    assert sum(any(k in x for x in spans) for k in keys) >= 57
+    assert all(any(k in x for k in keys) for x in spans)
+
+
+def test_lists_end():
+    """Prose between two runs ends the chain."""
+    rng = random.Random(2)
+    far = "".join(rng.choice(ALPHA) for _ in range(30))
+    text = "secret: " + "x1Y2z3W4v5U6t7S8r9Q0" + " and then came many other words of no account at all before this string: " + far
+    assert all(text[a:b] != far for a, b in secrets.in_context(text))
+
+
+def test_novelty_and_dictionary_by_definition(spark):
+    """The dictionary's words counted, and every span measured, another way."""
+    import zstandard
+
+    rng = random.Random(21)
+    docs = documents(spark, [*SECRETS, *(f"{prose(rng, 30)} client secret {''.join(rng.choice(ALPHA) for _ in range(24))} {prose(rng, 30)} token configuration_database" for _ in range(12))])
+    counts = Counter()
+    for _, t in pairs(docs):
+        if secrets.SENSITIVE.search(t):
+            counts.update(set(re.findall(r"[^\W\d_]{3,}", t)))
+    words = [w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0].encode())) if n > 1][: secrets.WORDS]
+    prime = secrets.primer(words)
+    assert secrets.dictionary(docs) == prime
+    frame = zstandard.ZstdCompressor(level=secrets.LEVEL, dict_data=zstandard.ZstdCompressionDict(prime), write_content_size=False, write_checksum=False)
+    size = lambda x: len(frame.compress(x.encode("utf-8", "surrogatepass")))
+
+    def share(text, a, b):
+        """The text's other runs taken out, one character after another."""
+        key, gone = text[a:b], set()
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
+            gone |= set(range(*m.span()))
+        left = "".join(c for i, c in enumerate(text[:a]) if i not in gone).replace(key, "")
+        right = "".join(c for i, c in enumerate(text[b:], b) if i not in gone).replace(key, "")
+        around = right[: secrets.AROUND] + "\n" + left[-secrets.AROUND :]
+        return max(0, size(around + key) - size(around)) / len(key)
+
+    rows = {(r["doc_id"], r["base_sha256"], r["spans"]): r for r in secrets.find_secrets(docs).collect()}
+    n = secrets.Novelty(prime)
+    checked = 0
+    for i, t in pairs(docs):
+        if len(t) > 10_000:
+            continue
+        base, spans, shares = secrets.scan(t, n)
+        digest = hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        r = rows[i, digest, ",".join(f"{k}:{a}:{b}" for k, a, b in spans)]
+        assert r["novelty"] == ",".join(str(round(1000 * x)) for x in shares)
+        first: dict = {}
+        for (kind, a, b), x in zip(spans, shares, strict=True):
+            a = t.index(re.search(r"[A-Za-z0-9+/_.=-]+$", t[a:b]).group(), a) if kind == "assign" else a
+            key = t[a:b]
+            if kind != "assign" and key not in first:
+                first[key] = share(t, t.index(key), t.index(key) + len(key))
+                assert x == pytest.approx(first[key]) or any(key in t[c:d] for _, c, d in base)
+                checked += 1
+    assert checked >= 12
+
+
 # ------------------------------------------------------------------ licences
 def base_licenses(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
