@@ -14,18 +14,24 @@ places in the entity's documents are reported as spans and, in the sanitised tex
 generalised to their class, or removed if the share is ``remove`` or more.
 
 What stands in one text only, copies and near copies of it included, says nothing
-about an entity.  Each document with an entity has three min-hashes of its longer
-terms; a term counts only if the documents that hold both differ in all three.
+about an entity: entity and term count only if they stand together in texts of two
+classes.  A class is a component of near-copy links between texts of documents whose
+entities repeat.  Links are searched by bands of ``ROWS`` of ``HASHES`` min-hashes of a
+text's longer terms, each text with the first of its band, and hold where ``NEAR`` of all
+the min-hashes agree, so that texts that share half of their terms are different ones.
 
-Scale: entities in texts of one kind only are dropped before terms are looked at, and
+Scale: entities in texts of one class only are dropped before terms are looked at, and
 of the other entities' documents only terms that are rare enough to pass the threshold
 with the most frequent of the document's entities:
 
     n_t <= n_e * (N / n_e) ** (1 - generalise).
 
-So an entity in every document meets no terms, and common words meet no entity.  An
-entity or term in a third of all documents is summed and joined in parts
-(``beside_group``).  All counts cover all documents; the driver gets numbers of rows.
+So an entity in every document meets no terms, and common words meet no entity.  Entities
+that stand in the same documents are one group, and so are terms; groups meet in each
+document, so a directory's thousands of addresses and names, which share its documents,
+are a pair and not all pairs.  An entity or term in a third of all documents is summed and
+joined in parts (``beside_group``).  All counts cover all documents; the driver gets
+numbers of rows.
 
 Defined results: a null text is empty; empty texts have no span and the hash of
 the empty string.  Spans are code-point offsets, end exclusive; base spans of different
@@ -47,7 +53,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, beside_group, documents, map_rows, row_keys, rows_of, small_or_shuffled, stored
+from .common import arrow_schema, beside_group, components, documents, map_rows, row_keys, rows_of, small_or_shuffled, stored
 
 #: The base patterns.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -58,8 +64,10 @@ KINDS = ("email", "ip", "card", "phone")
 _TERM = re.compile(r"[^\W\d_]{3,}")
 
 GENERALISE, REMOVE = 0.8, 0.95
-#: Letters of the terms that tell texts apart, and the odd factors of the min-hashes.
-LONGER, FACTORS = 6, (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Letters of the terms that tell texts apart; min-hashes, those of a band, and the share
+#: of all that makes a near copy.
+LONGER, HASHES, ROWS, NEAR = 6, 320, 8, 0.7
+_FACTORS = np.random.default_rng(7).integers(1 << 62, size=HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 KEYS = ["__sk_k1", "__sk_k2"]
 #: Terms that a worker counts before it hands its partial counts on.
 TERMS_AT_ONCE = 100_000
@@ -138,13 +146,25 @@ def _key(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def longer(terms: set[str]) -> list[str]:
+    """The terms that tell texts apart: the longer ones, all if there are none."""
+    return sorted([t for t in terms if len(t) >= LONGER] or terms)
+
+
+def text_id(terms: set[str]) -> int:
+    return _key("\n".join(longer(terms)))
+
+
 def sketch(terms: set[str]) -> list[int]:
-    """Three min-hashes of the longer terms, of all if there are none."""
-    longer = [t for t in terms if len(t) >= LONGER] or list(terms)
-    if not longer:
-        return [0] * len(FACTORS)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in longer), np.uint64, len(longer))
-    return [int((h * np.uint64(f)).min().view(np.int64)) for f in FACTORS]
+    """Min-hashes of the longer terms."""
+    some = longer(terms)
+    h = np.fromiter((xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in some), np.uint64, len(some))
+    h ^= h >> np.uint64(29)
+    out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 4096):
+        mixed = h[at : at + 4096, None] * _FACTORS[None, :]
+        out = np.minimum(out, (mixed ^ (mixed >> np.uint64(31))).min(axis=0))
+    return out.view(np.int64).tolist()
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
@@ -154,12 +174,13 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
 
 PASS = (
     "doc_id bigint, __sk_k1 bigint, __sk_k2 bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, base_sha256 string, "
-    "sanitised_sha256 string, entities array<bigint>, sketch array<bigint>"
+    "sanitised_sha256 string, entities array<bigint>, text_id bigint"
 )
 
 
 def base_pass(texts: DataFrame) -> DataFrame:
-    """Base results of every row; its entities and, where it has any, its sketch."""
+    """Base results of every row; its entities and, where it has any, what tells
+    its text from others."""
 
     def row(doc_id, text, k1, k2):
         spans = base_spans(text)
@@ -168,7 +189,7 @@ def base_pass(texts: DataFrame) -> DataFrame:
         terms = set(_TERM.findall(lowered(blanked(text, spans)))) if spans else set()
         clean = sanitise(text, base) if spans else text
         n = [sum(k == x for k, _, _ in spans) for x in KINDS]
-        return (doc_id, k1, k2, *n, base, _sha(base), _sha(clean), entities, sketch(terms))
+        return (doc_id, k1, k2, *n, base, _sha(base), _sha(clean), entities, text_id(terms))
 
     return map_rows(texts, lambda: row, PASS)
 
@@ -177,6 +198,13 @@ def _sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
+def outside(text: str) -> set[str]:
+    """The terms outside base spans; of these only addresses have letters."""
+    if "@" in text:
+        text = blanked(text, [("email", a, b) for a, b in _emails(text)])
+    return set(_TERM.findall(lowered(text)))
+
+
 def term_counts(texts: DataFrame) -> DataFrame:
     """term (its hash), n: partial counts of the documents with each term."""
     struct, schema = arrow_schema("term bigint, n bigint")
@@ -191,7 +219,7 @@ def term_counts(texts: DataFrame) -> DataFrame:
 
         for rows in rows_of(batches):
             for (text,) in rows:
-                counts.update(set(_TERM.findall(lowered(text))))
+                counts.update(outside(text))
                 if len(counts) >= TERMS_AT_ONCE:
                     yield handed_on()
         if counts:
@@ -205,37 +233,83 @@ def _of(texts: DataFrame, keys: DataFrame) -> DataFrame:
     return texts.join(small_or_shuffled(keys, keys.count()), KEYS, "left_semi").dropDuplicates(KEYS)
 
 
+def classes(sketches: DataFrame) -> DataFrame:
+    """text_id, class: components of near copies among texts (text_id, sketch)."""
+    spark = sketches.sparkSession
+    bands = [F.struct(F.lit(k).alias("band"), F.xxhash64(F.slice("sketch", k * ROWS + 1, ROWS)).alias("h")) for k in range(HASHES // ROWS)]
+    each = stored(sketches.select("text_id", F.explode(F.array(*bands)).alias("b")).select("text_id", "b.band", "b.h"), "bands")
+    first = beside_group(each, ["band", "h"], F.col("text_id"), [F.min("text_id").alias("m")], [F.min("m").alias("first")])
+    met = first.where("text_id <> first").select("text_id", "first").distinct()
+    other = sketches.select(F.col("text_id").alias("first"), F.col("sketch").alias("of_first"))
+    same = F.aggregate(F.zip_with("sketch", "of_first", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
+    links = stored(met.join(sketches, "text_id").join(other, "first").where(same >= NEAR * HASHES).select(F.col("text_id").alias("a"), F.col("first").alias("b")), "links")
+    roots = components(links, "pii") if links.limit(1).count() else spark.createDataFrame([], "node bigint, root bigint")
+    found = sketches.select("text_id").join(roots, F.col("text_id") == F.col("node"), "left")
+    return stored(found.select("text_id", F.coalesce("root", "text_id").alias("class")), "classes")
+
+
+#: A group of entities or terms: what its documents add up to.
+_SETS = ("x", "y")
+
+
+def _set_sums(*more) -> list:
+    """Two hashes of the set of documents that a group's rows name."""
+    return [F.bit_xor(F.xxhash64(F.lit(seed), *KEYS)).alias(f"{name}_") for seed, name in enumerate(_SETS)] + list(more)
+
+
+def _put_together(*more) -> list:
+    return [F.bit_xor(f"{name}_").alias(name) for name in _SETS] + list(more)
+
+
+def _ends(column: str) -> list:
+    return [F.min(column).alias("lo_"), F.max(column).alias("hi_")]
+
+
+def _both_ends() -> list:
+    return [F.min("lo_").alias("lo"), F.max("hi_").alias("hi")]
+
+
 def disclosures(texts: DataFrame, rows: DataFrame, generalise: float = GENERALISE) -> DataFrame:
     """Row keys, terms (array of term and share): what gives an entity of a document
     away in it.  ``rows`` is what ``base_pass`` gives, stored."""
     n_docs = float(max(1, rows.count()))
-    each = rows.where(F.size("entities") > 0).select(*KEYS, "sketch", F.explode("entities").alias("entity"))
-    held = stored(each.groupBy("entity", *KEYS).agg(F.count("*").alias("m"), F.first("sketch").alias("sketch")), "held")
-    parts = range(len(FACTORS))
-    ends = [f(F.col("sketch")[k]).alias(f"{name}{k}") for k in parts for name, f in (("lo", F.min), ("hi", F.max))]
-    both = [f(f"{name}{k}").alias(f"{name}{k}") for k in parts for name, f in (("lo", F.min), ("hi", F.max))]
-    differ = " and ".join(f"lo{k} <> hi{k}" for k in parts)
-    counted = beside_group(held, ["entity"], F.xxhash64(*KEYS), [F.sum("m").alias("m_"), *ends], [F.sum("m_").alias("n_e"), *both])
-    entity = F.struct("entity", "n_e", (F.col("n_e") * F.pow(F.lit(n_docs) / F.col("n_e"), F.lit(1 - generalise)) + 1e-6).alias("most"))
-    per_doc = counted.where(differ).where(F.col("n_e") < n_docs).groupBy(*KEYS, "m", "sketch").agg(F.collect_list(entity).alias("es"))
-    per_doc = stored(per_doc.withColumn("most", F.array_max(F.transform("es", lambda e: e["most"]))), "docs")
+    salt = F.xxhash64(*KEYS)
+    each = rows.where(F.size("entities") > 0).select(*KEYS, "text_id", F.explode("entities").alias("entity"))
+    held = stored(each.groupBy("entity", *KEYS, "text_id").agg(F.count("*").alias("m")), "held")
+    # entities in different texts; then, in texts of different classes
+    again = stored(beside_group(held, ["entity"], salt, _ends("text_id"), _both_ends()).where("lo <> hi").drop("lo", "hi"), "again")
 
     def terms_of(k1, k2, text):
-        return k1, k2, sorted(map(_key, set(_TERM.findall(lowered(blanked(text, base_spans(text)))))))
-
-    near = map_rows(_of(texts, per_doc.select(*KEYS)).select(*KEYS, "text"), lambda: terms_of, "__sk_k1 bigint, __sk_k2 bigint, terms array<bigint>")
-    near = stored(near.join(per_doc.select(*KEYS, "most"), KEYS).select(*KEYS, "most", F.explode("terms").alias("term")), "near")
+        terms = outside(text)
+        return k1, k2, sorted(map(_key, terms)), sketch(terms)
+
+    some = _of(texts, again.select(*KEYS).distinct()).select(*KEYS, "text")
+    read = stored(map_rows(some, lambda: terms_of, "__sk_k1 bigint, __sk_k2 bigint, terms array<bigint>, sketch array<bigint>"), "read")
+    ids = again.select(*KEYS, "text_id").distinct()
+    sketches = stored(read.join(ids, KEYS).select("text_id", "sketch").dropDuplicates(["text_id"]), "sketches")
+    named = stored(again.join(classes(sketches), "text_id").select("entity", *KEYS, "m", "class"), "named")
+    counted = beside_group(named, ["entity"], salt, _set_sums(F.sum("m").alias("m_"), *_ends("class")), _put_together(F.sum("m_").alias("n_e"), *_both_ends()))
+    most = (F.col("n_e") * F.pow(F.lit(n_docs) / F.col("n_e"), F.lit(1 - generalise)) + 1e-6).alias("most")
+    groups = counted.where("lo <> hi").where(F.col("n_e") < n_docs).select(*KEYS, "m", "class", F.struct(*_SETS, "n_e", most).alias("e")).distinct()
+    per_doc = groups.groupBy(*KEYS, "m", "class").agg(F.collect_list("e").alias("es"), F.max("e.most").alias("most"))
+    per_doc = stored(per_doc, "docs")
+    near = stored(read.join(per_doc.select(*KEYS, "most"), KEYS).select(*KEYS, "most", F.explode("terms").alias("term")), "near")
     # a term must be in two documents; then, how many documents of the corpus have it
     twice = stored(near.groupBy("term").agg(F.count("*").alias("n"), F.max("most").alias("most")).where("n > 1").drop("n"), "twice")
     known = term_counts(texts).join(small_or_shuffled(twice, twice.count()), "term").groupBy("term").agg(F.sum("n").alias("n_t"), F.max("most").alias("most"))
     known = stored(known.where("n_t <= most").drop("most"), "known")
-    placed = near.join(small_or_shuffled(known, known.count()), "term").where("n_t <= most").select(*KEYS, "term", "n_t")
-    met = placed.join(per_doc.drop("most"), KEYS).select(*KEYS, "m", "sketch", "term", "n_t", F.explode(F.expr("filter(es, e -> n_t <= e.most)")).alias("e"))
-    pairs = stored(met.select(*KEYS, "m", "sketch", "term", "n_t", "e.entity", "e.n_e"), "pairs")
-    scored = beside_group(pairs, ["entity", "term"], F.xxhash64(*KEYS), [F.sum("m").alias("m_"), *ends], [F.sum("m_").alias("n_te"), *both])
-    pmi = F.log2(F.col("n_te") * F.lit(n_docs) / (F.col("n_t").cast("double") * F.col("n_e")))
-    scored = scored.where(differ).withColumn("share", pmi / F.log2(F.lit(n_docs) / F.col("n_e"))).where(F.col("share") >= generalise - 1e-12)
-    return scored.groupBy(*KEYS, "term").agg(F.max("share").alias("share")).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("term", "share"))).alias("terms"))
+    # no cut by the document here: a group of terms is told by all of its documents
+    placed = stored(near.join(small_or_shuffled(known, known.count()), "term").select(*KEYS, "term", "n_t"), "placed")
+    grouped = beside_group(placed, ["term"], salt, _set_sums(), _put_together()).select(*KEYS, "term", F.struct(*_SETS, "n_t").alias("t"))
+    grouped = stored(grouped, "terms")
+    met = grouped.select(*KEYS, "t").distinct().join(per_doc, KEYS).where(F.col("t.n_t") <= F.col("most"))
+    met = met.select(*KEYS, "m", "class", "t", F.explode(F.expr("filter(es, e -> t.n_t <= e.most)")).alias("e"))
+    pairs = stored(met.select(*KEYS, "m", "class", "t", "e"), "pairs")
+    scored = beside_group(pairs, ["e", "t"], salt, [F.sum("m").alias("m_"), *_ends("class")], [F.sum("m_").alias("n_te"), *_both_ends()])
+    pmi = F.log2(F.col("n_te") * F.lit(n_docs) / (F.col("t.n_t").cast("double") * F.col("e.n_e")))
+    scored = scored.where("lo <> hi").withColumn("share", pmi / F.log2(F.lit(n_docs) / F.col("e.n_e"))).where(F.col("share") >= generalise - 1e-12)
+    told = grouped.join(scored.groupBy(*KEYS, "t").agg(F.max("share").alias("share")), [*KEYS, "t"])
+    return told.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("term", "share"))).alias("terms"))
 
 
 def term_spans(text: str, spans: list[tuple[str, int, int]], shares: dict[int, float]) -> list[tuple[int, int, float]]:

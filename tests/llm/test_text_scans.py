@@ -330,6 +330,18 @@ def telling(seed=3):
     return out + [prose(rng.randint(0, 90)) for _ in range(150)]
 
 
+def classes_by_definition(outside):
+    """Components of texts that share 0.7 of their longer terms."""
+    some = [{t for t in w if len(t) >= 6} or w for w in outside]
+    root = list(range(len(some)))
+    for a in range(len(some)):
+        for b in range(a):
+            if len(some[a] & some[b]) >= 0.7 * len(some[a] | some[b]):
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    return root
+
+
 def shares_by_definition(texts, generalise=pii.GENERALISE):
     """(document, term): share, for all terms and entities, on counts over all texts."""
     word = re.compile(r"[^\W\d_]{3,}")
@@ -340,8 +352,7 @@ def shares_by_definition(texts, generalise=pii.GENERALISE):
         for _, a, b in s:
             t = t[:a] + " " * (b - a) + t[b:]
         outside.append(set(word.findall(t.lower())))
-    anywhere = [set(word.findall(t.lower())) for t in texts]
-    marks = [pii.sketch(w) for w in outside]
+    marks = classes_by_definition(outside)
     n, out = len(texts), {}
     for e in set().union(*held):
         of = [k for k in range(n) if e in held[k]]
@@ -349,9 +360,9 @@ def shares_by_definition(texts, generalise=pii.GENERALISE):
             continue
         for term in set().union(*(outside[k] for k in of)):
             both = [k for k in of if term in outside[k]]
-            if any(len({marks[k][f] for k in both}) == 1 for f in range(3)):
+            if len({marks[k] for k in of}) == 1 or len({marks[k] for k in both}) == 1:
                 continue
-            n_t = sum(term in w for w in anywhere)
+            n_t = sum(term in w for w in outside)
             share = np.log2(len(both) * n / (n_t * len(of))) / np.log2(n / len(of))
             if share >= generalise - 1e-12:
                 for k in both:
@@ -403,6 +414,75 @@ def test_disclosing_terms(spark):
     assert some[0].startswith("[TERM] ")
 
 
+def overlapping(rng, k, j, n=60):
+    """Two texts with an address and its owner's name in common, whose longer terms have a
+    Jaccard similarity of ``j``."""
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstuvwz") for _ in range(9))
+    both = round(2 * n * j / (1 + j))
+    shared = [word() for _ in range(both)]
+    name = f"owner{word()}"
+    return [" ".join([*rng.sample(shared + [word() for _ in range(n - both)], n), name, f"someone{k}@mail.example"]) for _ in range(2)]
+
+
+@pytest.mark.parametrize("j", [0.1, 0.3, 0.5])
+def test_two_texts_are_enough(spark, j):
+    """A name that stands with an address in two texts is told, though these share up to
+    half of their terms: recall over 0.9."""
+    rng = random.Random(round(10 * j))
+    texts = [t for k in range(60) for t in overlapping(rng, k, j)] + [f"{'filler words stand here ' * 3}{k}" for k in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    told = {r["doc_id"]: r["spans"] for r in pii.find_personal(docs).collect()}
+    found = sum(any(texts[k][int(a) : int(b)].startswith("owner") for _, a, b in (s.split(":") for s in told[k].split(",") if s.startswith("term"))) for k in range(120))
+    assert found >= 114
+
+
+def test_near_copies_tell_nothing(spark):
+    """Many near copies of one text, each edited elsewhere, are one text."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstuvwz") for _ in range(9))
+    texts = []
+    for k in range(5):
+        base = [word() for _ in range(120)]
+        for _ in range(30):
+            mine = list(base)
+            for _ in range(rng.randint(0, 6)):
+                mine[rng.randrange(120)] = word()
+            texts.append(" ".join([*mine, f"ownername{'abcde'[k]}", f"copied{k}@mail.example"]))
+    texts += [" ".join(word() for _ in range(30)) for _ in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r["n_terms"] for r in pii.find_personal(docs).collect()} == {0}
+
+
+def test_directories_make_no_pairs_of_all(spark, monkeypatch):
+    """Three directories of 20,000 addresses and names: rows grow with their length, and
+    every name is told."""
+    rng = random.Random(6)
+    letters = lambda k: "".join("abcdefghij"[int(d)] for d in f"{k:06d}")
+    lines = [f"name{letters(k)} person{k}@mail.example" for k in range(20_000)]
+    texts = []
+    for _ in range(3):
+        rng.shuffle(lines)
+        texts.append("\n".join([*lines, *("extra" + letters(rng.randrange(10**6)) for _ in range(12_000))]))
+    texts += [f"filler words stand {letters(k)}" for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    rows, real = {}, pii.stored
+    monkeypatch.setattr(pii, "stored", lambda df, label: rows.setdefault(label, real(df, label)))
+    told = {r["doc_id"]: r["n_terms"] for r in pii.find_personal(docs).collect()}
+    assert all(told[k] >= 20_000 for k in range(3)) and not any(told[k] for k in range(3, 63))
+    assert rows["pairs"].count() < 100 and all(df.count() < 200_000 for df in rows.values())
+
+
+def test_terms_in_addresses_are_not_counted(spark):
+    """A name inside its own address elsewhere doesn't weaken its share."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstuvwz") for _ in range(9))
+    texts = [f"{' '.join(word() for _ in range(20))} Quendolin writes from box@mail.example" for _ in range(3)]
+    texts += [f"{' '.join(word() for _ in range(20))} write to quendolin{k}x@mail.example" for k in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    told = pii.find_personal(docs).where("doc_id < 3").collect()
+    assert all("1000" in r["shares"].split(",") for r in told)
+
+
 def test_hot_entity_and_long_runs(spark):
     """An address in a third of all documents, one in all; a megabyte of digits."""
     texts = [f"word{chr(97 + k % 26)}{chr(97 + k // 26 % 26)} all@of.them {'hot@third.part' if k % 3 == 0 else ''} filler stands here" for k in range(600)]
