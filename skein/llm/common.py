@@ -66,7 +66,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._skein_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Drops the table that ``df`` was ``stored`` as: its successor stands."""
+    path = getattr(df, "_skein_path", None)
+    if path:
+        drop_path(df.sparkSession, path)
+        _made.remove((df.sparkSession, path))
 
 
 def row_bytes(df: DataFrame) -> int:
@@ -168,7 +178,14 @@ def shielded(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Call
         names = docs.columns
         if not any(c.lower().startswith("__sk_") for c in names):
             return stage(spark, docs, sf_dir)
-        aside = [f"input_{k}_{c[5:]}" if c.lower().startswith("__sk_") else c for k, c in enumerate(names)]
+        taken, aside = {c.lower() for c in names}, []
+        for k, c in enumerate(names):
+            if c.lower().startswith("__sk_"):
+                c = f"input_{k}_{c[5:]}"
+                while c.lower() in taken:
+                    c += "_"
+                taken.add(c.lower())
+            aside.append(c)
         return stage(spark, docs.toDF(*aside), sf_dir).toDF(*names)
 
     return run
@@ -217,6 +234,8 @@ def components(edges: DataFrame, label: str = "cc", most_rounds: int = 60) -> Da
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         nxt = stored(small.union(least.select("u", "m")).distinct(), f"{label}-{k}")
         sums = checksum(nxt)
+        forget(now)
+        forget(large)
         if sums == seen:
             roots = nxt.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return roots.union(nxt.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -13,7 +13,11 @@ any shuffle, and only offsets travel back; a source with a third of all rows is
 spread over its buckets.  Documents that don't fit what is open are passed over and
 the sum goes on among those that do, until none fits; what is still open is then
 less than the smallest unused document, and the one of the best fitting size fills
-it where that comes closer.
+it where that comes closer.  A round keeps what is still open of each pattern and the last
+place taken; only documents that still fit are carried on, and the rounds' few numbers say
+at the end which documents are in.  What is open after a round is less than a document
+that fitted before: in a seeded order it shrinks by some factor each time, and rounds are
+a dozen or two; the most that an unlucky order could ask for is one for each size.
 
 On the driver: one row for each membership pattern (sums only), never documents.  The
 flow is worked out there, so patterns are meant to be some thousands; the tables made
@@ -39,7 +43,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, row_keys, shielded, small_or_shuffled, stored
+from .common import SPACE, documents, forget, row_keys, shielded, small_or_shuffled, stored
 
 WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2, 17
 ROWS_A_BUCKET, MOST_BUCKETS = 500, 1 << 20
@@ -183,30 +187,36 @@ def select(sized: DataFrame, gives: dict, seed: int = SEED, tie: list[str] | Non
         "__sk_bucket", F.pmod(F.shiftright("__sk_order", 40), F.lit(1 << 24)) * buckets / F.lit(1 << 24)
     ).withColumn("__sk_bucket", F.floor("__sk_bucket"))
     inside = Window.partitionBy(*BUCKET).orderBy("__sk_order", "doc_id", "size", *tie)
-    ranked = stored(
-        keyed.join(plan, "__sk_pattern").withColumn("__sk_rank", F.row_number().over(inside)).withColumn("__sk_in", F.col("size") <= 0), "mix"
-    )
-    open_ = {p: g % t if t else 0 for p, (t, g) in gives.items()}
+    ranked = stored(keyed.join(plan, "__sk_pattern").withColumn("__sk_rank", F.row_number().over(inside)), "mix")
+    # a round's taken documents are those of the open ones up to a place in the order: a
+    # pattern's rounds (what was open, the last place) say all of it
+    open_, rounds = {p: g % t if t else 0 for p, (t, g) in gives.items()}, {p: [] for p in gives}
+    some = ranked.where("size > 0").select(*BUCKET, "__sk_rank", "size")
     while True:
         # the documents that fit what is open; of these the first in order whose sum does
         now = of_patterns(spark, list(open_.items()), "__sk_pattern string, __sk_gap bigint")
-        left = ranked.where(~F.col("__sk_in")).join(now, "__sk_pattern").where("size <= __sk_gap").select(*BUCKET, "__sk_rank", "size", "__sk_gap")
+        left = some.join(now, "__sk_pattern").where("size <= __sk_gap")
         upto = Window.partitionBy(*BUCKET).orderBy("__sk_rank").rowsBetween(Window.unboundedPreceding, 0)
         ends = left.join(offsets(left, "size"), BUCKET).withColumn("__sk_end", F.col("__sk_offset") + F.sum("size").over(upto))
-        taken = stored(ends.where("__sk_end <= __sk_gap").select(*BUCKET, "__sk_rank", "size"), "mix-round")
-        got = {r["__sk_pattern"]: int(r["n"]) for r in taken.groupBy("__sk_pattern").agg(F.sum("size").alias("n")).collect()}
-        more = left.limit(1).count() if not got else 1
-        if not more:
+        last = F.max(F.struct("__sk_bucket", "__sk_rank")).alias("last")
+        got = ends.where("__sk_end <= __sk_gap").groupBy("__sk_pattern").agg(F.sum("size").alias("n"), last).collect()  # a row for each pattern
+        if not got:
             break
-        if got:
-            hit = taken.select(*BUCKET, "__sk_rank", F.lit(True).alias("__sk_hit")).hint("merge")
-            ranked = stored(
-                ranked.join(hit, [*BUCKET, "__sk_rank"], "left")
-                .withColumn("__sk_in", F.col("__sk_in") | F.coalesce("__sk_hit", F.lit(False)))
-                .drop("__sk_hit"),
-                "mix",
-            )
-            open_ = {p: g - got.get(p, 0) for p, g in open_.items()}
+        for r in got:
+            p = r["__sk_pattern"]
+            rounds[p].append((open_[p], r["last"]["__sk_bucket"], r["last"]["__sk_rank"]))
+            open_[p] -= int(r["n"])
+        behind = [(p, open_[p], *rounds[p][-1][1:]) for p in (r["__sk_pattern"] for r in got) if open_[p]]
+        mark = of_patterns(spark, behind, "__sk_pattern string, __sk_gap bigint, __sk_b bigint, __sk_r int")
+        more = some.join(mark, "__sk_pattern").where("size <= __sk_gap and struct(__sk_bucket, __sk_rank) > struct(__sk_b, __sk_r)")
+        more = stored(more.select(*BUCKET, "__sk_rank", "size"), "mix-open")
+        forget(some)
+        some = more
+    forget(some)
+    taken = of_patterns(spark, list(rounds.items()), "__sk_pattern string, __sk_rounds array<struct<gap:bigint,b:bigint,r:int>>")
+    ranked = ranked.join(taken, "__sk_pattern").withColumn(
+        "__sk_in", F.expr("size <= 0 or exists(__sk_rounds, x -> size <= x.gap and struct(__sk_bucket, __sk_rank) <= struct(x.b, x.r))")
+    ).drop("__sk_rounds")
     gap = of_patterns(spark, list(open_.items()), "__sk_pattern string, __sk_gap bigint")
     best = (
         ranked.where(~F.col("__sk_in") & (F.col("size") > 0))

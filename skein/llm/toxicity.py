@@ -26,8 +26,9 @@ the examples' indexes broadcast.  On the driver: the examples, the buckets' coun
 (``WIDTH`` at most), and two votes for each example.
 
 Bound: at most ``sample`` (20,000) labelled rows are fitted on, those with the
-smallest hash of ``doc_id``; held-out rows (crc32 of the id's digits divisible by
-5) never are.  The indexes hold those examples only; equal vectors share an entry.
+smallest hash of ``doc_id``, and as many of their texts, with ``MOST_TERMS`` (16 million)
+terms at most, which bounds what is sent to 260 MB; held-out rows (crc32 of the id's digits
+divisible by 5) never are.  The indexes hold those examples only; equal vectors share an entry.
 Labels, lang, source and doc_id are never inputs of a score.
 
 Defined results: a null text is empty.  Texts without a vocabulary term are scored by
@@ -54,6 +55,8 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, doc_texts, documents, map_rows, stored
 
 SAMPLE, NEIGHBOURS = 20_000, 25
+#: Terms of all examples together, 12 bytes each where the index is sent.
+MOST_TERMS = 16_000_000
 LEAST_DOCS, LEAST_ODDS, BLOCK, PRIOR_WEIGHT = 4, 4.0, 64, 0.25
 #: Of the search over all terms: buckets, those held densely, neighbours.
 WIDTH, HEAD, WIDE_NEIGHBOURS, WIDE_BLOCK = 1 << 22, 512, 100, 64
@@ -551,9 +554,24 @@ def bucket_counts(made: DataFrame) -> np.ndarray:
     return df
 
 
+def fitted(made: DataFrame, y: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The examples' vectors, each once: ``sample`` at most in the order of their hashes,
+    with MOST_TERMS terms at most, however many texts an id has."""
+    order = ["h", "doc_id", "k"]
+    keys = [F.xxhash64(F.lit("toxic"), "doc_id").alias("h"), F.xxhash64("buckets", "tfs").alias("k")]
+    each = made.join(F.broadcast(y), "doc_id").dropDuplicates(["doc_id", "buckets", "tfs"]).select("*", *keys)  # y: SAMPLE ids at most
+    each = stored(each, "fitted")
+    sizes = [tuple(r) for r in each.select(*order, F.size("buckets")).orderBy(*order).limit(sample).collect()]  # numbers
+    most = max(1, int(np.searchsorted(np.cumsum([r[3] for r in sizes]), MOST_TERMS, side="right")))
+    if not sizes:
+        return each
+    last = F.struct(*(F.lit(x).cast("bigint") for x in sizes[:most][-1][:3]))
+    return each.where(F.struct(*order) <= last)
+
+
 def indexes(made: DataFrame, y: DataFrame, words: list[str], n_docs: int) -> tuple[Narrow, Wide] | float:
     """The examples' two indexes; without both classes, the share of label 1."""
-    got = made.join(F.broadcast(y), "doc_id").toArrow()  # SAMPLE ids at most
+    got = fitted(made, y).toArrow()  # SAMPLE rows and MOST_TERMS terms at most
     column = lambda c: [x.values.to_numpy(zero_copy_only=False) if x.values is not None else np.zeros(0, np.int32) for x in got[c]]
     rows: dict = {}
     for doc_id, label, b, n, i, k in zip(got["doc_id"].to_pylist(), got["toxic"].to_pylist(), *map(column, ("buckets", "tfs", "ids", "ns")), strict=True):
@@ -606,7 +624,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
             F.lit(None).cast("bigint").alias("evidence_doc"), F.lit(0.0).alias("evidence_cosine"),
         )
     votes = stored(both_votes(made, both), "votes")
-    own = votes.join(F.broadcast(y), "doc_id").select("doc_id", "narrow_left", "wide_left", "toxic").distinct().toArrow()
+    own = votes.join(F.broadcast(y), "doc_id").select("doc_id", "narrow_left", "wide_left", "toxic").distinct()
+    own = own.orderBy(F.xxhash64(F.lit("toxic"), "doc_id"), "doc_id", "narrow_left", "wide_left").limit(sample).toArrow()
     own = own.sort_by([(c, "ascending") for c in own.column_names])  # the same sums whatever order rows came in
     model = train(own["narrow_left"].to_numpy(), own["wide_left"].to_numpy(), own["toxic"].to_numpy())
     struct, schema = arrow_schema("doc_id bigint, score double, evidence_doc bigint, evidence_cosine double")
