@@ -14,6 +14,7 @@ from skein.operators import matcher, metrics
 from skein.operators.samples import SampleGroup
 from skein.operators.segments import sample_barcode, segmented, sequences
 from skein.operators.zipping import zip_rows, zip_segments
+from skein.plans.progress import Progress
 from skein.plans.structure import FILE_CODES, ReadStructure, parse_kinds, parse_skip_reason
 from skein.sources.fastq import SPLIT_BYTES, open_store, stage
 from skein.sources.folders import drop_path, shared_folder, written
@@ -91,6 +92,7 @@ class Demux:
     skip_reasons: list[str] = field(default_factory=list)
     staging: str | None = None
     split_bytes: int = SPLIT_BYTES
+    log_every: int = 1_000_000
     #: Sets skipped by the last run, by reason.
     skipped: dict[str, int] = field(default_factory=dict, init=False)
 
@@ -141,7 +143,9 @@ class Demux:
 
     def _run(self, spark: SparkSession, structures: list[ReadStructure], kinds: set[str], skip: bool, group: SampleGroup, folder: str) -> DataFrame:
         # read once: matching, files and skip counts all come from this table
-        every = written(with_barcode(sets_of(spark, self.inputs, structures, skip, f"{folder}/inputs", self.split_bytes)), f"{folder}/sets")
+        sets = with_barcode(sets_of(spark, self.inputs, structures, skip, f"{folder}/inputs", self.split_bytes))
+        with Progress(spark, log, "records", self.log_every):
+            every = written(sets, f"{folder}/sets")
         log.info("%d inputs read", len(self.inputs))
         samples = group.to_df(spark)
         memo = matcher.memo_of(every, samples, group.barcode_length, "obs", self.max_mismatches, self.min_mismatch_delta, f"{folder}/memo")

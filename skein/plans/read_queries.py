@@ -462,13 +462,28 @@ def subsample_split_files(spark, sf_dir):
     return _subsampled(spark, sf_dir, "subsample-splits", split_bytes=_SMALL_SPLITS)
 
 
+def _subsample(spark, sf_dir, folder: str, **options) -> tuple[int, int, float]:
+    inputs = _put_reads(spark, sf_dir, folder, one=RECORDS_1, two=_BOTH)
+    return Subsample(inputs, f"{folder}/kept", 0.3, seed=42, **options).execute(spark)
+
+
 def _subsampled(spark, sf_dir, name: str, **options) -> DataFrame:
     folder = _folder(spark, name)
-    inputs = _put_reads(spark, sf_dir, folder, one=RECORDS_1, two=_BOTH)
-    Subsample(inputs, f"{folder}/kept", 0.3, seed=42, **options).execute(spark)
+    _subsample(spark, sf_dir, folder, **options)
     return read_fastq(spark, [f"{folder}/kept.R{k}.fq.gz" for k in (1, 2)]).select("file_idx", "ord", "header", "seq", "qual")
 
 
+_TOTALS_SQL = "WITH r AS " + duck(RECORDS_1) + """ SELECT count(*) AS total, count(*) FILTER (WHERE keep) AS kept, count(*) FILTER (WHERE keep) * 100.0::DOUBLE / count(*) AS percent
+FROM (SELECT ('0x' || substr(md5('42:' || ord), 1, 8))::BIGINT / 4294967296.0 < 0.3 AS keep FROM r)"""
+
+
+@query(_TOTALS_SQL)
+def subsample_run_totals(spark, sf_dir):
+    """What a run says it has read and kept, observed while it writes."""
+    said = _subsample(spark, sf_dir, _folder(spark, "subsample-totals"), split_bytes=_SMALL_SPLITS)
+    return spark.createDataFrame([said], "total bigint, kept bigint, percent double")
+
+
 _RUN = {"compression_level": 5, "fraction": 0.3, "inputs": ["orders.fq"], "threads": 8}
 _SEED = f"(('0x' || substr(sha256('{json.dumps(_RUN)}'), 1, 16))::UBIGINT >> 1)::BIGINT"
 
@@ -597,15 +612,36 @@ SELECT ord, list_concat(a, [3]) AS pushed, list_concat(a, [5, 5, 5]) AS many, li
 FROM e""")
 def bitenc_ops(spark, sf_dir):
     a = F.col("a")
-    enc = view(spark, sf_dir, reads_sql(12)).select("ord", bases.masks("obs").alias("a"))
-    bs = packed.blocks(a, 4)
+    enc = view(spark, sf_dir, reads_sql(12)).select("ord", packed.pack_bases("obs").alias("a"))
+    shown = lambda x: packed.symbols(x, 4)
     return enc.select(
-        "ord", packed.push(a, 3, 4).alias("pushed"), packed.push_values(a, 3, 5, 4).alias("many"), packed.set_at(a, 2, 7, 4).alias("was_set"),
-        packed.get(a, 0).alias("got"), packed.get(a, 99).alias("beyond"), packed.nr_symbols(a).alias("n"), packed.nr_blocks(a, 4).alias("n_blocks"),
-        packed.is_empty(a).alias("is_empty"), bs[0].alias("first_block"), packed.get_by_address(bs, packed.address(9, 4), 4).alias("by_address"),
+        "ord", shown(packed.push(a, 3, 4)).alias("pushed"), shown(packed.push_values(a, 3, 5, 4)).alias("many"), shown(packed.set_at(a, 2, 7, 4)).alias("was_set"),
+        packed.get(a, 0, 4).alias("got"), packed.get(a, 99, 4).alias("beyond"), packed.nr_symbols(a).alias("n"), packed.nr_blocks(a).alias("n_blocks"),
+        packed.is_empty(a).alias("is_empty"), a["blocks"][0].alias("first_block"), packed.get_by_address(a["blocks"], packed.address(9, 4), 4).alias("by_address"),
     )
 
 
+#: Packed arrays of nine four-bit symbols, as their two blocks and their length.
+_BLOCKS_SQL = "WITH r AS " + duck(reads_sql(9)) + f", s AS (SELECT ord, obs, [CAST({mask_sql('c')} AS BIGINT) FOR c IN string_split(obs, '')] AS a FROM r)" + """
+, p AS (SELECT ord, obs, {'blocks': [list_sum([a[k] << (4 * (k - 1)) FOR k IN range(1, 9)])::BIGINT, a[9]], 'n': 9::INT} AS a FROM s)"""
+
+
+@query(_BLOCKS_SQL + " SELECT a.blocks AS blocks, a.n AS n, count(*) AS n_reads, count(DISTINCT obs) AS n_barcodes FROM p GROUP BY ALL")
+def bitenc_groups(spark, sf_dir):
+    """Reads grouped by their packed barcode: equal and hashed as blocks."""
+    enc = view(spark, sf_dir, reads_sql(9)).select("obs", packed.pack_bases("obs").alias("a"))
+    found = enc.groupBy("a").agg(F.count("*").alias("n_reads"), F.countDistinct("obs").alias("n_barcodes"))
+    return found.select("a.blocks", "a.n", "n_reads", "n_barcodes")
+
+
+@query(_BLOCKS_SQL + ", o AS (SELECT ord % 100 AS grp, a.blocks AS b FROM p) SELECT grp, min(b) AS least, max(b) AS most, count(DISTINCT b) AS n_distinct FROM o GROUP BY grp")
+def bitenc_order(spark, sf_dir):
+    """The least and the largest packed barcode of groups of reads, and how many differ."""
+    enc = view(spark, sf_dir, reads_sql(9)).select((F.col("ord") % 100).alias("grp"), packed.pack_bases("obs").alias("a"))
+    found = enc.groupBy("grp").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.countDistinct("a").alias("n_distinct"))
+    return found.select("grp", F.col("lo.blocks").alias("least"), F.col("hi.blocks").alias("most"), "n_distinct")
+
+
 @query("WITH r AS " + duck(reads_sql(12)) + " SELECT ord, 0::INT AS n_new, ord % 7 AS n_filled, CAST(ceil((ord % 7) / 4) AS INT) AS n_blocks, true AS cleared FROM r")
 def bitenc_new(spark, sf_dir):
     """Arrays from the empty one on, and back to it; seven bits a symbol."""
@@ -614,13 +650,13 @@ def bitenc_new(spark, sf_dir):
     emptied = F.when(F.lit(True), packed.clear(7)).otherwise(F.col("a"))
     return df.select(
         "ord", packed.nr_symbols(packed.new(7)).alias("n_new"), packed.nr_symbols(F.col("a")).cast("bigint").alias("n_filled"),
-        packed.nr_blocks(F.col("a"), 7).alias("n_blocks"), packed.is_empty(emptied).alias("cleared"),
+        packed.nr_blocks(F.col("a")).alias("n_blocks"), packed.is_empty(emptied).alias("cleared"),
     )
 
 
 @query("WITH r AS " + duck(reads_sql(12)) + f" SELECT ord, unnest(range(0, len(obs)))::INT AS pos, unnest([CAST({mask_sql('c')} AS INT) FOR c IN string_split(obs, '')]) AS mask FROM r")
 def bitenc_iter(spark, sf_dir):
-    return view(spark, sf_dir, reads_sql(12)).select("ord", packed.iterate(bases.masks("obs")).alias("pos", "mask"))
+    return view(spark, sf_dir, reads_sql(12)).select("ord", packed.iterate(packed.pack_bases("obs"), 4).alias("pos", "mask"))
 
 
 @query("WITH r AS " + duck(RECORDS_1) + " SELECT 0 AS file_idx, row_number() OVER (ORDER BY ord) - 1 AS ord, header, seq, qual, '+' AS raw_plus, 0 AS ends FROM r")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import sampling
 from skein.operators.zipping import zip_records
+from skein.plans.progress import Progress
 from skein.sources.fastq import SPLIT_BYTES, open_store, stage
 from skein.sources.folders import drop_path, shared_folder, written
 from skein.sources.sinks import record_text, write_fastq
@@ -29,6 +30,7 @@ class Subsample:
     seed: int | None = None
     disable_read_name_checking: bool = False
     split_bytes: int = SPLIT_BYTES
+    log_every: int = 5_000_000
 
     def validate(self) -> None:
         # fixed values: what is said of each mistake
@@ -55,7 +57,8 @@ class Subsample:
     def effective_seed(self) -> int:
         given = asdict(self)
         given.pop("seed")
-        given.pop("split_bytes")  # how a run is dealt to tasks, not what it draws
+        for how in ("split_bytes", "log_every"):  # how a run is dealt and told of, not what it draws
+            given.pop(how)
         return sampling.effective_seed(self.seed, **given)
 
     def execute(self, spark: SparkSession) -> tuple[int, int, float]:
@@ -89,7 +92,8 @@ class Subsample:
         log.info("%d inputs read", n)
         fs, root = open_store(self.output)
         targets = [self._target(k) for k in range(n)]
-        write_fastq(rows, os.path.dirname(root) or ".", targets, self.compression_level, in_order=side_by_side, check=lambda: sampling.complain(seen.get, n))
+        with Progress(spark, log, "record sets", self.log_every):
+            write_fastq(rows, os.path.dirname(root) or ".", targets, self.compression_level, in_order=side_by_side, check=lambda: sampling.complain(seen.get, n))
         said = seen.get
         return said["total"], said["kept"], said["kept"] * 100.0 / said["total"] if said["total"] else 0.0
 

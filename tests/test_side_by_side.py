@@ -162,6 +162,16 @@ def test_subsample_of_many_ranges(spark, tmp_path, kinds):
     assert sorted(p.name for p in tmp_path.iterdir() if p.name.startswith(".")) == []
 
 
+def test_progress_is_told(spark, tmp_path, caplog):
+    """A line for each so many records, of one scan of the inputs."""
+    ins = [reads(tmp_path / f"{k}.fq", ["ACGTAC"] * 950) for k in range(2)]
+    with caplog.at_level("INFO"):
+        Subsample(ins, str(tmp_path / "o"), 0.4, seed=3, split_bytes=2000, log_every=300).execute(spark)
+        Demux(ins, ["6B", "+T"], sheet(tmp_path / "s.tsv", ["ACGTAC"]), str(tmp_path / "d"), split_bytes=2000, log_every=400).execute(spark)
+    said = [m for m in caplog.messages if m.endswith("processed")]
+    assert said == ["300 record sets processed", "600 record sets processed", "900 record sets processed", "400 records processed", "800 records processed"]
+
+
 def test_subsample_mistakes_leave_no_file(spark, tmp_path):
     ins = [reads(tmp_path / "a.fq", ["ACGT"] * 300), reads(tmp_path / "b.fq", ["ACGT"] * 299)]
     with pytest.raises(ValueError, match="1 of 2 files had a record at read 300"):
