@@ -8,6 +8,7 @@ import os
 
 from pyspark.sql import SparkSession
 
+from skein.operators.sampling import GENERATORS
 from skein.plans.demux import Demux
 from skein.plans.subsample import Subsample
 
@@ -35,6 +36,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("-c", "--compression-level", type=int, default=5)
     s.add_argument("-s", "--seed", type=int)
     s.add_argument("--disable-read-name-checking", action="store_true")
+    s.add_argument("--generator", default="md5", choices=sorted(GENERATORS))
     return top
 
 

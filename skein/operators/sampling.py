@@ -1,7 +1,9 @@
 """Bernoulli samples that agree across files, and their checks.
 
 Whether a record is kept is a pure function of (seed, ord), so every file is
-filtered on its own scan, in any order and partitioning, without a join.
+filtered on its own scan, in any order and partitioning, without a join.  Two generators
+of draws are on offer: an MD5, which stays in generated code, and a counter-based stream
+cipher (``chacha``), a draw for each position of its stream, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions import chacha
 from skein.functions.headers import base_read_name
 from skein.operators.zipping import zip_records
 
@@ -23,8 +26,11 @@ def draw(seed: int, ord_: str | Column = "ord") -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
-def kept(fraction: float, seed: int, ord_: str | Column = "ord") -> Column:
-    return draw(seed, ord_) < F.lit(float(fraction))
+GENERATORS = {"md5": draw, "chacha8": chacha.draw}
+
+
+def kept(fraction: float, seed: int, ord_: str | Column = "ord", generator: str = "md5") -> Column:
+    return GENERATORS[generator](seed, ord_) < F.lit(float(fraction))
 
 
 def sample(reads: DataFrame, fraction: float, seed: int) -> DataFrame:
@@ -58,7 +64,7 @@ def name_mismatches(inputs: list[DataFrame]) -> DataFrame:
     return each.where(F.col("name") != F.col("first_name"))
 
 
-def findings(inputs: int, fraction: float, seed: int, check_names: bool = True) -> list[Column]:
+def findings(inputs: int, keep: Column, check_names: bool = True) -> list[Column]:
     """Aggregates over read sets (ord, and each input's columns with its number behind):
     total, kept, and the first set with a mistake of either kind (``at``)."""
     there = [F.col(f"seq{k}").isNotNull() for k in range(inputs)]
@@ -68,8 +74,8 @@ def findings(inputs: int, fraction: float, seed: int, check_names: bool = True)
     names = []
     for k in range(1, inputs if check_names else 1):
         name = base_read_name(F.col(f"header{k}"))
-        names.append(F.when(kept(fraction, seed) & (name != first), F.struct("ord", F.lit(k).alias("file_idx"), name.alias("a"), first.alias("b"))))
-    return [F.count("*").alias("total"), F.count_if(kept(fraction, seed)).alias("kept"), F.min(F.coalesce(lacking, *names)).alias("at")]
+        names.append(F.when(keep & (name != first), F.struct("ord", F.lit(k).alias("file_idx"), name.alias("a"), first.alias("b"))))
+    return [F.count("*").alias("total"), F.count_if(keep).alias("kept"), F.min(F.coalesce(lacking, *names)).alias("at")]
 
 
 def complain(said: dict, inputs: int) -> None:

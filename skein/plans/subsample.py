@@ -31,6 +31,8 @@ class Subsample:
     disable_read_name_checking: bool = False
     split_bytes: int = SPLIT_BYTES
     log_every: int = 5_000_000
+    #: Of draws; see ``sampling.GENERATORS``.
+    generator: str = "md5"
 
     def validate(self) -> None:
         # fixed values: what is said of each mistake
@@ -47,6 +49,8 @@ class Subsample:
             errors.append(f"Threads must be at least 2, got {self.threads}.")
         if not 1 <= self.compression_level <= 12:
             errors.append(f"Compression level must be 1-12, got {self.compression_level}.")
+        if self.generator not in sampling.GENERATORS:
+            errors.append(f"Generator must be one of {', '.join(sampling.GENERATORS)}, got {self.generator}.")
         fs, root = open_store(self.output)
         parent = os.path.dirname(root)
         if parent and fs.get_file_info(parent).type.name != "Directory":
@@ -57,7 +61,7 @@ class Subsample:
     def effective_seed(self) -> int:
         given = asdict(self)
         given.pop("seed")
-        for how in ("split_bytes", "log_every"):  # how a run is dealt and told of, not what it draws
+        for how in ("split_bytes", "log_every", "generator"):  # not what a seed is made of
             given.pop(how)
         return sampling.effective_seed(self.seed, **given)
 
@@ -85,8 +89,8 @@ class Subsample:
         if not side_by_side:
             sets = zip_records(stage(spark, self.inputs, f"{folder}/inputs"), list(FIELDS))
         check_names = n > 1 and not self.disable_read_name_checking
-        sets = sets.observe(seen, *sampling.findings(n, self.fraction, seed, check_names))
-        rows = self.records(sets.where(sampling.kept(self.fraction, seed)))
+        sets = sets.withColumn("keep", sampling.kept(self.fraction, seed, generator=self.generator))
+        rows = self.records(sets.observe(seen, *sampling.findings(n, F.col("keep"), check_names)).where("keep"))
         if not side_by_side:
             rows = written(rows, f"{folder}/kept")
         log.info("%d inputs read", n)
