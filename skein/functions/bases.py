@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 #: The letter of mask k is at place k - 1 (A 1, C 2, G 4, T 8).
 LETTERS = "ACMGRSVTWYHKDBN"
-#: The order in which a mask is given back as a letter.
-DECODE_ORDER = "ACGTMRWSYKVHDBN"
 MASKS = {b: k for k, b in enumerate(LETTERS, 1)} | {"U": 8}
 DNA_MASKS = {b: MASKS[b] for b in "ACGT"}
 PER_CHUNK = 15

@@ -24,16 +24,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.bases import PER_CHUNK, encode, mask_digits, mismatches_sql
+from skein.functions.bases import DNA_MASKS, PER_CHUNK, encode, mask_digits, mismatches_sql
 from skein.sources.folders import passing_path, written
 
 WORST = 255
 BLOCK, SPELLED, LEAST_SEGMENT, MOST_CHANGED = 256, 64, 3, 2
-#: A base for each mask: the first letter that it allows.
-_BASE_OF = "".join(next(b for b, bit in zip("ACGT", (1, 2, 4, 8), strict=True) if m & bit) for m in range(1, 16))
+#: The bases that each mask allows, and one of them.
+_ALLOWS = {m: [b for b, bit in DNA_MASKS.items() if m & bit] for m in range(1, 16)}
+_BASE_OF = "".join(_ALLOWS[m][0] for m in range(1, 16))
 _DIGITS = "123456789ABCDEF"
 #: Broadcast limit of an index, in bytes.
 INDEX_BYTES = 24_000_000
@@ -48,7 +49,7 @@ def segments_of(length: int, n: int) -> list[tuple[int, int]]:
 def spelled(digits: Column, size: int) -> Column:
     """ARRAY<STRING> of the base strings that a segment of mask digits allows, or
     array(null) where there are more than SPELLED."""
-    choices = F.create_map(*(x for m in range(1, 16) for x in (F.lit(_DIGITS[m - 1]), F.lit([b for b, bit in zip("ACGT", (1, 2, 4, 8), strict=True) if m & bit]))))
+    choices = F.create_map(*(x for m in range(1, 16) for x in (F.lit(_DIGITS[m - 1]), F.lit(_ALLOWS[m]))))
     letters = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: F.substring(digits, k, F.lit(1)))
     many = F.aggregate(letters, F.lit(1), lambda n, d: F.least(F.lit(SPELLED + 1), n * F.size(F.element_at(choices, d))))
     grown = F.aggregate(letters, F.array(F.lit("")), lambda some, d: F.flatten(F.transform(some, lambda s: F.transform(F.element_at(choices, d), lambda b: F.concat(s, b)))))
@@ -72,33 +73,31 @@ def index_of(samples: DataFrame, length: int, segments: list[tuple[int, int]]) -
         for k, (a, n) in enumerate(segments)
     ]
     each = reduce(DataFrame.unionByName, parts)
-    # by place, not by number: neighbours in a sheet often share a seed
-    each = each.groupBy("segment", "seed", F.expr(f"ordinal div {BLOCK}").alias("block")).agg(F.collect_list(F.struct("ordinal", "masks")).alias("held"))
-    whole = each.groupBy("segment", "seed").agg(F.sort_array(F.flatten(F.collect_list("held"))).alias("held"), F.sum(F.size("held")).alias("n"))
-    return whole.select("segment", "seed", F.explode(F.transform(F.sequence(F.lit(0), F.expr(f"(n - 1) div {BLOCK}")), lambda b: F.slice("held", (b * BLOCK + 1).cast("int"), BLOCK))).alias("held"))
+    # as many parts of a seed as its samples need; a part is a row, a seed that most share many
+    alike = Window.partitionBy("segment", "seed")
+    part = F.col("ordinal") % F.ceil(F.count("*").over(alike) / BLOCK)
+    dealt = each.withColumn("part", part).groupBy("segment", "seed", "part")
+    return dealt.agg(F.collect_list(F.struct("ordinal", "masks")).alias("held")).select("segment", "seed", "held")
 
 
 def _best_two(masks: str, held: str, length: int) -> str:
-    """SQL: a fold over ``held`` for the best two samples, as (distance, number) each."""
-    kind = "struct<m:int,k:int,m2:int,k2:int>"
+    """SQL: the two smallest scores of ``held``, the second null where it has one sample
+    only.  A score is a sample's distance, then its number."""
     mm = mismatches_sql("o", "x.masks", -(-length // PER_CHUNK))
-    step = (
-        f"transform(array(least({WORST}, cast({mm} as int))), m -> if(m < s.m, named_struct('m', m, 'k', x.ordinal, 'm2', s.m, 'k2', s.k), "
-        "if(m < s.m2, named_struct('m', s.m, 'k', s.k, 'm2', m, 'k2', x.ordinal), s)))[0]"
-    )
-    start = f"named_struct('m', {WORST}, 'k', cast(null as int), 'm2', {WORST}, 'k2', cast(null as int))"
-    return f"transform(array({masks}), o -> aggregate({held}, cast({start} as {kind}), (s, x) -> cast({step} as {kind})))[0]"
+    scores = f"transform({held}, x -> shiftleft(cast(least({WORST}, cast({mm} as int)) as bigint), 32) + x.ordinal)"
+    two = "transform(array(array_min(s)), a -> array(a, array_min(filter(s, y -> y > a))))[0]"
+    return f"transform(array({masks}), o -> transform(array({scores}), s -> {two})[0])[0]"
 
 
 def _merged(found: DataFrame) -> DataFrame:
     """The best two, of different numbers, of what blocks and segments found (obs, best):
     of equally near samples the first."""
-    pair = lambda m, k: F.struct(F.col(f"best.{m}").alias("m"), F.col(f"best.{k}").alias("k"))
-    some = F.when(F.col("best.k2").isNull(), F.array(pair("m", "k"))).otherwise(F.array(pair("m", "k"), pair("m2", "k2")))
-    near = F.array_sort(F.array_distinct(F.flatten(F.collect_list(some))))
-    two = found.where("best.k is not null").groupBy("obs").agg(near.alias("near"))
-    second = F.coalesce(F.get("near", F.lit(1))["m"], F.lit(WORST))
-    return two.select("obs", F.col("near")[0]["k"].alias("best_ordinal"), F.col("near")[0]["m"].alias("best_mismatches"), second.alias("next_best_mismatches"))
+    near = F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_list("best")))))
+    two = found.groupBy("obs").agg(near.alias("near"))
+    first, second = F.col("near")[0], F.get("near", F.lit(1))
+    far = F.coalesce(F.shiftright(second, 32).cast("int"), F.lit(WORST))
+    number = first.bitwiseAND(F.lit((1 << 32) - 1).cast("bigint")).cast("int")
+    return two.select("obs", number.alias("best_ordinal"), F.shiftright(first, 32).cast("int").alias("best_mismatches"), far.alias("next_best_mismatches"))
 
 
 class Seeds:
