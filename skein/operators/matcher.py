@@ -94,9 +94,23 @@ def match_in_large(observed: DataFrame, samples: DataFrame, length: int, max_mis
     return seeds.nearest_two(fit, samples, length, max_mismatches, min_delta)
 
 
+def overlength(obs: Column, length: int) -> Column:
+    """What is said of a barcode that is longer than the sheet's; null of others."""
+    said = F.concat(F.lit("Read barcode ("), obs, F.lit(") length ("), F.length(obs).cast("string"), F.lit(f") differs from expected barcode length ({length})"))
+    return F.when(F.length(obs) > length, said)
+
+
 def _fitting(obs: Column, length: int) -> Column:
-    too_long = F.raise_error(F.concat(F.lit("Read barcode ("), obs, F.lit(") length ("), F.length(obs).cast("string"), F.lit(f") differs from expected barcode length ({length})")))
-    return F.when(F.length(obs) > length, too_long.cast("string")).otherwise(obs)
+    said = overlength(obs, length)
+    return F.when(said.isNotNull(), F.raise_error(said).cast("string")).otherwise(obs)
+
+
+def mistakes(observed: DataFrame, samples: DataFrame, length: int, max_mismatches: int = 1) -> DataFrame:
+    """obs, said: the barcodes that would fail a run, and why; others are passed over or
+    compared."""
+    met = observed.crossJoin(F.broadcast(samples.agg(F.max(n_nocalls("barcode")).alias("__max_ns"))))  # one row
+    obs = F.col("obs")
+    return met.where(tried(obs, length, max_mismatches, F.col("__max_ns"))).select("obs", overlength(obs, length).alias("said")).where("said is not null")
 
 
 def memo_of(reads: DataFrame, samples: DataFrame, length: int, obs: str = "obs", max_mismatches: int = 1, min_delta: int = 2, path: str | None = None) -> DataFrame:

@@ -1,13 +1,15 @@
 """Sample sheets: reading, constraints, and the sheet as a small dimension.
 
-A sheet names the samples of one run; it is read and checked on the driver.
+A sheet names the samples of one run; it is read and checked on the driver.  ``mistakes``
+tells all of a sheet's mistakes, row by row, as a query.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from skein.functions.bases import LETTERS
 
@@ -17,6 +19,12 @@ SCHEMA = "sample_id string, barcode string, ordinal int"
 _VALID = frozenset(LETTERS + "Un.")
 
 
+NO_NAME, NO_BARCODE = "Sample name cannot be empty", "Sample barcode cannot be empty"
+BAD_BASES = "All sample barcode bases must be one of A, C, G, T, U, R, Y, S, W, K, M, D, V, H, B, N"
+SAME_NAME, SAME_BARCODE = "Each sample name must be unique, duplicate identified", "Each sample barcode must be unique, duplicate identified"
+OTHER_LENGTH = "All barcodes must have the same length"
+
+
 @dataclass(frozen=True)
 class Sample:
     sample_id: str
@@ -25,11 +33,11 @@ class Sample:
 
     def __post_init__(self) -> None:
         if not self.sample_id:
-            raise ValueError("Sample name cannot be empty")
+            raise ValueError(NO_NAME)
         if not self.barcode:
-            raise ValueError("Sample barcode cannot be empty")
+            raise ValueError(NO_BARCODE)
         if not set(self.barcode) <= _VALID:
-            raise ValueError("All sample barcode bases must be one of A, C, G, T, U, R, Y, S, W, K, M, D, V, H, B, N")
+            raise ValueError(BAD_BASES)
 
     def __str__(self) -> str:
         return f"Sample({self.ordinal:04d}) - {{ name: {self.sample_id}\tbarcode: {self.barcode} }}"
@@ -49,11 +57,11 @@ class SampleGroup:
         if not given:
             raise ValueError("Must provide one or more sample")
         if len({s.sample_id for s in given}) < len(given):
-            raise ValueError("Each sample name must be unique, duplicate identified")
+            raise ValueError(SAME_NAME)
         if len({s.barcode for s in given}) < len(given):
-            raise ValueError("Each sample barcode must be unique, duplicate identified")
+            raise ValueError(SAME_BARCODE)
         if len({len(s.barcode) for s in given}) > 1:
-            raise ValueError("All barcodes must have the same length")
+            raise ValueError(OTHER_LENGTH)
         return cls(tuple(Sample(s.sample_id, s.barcode, k) for k, s in enumerate(given)))
 
     @classmethod
@@ -89,3 +97,19 @@ class SampleGroup:
 
     def __str__(self) -> str:
         return "SampleGroup {\n" + "".join(f"    {s}\n" for s in self.samples) + "}\n"
+
+
+def mistakes(sheet: DataFrame) -> DataFrame:
+    """ordinal, said: the first rule that each row of ``sheet`` (ordinal, sample_id,
+    barcode) breaks.  Of equal names or barcodes all but the first break one; the first
+    row's barcode sets the length.  Null is empty."""
+    name, barcode = F.coalesce("sample_id", F.lit("")), F.coalesce("barcode", F.lit(""))
+    made = sheet.select("ordinal", name.alias("name"), barcode.alias("barcode"))
+    first = made.agg(F.length(F.min_by("barcode", "ordinal")).alias("length"))  # one row
+    again = lambda c: F.row_number().over(Window.partitionBy(c).orderBy("ordinal")) > 1
+    rules = [
+        (F.col("name") == "", NO_NAME), (F.col("barcode") == "", NO_BARCODE), (~F.col("barcode").rlike(f"^[{''.join(sorted(_VALID))}]*$"), BAD_BASES),
+        (again("name"), SAME_NAME), (again("barcode"), SAME_BARCODE), (F.length("barcode") != F.col("length"), OTHER_LENGTH),
+    ]
+    said = F.coalesce(*(F.when(broken, F.lit(text)) for broken, text in rules))
+    return made.crossJoin(F.broadcast(first)).select("ordinal", said.alias("said")).where("said is not null")

@@ -26,29 +26,44 @@ def cut(seq: Column, qual: Column, structure: ReadStructure, first_idx: dict[str
     return F.array(*parts)
 
 
+def _name(header: Column) -> Column:
+    return F.split_part(header, F.lit(" "), F.lit(1))
+
+
+def shortage(header: Column, seq: Column, structure: ReadStructure) -> Column:
+    """What is said of a read that is too short for its structure; null of others."""
+    need = structure.min_length
+    said = F.format_string(f"Read %s had too few bases to demux %d vs. {need} needed in read structure {str(structure).replace('%', '%%')}.", _name(header), F.length(seq))
+    return F.when(F.length(seq) < need, said)
+
+
+def disagreement(header: Column, seq: Column, qual: Column) -> Column:
+    """What is said of a read whose bases and qualities differ in number: its segments
+    would come out short in silence.  The FASTQ source lets no such read by."""
+    n = F.coalesce(F.length(qual), F.lit(0))
+    return F.when(n != F.length(seq), F.format_string("Read %s has %d bases and %d qualities.", _name(header), F.length(seq), n))
+
+
+def _raised(said: Column) -> Column:
+    return F.when(said.isNotNull(), F.raise_error(said).cast("string"))
+
+
 def too_few(header: Column, seq: Column, structure: ReadStructure, skip: bool) -> Column:
     """The skip reason of a read, null to keep it; fails the query where short
     reads aren't to be skipped."""
-    need = structure.min_length
-    if skip:
-        return F.when(F.length(seq) < need, F.lit(TOO_FEW_BASES))
-    said = F.format_string(
-        f"Read %s had too few bases to demux %d vs. {need} needed in read structure {str(structure).replace('%', '%%')}.",
-        F.split_part(header, F.lit(" "), F.lit(1)), F.length(seq),
-    )
-    return F.when(F.length(seq) < need, F.raise_error(said).cast("string"))
+    return F.when(F.length(seq) < structure.min_length, F.lit(TOO_FEW_BASES)) if skip else _raised(shortage(header, seq, structure))
 
 
-def short_qualities(header: Column, seq: Column, qual: Column) -> Column:
-    """Null, and fails the query where a read's bases and qualities differ in number: its
-    segments would come out short in silence.  The FASTQ source lets no such read by."""
-    said = F.format_string("Read %s has %d bases and %d qualities.", F.split_part(header, F.lit(" "), F.lit(1)), F.length(seq), F.coalesce(F.length(qual), F.lit(0)))
-    return F.when(F.coalesce(F.length(qual), F.lit(0)) != F.length(seq), F.raise_error(said).cast("string"))
+def mistakes(reads: DataFrame, structure: ReadStructure) -> DataFrame:
+    """ord, said: the reads that would fail a run which skips none, and why."""
+    header, seq, qual = F.col("header"), F.col("seq"), F.col("qual")
+    said = F.coalesce(shortage(header, seq, structure), disagreement(header, seq, qual))
+    return reads.select("ord", said.alias("said")).where("said is not null")
 
 
 def skip_reason(header: Column, seq: Column, qual: Column, structure: ReadStructure, skip: bool = False) -> Column:
     """Why a read is skipped, null to keep it; null as well where there is no read."""
-    return F.coalesce(too_few(header, seq, structure, skip), F.when(seq.isNotNull(), short_qualities(header, seq, qual)))
+    return F.coalesce(too_few(header, seq, structure, skip), F.when(seq.isNotNull(), _raised(disagreement(header, seq, qual))))
 
 
 def kept_segments(reason: Column, seq: Column, qual: Column, structure: ReadStructure, first_idx: dict[str, int] | None = None) -> Column:

@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import bases, headers, packed
-from skein.operators import matcher, metrics, sampling, segments, zipping
+from skein.operators import matcher, metrics, samples, sampling, segments, zipping
 from skein.operators.samples import Sample, SampleGroup
 from skein.plans.demux import METRICS_FILE, Demux, read_sets, routed, target_files
 from skein.plans.structure import ReadStructure
 from skein.plans.subsample import Subsample
 from skein.sources.fastq import open_store, read_fastq
-from skein.sources.folders import passing_path
+from skein.sources.folders import passing_path, written
 from skein.sources.sinks import record_text, write_fastq
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -604,6 +604,49 @@ def sample_duplicates(spark, sf_dir):
     return spark.createDataFrame(out, "length bigint, said string")
 
 
+#: A sheet of a sample for each order, with mistakes of every kind.
+_POOR_SHEET = f"""(SELECT CAST(o_orderkey AS INT) AS ordinal, CASE WHEN o_orderkey % 31 = 0 THEN '' WHEN o_orderkey % 29 = 0 THEN 's1' ELSE 's' || CAST(o_orderkey AS STRING) END AS sample_id,
+      CASE WHEN o_orderkey % 37 = 0 THEN NULL WHEN o_orderkey % 23 = 0 THEN 'ACxT' || raw WHEN o_orderkey % 19 = 0 THEN raw || 'A' WHEN o_orderkey % 17 = 0 THEN lower(raw)
+           WHEN o_orderkey % 13 = 0 THEN 'NRYK' || substr(raw, 5) ELSE raw END AS barcode
+      FROM (SELECT o_orderkey, substr({bases_sql('o_custkey % 4000 + o_orderkey')}, 1, 11) AS raw FROM {{orders}}) AS o)"""
+
+
+@query("WITH s AS MATERIALIZED (SELECT ordinal, coalesce(sample_id, '') AS n, coalesce(barcode, '') AS b FROM " + duck(_POOR_SHEET) + """ AS v
+), named AS (SELECT n, min(ordinal) AS o FROM s GROUP BY n), coded AS (SELECT b, min(ordinal) AS o FROM s GROUP BY b), f AS (SELECT len(b) AS size FROM s ORDER BY ordinal LIMIT 1)
+, told AS (SELECT ordinal, CASE WHEN n = '' THEN 'Sample name cannot be empty' WHEN b = '' THEN 'Sample barcode cannot be empty'
+  WHEN len(list_filter(string_split(b, ''), lambda c: instr('ACGTUMRWSYKVHDBNn.', c) = 0)) > 0 THEN 'All sample barcode bases must be one of A, C, G, T, U, R, Y, S, W, K, M, D, V, H, B, N'
+  WHEN ordinal > named.o THEN 'Each sample name must be unique, duplicate identified' WHEN ordinal > coded.o THEN 'Each sample barcode must be unique, duplicate identified'
+  WHEN len(b) <> size THEN 'All barcodes must have the same length' END AS said FROM s JOIN named USING (n) JOIN coded USING (b), f)
+SELECT ordinal, said FROM told WHERE said IS NOT NULL""")
+def sheet_mistakes(spark, sf_dir):
+    """Every row of a large sheet that breaks a rule, and the rule."""
+    return samples.mistakes(view(spark, sf_dir, _POOR_SHEET))
+
+
+#: Reads of which some are short and some have qualities that are.
+_POOR_READS = f"(SELECT ord, header, seq, CASE WHEN ord % 53 = 0 THEN substr(qual, 1, 5) WHEN ord % 59 = 0 THEN NULL ELSE qual END AS qual FROM {RECORDS_1} AS r)"
+
+
+@query("WITH r AS " + duck(_POOR_READS) + """, told AS (SELECT ord, CASE WHEN len(seq) < 21 THEN 'Read ' || string_split(header, ' ')[1] || ' had too few bases to demux ' || len(seq) || ' vs. 21 needed in read structure 8B12M+T.'
+  WHEN coalesce(len(qual), 0) <> len(seq) THEN 'Read ' || string_split(header, ' ')[1] || ' has ' || len(seq) || ' bases and ' || coalesce(len(qual), 0) || ' qualities.' END AS said FROM r)
+SELECT ord, said FROM told WHERE said IS NOT NULL""")
+def extraction_mistakes(spark, sf_dir):
+    """Every read that would fail a run, and what the run would say."""
+    return segments.mistakes(view(spark, sf_dir, _POOR_READS), ReadStructure.parse("8B12M+T"))
+
+
+_LONG = "(SELECT ord, CASE WHEN ord % 7 = 0 THEN obs || 'AC' WHEN ord % 7 = 1 THEN 'NNN' || obs WHEN ord % 7 = 2 THEN substr(obs, 1, 9) ELSE obs END AS obs FROM " + reads_sql(12) + " AS r)"
+
+
+@query("WITH reads AS " + duck(_LONG) + ", samples AS " + duck(samples_sql(12)) + """, most AS (SELECT 1 + max(len(regexp_extract_all(barcode, '[Nn.]'))) AS n FROM samples)
+SELECT DISTINCT obs, 'Read barcode (' || obs || ') length (' || len(obs) || ') differs from expected barcode length (12)' AS said FROM reads, most
+WHERE len(obs) > 12 AND len(regexp_extract_all(obs, '[Nn.]')) <= n""")
+def barcode_mistakes(spark, sf_dir):
+    """Every barcode that is longer than the sheet's and not passed over before."""
+    distinct = written(view(spark, sf_dir, _LONG).select("obs").distinct(), passing_path(spark, "barcodes"))
+    return matcher.mistakes(distinct, view(spark, sf_dir, samples_sql(12)), 12)
+
+
 # ---------------------------------------------------------------- packed arrays
 @query("WITH r AS " + duck(reads_sql(12)) + f", e AS (SELECT ord, [CAST({mask_sql('c')} AS INT) FOR c IN string_split(obs, '')] AS a FROM r)" + """
 SELECT ord, list_concat(a, [3]) AS pushed, list_concat(a, [5, 5, 5]) AS many, list_concat(list_concat(a[1:2], [7]), a[4:]) AS was_set, a[1] AS got, CAST(NULL AS INT) AS beyond,

@@ -39,7 +39,7 @@ def blocks(text):
 
 
 # ------------------------------------------------------------------------ members
-@pytest.mark.parametrize("split_bytes", [150, 700, 4000])
+@pytest.mark.parametrize("split_bytes", [400, 4000])
 def test_members_are_split(spark, tmp_path, split_bytes):
     rng = random.Random(split_bytes)
     text = fastq_text(rng, 300)
