@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.functions import bases, headers, packed
+from skein.functions import bases, blocks, headers
 from skein.operators import matcher, metrics, samples, sampling, segments, zipping
 from skein.operators.samples import Sample, SampleGroup
 from skein.plans.demux import METRICS_FILE, Demux, read_sets, routed, target_files
@@ -655,12 +655,12 @@ SELECT ord, list_concat(a, [3]) AS pushed, list_concat(a, [5, 5, 5]) AS many, li
 FROM e""")
 def bitenc_ops(spark, sf_dir):
     a = F.col("a")
-    enc = view(spark, sf_dir, reads_sql(12)).select("ord", packed.pack_bases("obs").alias("a"))
-    shown = lambda x: packed.symbols(x, 4)
+    enc = view(spark, sf_dir, reads_sql(12)).select("ord", blocks.pack_bases("obs").alias("a"))
+    shown = lambda x: blocks.symbols(x, 4)
     return enc.select(
-        "ord", shown(packed.push(a, 3, 4)).alias("pushed"), shown(packed.push_values(a, 3, 5, 4)).alias("many"), shown(packed.set_at(a, 2, 7, 4)).alias("was_set"),
-        packed.get(a, 0, 4).alias("got"), packed.get(a, 99, 4).alias("beyond"), packed.nr_symbols(a).alias("n"), packed.nr_blocks(a).alias("n_blocks"),
-        packed.is_empty(a).alias("is_empty"), a["blocks"][0].alias("first_block"), packed.get_by_address(a["blocks"], packed.address(9, 4), 4).alias("by_address"),
+        "ord", shown(blocks.push(a, 3, 4)).alias("pushed"), shown(blocks.push_values(a, 3, 5, 4)).alias("many"), shown(blocks.set_at(a, 2, 7, 4)).alias("was_set"),
+        blocks.get(a, 0, 4).alias("got"), blocks.get(a, 99, 4).alias("beyond"), blocks.nr_symbols(a).alias("n"), blocks.nr_blocks(a).alias("n_blocks"),
+        blocks.is_empty(a).alias("is_empty"), a["blocks"][0].alias("first_block"), blocks.get_by_address(a["blocks"], blocks.address(9, 4), 4).alias("by_address"),
     )
 
 
@@ -672,7 +672,7 @@ _BLOCKS_SQL = "WITH r AS " + duck(reads_sql(9)) + f", s AS (SELECT ord, obs, [CA
 @query(_BLOCKS_SQL + " SELECT a.blocks AS blocks, a.n AS n, count(*) AS n_reads, count(DISTINCT obs) AS n_barcodes FROM p GROUP BY ALL")
 def bitenc_groups(spark, sf_dir):
     """Reads grouped by their packed barcode: equal and hashed as blocks."""
-    enc = view(spark, sf_dir, reads_sql(9)).select("obs", packed.pack_bases("obs").alias("a"))
+    enc = view(spark, sf_dir, reads_sql(9)).select("obs", blocks.pack_bases("obs").alias("a"))
     found = enc.groupBy("a").agg(F.count("*").alias("n_reads"), F.countDistinct("obs").alias("n_barcodes"))
     return found.select("a.blocks", "a.n", "n_reads", "n_barcodes")
 
@@ -680,7 +680,7 @@ def bitenc_groups(spark, sf_dir):
 @query(_BLOCKS_SQL + ", o AS (SELECT ord % 100 AS grp, a.blocks AS b FROM p) SELECT grp, min(b) AS least, max(b) AS most, count(DISTINCT b) AS n_distinct FROM o GROUP BY grp")
 def bitenc_order(spark, sf_dir):
     """The least and the largest packed barcode of groups of reads, and how many differ."""
-    enc = view(spark, sf_dir, reads_sql(9)).select((F.col("ord") % 100).alias("grp"), packed.pack_bases("obs").alias("a"))
+    enc = view(spark, sf_dir, reads_sql(9)).select((F.col("ord") % 100).alias("grp"), blocks.pack_bases("obs").alias("a"))
     found = enc.groupBy("grp").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.countDistinct("a").alias("n_distinct"))
     return found.select("grp", F.col("lo.blocks").alias("least"), F.col("hi.blocks").alias("most"), "n_distinct")
 
@@ -688,18 +688,18 @@ def bitenc_order(spark, sf_dir):
 @query("WITH r AS " + duck(reads_sql(12)) + " SELECT ord, 0::INT AS n_new, ord % 7 AS n_filled, CAST(ceil((ord % 7) / 4) AS INT) AS n_blocks, true AS cleared FROM r")
 def bitenc_new(spark, sf_dir):
     """Arrays from the empty one on, and back to it; seven bits a symbol."""
-    filled = packed.push_values(packed.new(7), F.col("ord").cast("int") % 7, 99, 7)
+    filled = blocks.push_values(blocks.new(7), F.col("ord").cast("int") % 7, 99, 7)
     df = view(spark, sf_dir, reads_sql(12)).select("ord", filled.alias("a"))
-    emptied = F.when(F.lit(True), packed.clear(7)).otherwise(F.col("a"))
+    emptied = F.when(F.lit(True), blocks.clear(7)).otherwise(F.col("a"))
     return df.select(
-        "ord", packed.nr_symbols(packed.new(7)).alias("n_new"), packed.nr_symbols(F.col("a")).cast("bigint").alias("n_filled"),
-        packed.nr_blocks(F.col("a")).alias("n_blocks"), packed.is_empty(emptied).alias("cleared"),
+        "ord", blocks.nr_symbols(blocks.new(7)).alias("n_new"), blocks.nr_symbols(F.col("a")).cast("bigint").alias("n_filled"),
+        blocks.nr_blocks(F.col("a")).alias("n_blocks"), blocks.is_empty(emptied).alias("cleared"),
     )
 
 
 @query("WITH r AS " + duck(reads_sql(12)) + f" SELECT ord, unnest(range(0, len(obs)))::INT AS pos, unnest([CAST({mask_sql('c')} AS INT) FOR c IN string_split(obs, '')]) AS mask FROM r")
 def bitenc_iter(spark, sf_dir):
-    return view(spark, sf_dir, reads_sql(12)).select("ord", packed.iterate(packed.pack_bases("obs"), 4).alias("pos", "mask"))
+    return view(spark, sf_dir, reads_sql(12)).select("ord", blocks.iterate(blocks.pack_bases("obs"), 4).alias("pos", "mask"))
 
 
 @query("WITH r AS " + duck(RECORDS_1) + " SELECT 0 AS file_idx, row_number() OVER (ORDER BY ord) - 1 AS ord, header, seq, qual, '+' AS raw_plus, 0 AS ends FROM r")

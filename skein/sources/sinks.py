@@ -248,7 +248,7 @@ def finish(spark: SparkSession, folder: str, run: str, targets: list[str]) -> di
             fs.move(f"{root}/{its[0][0]}", f"{root}/{target}")
         elif all(there) and (local or not concatenated(spark, folder, [p[0] for p in its])):
             todo[target] = its
-        elif there[0] and len(its) > 1 and (all(there) or not any(there[1:])):  # the first part holds all
+        elif there[0] and (all(there) or not any(there[1:])):  # concatenated: the first part holds all
             fs.move(f"{root}/{its[0][0]}", f"{root}/{target}")
     if todo:
         if local:
@@ -259,7 +259,7 @@ def finish(spark: SparkSession, folder: str, run: str, targets: list[str]) -> di
         fs.move(f"{root}/.{target}.whole", f"{root}/{target}")
     for target, its in parts.items():
         names = [f"{root}/{p[0]}" for p in its]
-        for name, there in reversed(list(zip(names, _there(fs, names), strict=True))):  # the first goes last
+        for name, there in zip(names, _there(fs, names), strict=True):  # without the first one a target stands already
             if there:
                 fs.delete_file(name)
     for target in targets:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skein.functions import packed
+from skein.functions import blocks
 
 
 def blocks_of(values, width):
@@ -22,11 +22,11 @@ def lists(width, n=40):
 def test_packed_as_lists(spark, width):
     rng = random.Random(width)
     rows = [(k, v, rng.randint(0, 80), rng.randrange(256), rng.randint(0, 25)) for k, v in enumerate(lists(width))]
-    df = spark.createDataFrame(rows, "k int, v array<int>, i int, x int, more int").withColumn("a", packed.pack("v", width))
+    df = spark.createDataFrame(rows, "k int, v array<int>, i int, x int, more int").withColumn("a", blocks.pack("v", width))
     a, i, x, more = F.col("a"), F.col("i"), F.col("x"), F.col("more")
     got = df.select(
-        "k", "a", packed.symbols(a, width).alias("back"), packed.push(a, x, width).alias("pushed"), packed.push_values(a, more, x, width).alias("many"),
-        packed.set_at(a, i, x, width).alias("was_set"), packed.get(a, i, width).alias("got"), packed.nr_blocks(a).alias("n_blocks"), packed.is_empty(a).alias("empty"),
+        "k", "a", blocks.symbols(a, width).alias("back"), blocks.push(a, x, width).alias("pushed"), blocks.push_values(a, more, x, width).alias("many"),
+        blocks.set_at(a, i, x, width).alias("was_set"), blocks.get(a, i, width).alias("got"), blocks.nr_blocks(a).alias("n_blocks"), blocks.is_empty(a).alias("empty"),
     ).collect()
     for r in got:
         _, v, at, value, times = rows[r["k"]]
@@ -40,7 +40,7 @@ def test_packed_as_lists(spark, width):
 def test_order_equality_and_groups(spark):
     """By blocks, then length: as equal, ordered and grouped as (blocks, n)."""
     values = lists(4) + lists(4)[:5] + [[1], [1, 0], [1, 0, 0]]
-    df = spark.createDataFrame([(v,) for v in values], "v array<int>").select(packed.pack("v", 4).alias("a"))
+    df = spark.createDataFrame([(v,) for v in values], "v array<int>").select(blocks.pack("v", 4).alias("a"))
     keys = [(tuple(blocks_of(v, 4)), len(v)) for v in values]
     assert [(tuple(r["a"]["blocks"]), r["a"]["n"]) for r in df.orderBy("a").collect()] == sorted(keys)
     assert {(tuple(r["a"]["blocks"]), r["a"]["n"]): r["count"] for r in df.groupBy("a").count().collect()} == {k: keys.count(k) for k in keys}
@@ -52,21 +52,21 @@ def test_hamming(spark, width):
     rng = random.Random(width)
     pairs = [(v, [rng.randrange(1 << width) for _ in v]) for v in lists(width)]
     df = spark.createDataFrame(pairs, "v array<int>, w array<int>")
-    got = df.select(packed.hamming(packed.pack("v", width), packed.pack("w", width), width), packed.hamming(packed.pack("v", width), packed.pack("w", width), width, 3)).collect()
+    got = df.select(blocks.hamming(blocks.pack("v", width), blocks.pack("w", width), width), blocks.hamming(blocks.pack("v", width), blocks.pack("w", width), width, 3)).collect()
     want = [sum((x & ~y) != 0 for x, y in zip(v, w, strict=True)) for v, w in pairs]
     assert [tuple(r) for r in got] == [(n, min(3, n)) for n in want]
     with pytest.raises(Exception, match="same length"):
-        spark.createDataFrame([([1], [1, 0])], "v array<int>, w array<int>").select(packed.hamming(packed.pack("v", width), packed.pack("w", width), width)).collect()
+        spark.createDataFrame([([1], [1, 0])], "v array<int>, w array<int>").select(blocks.hamming(blocks.pack("v", width), blocks.pack("w", width), width)).collect()
 
 
 def test_bases_addresses_and_widths(spark):
     df = spark.createDataFrame([("ACGTNACGTR",), ("",), ("acgtu.",)], "b string")
-    for r in df.select("b", packed.symbols(packed.pack_bases("b"), 4).alias("s"), packed.pack_bases("b").alias("a")).collect():
+    for r in df.select("b", blocks.symbols(blocks.pack_bases("b"), 4).alias("s"), blocks.pack_bases("b").alias("a")).collect():
         want = [{"A": 1, "C": 2, "G": 4, "T": 8, "U": 8, "N": 15, ".": 15, "R": 5}[c.upper()] for c in r["b"]]
         assert r["s"] == want and r["a"]["blocks"] == blocks_of(want, 4)
-    a = packed.pack(F.array(*map(F.lit, range(10))), 7)
-    r = spark.range(1).select(packed.address(9, 7).alias("at"), packed.set_by_address(a["blocks"], packed.address(9, 7), 100, 7).alias("b"), packed.get_by_address(a["blocks"], packed.address(5, 7), 7).alias("g")).first()
+    a = blocks.pack(F.array(*map(F.lit, range(10))), 7)
+    r = spark.range(1).select(blocks.address(9, 7).alias("at"), blocks.set_by_address(a["blocks"], blocks.address(9, 7), 100, 7).alias("b"), blocks.get_by_address(a["blocks"], blocks.address(5, 7), 7).alias("g")).first()
     assert (r["at"]["block"], r["at"]["bit"], r["g"]) == (2, 7, 5) and r["b"] == blocks_of([*range(9), 100], 7)
     for width in (0, 9):
         with pytest.raises(ValueError, match="up to 8"):
-            packed.new(width)
+            blocks.new(width)

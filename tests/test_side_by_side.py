@@ -290,7 +290,8 @@ def test_an_interrupted_commit_is_finished(spark, tmp_path, monkeypatch, when):
     assert [p.name for p in tmp_path.iterdir()] == ["t.fq.gz"]
 
 
-def test_finish_after_the_rename(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("gone", [1, 4, 8])
+def test_finish_after_the_rename(spark, tmp_path, monkeypatch, gone):
     """Parts are partly deleted already: the file stands and is left alone."""
     df, text = records(spark, 30)
     real = sinks._there
@@ -299,7 +300,8 @@ def test_finish_after_the_rename(spark, tmp_path, monkeypatch):
     def interrupted(fs, names):
         calls.append(names)
         if len(calls) == 2:
-            fs.delete_file(names[-1])
+            for n in names[:gone]:
+                fs.delete_file(n)
             raise KeyboardInterrupt
         return real(fs, names)
 
