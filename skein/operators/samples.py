@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions.bases import LETTERS
+from skein.sources.folders import passing_path, written
 
 #: The sheet's header; below, what is said of each mistake.
 HEADER = ("sample_id", "barcode")
@@ -99,6 +100,18 @@ class SampleGroup:
         return "SampleGroup {\n" + "".join(f"    {s}\n" for s in self.samples) + "}\n"
 
 
+def numbered(sheet: DataFrame, key: str) -> DataFrame:
+    """A large ``sheet`` with its rows' places in the order of ``key`` (without ties) as
+    ``ordinal``: rows are numbered in ranges, which are stored, and ranges by their counts."""
+    spark = sheet.sparkSession
+    ranged = sheet.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1).cast("bigint"))  # fixed value: the bits of a partition's rows
+    placed = written(ranged.withColumn("__range", F.spark_partition_id()).withColumn("__at", at), passing_path(spark, "numbered"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = placed.groupBy("__range").agg(F.count("*").alias("n")).select("__range", before.alias("__before"))  # a row for each range
+    return placed.join(F.broadcast(firsts), "__range").withColumn("ordinal", (F.col("__before") + F.col("__at")).cast("int")).drop("__range", "__at", "__before")
+
+
 def mistakes(sheet: DataFrame) -> DataFrame:
     """ordinal, said: the first rule that each row of ``sheet`` (ordinal, sample_id,
     barcode) breaks.  Of equal names or barcodes all but the first break one; the first

@@ -1,28 +1,33 @@
 """Nearest barcodes in large sheets, by a pigeonhole index of seeds.
 
-Barcodes are cut in ``s`` segments.  One within s * (e + 1) - 1 mismatches of a sample has
-at most e of them in one segment at least.  The sheet is indexed by (segment, bases),
-ambiguity codes spelled out to the bases they stand for; an observed barcode looks up each
-of its segments, and all strings with up to e bases of it changed, and is compared with
-those samples alone.  Index rows hold ``BLOCK`` samples at most, as an array that a fold
-runs over: no pair becomes a row, and a segment that most of the sheet shares is many rows.
-A sample may be met more than once; the best two are told apart by their numbers.
-
-* A segment that spells out to more than ``SPELLED`` strings stands under every string
+Barcodes are cut in ``s`` segments, and every ``k`` of them make a seed.  Of a barcode and a
+sample that differ at r places, the ``k`` segments with fewest differences have at most e of
+them, as ``radius_of`` says.  The sheet is indexed by (seed's number, bases), ambiguity
+codes spelled out to the bases they stand for; an observed barcode looks up each of its
+seeds, and all strings with up to e bases of it changed, and is compared with those samples
+alone.  Pairs live inside the join: those farther off than the radius go where they are met,
+and the best two of a barcode are kept.  A sample may be met more than once; the best two
+are told apart by their numbers.
+
+* A seed that spells out to more than ``SPELLED`` strings stands under every string
   (null) and meets all barcodes.
 * An observed code is looked up by one of its bases: a sample that allows the code allows
   each of its bases.  A letter that is no base agrees with everything, so a barcode with
   one meets the whole sheet, in blocks.
 
-Whether a barcode is accepted is told with no base changed.  The second best sample may lie
-far off, and only accepted barcodes need it: those whose second isn't found yet look again
-with one base changed, then two, in the same index, and the last of them meet the whole
-sheet.
+A small radius tells which barcodes can be accepted at all.  The second best sample may lie
+far off, and only those barcodes need it: where it isn't found yet they look again, to ever
+larger radii.  Which seeds serve a radius with least work depends on the sizes of the sheet
+and of what is left (``cheapest``): larger sheets have longer seeds, so that a seed is
+shared by few samples however large the sheet is.  Where no seeds are cheaper the last
+barcodes meet the whole sheet.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,7 +36,10 @@ from skein.functions.bases import DNA_MASKS, PER_CHUNK, encode, mask_digits, mis
 from skein.sources.folders import passing_path, written
 
 WORST = 255
-BLOCK, SPELLED, LEAST_SEGMENT, MOST_CHANGED = 256, 64, 3, 2
+BLOCK, SPELLED, LEAST_SEED, MOST_SEGMENTS, MOST_CHANGED = 256, 64, 3, 6, 2
+#: Measured, in microseconds: an index row, a looked up string, a pair inside the join, and
+#: a pair in a block.
+BUILD, LOOK, MEET, FOLD = 5.0, 2.0, 0.05, 2.0
 #: The bases that each mask allows, and one of them.
 _ALLOWS = {m: [b for b, bit in DNA_MASKS.items() if m & bit] for m in range(1, 16)}
 _BASE_OF = "".join(_ALLOWS[m][0] for m in range(1, 16))
@@ -46,6 +54,39 @@ def segments_of(length: int, n: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(at, at[1:], strict=False)]
 
 
+def seeds_of(length: int, n: int, k: int) -> list[list[tuple[int, int]]]:
+    """The seeds: every ``k`` of ``n`` segments."""
+    return [list(some) for some in combinations(segments_of(length, n), k)]
+
+
+def radius_of(n: int, k: int, errors: int) -> int:
+    """Most mismatches r of which, wherever they are, some ``k`` of ``n`` segments have at most
+    ``errors``.  Spread evenly, r // n or one more to a segment, they leave most."""
+    r = 0
+    while r + 1 - ((n - k) * ((r + 1) // n) + min(n - k, (r + 1) % n)) <= errors:
+        r += 1
+    return r
+
+
+def cheapest(n_observed: int, n_samples: int, length: int, radius: int, built: set[tuple[int, int]]) -> tuple[int, int, int] | None:
+    """Segments, segments of a seed and changed bases that find all within ``radius`` with
+    least work; None where meeting the whole sheet is less."""
+    found, least = None, n_observed * n_samples * FOLD
+    for n in range(2, min(length, MOST_SEGMENTS) + 1):
+        for k in range(1, n):
+            sizes = [sum(size for _, size in seed) for seed in seeds_of(length, n, k)]
+            for errors in range(MOST_CHANGED + 1):
+                if min(sizes) < LEAST_SEED or radius_of(n, k, errors) < radius:
+                    continue
+                work = 0.0 if (n, k) in built else len(sizes) * n_samples * BUILD
+                for size in sizes:
+                    strings = sum(comb(size, j) * 3**j for j in range(errors + 1))
+                    work += n_observed * strings * (LOOK + MEET * n_samples / 4**size)
+                if work < least:
+                    found, least = (n, k, errors), work
+    return found
+
+
 def spelled(digits: Column, size: int) -> Column:
     """ARRAY<STRING> of the base strings that a segment of mask digits allows, or
     array(null) where there are more than SPELLED."""
@@ -65,19 +106,25 @@ def changed(seed: Column, size: int, errors: int) -> Column:
     return out
 
 
-def index_of(samples: DataFrame, length: int, segments: list[tuple[int, int]]) -> DataFrame:
-    """segment, seed (null: all), held: array of (ordinal, masks), BLOCK at most a row."""
-    digits = mask_digits("barcode")
-    parts = [
-        samples.select(F.lit(k).alias("segment"), F.explode(spelled(F.substring(digits, a + 1, n), n)).alias("seed"), "ordinal", encode("barcode", length).alias("masks"))
-        for k, (a, n) in enumerate(segments)
-    ]
-    each = reduce(DataFrame.unionByName, parts)
-    # as many parts of a seed as its samples need; a part is a row, a seed that most share many
-    alike = Window.partitionBy("segment", "seed")
-    part = F.col("ordinal") % F.ceil(F.count("*").over(alike) / BLOCK)
-    dealt = each.withColumn("part", part).groupBy("segment", "seed", "part")
-    return dealt.agg(F.collect_list(F.struct("ordinal", "masks")).alias("held")).select("segment", "seed", "held")
+def _taken(c: Column, seed: list[tuple[int, int]]) -> Column:
+    return F.concat(*(F.substring(c, a + 1, n) for a, n in seed))
+
+
+def _of_seed(k: int, strings: Column) -> Column:
+    return F.transform(strings, lambda s: F.struct(F.lit(k).alias("number"), s.alias("seed")))
+
+
+def index_of(samples: DataFrame, length: int, seeds: list[list[tuple[int, int]]]) -> DataFrame:
+    """number, seed (null: all), ordinal, theirs (the sample's masks)."""
+    digits = F.col("digits")
+    each = []
+    for k, seed in enumerate(seeds):
+        own = _taken(digits, seed)
+        strings = F.when(own.rlike("^[1248]*$"), F.array(F.translate(own, "1248", "ACGT"))).otherwise(spelled(own, sum(n for _, n in seed)))
+        each.append(_of_seed(k, strings))
+    n_tasks = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small tables, long work: not to be put together
+    dealt = samples.select("ordinal", "barcode").repartition(n_tasks, "ordinal").select("ordinal", mask_digits("barcode").alias("digits"), encode("barcode", length).alias("theirs"))
+    return dealt.select("ordinal", "theirs", F.explode(F.concat(*each)).alias("at")).select("at.number", "at.seed", "ordinal", "theirs")
 
 
 def _best_two(masks: str, held: str, length: int) -> str:
@@ -100,34 +147,45 @@ def _merged(found: DataFrame) -> DataFrame:
     return two.select("obs", number.alias("best_ordinal"), F.shiftright(first, 32).cast("int").alias("best_mismatches"), far.alias("next_best_mismatches"))
 
 
+def _two_nearest(met: DataFrame) -> DataFrame:
+    """The same of pairs (obs, score) inside the radius, of which a sample may have many;
+    no second is ``WORST``."""
+    place = F.dense_rank().over(Window.partitionBy("obs").orderBy("score"))
+    two = met.withColumn("place", place).where("place <= 2")  # kept as pairs are met
+    two = two.groupBy("obs").agg(F.min("score").alias("first"), F.max(F.when(F.col("place") == 2, F.col("score"))).alias("second"))
+    far = F.coalesce(F.shiftright("second", 32).cast("int"), F.lit(WORST))
+    number = F.col("first").bitwiseAND(F.lit((1 << 32) - 1).cast("bigint")).cast("int")
+    return two.select("obs", number.alias("best_ordinal"), F.shiftright("first", 32).cast("int").alias("best_mismatches"), far.alias("next_best_mismatches"))
+
+
 class Seeds:
-    """A sheet's index, stored."""
+    """A sheet's index, stored: seeds of ``k`` of ``n`` segments."""
 
-    def __init__(self, samples: DataFrame, length: int, n_segments: int, index_bytes: int = INDEX_BYTES):
-        self.length, self.segments = length, segments_of(length, n_segments)
-        self.table = written(index_of(samples, length, self.segments), passing_path(samples.sparkSession, "seeds"))
-        held, rows = self.table.agg(F.coalesce(F.sum(F.size("held")), F.lit(0)), F.count("*")).first()
-        self.small = held * (16 + 8 * (3 + -(-length // PER_CHUNK))) + 64 * rows <= index_bytes
-        self.any_wild = self.table.where("seed is null").limit(1).count() > 0
+    def __init__(self, samples: DataFrame, length: int, n: int, k: int, index_bytes: int | None = None):
+        self.length, self.n, self.k = length, n, k
+        self.seeds = seeds_of(length, n, k)
+        self.table = written(index_of(samples, length, self.seeds), passing_path(samples.sparkSession, "seeds"))
+        rows, wild = self.table.agg(F.count("*"), F.count_if(F.col("seed").isNull())).first()
+        width = 64 + length + 8 * -(-length // PER_CHUNK)
+        self.small = rows * width <= (INDEX_BYTES if index_bytes is None else index_bytes)
+        self.any_wild = wild > 0
 
     def within(self, observed: DataFrame, errors: int) -> DataFrame:
-        """The best two samples of each of ``observed`` (obs, masks; bases and codes only):
-        right as far as n * (errors + 1) - 1 mismatches; what lies farther off may be missing."""
+        """The best two samples of each of ``observed`` (obs, masks; bases and codes only)
+        that has any within ``radius_of`` its seeds; a second farther off is ``WORST``."""
         bases = F.translate(mask_digits("obs"), _DIGITS, _BASE_OF)
-
-        def of_segment(k: int, seeds: Column) -> Column:
-            return F.transform(seeds, lambda s: F.struct(F.lit(k).alias("segment"), s.alias("seed")))
-
-        looked = [of_segment(k, changed(F.substring(bases, a + 1, n), n, errors)) for k, (a, n) in enumerate(self.segments)]
-        n_tasks = int(observed.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small tables, long work: not to be put together
-        asked = observed.repartition(n_tasks, "obs").select("obs", "masks", F.explode(F.concat(*looked)).alias("at")).select("obs", "masks", "at.segment", "at.seed")
-        best = F.expr(_best_two("masks", "held", self.length)).alias("best")
-        seeds = self.table.where("seed is not null")
-        met = asked.join(F.broadcast(seeds) if self.small else seeds.hint("merge"), ["segment", "seed"]).select("obs", best)
+        looked = [_of_seed(k, changed(_taken(bases, seed), sum(n for _, n in seed), errors)) for k, seed in enumerate(self.seeds)]
+        n_tasks = int(observed.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as in ``index_of``
+        asked = observed.repartition(n_tasks, "obs").select("obs", "masks", F.explode(F.concat(*looked)).alias("at")).select("obs", "masks", "at.number", "at.seed")
+        mm = F.expr(mismatches_sql("masks", "theirs", -(-self.length // PER_CHUNK)))
+        near = mm <= radius_of(self.n, self.k, errors)
+        score = (F.shiftleft(mm.cast("bigint"), 32) + F.col("ordinal")).alias("score")
+        index = self.table.where("seed is not null")
+        met = asked.join(F.broadcast(index) if self.small else index.hint("merge"), ["number", "seed"]).where(near).select("obs", score)
         if self.any_wild:
-            wild = self.table.where("seed is null").select("held")
-            met = met.unionByName(observed.crossJoin(F.broadcast(wild) if self.small else wild).select("obs", best))  # rows of BLOCK samples
-        return _merged(met)
+            wild = self.table.where("seed is null").select("ordinal", "theirs").distinct()
+            met = met.unionByName(observed.crossJoin(F.broadcast(wild) if self.small else wild).where(near).select("obs", score))
+        return _two_nearest(met)
 
 
 def against_all(observed: DataFrame, samples: DataFrame, length: int) -> DataFrame:
@@ -146,18 +204,22 @@ def nearest_two(observed: DataFrame, samples: DataFrame, length: int, max_mismat
     packed = observed.select("obs", encode("obs", length).alias("masks"))
     plain = ~mask_digits("obs").contains("0")
     accepted = (F.col("best_mismatches") <= max_mismatches) & (F.col("next_best_mismatches") - F.col("best_mismatches") >= min_delta)
-    left, n = packed.where(plain), max_mismatches + max(min_delta - 1, 0) + 1
-    settled = []
+    left, settled = packed.where(plain), []
     if packed.where(~plain).limit(1).count():
         settled.append(against_all(packed.where(~plain), samples, length))
-    if length // n >= LEAST_SEGMENT:
-        seeds = Seeds(samples, length, n)
-        for errors in range(MOST_CHANGED + 1):
-            found = written(seeds.within(left, errors).where(accepted), passing_path(spark, "nearest"))
-            sure = F.col("next_best_mismatches") <= n * (errors + 1) - 1  # beyond, nearer ones may be missing
-            settled.append(found.where(sure))
-            left = found.where(~sure).select("obs", encode("obs", length).alias("masks"))
-            if not left.limit(1).count():
-                return reduce(DataFrame.unionByName, settled).where(accepted)
-    settled.append(against_all(left, samples, length))
+    n_samples, n_left, radius = samples.count(), left.count(), -1
+    built: dict[tuple[int, int], Seeds] = {}
+    while n_left and (way := cheapest(n_left, n_samples, length, max(radius + 1, max_mismatches), set(built))):
+        n, k, errors = way
+        if (n, k) not in built:
+            built[n, k] = Seeds(samples, length, n, k)
+        radius = radius_of(n, k, errors)
+        # all within the radius are found: a barcode that isn't accepted now never will be
+        found = written(built[n, k].within(left, errors).where(accepted), passing_path(spark, "nearest"))
+        sure = F.col("next_best_mismatches") <= radius  # beyond, it isn't known yet
+        settled.append(found.where(sure))
+        left = found.where(~sure).select("obs", encode("obs", length).alias("masks"))
+        n_left = left.count()
+    if n_left or not settled:
+        settled.append(against_all(left, samples, length))
     return reduce(DataFrame.unionByName, settled).where(accepted)

@@ -170,9 +170,10 @@ def barcode_match_single_sample(spark, sf_dir):
 
 #: A sample for each order, some with ambiguity codes; reads of events: a sample's
 #: barcode with up to two bases changed, or a random one.
-_LARGE_SHEET = f"""(SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INT) AS ordinal, CAST(o_orderkey AS STRING) AS sample_id,
+_LARGE_SAMPLES = f"""(SELECT o_orderkey, CAST(o_orderkey AS STRING) AS sample_id,
       CASE WHEN o_orderkey % 50 = 0 THEN substr(raw, 1, 3) || 'N' || substr(raw, 5) WHEN o_orderkey % 50 = 1 THEN substr(raw, 1, 9) || 'R' || substr(raw, 11) ELSE raw END AS barcode
       FROM (SELECT o_orderkey, substr({bases_sql('o_orderkey')}, 1, 15) AS raw FROM {{orders}}) AS o)"""
+_LARGE_SHEET = f"(SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INT) AS ordinal, sample_id, barcode FROM {_LARGE_SAMPLES} AS s)"
 _LARGE_READS = f"""(SELECT event_id AS ord, CASE WHEN event_id % 5 = 0 THEN substr({bases_sql("'e' || CAST(event_id AS STRING)")}, 1, 15)
       WHEN event_id % 5 = 1 THEN substr(raw, 1, 6) || 'N' || substr(raw, 8) WHEN event_id % 5 = 2 THEN 'A' || substr(raw, 2, 12) || 'GT' WHEN event_id % 5 = 3 THEN raw
       ELSE substr(raw, 1, 10) || 'C' || substr(raw, 12) END AS obs
@@ -190,8 +191,10 @@ def _packed_sql(c: str) -> str:
 ), found AS (SELECT obs, (near[1] % 10000000)::INT AS best_ordinal, (near[1] // 10000000)::INT AS best_mismatches, coalesce(near[2] // 10000000, 255)::INT AS next_best_mismatches FROM two)
 SELECT ord, r.obs, best_ordinal, best_mismatches, next_best_mismatches FROM r LEFT JOIN (FROM found WHERE best_mismatches <= 1 AND next_best_mismatches - best_mismatches >= 2) USING (obs)"""))
 def barcode_match_sheet(spark, sf_dir):
-    """A sheet of a sample for each order, searched by seeds."""
-    return matcher.match_barcodes(view(spark, sf_dir, _LARGE_READS), view(spark, sf_dir, _LARGE_SHEET), 15)
+    """A sheet of a sample for each order, searched by seeds.  It is numbered by ranges, not by
+    the one task that the SQL's window is."""
+    sheet = samples.numbered(view(spark, sf_dir, _LARGE_SAMPLES), "o_orderkey")
+    return matcher.match_barcodes(view(spark, sf_dir, _LARGE_READS), sheet, 15)
 
 
 @query(match_sql(12, 1, 2) + "SELECT ord, obs FROM matched WHERE best_ordinal IS NULL")

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.operators import matcher, seeds
+from skein.operators import samples as samples_module
 from skein.operators.samples import Sample, SampleGroup
 from skein.plans.demux import Demux, sets_of
 from skein.plans.structure import ReadStructure
@@ -340,3 +341,35 @@ def test_stores_without_concatenation_say_so(spark, tmp_path):
     for n in "ab":
         (tmp_path / n).write_bytes(b"x")
     assert not sinks.concatenated(spark, str(tmp_path), ["a", "b"])
+
+
+# -------------------------------------------------------------------- large inputs
+@pytest.mark.parametrize("n,k,errors", [(2, 1, 0), (2, 1, 1), (3, 1, 1), (3, 2, 1), (3, 2, 2), (5, 3, 0), (6, 4, 2)])
+def test_radius_of_seeds(n, k, errors):
+    """Every way to spread that many mismatches over segments, and one more fails."""
+    most = seeds.radius_of(n, k, errors)
+
+    def left(r):
+        spread = [()]
+        for _ in range(n):
+            spread = [(*s, x) for s in spread for x in range(r + 1 - sum(s))]
+        return max(sum(sorted(s)[:k]) for s in spread if sum(s) == r)
+
+    assert left(most) <= errors < left(most + 1)
+
+
+def test_larger_sheets_have_longer_seeds():
+    """The work for a barcode grows slower than the sheet."""
+    kept = [seeds.cheapest(n, n, 15, 2, set()) for n in (150_000, 1_500_000, 9_000_000)]
+    longest = [max(sum(size for _, size in seed) for seed in seeds.seeds_of(15, n, k)) for n, k, _ in kept]
+    assert longest == sorted(longest)
+    assert all(5 * n // 4**size < 1000 for n, size in zip((150_000, 1_500_000, 9_000_000), longest, strict=True))
+    assert seeds.cheapest(100, 10, 15, 9, set()) is None
+
+
+def test_numbered_by_ranges(spark):
+    keys = list(range(0, 3000, 3))
+    random.Random(5).shuffle(keys)
+    got = samples_module.numbered(spark.createDataFrame([(k,) for k in keys], "key long").repartition(7), "key")
+    assert sorted(map(tuple, got.select("key", "ordinal").collect())) == [(k, i) for i, k in enumerate(sorted(keys))]
+    assert got.select("ordinal").rdd.getNumPartitions() > 1
