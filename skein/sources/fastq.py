@@ -36,6 +36,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 #: the header's lowest.
 SCHEMA = "file_idx int, ord bigint, header string, seq string, qual string, raw_plus string, ends int"
 ROWS_AT_ONCE, BUFFER, READ_BYTES, SPLIT_BYTES = 8192, 1 << 20, 1 << 22, 1 << 27
+#: Plain and block-gzip files are split to this share of a core's work, but to no fewer bytes;
+#: and to no more splits a file while these are of less than ``SPLIT_BYTES``.
+SHARE, LEAST_SPLIT, MOST_SPLITS = 2, 1 << 22, 256
 #: Fixed values of the block-gzip format: a block's first bytes up to its size, and the
 #: most bytes of one.
 BLOCK_HEAD, MOST_BLOCK = re.compile(rb"\x1f\x8b\x08\x04.{6}\x06\x00BC\x02\x00(..)", re.S), 1 << 16
@@ -190,17 +193,17 @@ def _plain(f, path: str, at: int, end: int) -> Iterator[bytes]:
 def _blocks(f, path: str, at: int, end: int) -> Iterator[bytes]:
     at = next_block(f, at) if at else 0
     f.seek(at)
-    held = b""
+    held, k = b"", 0  # of which ``k`` bytes are done
     while at < end:
-        if len(held) < MOST_BLOCK:
-            held += f.read(READ_BYTES)
-        n = block_size(held[:18])
-        if not n or len(held) < n:
+        if len(held) - k < MOST_BLOCK:  # a block more than the split, so that small ones read little more than theirs
+            held, k = held[k:] + f.read(min(READ_BYTES, max(end - at, 0) + MOST_BLOCK)), 0
+        n = block_size(held[k : k + 18])
+        if not n or len(held) - k < n:
             raise MalformedFastq(f"Unexpected error parsing FASTQs: {path} has no whole block at byte {at}")
-        data = zlib.decompress(held[18 : n - 8], -15)
-        if zlib.crc32(data) != int.from_bytes(held[n - 8 : n - 4], "little"):
+        data = zlib.decompress(held[k + 18 : k + n - 8], -15)
+        if zlib.crc32(data) != int.from_bytes(held[k + n - 8 : k + n - 4], "little"):
             raise MalformedFastq(f"Unexpected error parsing FASTQs: {path} has a damaged block at byte {at}")
-        held = held[n:]
+        k += n
         at += n
         yield data
     return at
@@ -382,16 +385,25 @@ def _member_in(path: str, kind: str, start: int, end: int) -> tuple[int]:
         return (next_member(f, start, end) if start else 0,)
 
 
+def steps_of(kinds: list[tuple[str, int]], split_bytes: int, cores: int) -> list[int]:
+    """Bytes of a split of each file, given by kind and size: ``split_bytes``, or less so that
+    all cores have work; more where a file would be cut to more than ``MOST_SPLITS``."""
+    share = max(LEAST_SPLIT, sum(size for _, size in kinds) // (SHARE * cores))
+    if any(kind == "members" for kind, _ in kinds):  # one that can't be split would be read from its start by each range
+        share = split_bytes
+    return [max(min(split_bytes, share), min(SPLIT_BYTES, -(-size // MOST_SPLITS))) for _, size in kinds]
+
+
 def splits_of(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> list[Split]:
     """A split for each task, in the files' order.  Files of more than one are counted
     first, in a job whose result is numbers for each split."""
     wanted: list[Split] = []
-    for k, p in enumerate(paths):
-        kind, size = kind_of(p)
-        if size <= split_bytes:
+    kinds = [kind_of(p) for p in paths]
+    for k, (p, (kind, size), step) in enumerate(zip(paths, kinds, steps_of(kinds, split_bytes, spark.sparkContext.defaultParallelism), strict=True)):
+        if size <= step:
             wanted.append(Split(k, p))
         else:
-            wanted += [Split(k, p, kind, a, min(a + split_bytes, size), last=a + split_bytes >= size) for a in range(0, size, split_bytes)]
+            wanted += [Split(k, p, kind, a, min(a + step, size), last=a + step >= size) for a in range(0, size, step)]
     members = [s for s in wanted if s.kind == "members"]
     for s, (place,) in zip(members, _each(spark, members, _member_in, ["place"]), strict=True):
         s.start = place

@@ -16,6 +16,7 @@ from skein.operators.samples import Sample, SampleGroup
 from skein.plans.demux import Demux, sets_of
 from skein.plans.structure import ReadStructure
 from skein.plans.subsample import Subsample
+from skein.sources import fastq as fastq_source
 from skein.sources import sinks
 from skein.sources.fastq import read_fastq, splits_of
 from skein.sources.sinks import END_BLOCK, bgzf_block, finish, write_fastq
@@ -373,3 +374,13 @@ def test_numbered_by_ranges(spark):
     got = samples_module.numbered(spark.createDataFrame([(k,) for k in keys], "key long").repartition(7), "key")
     assert sorted(map(tuple, got.select("key", "ordinal").collect())) == [(k, i) for i, k in enumerate(sorted(keys))]
     assert got.select("ordinal").rdd.getNumPartitions() > 1
+
+
+def test_small_splits_are_few():
+    """A file of any size has at most so many splits below the usual size, and is read by as many
+    tasks as there are cores; what can't be split doesn't cut the others finer."""
+    steps = fastq_source.steps_of([("blocks", 1 << 30), ("plain", 1 << 15)], 1 << 15, 12)
+    assert -(-(1 << 30) // steps[0]) <= fastq_source.MOST_SPLITS and steps[1] == 1 << 15
+    assert fastq_source.steps_of([("blocks", 1 << 40)], 1 << 15, 12) == [fastq_source.SPLIT_BYTES]
+    assert (100 << 20) // fastq_source.steps_of([("blocks", 100 << 20)], fastq_source.SPLIT_BYTES, 12)[0] >= 12
+    assert fastq_source.steps_of([("blocks", 100 << 20), ("members", 9)], fastq_source.SPLIT_BYTES, 12) == [fastq_source.SPLIT_BYTES] * 2
