@@ -38,7 +38,7 @@ from skein.sources.fastq import open_store
 #: Fixed values of the block-gzip format: input bytes of a block, and the empty
 #: block that ends a file.
 BLOCK_BYTES = 65280
-COPY_BYTES, CHUNK_RECORDS = 1 << 22, 4_000_000
+COPY_BYTES, CHUNK_RECORDS = 1 << 22, 400_000
 END_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
 
