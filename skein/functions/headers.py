@@ -30,24 +30,29 @@ def _fail(message: str, header: Column) -> Column:
     return F.raise_error(F.concat(F.lit(message), header)).cast("string")
 
 
-def _name_part(header: Column, umis: list[Column]) -> Column:
-    name = name_of(header)
-    if not umis:
-        return name
+def before_number(name: Column, umis: Column | None, header: Column) -> Column:
+    """What stands before the read number in the header line of an output record."""
+    if umis is None:
+        return F.concat(F.lit("@"), name, F.lit(" "))
     n = _colons(name)
     sep = F.when(n == 7, F.lit("+")).otherwise(F.lit(":"))
     too_many = _fail("Can't handle read name with more than 8 segments: ", header)
-    return F.when(n > 7, too_many).otherwise(F.concat(name, sep, F.concat_ws("+", *umis)))
+    return F.concat(F.lit("@"), F.when(n > 7, too_many).otherwise(F.concat(name, sep, umis)), F.lit(" "))
 
 
-def _comment_part(header: Column, number: Column) -> Column:
-    comment = comment_of(header)
+def has_number(comment: Column) -> Column:
+    """Whether the read number stands in the header line: not where a short comment stays."""
+    return comment.isNull() | (_colons(comment) == 3)
+
+
+def after_number(comment: Column, header: Column) -> Column:
+    """What stands behind the read number, up to the sample barcodes."""
     n = _colons(comment)
     short = F.when(F.endswith(comment, F.lit(":")), comment).otherwise(F.concat(comment, F.lit(":")))
     rest = F.regexp_replace(F.substr(comment, F.instr(comment, ":") + 1), "[0-9]$", "")
-    full = F.concat(number, F.lit(":"), rest, F.when(F.endswith(rest, F.lit(":")), F.lit("")).otherwise(F.lit("+")))
+    full = F.concat(F.lit(":"), rest, F.when(F.endswith(rest, F.lit(":")), F.lit("")).otherwise(F.lit("+")))
     return (
-        F.when(comment.isNull(), F.concat(number, F.lit(":N:0:")))
+        F.when(comment.isNull(), F.lit(":N:0:"))
         .when(comment == "", _fail("Empty comment in header: ", header))
         .when(n < 3, short)
         .when(n == 3, full)
@@ -63,8 +68,10 @@ def rewrite(header: Column, read_number: Column | int, barcodes: list[Column], u
     becomes the read number and a final digit gives way.  Sample barcodes follow.
     """
     number = (F.lit(read_number) if isinstance(read_number, int) else read_number).cast("string")
+    comment = comment_of(header)
+    before = before_number(name_of(header), F.concat_ws("+", *umis) if umis else None, header)
     bars = [F.concat_ws("+", *barcodes)] if barcodes else []
-    return F.concat(F.lit("@"), _name_part(header, umis), F.lit(" "), _comment_part(header, number), *bars)
+    return F.concat(before, F.when(has_number(comment), number).otherwise(F.lit("")), after_number(comment, header), *bars)
 
 
 def thousands(n: Column) -> Column:

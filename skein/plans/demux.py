@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.functions.headers import rewrite
+from skein.functions.headers import after_number, before_number, comment_of, has_number, name_of
 from skein.operators import matcher, metrics
 from skein.operators.samples import SampleGroup
 from skein.operators.segments import sample_barcode, segmented, sequences
@@ -54,14 +54,19 @@ def with_barcode(sets: DataFrame) -> DataFrame:
 
 def routed(matched: DataFrame, kinds: set[str]) -> DataFrame:
     """sample_id, kind, kind_idx, ord, record: a row for each record to write.
-    Read numbers are a segment's place within its kind."""
+    Read numbers are a segment's place within its kind.
+
+    A set's header is taken apart once, step by step, and not for each of its records: they
+    differ by the read number alone.  Sets without a record to write have no header to fail."""
+    header, name, comment, b, m = (F.col(c) for c in ("__header", "__name", "__comment", "__b", "__m"))
     segs = F.filter("segments", lambda s: s["kind"].isin(sorted(kinds - {"S"})))
-    each = matched.select("ord", "header", "sample_id", sequences(F.col("segments"), "B").alias("b"), sequences(F.col("segments"), "M").alias("m"), F.explode(segs).alias("s"))
-    umi = F.when(F.size("m") > 0, F.array_join("m", "+"))
-    # the rewrite differs only by whether there are UMIs
-    plain = rewrite(F.col("header"), F.col("s.kind_idx"), [F.array_join("b", "+")], [])
-    with_umi = rewrite(F.col("header"), F.col("s.kind_idx"), [F.array_join("b", "+")], [umi])
-    head = F.when(F.size("m") > 0, with_umi).otherwise(plain)
+    sets = matched.select("ord", "sample_id", F.col("header").alias("__header"), segs.alias("__segs"), sequences(F.col("segments"), "B").alias("__b"), sequences(F.col("segments"), "M").alias("__m"))
+    sets = sets.where(F.size("__segs") > 0).withColumns({"__name": name_of(header), "__comment": comment_of(header)})
+    before = F.when(F.size(m) > 0, before_number(name, F.array_join(m, "+"), header)).otherwise(before_number(name, None, header))
+    after = F.concat(after_number(comment, header), F.array_join(b, "+"))
+    apart = sets.select("ord", "sample_id", "__segs", before.alias("__before"), has_number(comment).alias("__numbered"), after.alias("__after"))
+    each = apart.select("ord", "sample_id", "__before", "__numbered", "__after", F.explode("__segs").alias("s"))  # what stands beside explode is done for each row
+    head = F.concat("__before", F.when(F.col("__numbered"), F.col("s.kind_idx").cast("string")).otherwise(F.lit("")), "__after")
     return each.select("sample_id", F.col("s.kind").alias("kind"), F.col("s.kind_idx").alias("kind_idx"), "ord", record_text(head, F.col("s.seq"), F.col("s.qual")).alias("record"))
 
 
