@@ -13,7 +13,8 @@ Two searches vote on every text, and neither is cut short:
   (log-likelihood ratio) and strong (odds ratio of 4 or more, either way) in the
   examples.  Rare terms of a long text outweigh a few telling ones in the cosine over
   all terms; here they can't.  Its index has postings cut into blocks with their largest
-  weight, visited from the highest bound down until none can reach the k-th cosine.
+  weight: the blocks with the highest bounds are visited first, then all others that can
+  reach the k-th cosine found there.
 
 Labels of neighbours vote, by cosine (over the vocabulary: its fourth power) against a
 prior.  A logistic regression on leave-one-out votes joins the two, and a monotone map
@@ -114,20 +115,17 @@ class Index:
         bound = np.zeros(self.n_blocks)
         for q, (_, _, blocks, _, top) in parts:
             bound[blocks] += q * top
-        order = np.argsort(-bound, kind="stable")
-        found, cosines, kth = np.array([], int), np.array([]), 0.0
-        for b in order:
-            if bound[b] <= 0 or bound[b] < kth - 1e-12:
-                break
-            scores = np.zeros(self.block)
-            for q, (ids, ws, blocks, at, _) in parts:
-                j = int(np.searchsorted(blocks, b))
-                if j < len(blocks) and blocks[j] == b:
-                    s = slice(at[j], at[j + 1])
-                    scores[ids[s] - b * self.block] += q * ws[s]
+        ids = np.concatenate([x[0] for _, x in parts])
+        products = np.concatenate([q * x[1] for q, x in parts])
+        found, cosines, kth, todo = np.array([], int), np.array([]), 0.0, bound > 0
+        first = np.zeros(self.n_blocks, bool)
+        first[np.argsort(-bound, kind="stable")[: -(-k // self.block) + 1]] = True
+        for visited in (todo & first, todo & ~first):  # the best blocks' k-th is a bound for the rest
+            visited &= bound >= kth - 1e-12
+            here = visited[ids // self.block]
+            scores = np.bincount(ids[here], products[here], len(self.vectors))
             hit = np.flatnonzero(scores > 0)
-            found = np.concatenate([found, hit + b * self.block])
-            cosines = np.concatenate([cosines, scores[hit]])
+            found, cosines = np.concatenate([found, hit]), np.concatenate([cosines, scores[hit]])
             rank = np.lexsort((found, -cosines))
             found, cosines = found[rank], cosines[rank]
             held = np.cumsum(np.ones(len(found)) if weights is None else weights[found])
@@ -304,7 +302,7 @@ class Wide:
             some = many > 0
             start, many = start[some], many[some]
             at = np.arange(many.sum(), dtype=np.int32) + np.repeat(start - np.cumsum(many, dtype=np.int32) + many, many)
-            tails[i] = np.bincount(self.post[at], self.post_w[at] * np.repeat(w[some], many), self.n_blocks * size)
+            tails[i] = np.bincount(self.post.take(at), self.post_w.take(at) * np.repeat(w[some], many), self.n_blocks * size)
         rough_heads, off = heads.astype(np.float32), np.float32(1e-4)  # rounding is far below
         bound = rough_heads @ self.top + tails.reshape(m, self.n_blocks, size).max(axis=2).astype(np.float32) + off
         rough, by_dim = np.full((m, self.n_blocks, size), -1, np.float32), np.ascontiguousarray(rough_heads.T)
@@ -332,7 +330,7 @@ class Wide:
             many = self.main_at[found + 1] - self.main_at[found]
             at = np.arange(many.sum()) + np.repeat(self.main_at[found] - np.cumsum(many) + many, many)
             of = np.repeat(np.arange(len(found)), many)
-            cos = tails[i, found] + np.bincount(of, self.main_w[at] * heads[i, self.main_dim[at]], len(found))
+            cos = tails[i, found] + np.bincount(of, self.main_w.take(at) * heads[i].take(self.main_dim.take(at)), len(found))
             found = self.entry[found]
             rank = np.lexsort((found, -cos))
             found, cos = found[rank], cos[rank]
