@@ -6,13 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _colons(c: Column) -> Column:
-    return F.length(c) - F.length(F.replace(c, F.lit(":"), F.lit("")))
+def _fewer(c: Column, colons: int) -> Column:
+    """Whether there are fewer than ``colons``: nothing is cut off before that one."""
+    return F.substring_index(c, ":", colons) == c
 
 
 def name_of(header: Column) -> Column:
     """Up to the first space."""
-    return F.split_part(header, F.lit(" "), F.lit(1))
+    return F.substring_index(header, " ", 1)
 
 
 def comment_of(header: Column) -> Column:
@@ -34,28 +35,32 @@ def before_number(name: Column, umis: Column | None, header: Column) -> Column:
     """What stands before the read number in the header line of an output record."""
     if umis is None:
         return F.concat(F.lit("@"), name, F.lit(" "))
-    n = _colons(name)
-    sep = F.when(n == 7, F.lit("+")).otherwise(F.lit(":"))
+    sep = F.when(_fewer(name, 7), F.lit(":")).otherwise(F.lit("+"))
     too_many = _fail("Can't handle read name with more than 8 segments: ", header)
-    return F.concat(F.lit("@"), F.when(n > 7, too_many).otherwise(F.concat(name, sep, umis)), F.lit(" "))
+    return F.concat(F.lit("@"), F.when(_fewer(name, 8), F.concat(name, sep, umis)).otherwise(too_many), F.lit(" "))
 
 
 def has_number(comment: Column) -> Column:
     """Whether the read number stands in the header line: not where a short comment stays."""
-    return comment.isNull() | (_colons(comment) == 3)
+    return comment.isNull() | (~_fewer(comment, 3) & _fewer(comment, 4))
 
 
-def after_number(comment: Column, header: Column) -> Column:
-    """What stands behind the read number, up to the sample barcodes."""
-    n = _colons(comment)
+def without_digit(comment: Column) -> Column:
+    """A comment without its last character, if that is a digit."""
+    return F.regexp_replace(comment, r"[0-9]\z", "")
+
+
+def after_number(comment: Column, header: Column, cut: Column | None = None) -> Column:
+    """What stands behind the read number, up to the sample barcodes.  ``cut``: the comment
+    ``without_digit``, where a step before has made it."""
     short = F.when(F.endswith(comment, F.lit(":")), comment).otherwise(F.concat(comment, F.lit(":")))
-    rest = F.regexp_replace(F.substr(comment, F.instr(comment, ":") + 1), "[0-9]$", "")
-    full = F.concat(F.lit(":"), rest, F.when(F.endswith(rest, F.lit(":")), F.lit("")).otherwise(F.lit("+")))
+    cut = without_digit(comment) if cut is None else cut
+    full = F.concat(F.substr(cut, F.instr(cut, ":")), F.when(F.endswith(cut, F.lit(":")), F.lit("")).otherwise(F.lit("+")))
     return (
         F.when(comment.isNull(), F.lit(":N:0:"))
         .when(comment == "", _fail("Empty comment in header: ", header))
-        .when(n < 3, short)
-        .when(n == 3, full)
+        .when(_fewer(comment, 3), short)
+        .when(_fewer(comment, 4), full)
         .otherwise(_fail("Comment in did not have 4 segments: ", header))
     )
 

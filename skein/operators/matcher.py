@@ -126,11 +126,17 @@ def memo_of(reads: DataFrame, samples: DataFrame, length: int, obs: str = "obs",
     return written(made, path or passing_path(spark, "memo"))
 
 
-def with_matches(reads: DataFrame, memo: DataFrame, obs: str = "obs", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``reads`` with the memo's results (null: unmatched)."""
+def is_broadcast(memo: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether the memo's matches are so few that they are broadcast and no read moves."""
+    n, width = memo.where("best_ordinal is not null").agg(F.count("*"), F.coalesce(F.avg(F.length("obs")), F.lit(0.0))).first()
+    return n * (width + 64) <= broadcast_bytes
+
+
+def with_matches(reads: DataFrame, memo: DataFrame, obs: str = "obs", broadcast_bytes: int = BROADCAST_BYTES, small: bool | None = None) -> DataFrame:
+    """``reads`` with the memo's results (null: unmatched).  ``small``: what ``is_broadcast``
+    said of the memo, if it was asked already."""
     hits = memo.where("best_ordinal is not null").select(F.col("obs").alias("__obs"), *RESULT)
-    n, width = hits.agg(F.count("*"), F.coalesce(F.avg(F.length("__obs")), F.lit(0.0))).first()
-    if n * (width + 64) <= broadcast_bytes:
+    if is_broadcast(memo, broadcast_bytes) if small is None else small:
         return reads.join(F.broadcast(hits), reads[obs] == F.col("__obs"), "left").drop("__obs")
     often = memo.crossJoin(F.broadcast(memo.agg(F.sum("n").alias("__all")))).where(f"n * {OFTEN} > __all").select(F.col("obs").alias("__often"))  # one row; OFTEN rows at most
     part = F.pmod(F.xxhash64(*reads.columns), F.lit(PARTS)).cast("int")

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.plans.structure import TOO_FEW_BASES, ReadStructure
+from skein.plans.structure import TOO_FEW_BASES, ReadStructure, Segment
 
 SEGMENT = "struct<kind:string,kind_idx:int,seq:string,qual:string>"
 
 
+def piece(c: Column, s: Segment) -> Column:
+    return F.substr(c, F.lit(s.offset + 1)) if s.length is None else F.substr(c, F.lit(s.offset + 1), F.lit(s.length))
+
+
 def cut(seq: Column, qual: Column, structure: ReadStructure, first_idx: dict[str, int] | None = None) -> Column:
     """ARRAY<struct<kind, kind_idx, seq, qual>> in order.  ``first_idx`` says how
     many segments of a kind stand in the inputs before; indexes start at 1.  Bases
@@ -18,11 +22,7 @@ def cut(seq: Column, qual: Column, structure: ReadStructure, first_idx: dict[str
     parts = []
     for s in structure.segments:
         seen[s.kind] = seen.get(s.kind, 0) + 1
-
-        def piece(c: Column, s=s) -> Column:
-            return F.substr(c, F.lit(s.offset + 1)) if s.length is None else F.substr(c, F.lit(s.offset + 1), F.lit(s.length))
-
-        parts.append(F.struct(F.lit(s.kind).alias("kind"), F.lit(seen[s.kind]).alias("kind_idx"), piece(seq).alias("seq"), piece(qual).alias("qual")))
+        parts.append(F.struct(F.lit(s.kind).alias("kind"), F.lit(seen[s.kind]).alias("kind_idx"), piece(seq, s).alias("seq"), piece(qual, s).alias("qual")))
     return F.array(*parts)
 
 

@@ -13,9 +13,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators.segments import kept_segments, skip_reason
+from skein.operators.segments import kept_segments, piece, skip_reason
 from skein.plans.structure import ReadStructure
 
+OUT_OF_SYNC = "FASTQ sources out of sync at records"
+
 
 def _any_null(cols: list[Column]) -> Column:
     return reduce(Column.__or__, [c.isNull() for c in cols])
@@ -38,7 +40,7 @@ def zip_rows(rows: DataFrame, structures: list[ReadStructure], skip: bool = Fals
     """``rows`` (ord, and header, seq and qual of each input with its number behind; null
     where it has no record) as ``zip_segments`` gives them, by a projection."""
     n = range(len(structures))
-    made = rows.withColumns({f"r{k}": skip_reason(F.col(f"header{k}"), F.col(f"seq{k}"), F.col(f"qual{k}"), rs, skip) for k, rs in enumerate(structures)})
+    made = _reasoned(rows, structures, skip)
     seen: dict[str, int] = {}
     parts = []
     for k, rs in enumerate(structures):
@@ -49,6 +51,35 @@ def zip_rows(rows: DataFrame, structures: list[ReadStructure], skip: bool = Fals
     return _sets(made.select("ord", F.col("header0").alias("h0"), *parts, *(f"r{k}" for k in n), *present), len(structures), check)
 
 
+def _reasoned(rows: DataFrame, structures: list[ReadStructure], skip: bool) -> DataFrame:
+    return rows.withColumns({f"r{k}": skip_reason(F.col(f"header{k}"), F.col(f"seq{k}"), F.col(f"qual{k}"), rs, skip) for k, rs in enumerate(structures)})
+
+
+def checked_rows(rows: DataFrame, structures: list[ReadStructure], skip: bool = False) -> DataFrame:
+    """``rows`` uncut: ord, header (of input 0), seq and qual of each input with its number
+    behind, skip_reason (the first one) and obs, the sample barcode, null of skipped sets.
+    The checks are those of ``zip_rows``; they fail ``obs``."""
+    n = range(len(structures))
+    reason = F.coalesce(*(F.col(f"r{k}") for k in n))
+    missing = _any_null([F.col(f"seq{k}") for k in n])
+    bars = [seq for kind, _, seq, _ in pieces(structures) if kind == "B"]
+    obs = F.when(missing, F.raise_error(F.lit(OUT_OF_SYNC)).cast("string")).otherwise(F.concat(F.lit(""), *bars))
+    kept = (f"{c}{k}" for k in n for c in ("seq", "qual"))
+    return _reasoned(rows, structures, skip).select("ord", F.col("header0").alias("header"), *kept, reason.alias("skip_reason"), F.when(reason.isNull(), obs).alias("obs"))
+
+
+def pieces(structures: list[ReadStructure]) -> list[tuple[str, int, Column, Column]]:
+    """Kind, place within the kind, bases and qualities of every segment of a set of
+    ``checked_rows``, in order."""
+    seen: dict[str, int] = {}
+    out = []
+    for k, rs in enumerate(structures):
+        for s in rs.segments:
+            seen[s.kind] = seen.get(s.kind, 0) + 1
+            out.append((s.kind, seen[s.kind], piece(F.col(f"seq{k}"), s), piece(F.col(f"qual{k}"), s)))
+    return out
+
+
 def _sets(both: DataFrame, inputs: int, check: bool) -> DataFrame:
     n = range(inputs)
     reason = F.coalesce(*(F.col(f"r{k}") for k in n))
@@ -57,7 +88,7 @@ def _sets(both: DataFrame, inputs: int, check: bool) -> DataFrame:
     if not check:
         return out
     bad = F.col("skip_reason").isNull() & ~F.col("in_sync")
-    return out.withColumn("segments", F.when(bad, F.raise_error(F.lit("FASTQ sources out of sync at records")).cast(out.schema["segments"].dataType)).otherwise(F.col("segments")))
+    return out.withColumn("segments", F.when(bad, F.raise_error(F.lit(OUT_OF_SYNC)).cast(out.schema["segments"].dataType)).otherwise(F.col("segments")))
 
 
 def zip_records(inputs: list[DataFrame], columns: list[str]) -> DataFrame:

@@ -4,21 +4,22 @@ from __future__ import annotations
 
 import logging
 import os
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.functions.headers import after_number, before_number, comment_of, has_number, name_of
+from skein.functions.headers import after_number, before_number, comment_of, has_number, name_of, without_digit
 from skein.operators import matcher, metrics
 from skein.operators.samples import SampleGroup
-from skein.operators.segments import sample_barcode, segmented, sequences
-from skein.operators.zipping import zip_rows, zip_segments
+from skein.operators.segments import segmented, sequences
+from skein.operators.zipping import checked_rows, pieces, zip_records, zip_rows, zip_segments
 from skein.plans.progress import Progress
 from skein.plans.structure import FILE_CODES, ReadStructure, parse_kinds, parse_skip_reason
 from skein.sources.fastq import SPLIT_BYTES, open_store, stage
-from skein.sources.folders import drop_path, shared_folder, written
-from skein.sources.sinks import record_text, write_fastq
+from skein.sources.folders import drop_path, finer_scans, shared_folder, written
+from skein.sources.sinks import ranges_in, record_text, write_fastq
 from skein.sources.zipped import read_sets_of
 
 METRICS_FILE = "demux-metrics.txt"
@@ -38,36 +39,59 @@ def read_sets(inputs: list[DataFrame], structures: list[ReadStructure], skip: bo
     return zip_segments(cut)
 
 
+def rows_of(spark: SparkSession, paths: list[str], folder: str, split_bytes: int = SPLIT_BYTES) -> tuple[DataFrame, bool]:
+    """The files' records by position (ord, and header, seq and qual of each with its number
+    behind), and whether partitions are ranges of positions.  Files that can be split are read
+    side by side, without a shuffle; else each is staged and they are joined by position."""
+    fields = ("header", "seq", "qual")
+    rows = read_sets_of(spark, paths, fields, split_bytes)
+    return (rows, True) if rows is not None else (zip_records(stage(spark, paths, folder), list(fields)), False)
+
+
 def sets_of(spark: SparkSession, paths: list[str], structures: list[ReadStructure], skip: bool, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """The files' read sets.  Files that can be split are read side by side, without a
-    shuffle; else each is staged and they are joined by position."""
-    rows = read_sets_of(spark, paths, ("header", "seq", "qual"), split_bytes)
-    if rows is not None:
-        return zip_rows(rows, structures, skip)
-    return read_sets(stage(spark, paths, folder), structures, skip)
+    """The files' read sets."""
+    return zip_rows(rows_of(spark, paths, folder, split_bytes)[0], structures, skip)
+
+
+def _heads(sets: DataFrame, umis: Callable[[Column], Column], barcodes: Column) -> DataFrame:
+    """``sets`` with what stands around the read number in the header lines of their records
+    (``__before``, ``__after``), and whether it stands there.  A set's header is taken apart
+    once, step by step, and not for each of its records: they differ by the number alone.
+    ``umis``: what stands before the number, of the name."""
+    header, comment = F.col("header"), F.col("__comment")
+    sets = sets.withColumns({"__name": name_of(header), "__comment": comment_of(header)})
+    sets = sets.withColumn("__cut", without_digit(comment))
+    return sets.withColumns({"__before": umis(F.col("__name")), "__numbered": has_number(comment), "__after": F.concat(after_number(comment, header, F.col("__cut")), barcodes)})
 
 
-def with_barcode(sets: DataFrame) -> DataFrame:
-    """``sets`` with their barcode; skipped ones have none and match nothing."""
-    return sets.withColumn("obs", F.when(F.col("skip_reason").isNull(), sample_barcode(F.col("segments"))))
+def _head(number: Column) -> Column:
+    return F.concat("__before", F.when(F.col("__numbered"), number.cast("string")).otherwise(F.lit("")), "__after")
 
 
 def routed(matched: DataFrame, kinds: set[str]) -> DataFrame:
     """sample_id, kind, kind_idx, ord, record: a row for each record to write.
-    Read numbers are a segment's place within its kind.
-
-    A set's header is taken apart once, step by step, and not for each of its records: they
-    differ by the read number alone.  Sets without a record to write have no header to fail."""
-    header, name, comment, b, m = (F.col(c) for c in ("__header", "__name", "__comment", "__b", "__m"))
+    Read numbers are a segment's place within its kind.  Sets without a record to write have
+    no header to fail."""
+    b, m, header = F.col("__b"), F.col("__m"), F.col("header")
     segs = F.filter("segments", lambda s: s["kind"].isin(sorted(kinds - {"S"})))
-    sets = matched.select("ord", "sample_id", F.col("header").alias("__header"), segs.alias("__segs"), sequences(F.col("segments"), "B").alias("__b"), sequences(F.col("segments"), "M").alias("__m"))
-    sets = sets.where(F.size("__segs") > 0).withColumns({"__name": name_of(header), "__comment": comment_of(header)})
-    before = F.when(F.size(m) > 0, before_number(name, F.array_join(m, "+"), header)).otherwise(before_number(name, None, header))
-    after = F.concat(after_number(comment, header), F.array_join(b, "+"))
-    apart = sets.select("ord", "sample_id", "__segs", before.alias("__before"), has_number(comment).alias("__numbered"), after.alias("__after"))
+    sets = matched.select("ord", "sample_id", "header", segs.alias("__segs"), sequences(F.col("segments"), "B").alias("__b"), sequences(F.col("segments"), "M").alias("__m"))
+    umis = lambda name: F.when(F.size(m) > 0, before_number(name, F.array_join(m, "+"), header)).otherwise(before_number(name, None, header))
+    apart = _heads(sets.where(F.size("__segs") > 0), umis, F.array_join(b, "+"))
     each = apart.select("ord", "sample_id", "__before", "__numbered", "__after", F.explode("__segs").alias("s"))  # what stands beside explode is done for each row
-    head = F.concat("__before", F.when(F.col("__numbered"), F.col("s.kind_idx").cast("string")).otherwise(F.lit("")), "__after")
-    return each.select("sample_id", F.col("s.kind").alias("kind"), F.col("s.kind_idx").alias("kind_idx"), "ord", record_text(head, F.col("s.seq"), F.col("s.qual")).alias("record"))
+    return each.select("sample_id", F.col("s.kind").alias("kind"), F.col("s.kind_idx").alias("kind_idx"), "ord", record_text(_head(F.col("s.kind_idx")), F.col("s.seq"), F.col("s.qual")).alias("record"))
+
+
+def routed_sets(matched: DataFrame, structures: list[ReadStructure], kinds: set[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``matched`` (``checked_rows``, sample_id) with the records of ``routed``, a column for
+    each file of a sample; and what stands behind the sample in the names of these files."""
+    cut = pieces(structures)
+    of = lambda letter: [seq for kind, _, seq, _ in cut if kind == letter]
+    umis = lambda name: before_number(name, F.concat_ws("+", *of("M")) if of("M") else None, F.col("header"))
+    apart = _heads(matched, umis, F.concat_ws("+", *of("B")))
+    texts = {f"{FILE_CODES[kind]}{n}": record_text(_head(F.lit(n)), seq, qual) for kind, n, seq, qual in cut if kind in kinds - {"S"}}
+    if not texts:
+        return matched.where(F.lit(False)).withColumn("record", F.lit("")), {"record": ""}
+    return apart.withColumns(texts), {c: f".{c}.fq.gz" for c in texts}
 
 
 def file_name(prefix: str, kind: str, idx: int) -> str:
@@ -148,18 +172,22 @@ class Demux:
 
     def _run(self, spark: SparkSession, structures: list[ReadStructure], kinds: set[str], skip: bool, group: SampleGroup, folder: str) -> DataFrame:
         # read once: matching, files and skip counts all come from this table
-        sets = with_barcode(sets_of(spark, self.inputs, structures, skip, f"{folder}/inputs", self.split_bytes))
+        rows, in_ranges = rows_of(spark, self.inputs, f"{folder}/inputs", self.split_bytes)
         with Progress(spark, log, "records", self.log_every):
-            every = written(sets, f"{folder}/sets")
+            every = written(checked_rows(rows, structures, skip), f"{folder}/sets")
         log.info("%d inputs read", len(self.inputs))
         samples = group.to_df(spark)
         memo = matcher.memo_of(every, samples, group.barcode_length, "obs", self.max_mismatches, self.min_mismatch_delta, f"{folder}/memo")
-        matched = matcher.with_sample(matcher.with_matches(every.where("skip_reason is null"), memo), samples, self.unmatched_prefix)
-        prefixes = [s.sample_id for s in group.samples] + [self.unmatched_prefix]
-        names = F.concat(F.col("sample_id"), F.lit("."), F.translate("kind", "TBMC", "RIUC"), F.col("kind_idx").cast("string"), F.lit(".fq.gz"))
-        rows = routed(matched, kinds).withColumn("target", names)
-        targets = target_files(structures, kinds, prefixes)
-        write_fastq(rows, self.output, targets, self.compression_level)
+        # where nothing is shuffled from the inputs to here, the table's ranges become parts of the files
+        few = matcher.is_broadcast(memo)
+        in_ranges = in_ranges and few and sum(len(s.sample_id) + 64 for s in group.samples) <= matcher.BROADCAST_BYTES
+        names = F.broadcast(samples) if in_ranges else samples
+        kept = every.withColumn("range", ranges_in(every)).where("skip_reason is null")
+        matched = matcher.with_sample(matcher.with_matches(kept, memo, small=few), names, self.unmatched_prefix)
+        targets = target_files(structures, kinds, [s.sample_id for s in group.samples] + [self.unmatched_prefix])
+        rows, files = routed_sets(matched, structures, kinds)
+        with finer_scans(spark):
+            write_fastq(rows.withColumn("target", F.col("sample_id")), self.output, targets, self.compression_level, in_order="range" if in_ranges else False, files=files)
         log.info("%d files written to %s", len(targets), self.output)
         self.skipped = {r["skip_reason"]: r["n"] for r in metrics.skip_counts(every).collect()}  # a row for each reason
         for reason, n in self.skipped.items():

@@ -38,7 +38,7 @@ SCHEMA = "file_idx int, ord bigint, header string, seq string, qual string, raw_
 ROWS_AT_ONCE, BUFFER, READ_BYTES, SPLIT_BYTES = 8192, 1 << 20, 1 << 22, 1 << 27
 #: Plain and block-gzip files are split to this share of a core's work, but to no fewer bytes;
 #: and to no more splits a file while these are of less than ``SPLIT_BYTES``.
-SHARE, LEAST_SPLIT, MOST_SPLITS = 2, 1 << 22, 256
+SHARE, LEAST_SPLIT, MOST_SPLITS = 4, 1 << 22, 256
 #: Fixed values of the block-gzip format: a block's first bytes up to its size, and the
 #: most bytes of one.
 BLOCK_HEAD, MOST_BLOCK = re.compile(rb"\x1f\x8b\x08\x04.{6}\x06\x00BC\x02\x00(..)", re.S), 1 << 16

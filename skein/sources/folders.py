@@ -6,6 +6,8 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +54,15 @@ def written(df: DataFrame, path: str) -> DataFrame:
     """``df`` written as a table and read again: lost executors cost a reread."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def finer_scans(spark: SparkSession, tasks_a_core: int = 4) -> Iterator[None]:
+    """Scans are cut to more tasks meanwhile, so that costly ones end together."""
+    key = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(tasks_a_core * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)

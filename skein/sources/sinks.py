@@ -1,9 +1,12 @@
 """FASTQ files with exact names, block-gzip compressed, in record order.
 
 Rows (target, ord, record) are dealt by target and chunk (a range of ``ord``), so
-that a sample with most of the reads is compressed by many tasks.  A task writes
+that a sample with most of the reads is compressed by many tasks.  Rows that stand in
+ranges of ``ord`` already are not dealt: each range becomes a part of every target in it.
+A row may hold the records of several files, a column each.  A task writes
 each part to a name of its own attempt; the commit writes a manifest of the parts of
-the attempts that count, with their sizes and records; an abort removes what was written.
+the attempts that count, in record order, with their sizes and records; an abort removes
+what was written.
 
 ``finish`` then makes the files.  A target of one part is a rename.  The parts of a larger
 one are put together without a task that reads them all: by the store's own concatenation
@@ -29,7 +32,7 @@ import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.errors import UnsupportedOperationException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
@@ -43,7 +46,7 @@ END_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000
 
 
 def bgzf_block(data: bytes, level: int) -> bytes:
-    z = zlib.compressobj(level, zlib.DEFLATED, -15)
+    z = zlib.compressobj(level, zlib.DEFLATED, -15, zlib.DEF_MEM_LEVEL + 1)  # the most memory: faster, and the same format
     body = z.compress(data) + z.flush()
     head = struct.pack("<4BI2BH2BHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25)
     return head + body + struct.pack("<II", zlib.crc32(data), len(data))
@@ -66,67 +69,75 @@ class BgzfWriter:
         self.sink.close()
 
 
-def runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], bytes, int]]:
-    """(target, chunk), the bytes and the number of its records for each run of equal ones.  The
-    records of a run lie together in the batch's buffer and are taken as they are, or a
-    byte for each character where some are beyond ASCII."""
-    target, chunk, record = batch.column("target"), batch.column("chunk"), batch.column("record").cast(pa.large_string())
+def runs(batch: pa.RecordBatch, columns: list[str]) -> Iterator[tuple[tuple[str, int], int, int, list[bytes], int]]:
+    """(target, chunk), the first and last ``ord``, the bytes of each column's records and
+    their number for each run of equal ones.  The records of a run lie together in the batch's
+    buffers and are taken as they are, or a byte for each character where some are beyond ASCII."""
+    target, chunk, place = batch.column("target"), batch.column("chunk"), batch.column("ord").to_numpy()
+    records = [batch.column(c).cast(pa.large_string()) for c in columns]
     n = batch.num_rows
     same = lambda c: pc.equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
     starts = np.flatnonzero(np.r_[True, ~(same(target) & same(chunk))]) if n else []
-    offsets = np.frombuffer(record.buffers()[1], np.int64)[record.offset : record.offset + n + 1] if n else []
-    whole = memoryview(record.buffers()[2] or b"")
+    offsets = [np.frombuffer(r.buffers()[1], np.int64)[r.offset : r.offset + n + 1] if n else [] for r in records]
+    whole = [memoryview(r.buffers()[2] or b"") for r in records]
     for a, b in zip(starts, [*starts[1:], n], strict=True):
-        data = bytes(whole[offsets[a] : offsets[b]])
-        yield (target[int(a)].as_py(), chunk[int(a)].as_py()), data if data.isascii() else data.decode().encode("latin-1"), int(b - a)
+        data = [bytes(w[at[a] : at[b]]) for w, at in zip(whole, offsets, strict=True)]
+        yield (target[int(a)].as_py(), chunk[int(a)].as_py()), int(place[a]), int(place[b - 1]), [d if d.isascii() else d.decode().encode("latin-1") for d in data], int(b - a)
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[list]  # target, chunk, temporary name, records
+    files: list[list]  # target, first and last place, temporary name, records
 
 
 class FastqWriter(DataSourceArrowWriter):
-    def __init__(self, folder: str, run: str, level: int):
-        self.folder, self.run, self.level = folder.rstrip("/"), run, level
+    """``files``: what stands behind the target in the name of each column's file."""
+
+    def __init__(self, folder: str, run: str, level: int, files: dict[str, str]):
+        self.folder, self.run, self.level, self.files = folder.rstrip("/"), run, level, files
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        """Batches of target, chunk, record; equal targets and chunks stand together."""
+        """Batches of target, chunk, ord and records; equal targets and chunks stand together,
+        in record order."""
         context = TaskContext.get()
         tag = f"{context.partitionId()}-{context.taskAttemptId()}"
         fs, root = open_store(self.folder)
-        out, now, files = None, None, []
+        now, out, parts, files = None, [], [], []
         for batch in iterator:
-            for (target, chunk), data, n in runs(batch):
+            for (target, chunk), first, last, data, n in runs(batch, list(self.files)):
                 if (target, chunk) != now:
-                    if out:
-                        out.close()
+                    for o in out:
+                        o.close()
                     now = (target, chunk)
-                    temp = f".{target}.{chunk}.{self.run}.{tag}"
-                    files.append([target, chunk, temp, 0])
-                    out = BgzfWriter(fs.open_output_stream(f"{root}/{temp}", compression=None), self.level)
-                out.write(data)
-                files[-1][3] += n
-        if out:
-            out.close()
+                    parts = [[name := target + behind, first, last, f".{name}.{chunk}.{self.run}.{tag}", 0] for behind in self.files.values()]
+                    files += parts
+                    out = [BgzfWriter(fs.open_output_stream(f"{root}/{p[3]}", compression=None), self.level) for p in parts]
+                for o, part, text in zip(out, parts, data, strict=True):
+                    o.write(text)
+                    part[2], part[4] = last, part[4] + n
+        for o in out:
+            o.close()
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, root = open_store(self.folder)
-        parts: dict[str, dict[int, list]] = defaultdict(dict)
+        parts: dict[str, list[list]] = defaultdict(list)
         for m in messages:
-            for target, chunk, temp, n in m.files if m else []:
-                if chunk in parts[target]:
-                    raise RuntimeError(f"two tasks wrote part {chunk} of {target}")
-                parts[target][chunk] = [temp, fs.get_file_info(f"{root}/{temp}").size, n]
-        ordered = {t: [by[c] for c in sorted(by)] for t, by in parts.items()}
+            for target, *part in m.files if m else []:
+                parts[target].append(part)
+        for target, its in parts.items():
+            its.sort()
+            for before, part in zip(its, its[1:]):
+                if part[0] <= before[1]:
+                    raise RuntimeError(f"two parts of {target} have record {part[0]} or stand around it")
+        ordered = {t: [[temp, fs.get_file_info(f"{root}/{temp}").size, n] for _, _, temp, n in its] for t, its in parts.items()}
         with fs.open_output_stream(f"{root}/{manifest_name(self.run)}", compression=None) as f:
             f.write(json.dumps(ordered).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, root = open_store(self.folder)
         for m in messages:
-            for _, _, temp, _ in m.files if m else []:
+            for *_, temp, _ in m.files if m else []:
                 fs.delete_file(f"{root}/{temp}")
 
 
@@ -137,7 +148,7 @@ class FastqSink(DataSource):
 
     def writer(self, schema, overwrite: bool) -> FastqWriter:
         o = self.options
-        return FastqWriter(o["folder"], o["run"], int(o["level"]))
+        return FastqWriter(o["folder"], o["run"], int(o["level"]), json.loads(o["files"]))
 
 
 def manifest_name(run: str) -> str:
@@ -278,21 +289,31 @@ def discard(folder: str, run: str) -> None:
     fs.delete_file(f"{root}/{manifest_name(run)}")
 
 
+def ranges_in(table: DataFrame) -> Column:
+    """Numbers of the ranges in which a stored table's rows stand, if the tasks that wrote it
+    had a range each: a scan's task may read several of them."""
+    return F.xxhash64(table["_metadata.file_path"], table["_metadata.file_block_start"])
+
+
 def write_fastq(
-    records: DataFrame, folder: str, targets: list[str], level: int = 5, chunk_records: int = CHUNK_RECORDS, check: Callable[[], None] | None = None, in_order: bool = False
-) -> dict[str, int]:
+    records: DataFrame, folder: str, targets: list[str], level: int = 5, chunk_records: int = CHUNK_RECORDS, check: Callable[[], None] | None = None, in_order: bool | str = False,
+    files: dict[str, str] | None = None,
+) -> dict[str, int]:
     """Writes ``records`` (target, ord, record) to ``folder``, a file a target, and returns
-    the records of each.  ``in_order``: partitions are ranges of ``ord``, one behind the
-    other, and each becomes a part, without a shuffle.  ``check`` may fail the run before
-    any file has its name."""
+    the records of each.  ``in_order``: partitions are ranges of ``ord`` and each becomes a
+    part, without a shuffle; or the name of a column that tells the ranges of a partition.
+    ``files``: columns that have a record each instead of ``record``, and what stands behind
+    the target in the names of their files.  ``check`` may fail the run before any file has
+    its name."""
     spark, run = records.sparkSession, uuid.uuid4().hex[:12]
+    files = files or {"record": ""}
     spark.dataSource.register(FastqSink)
     if in_order:
-        dealt = records.withColumn("chunk", F.spark_partition_id().cast("bigint"))
+        dealt = records.withColumn("chunk", F.col(in_order) if isinstance(in_order, str) else F.spark_partition_id().cast("bigint"))
     else:
-        dealt = records.withColumn("chunk", F.expr(f"ord div {chunk_records}")).repartition("target", "chunk")
-    dealt = dealt.sortWithinPartitions("target", "chunk", "ord").select("target", "chunk", "record")
-    dealt.write.format("fastq_sink").option("folder", folder).option("run", run).option("level", str(level)).mode("append").save()
+        dealt = records.withColumn("chunk", F.expr(f"ord div {max(1, chunk_records // len(files))}")).repartition("target", "chunk")
+    dealt = dealt.sortWithinPartitions("target", "chunk", "ord").select("target", "chunk", "ord", *files)
+    dealt.write.format("fastq_sink").options(folder=folder, run=run, level=level, files=json.dumps(files)).mode("append").save()
     if check:
         try:
             check()

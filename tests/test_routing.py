@@ -1,8 +1,12 @@
 """Records of a run, routed to their files."""
 
+import gzip
+
 import pytest
 
-from skein.plans.demux import routed
+from skein.plans import demux
+from skein.plans.demux import Demux, routed
+from skein.sources.sinks import write_fastq
 
 
 def _matched(spark, headers):
@@ -29,3 +33,33 @@ def test_a_header_fails_where_a_record_has_it(spark):
     assert routed(bad, set("C")).collect() == []
     with pytest.raises(Exception, match="did not have 4 segments"):
         routed(bad, set("T")).collect()
+
+
+def test_sets_are_written_where_they_stand(spark, tmp_path, monkeypatch):
+    """A row for each set and not for each record, and no shuffle between inputs and files."""
+    n, seen, real = 300, {}, demux.write_fastq
+
+    def spy(rows, *args, **options):
+        seen.update(plan=rows._jdf.queryExecution().executedPlan().toString(), rows=rows.count())
+        return real(rows, *args, **options)
+
+    monkeypatch.setattr(demux, "write_fastq", spy)
+    bars = ["AAAA", "CCCC", "GGGG"]
+    (tmp_path / "a.fq").write_text("".join(f"@r{k}\n{bars[k % 3]}TTT\n+\n;;;;!!!\n" for k in range(n)))
+    (tmp_path / "b.fq").write_text("".join(f"@r{k}\n{'ACGT'[k % 4]}G\n+\n:#\n" for k in range(n)))
+    (tmp_path / "s.tsv").write_text("sample_id\tbarcode\nx\tAAAA\ny\tCCCC\n")
+    run = Demux([str(tmp_path / "a.fq"), str(tmp_path / "b.fq")], ["4B+T", "1M+T"], str(tmp_path / "s.tsv"), str(tmp_path / "o"), output_types="TBMS", split_bytes=500)
+    run.execute(spark)
+    assert seen["rows"] == n and "Exchange hash" not in seen["plan"] and "Exchange range" not in seen["plan"]
+    for sample, rest in (("x", 0), ("y", 1), ("unmatched", 2)):
+        mine = range(rest, n, 3)
+        umi = {k: "ACGT"[k % 4] for k in mine}
+        for code, number, bases, quals in (("R1", 1, "TTT", "!!!"), ("R2", 2, "G", "#"), ("I1", 1, bars[rest], ";;;;"), ("U1", 1, None, ":")):
+            text = "".join(f"@r{k}:{umi[k]} {number}:N:0:{bars[rest]}\n{bases or umi[k]}\n+\n{quals}\n" for k in mine)
+            assert gzip.decompress((tmp_path / "o" / f"{sample}.{code}.fq.gz").read_bytes()).decode() == text
+
+
+def test_parts_that_are_no_ranges_fail(spark, tmp_path):
+    rows = spark.createDataFrame([("t.fq.gz", k, f"@r{k}\nA\n+\n;\n") for k in range(40)], "target string, ord long, record string")
+    with pytest.raises(Exception, match="stand around it"):
+        write_fastq(rows.repartition(4, "ord"), str(tmp_path), ["t.fq.gz"], in_order=True)
