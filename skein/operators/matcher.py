@@ -2,7 +2,7 @@
 
 Reads repeat few distinct barcodes, so the distance runs once for each distinct one.
 Up to ``FOLD_UP_TO`` samples come along as one row holding an array of packed masks,
-and a fold over that array keeps the best and second best sample; larger sheets are
+and array steps tell the best and second best of its distances; larger sheets are
 searched by an index of seeds (``seeds``).  No pair of barcode and sample ever becomes a
 row.
 
@@ -28,7 +28,6 @@ WORST = 255
 #: frequent barcode, which is one with more than a share of 1 / OFTEN of the reads.
 FOLD_UP_TO, BROADCAST_BYTES, PARTS, OFTEN = 2_000, 24_000_000, 64, 400
 RESULT = ("best_ordinal", "best_mismatches", "next_best_mismatches")
-MATCH = "struct<best_ordinal:int,best_mismatches:int,next_best_mismatches:int>"
 
 
 def _checked(value: int, name: str) -> int:
@@ -44,16 +43,9 @@ def sheet_row(samples: DataFrame, length: int) -> DataFrame:
     return packed.agg(F.sort_array(F.collect_list(F.struct("ordinal", "masks"))).alias("__sheet"), F.max("ns").alias("__max_ns"))
 
 
-def best_two_sql(masks: str, sheet: str, length: int) -> str:
-    """Fold: the first sample with fewest mismatches, and the second fewest."""
-    mm = mismatches_sql("o", "x.masks", -(-length // PER_CHUNK))
-    step = (
-        f"transform(array(least({WORST}, cast({mm} as int))), m -> if(m < s.best_mismatches, "
-        "named_struct('best_ordinal', x.ordinal, 'best_mismatches', m, 'next_best_mismatches', s.best_mismatches), "
-        "named_struct('best_ordinal', s.best_ordinal, 'best_mismatches', s.best_mismatches, 'next_best_mismatches', least(m, s.next_best_mismatches))))[0]"
-    )
-    start = f"named_struct('best_ordinal', cast(null as int), 'best_mismatches', {WORST}, 'next_best_mismatches', {WORST})"
-    return f"transform(array({masks}), o -> aggregate({sheet}, cast({start} as {MATCH}), (s, x) -> cast({step} as {MATCH})))[0]"
+def distances_sql(masks: str, sheet: str, length: int) -> str:
+    """The mismatches with each sample of a sheet's row, in its order."""
+    return f"transform({sheet}, x -> least({WORST}, cast({mismatches_sql(masks, 'x.masks', -(-length // PER_CHUNK))} as int)))"
 
 
 def tried(obs: Column, length: int, max_mismatches: int, max_ns: Column) -> Column:
@@ -79,9 +71,16 @@ def match_distinct(observed: DataFrame, samples: DataFrame, length: int, max_mis
     met = observed.crossJoin(F.broadcast(sheet_row(samples, length)))  # one row: the sheet
     obs = F.col("obs")
     made = met.withColumn("__masks", F.when(tried(obs, length, max_mismatches, F.col("__max_ns")), encode(_fitting(obs, length), length)))
-    scored = made.withColumn("__m", F.when(F.col("__masks").isNotNull(), F.expr(best_two_sql("__masks", "__sheet", length))))
-    kept = F.when(accepts(F.col("__m.best_mismatches"), F.col("__m.next_best_mismatches"), max_mismatches, min_delta), F.col("__m"))
-    return scored.select("obs", *(keep or []), *(kept[f].alias(f) for f in RESULT))
+    # the first sample with fewest mismatches; the second fewest of those near enough alone
+    far = made.withColumn("__d", F.when(F.col("__masks").isNotNull(), F.expr(distances_sql("__masks", "__sheet", length))))
+    best = far.withColumn("__best", F.array_min("__d"))
+    at = best.withColumn("__at", F.when(F.col("__best") <= max_mismatches, F.expr("array_position(__d, __best)")).cast("int"))
+    others = "coalesce(array_min(concat(slice(__d, 1, __at - 1), slice(__d, __at + 1, size(__d)))), {0})".format(WORST)
+    scored = at.withColumn("__next", F.when(F.col("__at").isNotNull(), F.expr(others)))
+    found = F.col("__at").isNotNull() & accepts(F.col("__best"), F.col("__next"), max_mismatches, min_delta)
+    ordinal = F.when(F.col("__best") < WORST, F.expr("__sheet[__at - 1].ordinal"))
+    kept = zip(RESULT, (ordinal, F.col("__best"), F.col("__next")), strict=True)
+    return scored.select("obs", *(keep or []), *(F.when(found, c).alias(f) for f, c in kept))
 
 
 def match_in_large(observed: DataFrame, samples: DataFrame, length: int, max_mismatches: int = 1, min_delta: int = 2) -> DataFrame:

@@ -184,10 +184,12 @@ class Demux:
         names = F.broadcast(samples) if in_ranges else samples
         kept = every.withColumn("range", ranges_in(every)).where("skip_reason is null")
         matched = matcher.with_sample(matcher.with_matches(kept, memo, small=few), names, self.unmatched_prefix)
+        if in_ranges:  # uncut sets are narrower than the records made of them, and ranges follow each other
+            matched = matched.sortWithinPartitions("best_ordinal", "ord")
         targets = target_files(structures, kinds, [s.sample_id for s in group.samples] + [self.unmatched_prefix])
         rows, files = routed_sets(matched, structures, kinds)
         with finer_scans(spark):
-            write_fastq(rows.withColumn("target", F.col("sample_id")), self.output, targets, self.compression_level, in_order="range" if in_ranges else False, files=files)
+            write_fastq(rows.withColumn("target", F.col("sample_id")), self.output, targets, self.compression_level, in_order="range" if in_ranges else False, files=files, is_sorted=in_ranges)
         log.info("%d files written to %s", len(targets), self.output)
         self.skipped = {r["skip_reason"]: r["n"] for r in metrics.skip_counts(every).collect()}  # a row for each reason
         for reason, n in self.skipped.items():

@@ -22,7 +22,7 @@ from skein.plans.structure import ReadStructure
 from skein.plans.subsample import Subsample
 from skein.sources.fastq import open_store, read_fastq
 from skein.sources.folders import passing_path, written
-from skein.sources.sinks import record_text, write_fastq
+from skein.sources.sinks import CHUNK_RECORDS, record_text, write_fastq
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -379,13 +379,17 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def _put_reads(spark, sf_dir, folder: str, **views: str) -> list[str]:
-    """Views as block-gzip FASTQ files."""
+    """Views as block-gzip FASTQ files.  The orders are dealt to ranges and sorted, not the
+    reads that are made of them, which are wider; a range becomes a part of each file."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    ranges = max(2 * spark.sparkContext.defaultParallelism, -(-orders.count() // CHUNK_RECORDS))
+    placed = orders.repartitionByRange(ranges, "o_orderkey").sortWithinPartitions("o_orderkey")
     rows = None
     for name, sql in views.items():
         text = record_text(F.concat(F.lit("@"), F.col("header")), F.col("seq"), F.col("qual"))
-        one = view(spark, sf_dir, sql).select(F.lit(f"{name}.fq.gz").alias("target"), "ord", text.alias("record"))
+        one = spark.sql(f"SELECT * FROM {sql} AS v", orders=placed).select(F.lit(f"{name}.fq.gz").alias("target"), "ord", text.alias("record"))
         rows = one if rows is None else rows.unionByName(one)
-    write_fastq(rows, folder, [f"{name}.fq.gz" for name in views])
+    write_fastq(rows, folder, [f"{name}.fq.gz" for name in views], in_order=True, is_sorted=True)
     return [f"{folder}/{name}.fq.gz" for name in views]
 
 

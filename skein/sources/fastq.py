@@ -27,7 +27,9 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -67,17 +69,22 @@ def _fail(path: str, record: int, what: str) -> MalformedFastq:
     return MalformedFastq(f"Unexpected error parsing FASTQs: record {record} of {path} {what}")
 
 
-def line_blocks(stream, path: str = "input", first: int = 0) -> Iterator[list[bytes]]:
-    """Lines of whole records, some thousand records at a time; ``first`` is the
-    position of the first."""
+def text_blocks(stream, path: str = "input", first: int = 0) -> Iterator[bytes]:
+    """Text of whole records without its last line end, some thousand records at a time;
+    ``first`` is the position of the first."""
     rest, n = b"", first
     while chunk := stream.read(READ_BYTES):
-        lines = (rest + chunk).split(b"\n")
-        whole = (len(lines) - 1) // 4 * 4  # the last line may go on
-        rest = b"\n".join(lines[whole:])
-        if whole:
-            n += whole // 4
-            yield lines[:whole]
+        text = rest + chunk
+        whole, more = divmod(text.count(b"\n"), 4)  # the last line may go on
+        if not whole:
+            rest = text
+            continue
+        at = len(text)
+        for _ in range(more + 1):
+            at = text.rindex(b"\n", 0, at)
+        n += whole
+        rest = text[at + 1 :]
+        yield text[:at]
     if rest.strip():
         lines = rest.split(b"\n")
         if len(lines) == 5 and not lines[4]:
@@ -85,7 +92,7 @@ def line_blocks(stream, path: str = "input", first: int = 0) -> Iterator[list[by
         if len(lines) != 4:
             blank = not lines[0].strip()
             raise _fail(path, n + 1, "follows a blank line" if blank else "is cut off")
-        yield lines
+        yield b"\n".join(lines)
 
 
 def columns(lines: list[bytes], first: int, path: str = "input") -> tuple[list[list], bool]:
@@ -117,6 +124,20 @@ def _text(values: list[bytes]) -> pa.Array:
     return pa.array([v.decode("latin-1") for v in values], pa.string())
 
 
+def plain_columns(text: bytes) -> list[pa.Array] | None:
+    """``columns`` of a block by array steps; None where it isn't plain: it has other than
+    ASCII, carriage returns, or what may be a mistake."""
+    if b"\r" in text or not text.isascii():
+        return None
+    whole = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(text)], np.int64)), pa.py_buffer(text)])
+    lines = pc.split_pattern(whole, "\n").values
+    head, seq, plus, qual = (lines.take(pa.array(np.arange(k, len(lines), 4))) for k in range(4))
+    good = (pc.starts_with(head, "@"), pc.starts_with(plus, "+"), pc.equal(pc.binary_length(seq), pc.binary_length(qual)))
+    if not all(pc.all(g).as_py() for g in good):
+        return None
+    return [*(c.cast(pa.string()) for c in (pc.utf8_slice_codeunits(head, 1), seq, qual, plus)), pa.array(np.zeros(len(seq), np.int32))]
+
+
 # ---------------------------------------------------------------------- splits
 @dataclass
 class Split:
@@ -285,8 +306,14 @@ class _Stream:
     def __init__(self, text: Iterator[bytes]):
         self.text = text
 
-    def read(self, _: int) -> bytes:
-        return next((x for x in self.text if x), b"")
+    def read(self, n: int) -> bytes:
+        some, size = [], 0
+        for x in self.text:
+            some.append(x)
+            size += len(x)
+            if size >= min(n, BUFFER):
+                break
+        return b"".join(some)
 
 
 def records(split: Split) -> tuple[int, object]:
@@ -304,14 +331,17 @@ def records(split: Split) -> tuple[int, object]:
     return first, _Stream(cut(text_from(split.path, split.kind, split.start), skip, take))
 
 
-def parsed(stream, path: str, at: int) -> Iterator[list[list]]:
+def parsed(stream, path: str, at: int) -> Iterator[list[pa.Array]]:
     """``columns`` of a stream's records, block by block; ``at``: the first's position."""
     ended = False
-    for lines in line_blocks(stream, path, at):
-        if ended and any(x.strip() for x in lines):
+    for text in text_blocks(stream, path, at):
+        if ended and text.strip():
             raise _fail(path, at + 1, "follows a blank line")
-        cols, over = columns(lines, at, path)
-        ended = ended or over
+        cols = plain_columns(text)
+        if cols is None:
+            lists, over = columns(text.split(b"\n"), at, path)
+            ended = ended or over
+            cols = [*map(_text, lists[:4]), pa.array(lists[4], pa.int32())]
         at += len(cols[0])
         yield cols
 
@@ -334,9 +364,9 @@ class FastqReader(DataSourceReader):
         at, stream = records(part.split)
         for cols in parsed(stream, path, at):
             for lo in range(0, len(cols[0]), ROWS_AT_ONCE):
-                some = [c[lo : lo + ROWS_AT_ONCE] for c in cols]
+                some = [c.slice(lo, ROWS_AT_ONCE) for c in cols]
                 n = len(some[0])
-                yield pa.record_batch([pa.array([idx] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()), *map(_text, some[:4]), pa.array(some[4], pa.int32())], schema=_ARROW)
+                yield pa.record_batch([pa.array([idx] * n, pa.int32()), pa.array(np.arange(at, at + n)), *some], schema=_ARROW)
                 at += n
 
 

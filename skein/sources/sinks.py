@@ -297,11 +297,12 @@ def ranges_in(table: DataFrame) -> Column:
 
 def write_fastq(
     records: DataFrame, folder: str, targets: list[str], level: int = 5, chunk_records: int = CHUNK_RECORDS, check: Callable[[], None] | None = None, in_order: bool | str = False,
-    files: dict[str, str] | None = None,
+    files: dict[str, str] | None = None, is_sorted: bool = False,
 ) -> dict[str, int]:
     """Writes ``records`` (target, ord, record) to ``folder``, a file a target, and returns
     the records of each.  ``in_order``: partitions are ranges of ``ord`` and each becomes a
     part, without a shuffle; or the name of a column that tells the ranges of a partition.
+    ``is_sorted``: within partitions rows stand by target, range and ``ord`` already.
     ``files``: columns that have a record each instead of ``record``, and what stands behind
     the target in the names of their files.  ``check`` may fail the run before any file has
     its name."""
@@ -312,8 +313,8 @@ def write_fastq(
         dealt = records.withColumn("chunk", F.col(in_order) if isinstance(in_order, str) else F.spark_partition_id().cast("bigint"))
     else:
         dealt = records.withColumn("chunk", F.expr(f"ord div {max(1, chunk_records // len(files))}")).repartition("target", "chunk")
-    dealt = dealt.sortWithinPartitions("target", "chunk", "ord").select("target", "chunk", "ord", *files)
-    dealt.write.format("fastq_sink").options(folder=folder, run=run, level=level, files=json.dumps(files)).mode("append").save()
+    dealt = dealt if is_sorted else dealt.sortWithinPartitions("target", "chunk", "ord")
+    dealt.select("target", "chunk", "ord", *files).write.format("fastq_sink").options(folder=folder, run=run, level=level, files=json.dumps(files)).mode("append").save()
     if check:
         try:
             check()

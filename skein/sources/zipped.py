@@ -13,11 +13,12 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from skein.sources.fastq import READ_BYTES, ROWS_AT_ONCE, SPLIT_BYTES, Split, _Stream, _text, cut, open_text, parsed, splits_of, text_from
+from skein.sources.fastq import READ_BYTES, ROWS_AT_ONCE, SPLIT_BYTES, Split, _Stream, cut, open_text, parsed, splits_of, text_from
 
 #: A record's columns, as ``columns`` of the FASTQ source gives them.
 FIELDS = ("header", "seq", "qual", "raw_plus", "ends")
@@ -44,15 +45,14 @@ class Range:
 class _Records:
     """A stream's records, any number at a time."""
 
-    def __init__(self, blocks: Iterator[list[list]]):
-        self.blocks, self.held = blocks, [[] for _ in FIELDS]
+    def __init__(self, blocks: Iterator[list[pa.Array]]):
+        self.blocks, self.held = blocks, [pa.array([], _type(f)) for f in FIELDS]
 
-    def take(self, n: int) -> list[list]:
+    def take(self, n: int) -> list[pa.Array]:
         while len(self.held[0]) < n and (block := next(self.blocks, None)):
-            for held, more in zip(self.held, block, strict=True):
-                held += more
-        out = [c[:n] for c in self.held]
-        self.held = [c[n:] for c in self.held]
+            self.held = [pa.concat_arrays([held, more]) for held, more in zip(self.held, block, strict=True)]
+        out = [c.slice(0, n) for c in self.held]
+        self.held = [c.slice(n) for c in self.held]
         return out
 
 
@@ -89,11 +89,11 @@ class SetReader(DataSourceReader):
             n = max(len(c[0]) for c in each)
             if not n:
                 return
-            out = [pa.array(range(at, at + n), pa.int64())]
+            out = [pa.array(np.arange(at, at + n))]
             for cols in each:
                 for p, field in zip(places, self.fields, strict=True):
-                    made = pa.array(cols[p], pa.int32()) if field == "ends" else _text(cols[p])
-                    out.append(pa.concat_arrays([made, pa.nulls(n - len(cols[p]), _type(field))]))
+                    short = n - len(cols[p])
+                    out.append(pa.concat_arrays([cols[p], pa.nulls(short, _type(field))]) if short else cols[p])
             yield pa.RecordBatch.from_arrays(out, names=names)
             at += n
             left -= n if left > 0 else 0

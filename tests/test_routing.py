@@ -4,7 +4,7 @@ import gzip
 
 import pytest
 
-from skein.plans import demux
+from skein.plans import demux, read_queries
 from skein.plans.demux import Demux, routed
 from skein.sources.sinks import write_fastq
 
@@ -63,3 +63,41 @@ def test_parts_that_are_no_ranges_fail(spark, tmp_path):
     rows = spark.createDataFrame([("t.fq.gz", k, f"@r{k}\nA\n+\n;\n") for k in range(40)], "target string, ord long, record string")
     with pytest.raises(Exception, match="stand around it"):
         write_fastq(rows.repartition(4, "ord"), str(tmp_path), ["t.fq.gz"], in_order=True)
+
+
+def test_inputs_of_runs_shuffle_orders_and_not_their_reads(spark, tmp_path, monkeypatch):
+    """Ranges of orders become parts of the files, whatever order the table has."""
+    seen, real = [], read_queries.write_fastq
+
+    def spy(rows, *args, **options):
+        seen.append((rows._jdf.queryExecution().executedPlan().toString(), options["in_order"]))
+        return real(rows, *args, **options)
+
+    monkeypatch.setattr(read_queries, "write_fastq", spy)
+    monkeypatch.setattr(read_queries, "CHUNK_RECORDS", 50)
+    n = 1000
+    (tmp_path / "t").mkdir()
+    spark.range(n).selectExpr("(id * 7) % 1000 AS o_orderkey", "id % 30 AS o_custkey").write.parquet(str(tmp_path / "t" / "orders.parquet"))
+    paths = read_queries._put_reads(spark, str(tmp_path / "t"), str(tmp_path), one=read_queries.RECORDS_1, two=read_queries.RECORDS_2)
+    [(plan, in_order)] = seen
+    assert in_order is True and plan.count("rangepartitioning(o_orderkey") >= 2 and "hashpartitioning" not in plan
+    for path, sql in zip(paths, (read_queries.RECORDS_1, read_queries.RECORDS_2), strict=True):
+        rows = sorted(tuple(r) for r in read_queries.view(spark, str(tmp_path / "t"), sql).collect())
+        text = "".join(f"@{header}\n{seq}\n+\n{qual}\n" for _, header, seq, qual in rows)
+        with gzip.open(path) as f:
+            assert f.read().decode() == text
+
+
+def test_sets_are_sorted_before_their_records_are_made(spark, tmp_path, monkeypatch):
+    seen, real = {}, demux.write_fastq
+
+    def spy(rows, *args, **options):
+        seen.update(plan=rows._jdf.queryExecution().optimizedPlan().toString())
+        return real(rows, *args, **options)
+
+    monkeypatch.setattr(demux, "write_fastq", spy)
+    (tmp_path / "a.fq").write_text("".join(f"@r{k}\n{'AC'[k % 2] * 4}TTT\n+\n;;;;!!!\n" for k in range(50)))
+    (tmp_path / "s.tsv").write_text("sample_id\tbarcode\nx\tAAAA\n")
+    Demux([str(tmp_path / "a.fq")], ["4B+T"], str(tmp_path / "s.tsv"), str(tmp_path / "o")).execute(spark)
+    assert "Sort [best_ordinal" in seen["plan"] and "regexp_replace" not in seen["plan"][seen["plan"].index("Sort [best_ordinal") :]
+    assert gzip.decompress((tmp_path / "o" / "x.R1.fq.gz").read_bytes()).decode() == "".join(f"@r{k} 1:N:0:AAAA\nTTT\n+\n!!!\n" for k in range(0, 50, 2))
